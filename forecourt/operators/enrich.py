@@ -34,14 +34,14 @@ NUMBERS = ("price", "odometer")
 
 
 def rule_struct(text: Column, rules: dict[str, tuple[str, int]] = RULES, numbers: tuple[str, ...] = NUMBERS) -> Column:
-    """Struct of the first match of every rule; no match gives null, numbers lose their commas."""
-    low = F.lower(text)
+    """Struct of the first match of every rule on a lower-cased text; no match gives null, numbers lose their commas."""
     fields = []
     for name, (pattern, group) in rules.items():
-        found = F.regexp_extract(low, pattern, group)
+        found = F.regexp_extract(text, pattern, group)
         if name in numbers:
             found = F.replace(found, F.lit(","), F.lit(""))
-        fields.append(F.nullif(found, F.lit("")).alias(name))
+        # "" to null with one reference: nullif would run every rule, also where the cell is filled.
+        fields.append(F.get(F.array_remove(F.array(found), F.lit("")), F.lit(0)).alias(name))
     return F.struct(*fields)
 
 
@@ -54,12 +54,12 @@ def extract_fields_rules(
     km_per_mile: float | None = None,
 ) -> DataFrame:
     """Add the extraction struct by rules, JVM-side. ``km_per_mile`` turns mile readings into km."""
-    fields = rule_struct(F.col(text), rules, numbers)
+    fields = rule_struct(F.col("_low"), rules, numbers)
     if km_per_mile is not None:
-        in_miles = F.regexp_like(F.lower(text), F.lit(r"\b[0-9][0-9,]*\s*(?:miles|mile|mi)\b"))
+        in_miles = F.regexp_like("_low", F.lit(r"\b[0-9][0-9,]*\s*(?:miles|mile|mi)\b"))
         km = F.round(fields["odometer"].try_cast("double") * km_per_mile).cast("long").cast("string")
         fields = fields.withField("odometer", F.when(in_miles, km).otherwise(fields["odometer"]))
-    return df.withColumn(into, fields)
+    return df.withColumn("_low", F.lower(text)).withColumn(into, fields).drop("_low")
 
 
 def extract_fields_udf(

@@ -10,6 +10,7 @@ from forecourt.plans.joins import BROADCAST_ROWS, contains_join, keyed_join, mat
 ACCURACY = 10_000
 _ABSENT = "\u0000"
 _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want_odometer"]
+_FIGURES = ["average_price", "median_price", "price_std_dev", "num_cars_sold"]
 
 
 def comparables(
@@ -124,14 +125,16 @@ def market_estimate(
 ) -> DataFrame:
     """Price statistics of comparable sales for every request, relaxing filters where nothing matches.
 
-    ``requests`` has ``request_id`` and the vehicle fields; equal requests are looked up
-    once. Each sale meets the lookups of its own manufacturer and model through equality
-    on distinct names, and prices are aggregated per (lookup, rung) before any shuffle of
-    results, so no request gathers its sales in one task. The first rung with sales wins.
-    Requests without any sale come back with nulls and count 0.
+    ``requests`` has a unique ``request_id`` and the vehicle fields; equal requests are
+    looked up once. Each sale meets the lookups of its own manufacturer and model through
+    equality on distinct names. A first pass finds the rung of every lookup, the second
+    reads prices on that rung only; both combine their results before the shuffle, so no
+    request gathers its sales in one task. Requests without any sale come back with nulls
+    and count 0.
     """
     wanted = _wanted(requests, request_id)
-    lookups = materialize(wanted.select(*_WANTED).distinct())
+    # The smallest request names a lookup: a short key that is the same in every run.
+    lookups = materialize(wanted.groupBy(*_WANTED).agg(F.min(request_id).alias("_lookup")))
     name = lambda c: F.lower(F.coalesce(F.col(c), F.lit(_ABSENT)))
     sales = listings.filter(F.col("price") > 0).select(
         name("manufacturer").alias("_maker"),
@@ -142,17 +145,17 @@ def market_estimate(
         "price",
     )
     names = materialize(_models_wanted(lookups, sales))
-    of_names = keyed_join(sales, names, ["_maker", "_model"], max_rows=max_rows)
-    pairs = keyed_join(of_names, lookups, ["_want_maker", "_want_model"], max_rows=max_rows)
-    per_rung = (
-        pairs.withColumn("relax_tier", _rung())
-        .groupBy(*_WANTED, "relax_tier")
-        .agg(*_price_statistics(F.col("price"), accuracy))
-    )
-    figures = ["relax_tier", "average_price", "median_price", "price_std_dev", "num_cars_sold"]
-    best = (
-        per_rung.groupBy(*_WANTED).agg(F.min_by(F.struct(*figures), "relax_tier").alias("_best"))
-        .select(*_WANTED, "_best.*")
+    of_names = keyed_join(sales, names, ["_maker", "_model"], max_rows=max_rows).drop("_maker", "_model")
+
+    def meet(asked):
+        return keyed_join(of_names, asked, ["_want_maker", "_want_model"], max_rows=max_rows).withColumn("_rung", _rung())
+
+    rungs = meet(lookups).groupBy("_lookup").agg(F.min("_rung").alias("relax_tier"))
+    rungs = materialize(lookups.join(rungs, "_lookup"))
+    figures = (
+        meet(rungs).filter(F.col("_rung") == F.col("relax_tier"))
+        .groupBy("_lookup").agg(*_price_statistics(F.col("price"), accuracy))
     )
-    answered = keyed_join(wanted, materialize(best), _WANTED, "left", max_rows=max_rows).select(request_id, *figures)
+    best = materialize(rungs.join(figures, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
+    answered = keyed_join(wanted, best, _WANTED, "left", max_rows=max_rows).select(request_id, "relax_tier", *_FIGURES)
     return _with_signal(answered.withColumn("num_cars_sold", F.coalesce("num_cars_sold", F.lit(0).cast("long"))))

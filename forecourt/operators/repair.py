@@ -66,7 +66,7 @@ def _lookup(requests: DataFrame, catalog: DataFrame, request_id: str, min_word:
     answered on its first rung with any match.
     """
     needs = _needs(requests, request_id)
-    asked = _asked_terms(needs.select("_terms").distinct(), min_word)
+    asked = materialize(_asked_terms(needs.select("_terms").distinct(), min_word))
     rows = catalog.groupBy(*_ROW).agg(F.count("*").alias("copies")).withColumn("_text", _text())
     found = contains_join(asked.select("_term").distinct(), rows.select("_text").distinct(), "_term", "_text")
     signed = materialize(found.groupBy("_text").agg(F.array_sort(F.collect_set("_term")).alias("_signature")))
@@ -118,7 +118,7 @@ def repair_estimate(
     cost = F.coalesce("reparation_cost", F.lit(0)).cast("double") * F.col("copies")
     per_signature = rows.groupBy("_signature").agg(F.sum(cost).alias("cost"), F.sum("copies").alias("n"))
     totals = (
-        keyed_join(answers, per_signature, ["_signature"]).groupBy("_terms", "relax_tier")
+        keyed_join(answers, materialize(per_signature), ["_signature"]).groupBy("_terms", "relax_tier")
         .agg(F.sum("cost").alias("total_estimated_cost"), F.sum("n").alias("num_repairs"))
     )
     first_of = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*_ROW))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.text import any_of
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 ROWS_PER_TASK = 4_000_000
 GRAM = 3
 
@@ -81,7 +81,7 @@ def keyed_join(
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     salts = lambda n: F.explode(F.sequence(zero, F.coalesce(n, one) - 1))
     # The partition id is the same when a lost task runs again; a random salt would not be.
-    spread = lambda df: F.xxhash64(F.spark_partition_id(), *df.columns)
+    spread = lambda df: F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns])
     # Rows with a null key find no partner; a left join still keeps them, so they are spread too.
     no_key = any_of([F.col(k).isNull() for k in keys])
     cut_fact = (
