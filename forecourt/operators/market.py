@@ -8,6 +8,7 @@ from forecourt.functions.text import all_of, contains_ci
 from forecourt.plans.joins import BROADCAST_ROWS, contains_join, keyed_join, materialize
 
 ACCURACY = 10_000
+MILE_BAND = 10_000
 _ABSENT = "\u0000"
 _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want_odometer"]
 _FIGURES = ["average_price", "median_price", "price_std_dev", "num_cars_sold"]
@@ -73,15 +74,14 @@ def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
     )
 
 
-def _models_wanted(lookups: DataFrame, sales: DataFrame) -> DataFrame:
-    """(wanted maker, wanted model) -> the (maker, model) names on sale that contain them.
+def _models_wanted(pairs: DataFrame, sales: DataFrame) -> DataFrame:
+    """(_pair, _maker, _model): the names on sale that contain a pair of wanted texts.
 
     Works on distinct names only. The model, where given, is the text searched for and
     the maker is checked on the result; else the maker is searched, "" finding all.
     """
-    wanted = lookups.select("_want_maker", "_want_model").distinct()
     by_model = F.col("_want_model") != ""
-    wanted = wanted.withColumn("_side", F.when(by_model, "model").otherwise("maker")).withColumn(
+    wanted = pairs.withColumn("_side", F.when(by_model, "model").otherwise("maker")).withColumn(
         "_needle", F.when(by_model, F.col("_want_model")).otherwise(F.col("_want_maker"))
     )
     on_sale = sales.select("_maker", "_model").distinct()
@@ -93,7 +93,7 @@ def _models_wanted(lookups: DataFrame, sales: DataFrame) -> DataFrame:
     return (
         contains_join(wanted, texts, "_needle", "_text", on=("_side",))
         .filter(F.contains("_maker", "_want_maker"))
-        .select("_want_maker", "_want_model", "_maker", "_model")
+        .select("_pair", "_maker", "_model")
     )
 
 
@@ -116,6 +116,69 @@ def _rung() -> Column:
     )
 
 
+_KIND = ["_pair", "_by_year", "_by_miles"]
+
+
+def _asked(lookups: DataFrame, window: Column, by_miles: Column) -> DataFrame:
+    """Lookups with the tests of one pass: years within ``window`` (null: any) where a year
+    is given, miles where an odometer reading is given and ``by_miles`` holds."""
+    return (
+        lookups.withColumn("_window", window.cast("int"))
+        .withColumn("_by_year", (F.col("_want_year") != 0) & F.col("_window").isNotNull())
+        .withColumn("_by_miles", (F.col("_want_odometer") != 0) & by_miles)
+    )
+
+
+def _spans(asked: DataFrame) -> DataFrame:
+    """Years and miles that the lookups of a pair of names cover together, per kind of test."""
+    year, window, miles = F.col("_want_year"), F.col("_window"), F.col("_want_odometer")
+    return asked.groupBy(*_KIND).agg(
+        F.min(year - window).alias("_first_year"),
+        F.max(year + window).alias("_last_year"),
+        F.min(miles - S.ODOMETER_WINDOW).alias("_least_miles"),
+        F.max(miles + S.ODOMETER_WINDOW).alias("_most_miles"),
+    )
+
+
+def _band(miles: Column) -> Column:
+    return F.floor(miles / F.lit(MILE_BAND)).cast("long")
+
+
+def _cells(asked: DataFrame) -> DataFrame:
+    """Lookups repeated for the years and bands of miles their sales lie in (0: any)."""
+    any_ = F.array(F.lit(0).cast("long"))
+    year, miles, window = (F.col(c).cast("long") for c in ("_want_year", "_want_odometer", "_window"))
+    years = F.when(F.col("_by_year"), F.sequence(year - window, year + window)).otherwise(any_)
+    bands = F.sequence(_band(miles - S.ODOMETER_WINDOW), _band(miles + S.ODOMETER_WINDOW))
+    return (
+        asked.withColumn("_year", F.explode(years))
+        .withColumn("_band", F.explode(F.when(F.col("_by_miles"), bands).otherwise(any_)))
+    )
+
+
+def _meet(sales: DataFrame, names: DataFrame, asked: DataFrame, max_rows: int) -> DataFrame:
+    """Sales with the lookups they may count for, and the rung on which they do.
+
+    A sale first meets the pairs of names found in it whose lookups cover its year and
+    miles, then by equality the lookups of these pairs in its cell.
+    """
+    within = (~F.col("_by_year") | F.col("year").between(F.col("_first_year"), F.col("_last_year"))) & (
+        ~F.col("_by_miles") | F.col("odometer").between(F.col("_least_miles"), F.col("_most_miles"))
+    )
+    any_ = F.lit(0).cast("long")
+    near = (
+        keyed_join(sales, names.join(_spans(asked), "_pair"), ["_maker", "_model"], max_rows=max_rows)
+        .filter(within)
+        .select(
+            *_KIND,
+            F.when(F.col("_by_year"), F.floor("year").cast("long")).otherwise(any_).alias("_year"),
+            F.when(F.col("_by_miles"), _band(F.col("odometer"))).otherwise(any_).alias("_band"),
+            "_condition", "year", "odometer", "price",
+        )
+    )
+    return keyed_join(near, _cells(asked), [*_KIND, "_year", "_band"], max_rows=max_rows).withColumn("_rung", _rung())
+
+
 def market_estimate(
     requests: DataFrame,
     listings: DataFrame,
@@ -126,15 +189,18 @@ def market_estimate(
     """Price statistics of comparable sales for every request, relaxing filters where nothing matches.
 
     ``requests`` has a unique ``request_id`` and the vehicle fields; equal requests are
-    looked up once. Each sale meets the lookups of its own manufacturer and model through
-    equality on distinct names. A first pass finds the rung of every lookup, the second
-    reads prices on that rung only; both combine their results before the shuffle, so no
-    request gathers its sales in one task. Requests without any sale come back with nulls
-    and count 0.
+    looked up once. A sale meets a lookup by equality: on the distinct names of maker and
+    model, and on cells of year and miles, so that sales far off in either are not
+    compared. One pass finds the lookups answered on the first two rungs, another the rung
+    of the others, and the last reads the prices on each lookup's rung. All passes combine
+    their results before the shuffle, so no request gathers its sales in one task.
+    Requests without any sale come back with nulls and count 0.
     """
     wanted = _wanted(requests, request_id)
     # The smallest request names a lookup: a short key that is the same in every run.
-    lookups = materialize(wanted.groupBy(*_WANTED).agg(F.min(request_id).alias("_lookup")))
+    lookups = wanted.groupBy(*_WANTED).agg(F.min(request_id).alias("_lookup"))
+    pairs = lookups.groupBy("_want_maker", "_want_model").agg(F.min("_lookup").alias("_pair"))
+    pairs = materialize(pairs)
     name = lambda c: F.lower(F.coalesce(F.col(c), F.lit(_ABSENT)))
     sales = listings.filter(F.col("price") > 0).select(
         name("manufacturer").alias("_maker"),
@@ -144,16 +210,27 @@ def market_estimate(
         "odometer",
         "price",
     )
-    names = materialize(_models_wanted(lookups, sales))
-    of_names = keyed_join(sales, names, ["_maker", "_model"], max_rows=max_rows).drop("_maker", "_model")
-
-    def meet(asked):
-        return keyed_join(of_names, asked, ["_want_maker", "_want_model"], max_rows=max_rows).withColumn("_rung", _rung())
-
-    rungs = meet(lookups).groupBy("_lookup").agg(F.min("_rung").alias("relax_tier"))
+    names = materialize(_models_wanted(pairs, sales))
+    known = pairs.join(names.select("_pair").distinct(), "_pair", "left_semi")
+    lookups = materialize(lookups.join(known, ["_want_maker", "_want_model"]))
+
+    def first_rung(asked: DataFrame, last: int) -> DataFrame:
+        met = _meet(sales, names, asked, max_rows).filter(F.col("_rung") <= last)
+        return materialize(met.groupBy("_lookup").agg(F.min("_rung").alias("relax_tier")))
+
+    rungs = first_rung(_asked(lookups, F.lit(S.YEAR_WINDOW), F.lit(True)), 1)
+    waiting = materialize(lookups.join(rungs, "_lookup", "left_anti"))
+    if not waiting.isEmpty():
+        relaxed = first_rung(_asked(waiting, F.lit(None), F.lit(True)), 3)
+        # The names are on sale, but not within the miles: the last rung tests names only.
+        tier = F.coalesce("relax_tier", F.lit(4)).alias("relax_tier")
+        rungs = rungs.unionByName(waiting.join(relaxed, "_lookup", "left").select("_lookup", tier))
     rungs = materialize(lookups.join(rungs, "_lookup"))
+    tier = F.col("relax_tier")
+    window = F.when(tier <= 1, S.YEAR_WINDOW).when(tier == 2, S.WIDE_YEAR_WINDOW)
     figures = (
-        meet(rungs).filter(F.col("_rung") == F.col("relax_tier"))
+        _meet(sales, names, _asked(rungs, window, tier <= 3), max_rows)
+        .filter(F.col("_rung") == tier)
         .groupBy("_lookup").agg(*_price_statistics(F.col("price"), accuracy))
     )
     best = materialize(rungs.join(figures, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))

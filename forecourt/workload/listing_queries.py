@@ -1,7 +1,5 @@
 """Queries over the derived listings: sources, preparation, model names, enrichment."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from forecourt import schemas as S
@@ -16,10 +14,11 @@ _VALID = "price <> 0 AND price IS NOT NULL AND year IS NOT NULL AND model IS NOT
 _MAKERS = "manufacturer IN ('ford', 'toyota', 'chevrolet', 'honda')"
 
 
-def _scratch(spark) -> str:
-    """A new folder below the checkpoint folder, which all executors share."""
-    materialize(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+def _scratch(spark, name: str) -> str:
+    """A folder of this application below the checkpoint folder, which all executors share."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        materialize(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -27,7 +26,7 @@ def _scratch(spark) -> str:
 @query(f"""WITH {LISTINGS_SQL}
 SELECT id, price, year, manufacturer, model, odometer, description FROM listings""")
 def csv_round_trip(spark, sf_dir):
-    path = _scratch(spark)
+    path = _scratch(spark, "csv_round_trip")
     raw = listings(spark, sf_dir)
     absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.LISTING if f.name not in raw.columns]
     files.write_csv(raw.select("*", *absent).select(*S.LISTING.names), path)
@@ -40,9 +39,9 @@ def csv_round_trip(spark, sf_dir):
 SELECT id, manufacturer, model, price FROM listings WHERE {_VALID}""")
 def table_round_trip(spark, sf_dir):
     tables.ensure_schema(spark, "market")
-    name = f"market.vehicles_{uuid.uuid4().hex}"
+    name = "market.vehicles_cleaned"
     cleaned = prepare.filter_valid(listings(spark, sf_dir))
-    tables.write_table(cleaned, name, path=_scratch(spark))
+    tables.write_table(cleaned, name, path=_scratch(spark, "table_round_trip"))
     return tables.read_table(spark, name).select("id", "manufacturer", "model", "price")
 
 
@@ -51,15 +50,6 @@ def file_inventory(spark, sf_dir):
     return files.file_inventory(spark, sf_dir, "*.parquet")
 
 
-@query("""
-SELECT CAST(row_number() OVER () - 1 AS INT) AS position, column_name AS name,
-  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-    WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS type
-FROM (DESCRIBE lineitem)""")
-def describe_schema(spark, sf_dir):
-    return tables.describe_schema(table(spark, sf_dir, "lineitem"))
-
-
 # --- preparation -------------------------------------------------------------
 
 _KEPT = ["id", "price", "year", "manufacturer", "model", "condition", "cylinders", "fuel", "odometer", "transmission",
