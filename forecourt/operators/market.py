@@ -14,6 +14,12 @@ _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want
 _FIGURES = ["average_price", "median_price", "price_std_dev", "num_cars_sold"]
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    """Price, year and odometer as numbers where a table keeps them as text; other text is null."""
+    texts = [c for c in ("price", "year", "odometer") if c in df.columns and dict(df.dtypes)[c] == "string"]
+    return df.withColumns({c: F.col(c).try_cast("double") for c in texts}) if texts else df
+
+
 def comparables(
     df: DataFrame,
     manufacturer: str | None = None,
@@ -35,7 +41,7 @@ def comparables(
     for column, wanted, window in (("year", year, S.YEAR_WINDOW), ("odometer", odometer, S.ODOMETER_WINDOW)):
         if wanted:
             tests.append(F.col(column).between(wanted - window, wanted + window))
-    return df.filter(all_of(tests))
+    return _typed(df).filter(all_of(tests))
 
 
 def _price_statistics(price: Column, accuracy: int) -> list[Column]:
@@ -57,7 +63,8 @@ def market_stats(df: DataFrame, by: tuple[str, ...] = (), accuracy: int = ACCURA
 
     The median's rank is off by at most rows / ``accuracy``.
     """
-    return _with_signal(df.filter(F.col("price").isNotNull()).groupBy(*by).agg(*_price_statistics(F.col("price"), accuracy)))
+    priced = _typed(df).filter(F.col("price").isNotNull())
+    return _with_signal(priced.groupBy(*by).agg(*_price_statistics(F.col("price"), accuracy)))
 
 
 def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
@@ -202,7 +209,7 @@ def market_estimate(
     pairs = lookups.groupBy("_want_maker", "_want_model").agg(F.min("_lookup").alias("_pair"))
     pairs = materialize(pairs)
     name = lambda c: F.lower(F.coalesce(F.col(c), F.lit(_ABSENT)))
-    sales = listings.filter(F.col("price") > 0).select(
+    sales = _typed(listings).filter(F.col("price") > 0).select(
         name("manufacturer").alias("_maker"),
         name("model").alias("_model"),
         F.lower("condition").alias("_condition"),

@@ -1,13 +1,20 @@
-"""Raw listings to gold in one plan."""
+"""Raw listings to gold, as one plan or table by table."""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from forecourt import schemas as S
 from forecourt.operators.enrich import extract_fields_rules, merge_extracted
-from forecourt.operators.models import normalize_models
+from forecourt.operators.models import normalize_models, propose_dictionary
 from forecourt.operators.prepare import drop_columns, filter_manufacturers, filter_valid, sample_rows
+from forecourt.operators.quality import recovery_report
+from forecourt.sources.files import read_listings, read_repair_catalog
+from forecourt.sources.tables import ensure_schema, write_table
+
+# fixed values: table names
+VEHICLES, REPAIRS = "vehicles", "reparations"
+CLEANED, NAMED, ENRICHED = "vehicles_cleaned", "vehicles_models_cleaned", "vehicles_enriched"
 
 
 def silver(
@@ -33,3 +40,27 @@ def gold(
     ``extract`` adds the column ``extracted_data``; the default reads it by rules.
     """
     return merge_extracted(extract(normalize_models(cleaned, dictionary)), legacy_string=legacy_string)
+
+
+def refresh_tables(
+    spark: SparkSession,
+    schema: str,
+    listings_csv: str,
+    repairs_csv: str,
+    dictionary: DataFrame | None = None,
+    extract: Callable[[DataFrame], DataFrame] = extract_fields_rules,
+    fmt: str = "parquet",
+    **sampling,
+) -> DataFrame:
+    """Rebuild all tables of ``schema`` from the two CSV sources and report the recovered cells.
+
+    Every table is replaced. Without ``dictionary`` the canonical names are proposed from
+    the cleaned listings. ``sampling`` goes to ``silver``.
+    """
+    ensure_schema(spark, schema)
+    store = lambda df, name: write_table(df, f"{schema}.{name}", fmt)
+    store(read_repair_catalog(spark, repairs_csv), REPAIRS)
+    cleaned = store(silver(store(read_listings(spark, listings_csv), VEHICLES), **sampling), CLEANED)
+    names = propose_dictionary(cleaned) if dictionary is None else dictionary
+    named = store(normalize_models(cleaned, names), NAMED)
+    return recovery_report(named, store(merge_extracted(extract(named)), ENRICHED))

@@ -109,3 +109,24 @@ def test_merge_runs_one_rule_per_cell(spark):
     df = spark.createDataFrame([(1, None, TEXT)], "id int, fuel string, description string")
     plan = enrich.merge_extracted(enrich.extract_fields_rules(df.repartition(2))).select("fuel")
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_refresh_tables(spark, tmp_path):
+    from forecourt.sources.files import write_csv
+    from forecourt.sources.repair_prices import default_repair_catalog
+
+    told = {"id": 1, "price": 100.0, "year": 2000, "manufacturer": "ford", "model": "Focus se", "odometer": 5.0, "description": TEXT}
+    cars = spark.createDataFrame(
+        [tuple({**told, "id": i}.get(f) for f in S.LISTING.names) for i in range(3)], S.LISTING
+    )
+    write_csv(cars, str(tmp_path / "cars"))
+    write_csv(default_repair_catalog(spark), str(tmp_path / "repairs"))
+    report = refine.refresh_tables(
+        spark, "car_sales_test", str(tmp_path / "cars"), str(tmp_path / "repairs"), fraction=1.0, key=["id"]
+    )
+    assert tuple(report.first()) == (21, 3, 18, 85.71)
+    gold = spark.table("car_sales_test.vehicles_enriched")
+    assert gold.count() == 3 and {r["model"] for r in gold.collect()} == {"focus"}
+    assert {r["fuel"] for r in gold.collect()} == {"gas"} and "description" not in gold.columns
+    assert spark.table("car_sales_test.reparations").count() == 99
+    assert spark.table("car_sales_test.vehicles").columns == S.LISTING.names

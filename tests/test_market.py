@@ -124,3 +124,24 @@ def test_no_nested_loop_in_the_plan(spark, cars):
     wanted = spark.createDataFrame([(7, "toyota", "camry", 2020, "good", 50000)], REQUEST)
     plan = market_estimate(wanted, cars)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_numbers_kept_as_text(spark, cars):
+    texts = cars.selectExpr(
+        "id", "manufacturer", "model", "condition", "CAST(year AS string) AS year",
+        "CAST(odometer AS string) AS odometer", "IF(id = 3, 'call', CAST(price AS string)) AS price",
+    )
+    assert ids(comparables(texts, "Toyota", "Camry", 2020, "good", 50000)) == [1, 2]
+    wanted = spark.createDataFrame([(7, "toyota", "camry", 2020, "good", 50000)], REQUEST)
+    assert market_estimate(wanted, texts).first()["average_price"] == 19000.0
+
+
+def test_hot_name_without_broadcast(spark):
+    cars = spark.range(3000).selectExpr(
+        "CAST(id AS int) AS id", "'ford' AS manufacturer", "IF(id % 3 = 0, CAST(id AS string), 'focus') AS model",
+        "2000 AS year", "'good' AS condition", "CAST(id AS int) AS odometer", "CAST(id + 1 AS double) AS price",
+    )
+    wanted = spark.createDataFrame([(i, "ford", "FOCUS", 2000, "good", 10 * i) for i in range(40)], REQUEST)
+    one, other = market_estimate(wanted, cars, max_rows=0), market_estimate(wanted, cars)
+    assert sorted(one.collect()) == sorted(other.collect())
+    assert one.agg({"num_cars_sold": "sum"}).first()[0] == 40 * 2000
