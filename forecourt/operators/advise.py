@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from forecourt import schemas as S
 from forecourt.functions.text import coerce_components, repair_terms
-from forecourt.operators.market import ACCURACY, market_estimate
+from forecourt.operators.market import market_estimate
 from forecourt.operators.repair import repair_estimate
 from forecourt.plans.joins import keyed_join, materialize
 
@@ -25,7 +25,6 @@ def advise(
     request_id: str = "request_id",
     base: str = "average",
     fix_first_below: float = S.FIX_FIRST_BELOW,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """List price, price range and strategy for every request (``request_id`` must be unique).
 
@@ -38,7 +37,7 @@ def advise(
     if base not in ("average", "median"):
         raise ValueError(f"base must be average or median, not {base!r}")
     known = request_readiness(coerce_components(requests))
-    market = market_estimate(known.filter("ready"), listings, request_id, accuracy).select(
+    market = market_estimate(known.filter("ready"), listings, request_id).select(
         request_id, F.col(f"{base}_price").alias("base_value"), "price_std_dev", "num_cars_sold"
     )
     defects = F.size(repair_terms(F.col("diagnosis"), F.col("components"))) > 0

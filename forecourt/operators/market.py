@@ -1,14 +1,15 @@
 """Price statistics of comparable sales, for one vehicle or a whole table of requests."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt import schemas as S
 from forecourt.functions.text import all_of, contains_ci
-from forecourt.plans.joins import BROADCAST_ROWS, contains_join, keyed_join, materialize
+from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join, fits_broadcast, keyed_join, materialize
 
 ACCURACY = 10_000
 MILE_BAND = 10_000
+PRICE_STEPS = 64  # per doubling of the price
 _ABSENT = "\u0000"
 _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want_odometer"]
 _FIGURES = ["average_price", "median_price", "price_std_dev", "num_cars_sold"]
@@ -124,6 +125,14 @@ def _rung() -> Column:
 
 
 _KIND = ["_pair", "_by_year", "_by_miles"]
+# A pair of names has at most 4 kinds of tests; a lookup lies in at most 7 years and 5 bands.
+_KINDS = 4
+_CELLS = (2 * S.WIDE_YEAR_WINDOW + 1) * (2 * S.ODOMETER_WINDOW // MILE_BAND + 1)
+
+
+def _fits(df: DataFrame, times: int, max_rows: int) -> bool:
+    """Whether ``df`` fits a broadcast even when every row is repeated ``times``."""
+    return fits_broadcast(df, max_rows // times, BROADCAST_BYTES // times)
 
 
 def _asked(lookups: DataFrame, window: Column, by_miles: Column) -> DataFrame:
@@ -163,34 +172,88 @@ def _cells(asked: DataFrame) -> DataFrame:
     )
 
 
-def _meet(sales: DataFrame, names: DataFrame, asked: DataFrame, max_rows: int) -> DataFrame:
+def _meet(sales: DataFrame, names: DataFrame, asked: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
     """Sales with the lookups they may count for, and the rung on which they do.
 
     A sale first meets the pairs of names found in it whose lookups cover its year and
-    miles, then by equality the lookups of these pairs in its cell.
+    miles, then by equality the lookups of these pairs in its cell. ``small`` tells what
+    is known to fit a broadcast: the names with their spans, and the cells.
     """
     within = (~F.col("_by_year") | F.col("year").between(F.col("_first_year"), F.col("_last_year"))) & (
         ~F.col("_by_miles") | F.col("odometer").between(F.col("_least_miles"), F.col("_most_miles"))
     )
     any_ = F.lit(0).cast("long")
     near = (
-        keyed_join(sales, names.join(_spans(asked), "_pair"), ["_maker", "_model"], max_rows=max_rows)
+        keyed_join(sales, names.join(_spans(asked), "_pair"), ["_maker", "_model"], max_rows=max_rows, small=small[0])
         .filter(within)
         .select(
             *_KIND,
             F.when(F.col("_by_year"), F.floor("year").cast("long")).otherwise(any_).alias("_year"),
             F.when(F.col("_by_miles"), _band(F.col("odometer"))).otherwise(any_).alias("_band"),
-            "_condition", "year", "odometer", "price",
+            "_condition", "year", "odometer", "price", "_step", "_over",
         )
     )
-    return keyed_join(near, _cells(asked), [*_KIND, "_year", "_band"], max_rows=max_rows).withColumn("_rung", _rung())
+    cells = _cells(asked.drop("_want_maker", "_want_model"))
+    met = keyed_join(near, cells, [*_KIND, "_year", "_band"], max_rows=max_rows, small=small[1])
+    return met.withColumn("_rung", _rung())
+
+
+def _price_step(price: Column) -> Column:
+    """Number of the price step, growing with the price; a step is about 1.1 percent wide.
+    NaN and infinity share the last one."""
+    price = price.cast("double")
+    return F.when(price < 1e300, F.floor(F.log2(price) * PRICE_STEPS).cast("int")).otherwise(1_000_000)
+
+
+def _step_price(step: Column) -> Column:
+    return F.pow(F.lit(2.0), step / F.lit(PRICE_STEPS))
+
+
+def _figures(met: DataFrame) -> DataFrame:
+    """Statistics per lookup from counts per price step, and where its median lies:
+    the step, and the median's rank among the sales in that step."""
+    over = F.col("_over")
+    steps = met.groupBy("_lookup", "_step").agg(
+        F.count("*").alias("_n"), F.sum(over).alias("_sum"), F.sum(over * over).alias("_squares")
+    )
+    lookup = Window.partitionBy("_lookup")
+    up_to = lookup.orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, total, mean = F.col("_n"), F.col("_total"), F.col("_mean")
+    steps = (
+        steps.withColumn("_mean", _step_price(F.col("_step")) + F.col("_sum") / n)
+        .withColumn("_within", F.greatest(F.col("_squares") - F.col("_sum") * F.col("_sum") / n, F.lit(0.0)))
+        .withColumn("_total", F.sum("_n").over(lookup))
+        .withColumn("_whole", F.sum(n * mean).over(lookup) / total)
+        .withColumn("_before", F.sum("_n").over(up_to) - n)
+        .withColumn("_rank", F.floor((total + 1) / F.lit(2)) - F.col("_before"))
+    )
+    at_median = F.when((F.col("_rank") >= 1) & (F.col("_rank") <= n), F.col("_step"))
+    squares = F.sum(F.col("_within") + n * F.pow(mean - F.col("_whole"), F.lit(2)))
+    count = F.max("_total")
+    return steps.groupBy("_lookup").agg(
+        F.max("_whole").alias("average_price"),
+        F.sqrt(squares / F.nullif(count - 1, F.lit(0))).alias("price_std_dev"),
+        count.alias("num_cars_sold"),
+        F.max(at_median).alias("_median_step"),
+        F.max(F.when(at_median.isNotNull(), F.col("_rank"))).alias("_median_rank"),
+    )
+
+
+def _medians(met: DataFrame) -> DataFrame:
+    """The price of rank ``_median_rank`` per lookup; ``met`` holds the sales of one price step."""
+    prices = met.groupBy("_lookup", "_median_rank", "price").agg(F.count("*").alias("_n"))
+    up_to = Window.partitionBy("_lookup").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.sum("_n").over(up_to) >= F.col("_median_rank")
+    return (
+        prices.withColumn("_reached", reached).filter("_reached")
+        .groupBy("_lookup").agg(F.min("price").cast("double").alias("median_price"))
+    )
 
 
 def market_estimate(
     requests: DataFrame,
     listings: DataFrame,
     request_id: str = "request_id",
-    accuracy: int = ACCURACY,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Price statistics of comparable sales for every request, relaxing filters where nothing matches.
@@ -199,15 +262,18 @@ def market_estimate(
     looked up once. A sale meets a lookup by equality: on the distinct names of maker and
     model, and on cells of year and miles, so that sales far off in either are not
     compared. One pass finds the lookups answered on the first two rungs, another the rung
-    of the others, and the last reads the prices on each lookup's rung. All passes combine
+    of the others; then sales are counted by price step on each lookup's rung, and the
+    prices of the one step that holds the median give the exact median. All passes combine
     their results before the shuffle, so no request gathers its sales in one task.
     Requests without any sale come back with nulls and count 0.
+
+    ``listings`` is read up to five times, six columns of it: pass a stored table, or
+    ``materialize`` what a costly plan gives.
     """
     wanted = _wanted(requests, request_id)
     # The smallest request names a lookup: a short key that is the same in every run.
     lookups = wanted.groupBy(*_WANTED).agg(F.min(request_id).alias("_lookup"))
-    pairs = lookups.groupBy("_want_maker", "_want_model").agg(F.min("_lookup").alias("_pair"))
-    pairs = materialize(pairs)
+    pairs = materialize(lookups.groupBy("_want_maker", "_want_model").agg(F.min("_lookup").alias("_pair")))
     name = lambda c: F.lower(F.coalesce(F.col(c), F.lit(_ABSENT)))
     sales = _typed(listings).filter(F.col("price") > 0).select(
         name("manufacturer").alias("_maker"),
@@ -216,13 +282,20 @@ def market_estimate(
         "year",
         "odometer",
         "price",
+        _price_step(F.col("price")).alias("_step"),
     )
+    sales = sales.withColumn("_over", F.col("price").cast("double") - _step_price(F.col("_step")))
     names = materialize(_models_wanted(pairs, sales))
     known = pairs.join(names.select("_pair").distinct(), "_pair", "left_semi")
     lookups = materialize(lookups.join(known, ["_want_maker", "_want_model"]))
 
+    small = (_fits(names, _KINDS, max_rows), _fits(lookups, _CELLS, max_rows))
+
+    def meet(asked: DataFrame) -> DataFrame:
+        return _meet(sales, names, asked, max_rows, small)
+
     def first_rung(asked: DataFrame, last: int) -> DataFrame:
-        met = _meet(sales, names, asked, max_rows).filter(F.col("_rung") <= last)
+        met = meet(asked).filter(F.col("_rung") <= last)
         return materialize(met.groupBy("_lookup").agg(F.min("_rung").alias("relax_tier")))
 
     rungs = first_rung(_asked(lookups, F.lit(S.YEAR_WINDOW), F.lit(True)), 1)
@@ -232,14 +305,14 @@ def market_estimate(
         # The names are on sale, but not within the miles: the last rung tests names only.
         tier = F.coalesce("relax_tier", F.lit(4)).alias("relax_tier")
         rungs = rungs.unionByName(waiting.join(relaxed, "_lookup", "left").select("_lookup", tier))
-    rungs = materialize(lookups.join(rungs, "_lookup"))
     tier = F.col("relax_tier")
     window = F.when(tier <= 1, S.YEAR_WINDOW).when(tier == 2, S.WIDE_YEAR_WINDOW)
-    figures = (
-        _meet(sales, names, _asked(rungs, window, tier <= 3), max_rows)
-        .filter(F.col("_rung") == tier)
-        .groupBy("_lookup").agg(*_price_statistics(F.col("price"), accuracy))
+    rungs = materialize(_asked(lookups.join(rungs, "_lookup"), window, tier <= 3))
+    figures = materialize(_figures(meet(rungs).filter(F.col("_rung") == tier)))
+    ranked = materialize(rungs.join(figures, "_lookup"))
+    in_step = meet(ranked).filter(
+        (F.col("_step") == F.col("_median_step")) & (F.col("_rung") == tier)
     )
-    best = materialize(rungs.join(figures, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
+    best = materialize(ranked.join(_medians(in_step), "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
     answered = keyed_join(wanted, best, _WANTED, "left", max_rows=max_rows).select(request_id, "relax_tier", *_FIGURES)
     return _with_signal(answered.withColumn("num_cars_sold", F.coalesce("num_cars_sold", F.lit(0).cast("long"))))

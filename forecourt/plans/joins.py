@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.text import any_of
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 128 << 20
+BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 256 << 20
 ROWS_PER_TASK = 4_000_000
 GRAM = 3
 
@@ -53,6 +53,7 @@ def keyed_join(
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
+    small: bool = False,
 ) -> DataFrame:
     """Equi-join a large ``fact`` with ``dim`` without sending a hot key to one task.
 
@@ -61,9 +62,9 @@ def keyed_join(
     result rows is cut into that many parts: ``fact`` rows take one salt each and meet
     ``dim`` rows repeated per salt; where ``fact`` has too few rows for that, ``dim`` is
     cut too. Pass ``dim`` materialized if it is costly to compute. ``how`` is ``inner``
-    or ``left``.
+    or ``left``; ``small`` says that the caller has already shown that ``dim`` fits.
     """
-    if fits_broadcast(dim, max_rows, max_bytes):
+    if small or fits_broadcast(dim, max_rows, max_bytes):
         return fact.join(F.broadcast(dim), keys, how)
     per_key = fact.groupBy(*keys).agg(F.count("*").alias("_facts")).join(
         dim.groupBy(*keys).agg(F.count("*").alias("_dims")), keys, how

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.operators import adhoc, advise as advice, market, repair
+from forecourt.plans.joins import materialize
 from forecourt.workload.registry import query
 from forecourt.workload.views import (
     LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, requests, table,
@@ -25,6 +26,13 @@ _STATS_SQL = f"""{_round_sql('avg(price)', 'average_price')}, quantile_disc(pric
   {_round_sql('stddev_samp(price)', 'price_std_dev')}, count(*) AS num_cars_sold"""
 
 
+def _sold(spark, sf_dir) -> DataFrame:
+    """The columns of the listings that the lookup reads several times, joined once."""
+    return materialize(
+        listings(spark, sf_dir).select("manufacturer", "model", "condition", "year", "odometer", "price")
+    )
+
+
 # --- market ------------------------------------------------------------------
 
 @query(f"""WITH {LISTINGS_SQL}
@@ -90,7 +98,7 @@ SELECT request_id, tier AS relax_tier, {_round_sql('mean', 'average_price')}, me
   {_round_sql('deviation', 'price_std_dev')}, coalesce(n, 0) AS num_cars_sold, coalesce(n, 0) > 0 AS found
 FROM requests LEFT JOIN figures USING (request_id)""")
 def market_estimate(spark, sf_dir):
-    found = market.market_estimate(requests(spark, sf_dir), listings(spark, sf_dir))
+    found = market.market_estimate(requests(spark, sf_dir), _sold(spark, sf_dir))
     return _rounded(found, "average_price", "price_std_dev").drop("hint")
 
 
@@ -199,7 +207,7 @@ SELECT request_id, ready, missing, {_round_sql('base_value', 'base_value')}, num
     WHEN repair_cost < 300 THEN 'fix_first' ELSE 'as_is' END AS strategy
 FROM priced""")
 def advise(spark, sf_dir):
-    told = advice.advise(requests(spark, sf_dir), listings(spark, sf_dir), price_list(spark, sf_dir))
+    told = advice.advise(requests(spark, sf_dir), _sold(spark, sf_dir), price_list(spark, sf_dir))
     told = told.withColumn("missing", F.concat_ws(" ", "missing"))
     for c in ("price_low", "price_high"):
         told = told.withColumn(c, F.when(F.col("base_value").isNotNull(), F.col(c)))

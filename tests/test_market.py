@@ -1,7 +1,9 @@
+import math
 import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from forecourt.operators.market import comparables, market_estimate, market_stats
 
@@ -145,3 +147,11 @@ def test_hot_name_without_broadcast(spark):
     one, other = market_estimate(wanted, cars, max_rows=0), market_estimate(wanted, cars)
     assert sorted(one.collect()) == sorted(other.collect())
     assert one.agg({"num_cars_sold": "sum"}).first()[0] == 40 * 2000
+
+
+def test_price_that_is_no_number(spark, cars):
+    odd = cars.selectExpr("*").withColumn("price", F.when(F.col("id") == 1, float("nan")).otherwise(F.col("price")))
+    wanted = spark.createDataFrame([(7, "toyota", "camry", 2020, "good", 50000)], REQUEST)
+    found = market_estimate(wanted, odd).first()
+    assert math.isnan(found["average_price"]) and (found["median_price"], found["num_cars_sold"]) == (23000.0, 3)
+    assert math.isnan(market_stats(comparables(odd, "toyota", "camry", 2020, "good", 50000)).first()["average_price"])
