@@ -69,9 +69,10 @@ def market_stats(df: DataFrame, by: tuple[str, ...] = (), accuracy: int = ACCURA
 
 
 def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
-    """Request fields with "" and 0 for "not given", texts in lower case."""
-    text = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    """Request fields with "" and 0 for "not given", texts in lower case; a missing column is not given."""
+    given = lambda c: F.col(c) if c in requests.columns else F.lit(None)
+    text = lambda c: F.lower(F.coalesce(given(c).cast("string"), F.lit("")))
+    number = lambda c: F.coalesce(given(c).cast("int"), F.lit(0))
     return requests.select(
         request_id,
         text("manufacturer").alias("_want_maker"),

@@ -155,3 +155,10 @@ def test_price_that_is_no_number(spark, cars):
     found = market_estimate(wanted, odd).first()
     assert math.isnan(found["average_price"]) and (found["median_price"], found["num_cars_sold"]) == (23000.0, 3)
     assert math.isnan(market_stats(comparables(odd, "toyota", "camry", 2020, "good", 50000)).first()["average_price"])
+
+
+def test_missing_fields_and_no_requests(spark, cars):
+    only_maker = spark.createDataFrame([(1, "ford")], "request_id int, manufacturer string")
+    assert market_estimate(only_maker, cars).first()["num_cars_sold"] == 2
+    assert market_estimate(only_maker.limit(0), cars).collect() == []
+    assert market_estimate(only_maker, cars.limit(0)).first()["found"] is False
