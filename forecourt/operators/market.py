@@ -132,8 +132,8 @@ _CELLS = (2 * S.WIDE_YEAR_WINDOW + 1) * (2 * S.ODOMETER_WINDOW // MILE_BAND + 1)
 
 
 def _fits(df: DataFrame, times: int, max_rows: int) -> bool:
-    """Whether ``df`` fits a broadcast even when every row is repeated ``times``."""
-    return fits_broadcast(df, max_rows // times, BROADCAST_BYTES // times)
+    """Whether ``df`` fits a broadcast even when every row is repeated ``times`` and a pass doubles its width."""
+    return fits_broadcast(df, max_rows // times, BROADCAST_BYTES // (2 * times))
 
 
 def _asked(lookups: DataFrame, window: Column, by_miles: Column) -> DataFrame:
@@ -310,7 +310,7 @@ def market_estimate(
     window = F.when(tier <= 1, S.YEAR_WINDOW).when(tier == 2, S.WIDE_YEAR_WINDOW)
     rungs = materialize(_asked(lookups.join(rungs, "_lookup"), window, tier <= 3))
     figures = materialize(_figures(meet(rungs).filter(F.col("_rung") == tier)))
-    ranked = materialize(rungs.join(figures, "_lookup"))
+    ranked = rungs.join(figures, "_lookup")
     in_step = meet(ranked).filter(
         (F.col("_step") == F.col("_median_step")) & (F.col("_rung") == tier)
     )

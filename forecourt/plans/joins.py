@@ -14,6 +14,7 @@ from forecourt.functions.text import any_of
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
 ROWS_PER_TASK = 4_000_000
+PARTS_PER_KEY = 4_096
 GRAM = 3
 
 
@@ -59,22 +60,25 @@ def keyed_join(
 
     A ``dim`` counted to be small is broadcast, so ``fact`` is not shuffled. A larger one
     is joined by shuffle, and every key that would give more than ``rows_per_task``
-    result rows is cut into that many parts: ``fact`` rows take one salt each and meet
-    ``dim`` rows repeated per salt; where ``fact`` has too few rows for that, ``dim`` is
-    cut too. Pass ``dim`` materialized if it is costly to compute. ``how`` is ``inner``
-    or ``left``; ``small`` says that the caller has already shown that ``dim`` fits.
+    result rows is cut into parts of that size (at most ``PARTS_PER_KEY``, larger ones
+    beyond): the rows of one side take one salt each and meet the rows of the other
+    repeated per salt, on both sides where both are large. Pass ``dim`` materialized if it
+    is costly to compute. ``how`` is ``inner`` or ``left``; ``small`` says that the caller
+    has already shown that ``dim`` fits.
     """
     if small or fits_broadcast(dim, max_rows, max_bytes):
         return fact.join(F.broadcast(dim), keys, how)
     per_key = fact.groupBy(*keys).agg(F.count("*").alias("_facts")).join(
         dim.groupBy(*keys).agg(F.count("*").alias("_dims")), keys, how
     )
-    parts = F.ceil(F.col("_facts") * F.coalesce("_dims", F.lit(1)) / F.lit(rows_per_task))
+    facts, dims = F.col("_facts").cast("double"), F.coalesce("_dims", F.lit(1)).cast("double")
+    parts = F.least(F.ceil(facts * dims / rows_per_task), F.lit(PARTS_PER_KEY).cast("long"))
+    # The share of cuts on each side that repeats the fewest rows; a left join cannot cut dim.
+    cut = F.round(F.sqrt(F.col("_parts") * facts / dims)).cast("long") if how == "inner" else F.col("_parts")
     hot = materialize(
-        per_key.withColumn("_parts", parts.cast("long")).filter(F.col("_parts") > 1)
-        .withColumn("_cut", F.least("_facts", "_parts"))
-        # A left join must see all dim rows of a key in one place.
-        .withColumn("_dim_cut", F.ceil(F.col("_parts") / F.col("_cut")) if how == "inner" else F.lit(1).cast("long"))
+        per_key.withColumn("_parts", parts).filter(F.col("_parts") > 1)
+        .withColumn("_cut", F.greatest(F.least(cut, F.col("_parts")), F.lit(1).cast("long")))
+        .withColumn("_dim_cut", F.ceil(F.col("_parts") / F.col("_cut")))
         .select(*keys, "_cut", "_dim_cut")
     )
     if fits_broadcast(hot, max_rows, max_bytes):

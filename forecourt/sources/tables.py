@@ -1,7 +1,6 @@
 """Catalog tables."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_schema(spark: SparkSession, name: str) -> None:

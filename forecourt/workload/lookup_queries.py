@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 from forecourt.operators import adhoc, advise as advice, market, repair
 from forecourt.plans.joins import materialize
 from forecourt.workload.registry import query
-from forecourt.workload.views import (
-    LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, requests, table,
-)
+from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, requests
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -147,14 +145,28 @@ def match_repairs(spark, sf_dir):
     return repair.match_repairs(requests(spark, sf_dir), price_list(spark, sf_dir))
 
 
-@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL},
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}
+SELECT request_id, 0 AS relax_tier, component, diagnostic, reparation_cost, count(*) AS copies
+FROM requests JOIN price_list ON model IS NULL OR contains(lower(component), lower(trim(model)))
+  OR contains(lower(diagnostic), lower(trim(model))) GROUP BY ALL""")
+def match_repairs_of_one_component(spark, sf_dir):
+    asked = requests(spark, sf_dir).select(
+        "request_id", F.lit("").alias("diagnosis"), F.concat(F.lit(" "), F.upper("model")).alias("components")
+    )
+    return repair.match_repairs(asked, price_list(spark, sf_dir))
+
+
+_RANKED_SQL = """
 best AS (SELECT request_id, min(tier) AS tier FROM hits GROUP BY request_id),
 ranked AS (
   SELECT request_id, tier, component, diagnostic, reparation_cost,
     row_number() OVER (PARTITION BY request_id
       ORDER BY component NULLS FIRST, diagnostic NULLS FIRST, reparation_cost NULLS FIRST) AS nth
   FROM hits JOIN best USING (request_id, tier) JOIN numbered USING (rid)
-),
+)"""
+
+
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_RANKED_SQL},
 figures AS (
   SELECT request_id, tier, CAST(sum(coalesce(reparation_cost, 0)) AS DOUBLE) AS total, count(*) AS n,
     string_agg(component || ' | ' || diagnostic || ' | ' || coalesce(CAST(reparation_cost AS VARCHAR), ''), '; ' ORDER BY nth)
@@ -171,6 +183,18 @@ def repair_estimate(spark, sf_dir):
     return found.withColumn("identified_repairs", F.array_join(F.transform("identified_repairs", line), "; "))
 
 
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_RANKED_SQL},
+figures AS (
+  SELECT request_id, tier, CAST(sum(coalesce(reparation_cost, 0)) AS DOUBLE) AS total, count(*) AS n
+  FROM ranked WHERE nth <= 50 GROUP BY ALL
+)
+SELECT request_id, tier AS relax_tier, total AS total_estimated_cost, coalesce(n, 0) AS num_repairs
+FROM requests LEFT JOIN figures USING (request_id)""")
+def repair_estimate_capped(spark, sf_dir):
+    found = repair.repair_estimate(requests(spark, sf_dir), price_list(spark, sf_dir), cap_total=True)
+    return found.drop("identified_repairs")
+
+
 # --- advice ------------------------------------------------------------------
 
 _MISSING = ("manufacturer", "model", "year", "odometer", "condition")

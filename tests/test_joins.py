@@ -79,3 +79,11 @@ def test_materialize_cuts_lineage(spark):
     assert spark.sparkContext.getCheckpointDir() is not None
     assert stored.agg(F.sum("x")).first()[0] == 90
     assert "Range" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_key_that_is_hot_on_both_sides(spark):
+    fact = spark.range(300).selectExpr("'hot' AS k", "id AS f").repartition(4)
+    dim = spark.range(200).selectExpr("IF(id < 150, 'hot', 'cold') AS k", "id AS d").repartition(3)
+    joined = keyed_join(fact, dim, ["k"], max_rows=0, rows_per_task=500)
+    assert joined.count() == 300 * 150
+    assert joined.distinct().count() == 300 * 150
