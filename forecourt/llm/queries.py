@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import mixing, sharding
+from forecourt.llm import mixing, near_dups, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query()
+def op1_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query(mixing.ORACLE_SQL)
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
