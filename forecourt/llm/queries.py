@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import mixing, near_dups, sharding
+from forecourt.llm import mixing, near_dups, sharding, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,16 @@ def op1_near_duplicates(spark, sf_dir):
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op2_filter_urls(spark, sf_dir):
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query(vector_search.ORACLE_SQL)
+def op3_nearest_vectors(spark, sf_dir):
+    return vector_search.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query(mixing.ORACLE_SQL)
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
