@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import mixing, near_dups, sharding, url_filter, vector_search
+from forecourt.llm import mixing, near_dups, sharding, toxicity, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op4_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op8_score_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query()
 def op9_byte_shards(spark, sf_dir):
     return sharding.byte_shards(_table(spark, sf_dir, "documents"))

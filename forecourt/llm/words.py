@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 
 _RANDOM = np.random.default_rng(20)
-_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Separates runs of ASCII letters and bytes of other letters.
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
 _BYTE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)[_FOLDED]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -45,9 +47,12 @@ def portions(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, firsts): byte spans of the words of all texts, and where each text's words begin."""
-    inside = ~_BLANK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, firsts): byte spans of the words of all texts, and where each text's words begin.
+
+    ``blank`` tells of each byte whether it separates words.
+    """
+    inside = ~blank[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     closes = inside.copy()
@@ -60,13 +65,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, firsts): A-Z count as a-z; words of text i are ``hashes[firsts[i]:firsts[i + 1]]``."""
-    starts, ends, firsts = word_spans(data, offsets)
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK, heads: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """(hashes, firsts): A-Z count as a-z; words of text i are ``hashes[firsts[i]:firsts[i + 1]]``.
+
+    For each of ``heads``, hashes of the words' first so many bytes follow.
+    """
+    starts, ends, firsts = word_spans(data, offsets, blank)
     if not len(starts):
-        return np.zeros(0, np.uint64), firsts
+        return (np.zeros(0, np.uint64), firsts, *[np.zeros(0, np.uint64) for _ in heads])
     lengths = ends - starts
     at = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    terms = _BYTE[data[~_BLANK[data]]] * _powers(int(lengths.max()))[place]
-    return mixed(np.add.reduceat(terms, at) + lengths.astype(np.uint64)), firsts
+    terms = _BYTE[data[~blank[data]]] * _powers(int(lengths.max()))[place]
+    summed = lambda t, n: mixed(np.add.reduceat(t, at) + n.astype(np.uint64))
+    return (summed(terms, lengths), firsts, *[summed(np.where(place < h, terms, 0), np.minimum(lengths, h) + (h << 32)) for h in heads])
