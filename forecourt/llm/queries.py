@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import mixing, near_dups, quality, sharding, toxicity, url_filter, vector_search
+from forecourt.llm import decontaminate, mixing, near_dups, quality, sharding, toxicity, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op8_score_toxicity(spark, sf_dir):
 @_query()
 def op9_byte_shards(spark, sf_dir):
     return sharding.byte_shards(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op10_find_leaks(spark, sf_dir):
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
