@@ -17,9 +17,8 @@ STRIDE = WINDOW // 2
 BITS = 17
 #: Directions of the latent space.
 RANK = 64
-#: A passage is projected if the benchmark's terms hold this share of its squared length, which
-#: bounds its cosine with any item; and a candidate for items of at least this latent cosine.
-SHARE, COSINE = 0.06, 0.4
+#: A passage is a candidate for the items of at least this latent cosine.
+COSINE = 0.55
 #: A candidate is a leak if the common subsequence of words has this share of the item's words, or
 #: the lower share while the item's answer, its last sentence of at least so many words, follows word by word.
 SUBSEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
@@ -87,53 +86,64 @@ class Benchmark:
 
 
 class Passages:
-    """Windows of some texts in which the benchmark's terms weigh enough, as sparse TF-IDF rows.
+    """The words of some texts that items have, in runs of STRIDE words; two neighbouring runs are a passage.
 
-    A term weighs the root of its count times its idf, so a row's squared length is the sum of its words' squared idf.
+    A passage is a TF-IDF row: each of these words adds its idf to its term.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, bench: Benchmark):
         self.words, self.firsts = word_hashes(data, offsets, NO_LETTER)
-        weight = idf[self.words >> np.uint64(64 - BITS)].astype(np.float64) ** 2
         term = bench.index(self.words)
-        upto = np.concatenate([[0.0], np.cumsum(weight)])
-        upto_known = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, weight, 0.0))])
         counts = np.diff(self.firsts)
-        n = np.where(counts > 0, np.maximum(-(-(counts - WINDOW) // STRIDE), 0) + 1, 0)
-        text = np.repeat(np.arange(len(counts)), n)
-        start = self.firsts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
-        end = np.minimum(start + WINDOW, self.firsts[text + 1])
-        length, known = upto[end] - upto[start], upto_known[end] - upto_known[start]
-        chosen = (known > 0) & (known >= SHARE * length)
-        self.text, self.start, self.end = text[chosen], start[chosen], end[chosen]
-        self.length = np.sqrt(length[chosen])
-        spans = self.end - self.start
-        row = np.repeat(np.arange(len(spans)), spans)
-        at = np.arange(len(row)) + np.repeat(self.start - (np.cumsum(spans) - spans), spans)
-        inside = term[at] >= 0
-        keys, count = np.unique(row[inside] * len(bench.terms) + term[at[inside]], return_counts=True)
-        self.row, self.term = (keys // len(bench.terms), keys % len(bench.terms)) if len(keys) else (keys, keys)
-        self.value = np.sqrt(count) * idf[bench.terms[self.term] >> np.uint64(64 - BITS)] / self.length[self.row]
-
-    def projected(self, basis: np.ndarray) -> np.ndarray:
-        """Rows times ``basis``, a row for each term."""
-        out = np.zeros((len(self.start), basis.shape[1]))
-        at = np.searchsorted(self.row, np.arange(len(self.start) + 1))
-        for i in range(0, len(self.start), 4096):  # every row has a term
-            lo, hi = at[i], at[min(i + 4096, len(self.start))]
-            part = basis[self.term[lo:hi]] * self.value[lo:hi, None]
-            out[i : i + 4096] = np.add.reduceat(part, at[i : min(i + 4096, len(self.start))] - lo, axis=0)
+        runs = -(-counts // STRIDE)
+        self.text = np.repeat(np.arange(len(counts)), runs)
+        first = np.cumsum(runs) - runs
+        self.start = self.firsts[self.text] + (np.arange(len(self.text)) - first[self.text]) * STRIDE
+        self.lone = np.zeros(len(self.text), dtype=bool)  # ends its text, so that no passage begins there
+        self.lone[np.cumsum(runs)[runs > 1] - 1] = True
+        at = np.flatnonzero(term >= 0)
+        self.term, self.weight = term[at], idf[self.words[at] >> np.uint64(64 - BITS)]
+        self.bounds = np.searchsorted(at, np.append(self.start, len(self.words)))
+        # For the fit, runs are paired so that no word counts twice.
+        pair = first[self.text] + (np.arange(len(self.text)) - first[self.text]) // 2 * 2
+        self.pair = np.repeat(pair, np.diff(self.bounds))
+        length = np.add.reduceat(idf[self.words >> np.uint64(64 - BITS)] ** 2, self.start) if len(self.start) else np.zeros(0)
+        self.length = np.sqrt(np.bincount(pair, length, len(pair)))
+
+    def _runs_of(self, basis: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sum over the words of each run of their rows of ``basis``."""
+        out = np.zeros((len(self.text), basis.shape[1]), dtype=np.float32)
+        for i in range(0, len(out), 2048):
+            bounds = self.bounds[i : i + 2049]
+            lo, hi = bounds[0], bounds[-1]
+            full = np.flatnonzero(np.diff(bounds))
+            if len(full):
+                part = basis[self.term[lo:hi]] * weight[lo:hi, None]
+                out[i + full] = np.add.reduceat(part, bounds[full] - lo, axis=0)
         return out
 
+    def latent(self, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, runs): passages in the directions of ``basis``, of length one, and the run each begins with."""
+        each = self._runs_of(basis, self.weight)
+        if len(each):
+            ends = np.append(self.text[1:] != self.text[:-1], True)
+            each[~ends] += each[1:][~ends[:-1]]
+        length = np.linalg.norm(each, axis=1)
+        runs = np.flatnonzero(~self.lone & (length > 0))
+        return each[runs] / length[runs, None], runs
+
     def gram_times(self, basis: np.ndarray) -> np.ndarray:
-        """Rows' transpose times rows times ``basis``."""
-        near = self.projected(basis)
+        """Transpose of the rows, of length one, times the rows times ``basis``."""
+        weight = (self.weight / np.maximum(self.length[self.pair], 1e-9)).astype(np.float32)
+        each = self._runs_of(basis, weight)
+        odd = np.flatnonzero((np.arange(len(self.text)) - np.searchsorted(self.text, self.text)) % 2)
+        each[odd - 1] += each[odd]
         out = np.zeros(basis.shape)
         order = np.argsort(self.term, kind="stable")
         for i in range(0, len(order), 1 << 17):
             some = order[i : i + (1 << 17)]
             first = np.flatnonzero(np.diff(self.term[some], prepend=-1))
-            out[self.term[some[first]]] += np.add.reduceat(near[self.row[some]] * self.value[some, None], first, axis=0)
+            out[self.term[some[first]]] += np.add.reduceat(each[self.pair[some]] * weight[some, None], first, axis=0)
         return out
 
 
@@ -153,12 +163,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_weights(docs: DataFrame) -> np.ndarray:
     """The idf of each hashed term over the passages of all documents, an occurrence counting as a passage."""
-    table = docs.select("text").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select(F.lower("text").alias("text")).mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = table.column("term").to_numpy(), table.column("n").to_numpy()  # at most 2 ** BITS + 1
     total = int(n[term == -1].sum())
     counts = np.zeros(2**BITS)
     counts[term[term >= 0]] = n[term >= 0]
-    return np.log((total + 1) / (np.minimum(counts, total) + 1)) + 0.1
+    return (np.log((total + 1) / (np.minimum(counts, total) + 1)) + 0.1).astype(np.float32)
 
 
 def _sketch(shared):
@@ -168,9 +178,8 @@ def _sketch(shared):
         for batch in batches:
             for _, _, data, offsets in portions(batch.column("text")):
                 passages = Passages(data, offsets, idf, bench)
-                if len(passages.start):
-                    sums += passages.gram_times(random)
-                    energy += float((passages.value**2).sum())
+                sums += passages.gram_times(random)
+                energy += int((passages.length > 0).sum())
         some = np.flatnonzero(sums.any(axis=1))
         rows = np.concatenate([sums[some], np.full((1, RANK), energy)])
         yield pa.RecordBatch.from_arrays(
@@ -189,10 +198,10 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np
     own rows count as much as all passages together.
     """
     spark = docs.sparkSession
-    random = np.random.default_rng(11).normal(size=(len(bench.terms), RANK))
+    random = np.random.default_rng(11).normal(size=(len(bench.terms), RANK)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, bench, random))
     columns = [f"c{i}" for i in range(RANK)]
-    summed = docs.select("text").mapInArrow(_sketch(shared), "term long, " + ", ".join(f"{c} double" for c in columns))
+    summed = docs.select(F.lower("text").alias("text")).mapInArrow(_sketch(shared), "term long, " + ", ".join(f"{c} double" for c in columns))
     table = summed.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row per term of the items
     term = table.column("term").to_numpy()
     values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
@@ -201,7 +210,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np
     rows = np.zeros((len(bench.words), len(bench.terms)))
     for i, words in enumerate(bench.words):
         terms, count = np.unique(bench.index(words), return_counts=True)
-        rows[i, terms] = np.sqrt(count) * idf[bench.terms[terms] >> np.uint64(64 - BITS)]
+        rows[i, terms] = count * idf[bench.terms[terms] >> np.uint64(64 - BITS)]
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     energy = values[term == -1][:, 0].sum()
     sketch += rows.T @ (rows @ random) * (max(energy, 1.0) / len(rows))
@@ -210,7 +219,8 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np
     good = value > value.max() * 1e-10
     basis = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0]
     items = rows @ basis
-    return basis, items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
+    items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
+    return basis.astype(np.float32), items.astype(np.float32)
 
 
 def _hits(shared):
@@ -222,21 +232,19 @@ def _hits(shared):
         for first, end, data, offsets in portions(texts):
             best: list[dict] = [{} for _ in range(end - first)]
             p = Passages(data, offsets, idf, bench)
-            if len(p.start):
-                latent = p.projected(basis)
-                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                for i in range(0, len(latent), 4096):
-                    cosine = latent[i : i + 4096] @ items.T
-                    for a, b in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        k = i + a
-                        text = int(p.text[k])
-                        around = slice(max(p.start[k] - STRIDE, p.firsts[text]), min(p.end[k] + STRIDE, p.firsts[text + 1]))
-                        words = p.words[around].tolist()
-                        share = bench.common(b, words)
-                        answered = share >= WITH_ANSWER and bench.answered(b, words)
-                        if share >= SUBSEQUENCE or answered:
-                            found = (share, float(cosine[a, b]), bool(answered))
-                            best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], found), found)
+            latent, runs = p.latent(basis)
+            for i in range(0, len(latent), 4096):
+                cosine = latent[i : i + 4096] @ items.T
+                for a, b in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    run = runs[i + a]
+                    text = int(p.text[run])
+                    start, end = p.start[run] - STRIDE, p.start[run] + WINDOW + STRIDE
+                    words = p.words[max(start, p.firsts[text]) : min(end, p.firsts[text + 1])].tolist()
+                    share = bench.common(b, words)
+                    answered = share >= WITH_ANSWER and bench.answered(b, words)
+                    if share >= SUBSEQUENCE or answered:
+                        found = (share, float(cosine[a, b]), bool(answered))
+                        best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], found), found)
             out += [[{"item_id": k, "share": s, "cosine": c, "answered": x} for k, (s, c, x) in sorted(hits.items())] for hits in best]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answered", pa.bool_())]))
         return pa.array(out, kind)
@@ -252,7 +260,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
     None for a benchmark without words.
     """
     spark = docs.sparkSession
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.lower("text").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     blocks = -(-items.count() // BLOCK_ITEMS)
     if not blocks:
         return None
@@ -264,7 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
         if not numbered.words:
             continue
         basis, directions = latent_basis(docs, idf, numbered)
-        hits = _hits(spark.sparkContext.broadcast((idf, numbered, basis, directions)))("text")
+        hits = _hits(spark.sparkContext.broadcast((idf, numbered, basis, directions)))(F.lower("text"))
         found.append(hits)
     return F.concat(*found) if found else None
 
@@ -273,7 +281,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, cosine, answered of every benchmark item that a document holds.
 
     Words are runs of letters of the whole text, lower-cased. A null or empty text, or one without letters,
-    holds nothing; so does an item like that. Items of equal text are one, under their smallest id; items
+    holds nothing; so does an item like that. Items of equal text but for case are one, under their smallest id; items
     of more than a window of words leak by any of their passages. Null and repeated doc_ids are
     reported row by row; an empty table, or an empty benchmark, gives no rows.
     """

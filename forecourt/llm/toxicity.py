@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_fold(F.col("doc_id")) != 0))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     labelled = lambda rows: texts.join(rows, "doc_id").select("toxic", "text")
     n, bad = known.join(texts.select("doc_id"), "doc_id").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     used = np.zeros(2**BITS, dtype=bool)
@@ -187,7 +187,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     near 0 or 1 throughout, and near 0 without labels. An empty table gives no rows.
     """
     machine = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(machine), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_scored(machine), "doc_id long, score double")
     return scored.select(
         "doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),

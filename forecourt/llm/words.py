@@ -10,7 +10,10 @@ BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Separates runs of ASCII letters and bytes of other letters.
 NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
-_BYTE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)[_FOLDED]
+#: A random number for each of a word's first so many places and each byte there; later places
+#: take them again, times a power of an odd number.
+_PLACES = 64
+_BYTE = _RANDOM.integers(1, 2**64, (_PLACES, 256), dtype=np.uint64)[:, _FOLDED].ravel()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in portions of about so many bytes.
 PORTION = 4 << 20
@@ -75,9 +78,13 @@ def word_hashes(
     starts, ends, firsts = word_spans(data, offsets, blank)
     if not len(starts):
         return (np.zeros(0, np.uint64), firsts, *[np.zeros(0, np.uint64) for _ in heads])
-    lengths = ends - starts
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    terms = _BYTE[data[~blank[data]]] * _powers(int(lengths.max()))[place]
+    lengths = (ends - starts).astype(np.int32)
+    at = np.cumsum(lengths, dtype=np.int32) - lengths
+    place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(at, lengths)
+    bytes_ = data[~blank[data]]
+    longest = int(lengths.max())
+    terms = _BYTE[(place % _PLACES if longest > _PLACES else place) * 256 + bytes_]
+    if longest > _PLACES:
+        terms *= _powers(longest // _PLACES + 1)[place // _PLACES]
     summed = lambda t, n: mixed(np.add.reduceat(t, at) + n.astype(np.uint64))
-    return (summed(terms, lengths), firsts, *[summed(np.where(place < h, terms, 0), np.minimum(lengths, h) + (h << 32)) for h in heads])
+    return (summed(terms, lengths), firsts, *[summed(np.where(place < h, terms, 0), np.minimum(lengths, h).astype(np.int64) + (h << 32)) for h in heads])
