@@ -133,18 +133,21 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs of different components of one block or two that may be links by their sketches."""
     out = []
     left, right = rows[rows["own"] == rows["low"]], rows[rows["own"] == rows["high"]]
-    if len(left) and len(right):
+    if rows["label"].nunique() > 1 and len(left) and len(right):
         a, b = (np.frombuffer(b"".join(side["sketch"]), dtype=np.uint16).reshape(-1, REGISTERS) for side in (left, right))
-        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        for i in range(len(left)):
-            near = (100 * np.minimum(na[i], nb) >= PERCENT * np.maximum(na[i], nb)) & (right["label"].to_numpy() != left["label"].iat[i])
-            near &= (right["node"].to_numpy() != left["node"].iat[i])
-            j = np.flatnonzero(near)
-            if len(j):
-                likely = joint_similarity(np.broadcast_to(a[i], (len(j), REGISTERS)), b[j], np.full(len(j), float(na[i])), nb[j].astype(float))
-                j = j[likely >= PERCENT / 100 - SLACK]
-                out += [(left["node"].iat[i], right["node"].iat[k], na[i], nb[k]) for k in j]
-    return pd.DataFrame(out, columns=["a", "b", "n_a", "n_b"], dtype="int64")
+        (na, la, ia), (nb, lb, ib) = ([side[c].to_numpy() for c in ("n", "label", "node")] for side in (left, right))
+        for i in range(0, len(left), 32):
+            some = slice(i, i + 32)
+            fits = 100 * np.minimum.outer(na[some], nb) >= PERCENT * np.maximum.outer(na[some], nb)
+            fits &= (la[some, None] != lb) & ((a[some, None, :] == b).sum(axis=2) >= (PERCENT / 100 - 1.25 * SLACK) * REGISTERS)
+            x, y = np.nonzero(fits)
+            if len(x):
+                x += i
+                likely = joint_similarity(a[x], b[y], na[x].astype(float), nb[y].astype(float)) >= PERCENT / 100 - SLACK
+                x, y = x[likely], y[likely]
+                out.append(pd.DataFrame({"a": np.minimum(ia[x], ib[y]), "b": np.maximum(ia[x], ib[y]),
+                                         "n_a": np.where(ia[x] < ib[y], na[x], nb[y]), "n_b": np.where(ia[x] < ib[y], nb[y], na[x])}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n_a": [], "n_b": []}, dtype="int64")
 
 
 _PAIR = "a long, b long, n_a long, n_b long"
@@ -188,11 +191,12 @@ class _Links:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of 0.75 or more.
 
-    Equal sets are one node. Bands of a node's sketch put it into buckets. Every member of a
-    bucket is compared with the bucket's smallest node; links join nodes to components. Buckets that
-    still hold several components are compared in blocks, members of different components only. So a
-    group of thousands of copies costs a pair for each copy. Candidates of fitting sizes are judged by
-    the joint likelihood of their sketches and confirmed by the intersection of their whole sets.
+    Equal sets are one node. Bands of a node's sketch put it into buckets. Every member of a bucket is
+    compared with the bucket's hub, and where several components are left, with three more hubs; links join nodes to
+    components. Buckets that still hold several components are compared in blocks, members of different
+    components only. So a group of thousands of copies costs a few pairs for each copy, and more only for copies
+    that none of the hubs reach. Candidates of fitting sizes are judged by the joint likelihood of their
+    sketches and confirmed by the intersection of their whole sets.
 
     Returns per document doc_id, n_shingles, component_id (the smallest doc_id reachable), kept
     (doc_id is component_id) and stays, true for one row of each component. Null and empty texts and
@@ -235,33 +239,19 @@ def _links(work: Work, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     width = 2 * BAND
     band = lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width)))
     posted = nodes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), band)).alias("bucket"))
+    drawn = lambda turn: F.min_by(F.struct("node", "n"), F.struct(F.xxhash64(F.lit(turn), "node"), "node"))
     buckets = work.store(
-        posted.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).filter("members > 1")
+        posted.groupBy("bucket").agg(F.count("*").alias("members"), drawn(0).alias("hub")).filter("members > 1")
     )
     shared = work.store(posted.join(buckets, "bucket"))
     judge = _Links(work, docs, nodes)
-    stars = (
-        shared.filter("node <> hub.node")
-        .select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-        .filter(_ratio()).distinct()
-    )
-    links = judge.confirmed(judge.likely(stars))
-    labels = components(work, links)
-    # What the hubs left: buckets of three or more in several components.
-    labelled = work.store(
-        shared.filter("members > 2").select("bucket", "node", "n", F.col("hub.node").alias("hub"))
-        .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    )
-    split = (
-        labelled.filter("node <> hub").groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low <> high")
-    )
-    rest = work.store(labelled.filter("node <> hub").join(split.select("bucket", "members"), "bucket"))
-    if rest.isEmpty():
-        return links
+    links = judge.confirmed(judge.likely(_stars(shared, ["hub"])))
+    more = _split(work, shared.filter("members > 2").select("bucket", "node", "n"), components(work, links))
+    links = work.store(links.unionByName(judge.confirmed(judge.likely(_stars(more.filter("members > 2"), ["hub_1", "hub_2", "hub_3"])))))
+    rest = _split(work, more.select("bucket", "node", "n"), components(work, links))
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     rest = (
-        rest.join(nodes.select("node", "sketch"), "node")
+        rest.select("bucket", "node", "n", "label", "members").join(nodes.select("node", "sketch"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     )
@@ -269,10 +259,27 @@ def _links(work: Work, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
         .groupBy("bucket", "low", "high").applyInPandas(_block_pairs, _PAIR)
     )
-    swap = F.col("a") > F.col("b")
-    pairs = met.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"),
+    return work.store(links.unionByName(judge.confirmed(met.distinct())))
+
+
+def _stars(shared: DataFrame, hubs: list[str]) -> DataFrame:
+    """Distinct pairs of a bucket's hub and another member of fitting size; of another component where these are known."""
+    pairs = shared.withColumn("of", F.explode(F.array(*hubs))).filter("node <> of.node")
+    if "label" in shared.columns:
+        pairs = pairs.filter("label <> of.label")
+    swap = F.col("of.node") > F.col("node")
+    side = lambda c: (F.when(swap, F.col(c)).otherwise(F.col(f"of.{c}")), F.when(swap, F.col(f"of.{c}")).otherwise(F.col(c)))
+    (a, b), (n_a, n_b) = side("node"), side("n")
+    return pairs.select(a.alias("a"), b.alias("b"), n_a.alias("n_a"), n_b.alias("n_b")).filter(_ratio()).distinct()
+
+
+def _split(work: Work, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with new hubs."""
+    labelled = work.store(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    hub = lambda turn: F.min_by(F.struct("node", "n", "label"), F.struct(F.xxhash64(F.lit(turn), "node"), "node"))
+    split = (
+        labelled.groupBy("bucket")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members"), *[hub(i).alias(f"hub_{i}") for i in (1, 2, 3)])
+        .filter("least <> most").drop("least", "most")
     )
-    more = judge.confirmed(pairs.distinct())
-    return work.store(links.unionByName(more))
+    return work.store(labelled.join(split, "bucket"))
