@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import decontaminate, mixing, near_dups, quality, sharding, toxicity, url_filter, vector_search
+from forecourt.llm import decontaminate, fixity, mixing, near_dups, quality, sharding, toxicity, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op6_judge_quality(spark, sf_dir):
     return quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query(fixity.ORACLE_SQL)
+def op7_audit_fixity(spark, sf_dir):
+    return fixity.audit_damaged_replica(_table(spark, sf_dir, "pages"))
+
+
 @_query()
 def op8_score_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
