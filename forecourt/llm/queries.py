@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import decontaminate, fixity, mixing, near_dups, quality, sharding, toxicity, url_filter, vector_search
+from forecourt.llm import decontaminate, fixity, mixing, near_dups, quality, sharding, surrogates, toxicity, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op4_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op5_replace_entities(spark, sf_dir):
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op6_judge_quality(spark, sf_dir):
     return quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
