@@ -3,13 +3,32 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forecourt.llm.decontaminate import clean_documents
 from forecourt.llm.mixing import mix_sources
+from forecourt.llm.near_dups import near_duplicates
+from forecourt.llm.quality import judge_quality
 from forecourt.llm.sharding import byte_shards
 from forecourt.llm.support import Work
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    judged = judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=COLUMNS)
+    return judged.filter("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_duplicates(docs, carry=COLUMNS).filter("stays").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     mixed = mix_sources(docs, carry=COLUMNS)
@@ -22,7 +41,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_shards(docs, carry=COLUMNS)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: The quality, near-duplicate and leak stages learn from the data, which SQL does not express.
 ORACLE_SQL = None

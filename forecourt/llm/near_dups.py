@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.components import components
-from forecourt.llm.support import Work, small
+from forecourt.llm.support import Work, carried, small, unpacked
 from forecourt.llm.words import mixed, portions, word_hashes
 
 SHINGLE = 5
@@ -25,6 +25,7 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 SLACK = 0.2
 #: Members of a bucket that are compared with as many others in one step.
 BLOCK = 256
+OUTPUT = ("doc_id", "n_shingles", "component_id", "kept", "stays")
 
 _RANDOM = np.random.default_rng(7)
 _TIMES = _RANDOM.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -175,7 +176,7 @@ class _Links:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = self.work.store(self.nodes.join(wanted, "node", "left_semi").select("node", "digest"))
         found = (
-            self.docs.select(F.md5("text").alias("digest"), "text")
+            self.docs.select("digest", "text")
             .join(small(texts), "digest").groupBy("node").agg(F.first("text").alias("text"))
         )
         sets = self.work.store(found.mapInArrow(_whole_sets, "node long, shingles array<long>"))
@@ -188,7 +189,7 @@ class _Links:
         return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of 0.75 or more.
 
     Equal sets are one node. Bands of a node's sketch put it into buckets. Every member of a bucket is
@@ -202,12 +203,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (doc_id is component_id) and stays, true for one row of each component. Null and empty texts and
     texts without words have no shingles, are linked with nothing and stay. A null doc_id is
     linked like others but names no component unless nothing else does; it is kept only then.
-    Rows with the same id are documents of their own. An empty table gives no rows.
+    Rows with the same id are documents of their own. An empty table gives no rows. With columns to
+    ``carry``, those not named like an output column are handed through; the texts are then stored once.
     """
     work = Work(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.md5("text").alias("digest"), "text",
+        carried(docs, carry, OUTPUT).alias("carried"),
+    )
+    if carry:
+        docs = work.store(docs)
     sketches = work.store(
-        docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.md5("text").alias("digest"), "text")
+        docs.select("doc_id", "row", "digest", "text")
         .mapInArrow(_sketches, "doc_id long, row long, digest string, n_shingles long, print binary, sketch binary")
     )
     first = F.min_by(F.struct("digest", "sketch", F.col("n_shingles").alias("n")), "row")
@@ -229,10 +236,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .drop("print")
     )
     chosen = placed.filter("kept AND n_shingles > 0").groupBy("label").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("chosen"))
-    return placed.join(chosen, "row", "left").select(
-        "doc_id", "n_shingles", "component_id", "kept",
-        (F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0)).alias("stays"),
-    )
+    judged = placed.join(chosen, "row", "left").withColumn("stays", F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0))
+    if carry:
+        judged = judged.join(docs.select("row", "carried"), "row")
+    return judged.select(*OUTPUT, *unpacked(carry, OUTPUT))
 
 
 def _links(work: Work, docs: DataFrame, nodes: DataFrame) -> DataFrame:
