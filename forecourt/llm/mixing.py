@@ -80,39 +80,38 @@ def _buckets(rows: DataFrame, bucket: Column, need: str, out: str) -> DataFrame:
     )
 
 
-def _stops(work: Work, ranked: DataFrame, need: str, nearest: bool) -> DataFrame:
-    """Per source, where its ranked documents reach the need: (key, stop, last_odds, last_row, got).
+def _stops(work: Work, ranked: DataFrame, nearest: bool) -> DataFrame:
+    """Per source, where its ranked documents reach its ``need``: (key, stop, last_odds, last_row, gap).
 
     A document is chosen if its code is below ``stop``, or is equal and (odds, row) is at most
-    the last. Two passes over sums by code narrow the place down to a code of 20 bits, whose
-    documents alone are sorted. ``nearest`` takes the last one if more than half of it is needed.
+    the last; without a stop all are. Two passes over sums by code narrow the place down to a code of 20 bits,
+    whose documents alone are sorted. ``nearest`` takes the last one if at least half of it is needed.
+    ``gap`` is what is needed still.
     """
-    coarse = work.store(_buckets(ranked, F.shiftright("code", _BITS), need, "coarse"))
+    whole = work.store(ranked.groupBy("key", "need").agg(F.sum("size").alias("sum")))
+    coarse = work.store(_buckets(ranked, F.shiftright("code", _BITS), "need", "coarse"))
     inside = ranked.join(small(coarse), "key").filter(F.shiftright("code", _BITS) == F.col("coarse"))
-    inside = inside.withColumn("need_2", F.col(need) - F.col("coarse_before"))
-    fine = work.store(_buckets(inside, F.col("code"), "need_2", "stop").join(coarse, "key").withColumn("before", F.col("stop_before") + F.col("coarse_before")).select("key", "stop", "before"))
+    inside = inside.withColumn("need_2", F.col("need") - F.col("coarse_before"))
+    fine = _buckets(inside, F.col("code"), "need_2", "stop").join(coarse, "key")
+    fine = work.store(fine.select("key", "stop", (F.col("stop_before") + F.col("coarse_before")).alias("before")))
     tied = ranked.join(small(fine), "key").filter(F.col("code") == F.col("stop"))
     upto = Window.partitionBy("key").orderBy("odds", "row").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.sum("size").over(upto)
-    lacking = F.col(need) - F.col("before")
     chosen = (
-        tied.withColumn("reached", reached)
-        .filter((F.col("reached") - F.col("size") / 2 if nearest else F.col("reached")) <= lacking)
+        tied.withColumn("reached", F.sum("size").over(upto))
+        .filter((F.col("reached") - F.col("size") / 2 if nearest else F.col("reached")) <= F.col("need") - F.col("before"))
         .groupBy("key").agg(F.max(F.struct("odds", "row")).alias("last"), F.max("reached").alias("more"))
     )
+    got = F.when(F.col("stop").isNull(), F.col("sum")).otherwise(F.col("before") + F.coalesce("more", F.lit(0)))
     return work.store(
-        fine.join(chosen, "key", "left").select(
-            "key", "stop", F.col("last.odds").alias("last_odds"), F.col("last.row").alias("last_row"),
-            (F.col("before") + F.coalesce("more", F.lit(0))).alias("got"),
-        )
+        whole.join(fine, "key", "left").join(chosen, "key", "left")
+        .select("key", "stop", F.col("last.odds").alias("last_odds"), F.col("last.row").alias("last_row"), (F.col("need") - got).alias("gap"))
     )
 
 
-def _chosen(prefix: str = "") -> Column:
-    """Whether a ranked document lies before its source's stop; a source without one takes all."""
-    stop, odds, row = (F.col(f"{prefix}{c}") for c in ("stop", "last_odds", "last_row"))
-    upto = (F.col("odds") < odds) | ((F.col("odds") == odds) & (F.col("row") <= row))
-    return stop.isNull() | (F.col("code") < stop) | ((F.col("code") == stop) & F.coalesce(upto, F.lit(False)))
+def _chosen() -> Column:
+    """Whether a ranked document lies before its source's stop."""
+    upto = (F.col("odds") < F.col("last_odds")) | ((F.col("odds") == F.col("last_odds")) & (F.col("row") <= F.col("last_row")))
+    return F.col("stop").isNull() | (F.col("code") < F.col("stop")) | ((F.col("code") == F.col("stop")) & F.coalesce(upto, F.lit(False)))
 
 
 def mix_sources(
@@ -128,9 +127,9 @@ def mix_sources(
     Longer documents are expected more often, by the binary digits of their number of words. The
     whole part of that expectation is certain. For the rest, documents of a source are ranked
     by random odds divided by inclusion odds and taken in that order up to the words that the
-    source still needs; a second cut fills what is left before the first document that was
-    too long with the next ones that fit. So a source misses its target by less than the half
-    of one short document.
+    source still needs. What is left before the first document that was too long is filled with the next
+    ones that fit, and at last with one that overshoots by less than is lacking. So a source misses its
+    target by less than half of its shortest document left.
 
     No source is gathered in one task: cuts are found by sums per code of the rank. Words are
     runs of other characters than blanks; a null or empty text has none and is taken as its
@@ -157,25 +156,18 @@ def mix_sources(
     odds = F.col("u") / (1 - F.col("u")) / (F.col("chance") / (1 - F.col("chance")))
     code = F.floor(F.col("odds") / (1 + F.col("odds")) * F.lit(2 ** (2 * _BITS))).cast("long")
     planned = rows.join(small(plan), ["key", "level"]).withColumn("odds", F.when(F.col("chance") > 0, odds)).withColumn("code", code)
-    ranked = planned.filter(F.col("odds").isNotNull()).select("key", "size", "odds", "code", "row", "need")
-    first = _stops(work, ranked, "need", nearest=False)
-    needs = plan.select("key", "need").distinct()
-    gaps = work.store(
-        first.filter(F.col("stop").isNotNull()).join(needs, "key").select(
-            "key", "stop", "last_odds", "last_row", (F.col("need") - F.col("got")).alias("gap")
-        )
-    )
-    left = ranked.drop("need").join(small(gaps), "key").filter(~_chosen() & (F.col("size") <= F.col("gap")))
-    second = _stops(work, left.select("key", "size", "odds", "code", "row", "gap"), "gap", nearest=True)
-    stops = work.store(
-        gaps.withColumnRenamed("gap", "room").join(
-            second.select("key", *[F.col(c).alias(f"next_{c}") for c in ("stop", "last_odds", "last_row")]), "key", "left"
+    state = planned.withColumn("chosen", F.lit(False)).withColumn("room", F.col("need"))
+    # All in order up to the need; then those that fit what is left; then one that brings the sum nearer.
+    for times in (None, 1, 2):
+        fits = F.col("odds").isNotNull() & ~F.col("chosen")
+        fits = fits if times is None else fits & (F.col("size") <= times * F.col("room"))
+        ranked = state.filter(fits).select("key", "size", "odds", "code", "row", F.col("room").alias("need"))
+        stops = small(_stops(work, ranked, nearest=times is not None))
+        state = (
+            state.join(stops, "key", "left").withColumn("chosen", F.col("chosen") | (fits & _chosen()))
+            .withColumn("room", F.coalesce("gap", "room")).drop("stop", "last_odds", "last_row", "gap")
         )
-    )
-    more = _chosen() | ((F.col("size") <= F.col("room")) & _chosen("next_"))
-    extra = F.when(F.col("odds").isNotNull() & more, 1).otherwise(0)
-    copies = (F.col("certain") + extra).cast("int")
-    out = planned.join(small(stops), "key", "left").withColumn("copies", copies)
+    out = state.withColumn("copies", (F.col("certain") + F.col("chosen").cast("int")).cast("int"))
     return out.select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
         *unpacked(carry, OUTPUT),
@@ -228,12 +220,19 @@ scaled AS (
   SELECT *, need - coalesce(sum(size) FILTER (WHERE one) OVER (PARTITION BY source), 0) AS gap FROM first
 ), second AS (
   SELECT *, odds IS NOT NULL AND NOT one AND size <= gap AS fits FROM gaps
+), filled_up AS (
+  SELECT *, coalesce(fits AND sum(size) FILTER (WHERE fits) OVER (PARTITION BY source ORDER BY odds NULLS LAST, rid ROWS UNBOUNDED PRECEDING)
+    - CAST(size AS DOUBLE) / 2 <= gap, false) AS two FROM second
+), gaps_2 AS (
+  SELECT *, gap - coalesce(sum(size) FILTER (WHERE two) OVER (PARTITION BY source), 0) AS gap_2 FROM filled_up
+), third AS (
+  SELECT *, odds IS NOT NULL AND NOT one AND NOT two AND size <= 2 * gap_2 AS near FROM gaps_2
 ), last AS (
-  SELECT *, fits AND sum(size) FILTER (WHERE fits) OVER (PARTITION BY source ORDER BY odds NULLS LAST, rid ROWS UNBOUNDED PRECEDING)
-    - CAST(size AS DOUBLE) / 2 <= gap AS two FROM second
+  SELECT *, one OR two OR coalesce(near AND sum(size) FILTER (WHERE near) OVER (PARTITION BY source ORDER BY odds NULLS LAST, rid ROWS UNBOUNDED PRECEDING)
+    - CAST(size AS DOUBLE) / 2 <= gap_2, false) AS more FROM third
 )
 SELECT doc_id, source, size, source_size, target,
-  CAST(certain + CASE WHEN one OR two THEN 1 ELSE 0 END AS INT) AS copies,
-  CAST(size * (certain + CASE WHEN one OR two THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(certain + CASE WHEN more THEN 1 ELSE 0 END AS INT) AS copies,
+  CAST(size * (certain + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM last
 """
