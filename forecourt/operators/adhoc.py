@@ -16,6 +16,10 @@ _READS = {
 }
 
 
+# Functions that run code of the machine.
+_CALLS = {"reflect", "java_method", "try_reflect"}
+
+
 class NotReadOnly(ValueError):
     """The text is no plain query."""
 
@@ -26,57 +30,83 @@ def _plans_below(plan):
             yield listed.apply(i)
 
 
+def _listed(sequence):
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def _functions_in(plan):
+    """Names of the functions that the expressions of one plan node call."""
+    waiting = _listed(plan.expressions())
+    while waiting:
+        expression = waiting.pop()
+        if expression.getClass().getSimpleName() == "UnresolvedFunction":
+            yield expression.nameParts().last().lower()
+        waiting.extend(_listed(expression.children()))
+
+
 def check_readonly(spark: SparkSession, text: str) -> None:
-    """Raise ``NotReadOnly`` unless Spark's own parser reads ``text`` as a query and nothing else."""
+    """Raise ``NotReadOnly`` unless Spark's own parser reads ``text`` as a query and nothing else.
+
+    Neither commands, writes and scripts may occur in it, nor functions that call into the machine.
+    """
     waiting = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
     while waiting:
         plan = waiting.pop()
         kind = plan.getClass().getSimpleName()
         if kind not in _READS:
             raise NotReadOnly(f"read-only access: {kind} is not allowed")
+        called = _CALLS.intersection(_functions_in(plan))
+        if called:
+            raise NotReadOnly(f"read-only access: {', '.join(sorted(called))} is not allowed")
         waiting.extend(_plans_below(plan))
 
 
-def run_readonly_sql(spark: SparkSession, text: str, cap: int = S.MARKET_ROW_CAP, args: dict | None = None) -> DataFrame:
-    """Run a query given as text, at most ``cap`` rows of it.
+def run_readonly_sql(spark: SparkSession, text: str, cap: int | None = None, args: dict | None = None) -> DataFrame:
+    """Run a query given as text; ``cap`` limits its rows, else only the text does.
 
     The text is checked before it runs. Values belong in ``args`` (named parameters
     such as ``:maker``), not in the text.
     """
     query = text.strip().rstrip(";")
     check_readonly(spark, query)
-    return spark.sql(query, args=args).limit(cap)
+    rows = spark.sql(query, args=args)
+    return rows if cap is None else rows.limit(cap)
 
 
-def result_envelope(df: DataFrame, cap: int = S.MARKET_ROW_CAP, hint: str = "no rows: use broader texts or fewer filters") -> DataFrame:
-    """One row with JSON ``{found, data, row_count}`` over the first ``cap`` rows of ``df``.
+def result_envelope(df: DataFrame, cap: int = S.MARKET_ROW_CAP, hint: str = "nothing matches; ask with a shorter text or drop a condition") -> DataFrame:
+    """One row with JSON ``{found, data, row_count, total_rows, truncated}``.
 
-    Not found means no rows, or a single row whose ``num_cars_sold`` is 0; a ``message``
-    then tells what to relax.
+    ``data`` are the first ``cap`` rows in the order of the columns, ``total_rows`` counts all, and ``truncated``
+    tells whether some are missing from ``data``. Not found means no rows, or a single row whose
+    ``num_cars_sold`` is 0; a ``message`` then tells what to relax.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.limit(cap).agg(F.collect_list(row).alias("data"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sortable = [c for c, kind in zip(columns, df.schema, strict=True) if kind.dataType.typeName() not in ("map", "variant")]
+    first = df.orderBy(*sortable).limit(cap).select(F.struct(*columns).alias("row"), F.lit(0).cast("long").alias("n"))
+    counted = df.agg(F.count("*").alias("n")).select(F.lit(None).cast(first.schema["row"].dataType).alias("row"), "n")
+    told = first.unionByName(counted).agg(F.collect_list("row").alias("data"), F.sum("n").alias("total"))
     count = F.size("data")
     found = count > 0
     if "num_cars_sold" in df.columns:
-        found = found & ~((count == 1) & (F.coalesce(F.try_element_at("data", F.lit(1))["num_cars_sold"], F.lit(-1)) == 0))
-    told = F.struct(
+        found = found & ~((F.col("total") == 1) & (F.coalesce(F.try_element_at("data", F.lit(1))["num_cars_sold"], F.lit(-1)) == 0))
+    return told.select(F.to_json(F.struct(
         found.alias("found"),
         F.col("data"),
         F.when(found, count).alias("row_count"),
+        F.when(found, F.col("total")).alias("total_rows"),
+        F.when(found, F.col("total") > count).alias("truncated"),
         F.when(~found, F.lit(hint)).alias("message"),
-    )
-    return rows.select(F.to_json(told).alias("result"))
+    )).alias("result"))
 
 
 def answer_sql(spark: SparkSession, text: str, cap: int = S.MARKET_ROW_CAP, args: dict | None = None) -> str:
     """Check, run and wrap a query; errors come back as JSON ``{error, message, hint}``."""
     try:
-        return result_envelope(run_readonly_sql(spark, text, cap, args), cap).first()["result"]
+        return result_envelope(run_readonly_sql(spark, text, args=args), cap).first()["result"]
     except Exception as error:
         told = spark.range(1).select(F.to_json(F.struct(
             F.lit(True).alias("error"),
             F.lit(str(error)).alias("message"),
-            F.lit("check column names, table name and SQL syntax; only queries are allowed").alias("hint"),
+            F.lit("the text must be one query over known tables and columns").alias("hint"),
         )).alias("result"))
         return told.first()["result"]

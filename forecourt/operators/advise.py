@@ -7,7 +7,6 @@ from forecourt import schemas as S
 from forecourt.functions.text import coerce_components, repair_terms
 from forecourt.operators.market import market_estimate
 from forecourt.operators.repair import repair_estimate
-from forecourt.plans.joins import keyed_join, materialize
 
 
 def request_readiness(requests: DataFrame, critical: list[str] | None = None) -> DataFrame:
@@ -30,9 +29,9 @@ def advise(
 
     Only complete requests are priced and only requests that name defects go to the
     repair lookup. List price = base market value (``average`` or ``median``) minus
-    repair cost; the range is half a deviation to each side, not below 0. Strategy:
-    ``ask`` for missing fields, ``no_market`` without comparable sales, ``list`` without
-    repair cost, ``fix_first`` below ``fix_first_below``, else ``as_is``.
+    repair cost; the range is half a deviation to each side, not below 0, and null without a price. Strategy:
+    ``ask`` for missing fields, ``no_market`` without comparable sales, ``no_repair_price``
+    if the price list knows none of the defects, ``list`` without repair cost, ``fix_first`` below ``fix_first_below``, else ``as_is``.
     """
     if base not in ("average", "median"):
         raise ValueError(f"base must be average or median, not {base!r}")
@@ -42,16 +41,22 @@ def advise(
     )
     defects = F.size(repair_terms(F.col("diagnosis"), F.col("components"))) > 0
     repair = repair_estimate(known.filter(F.col("ready") & defects), catalog, request_id).select(
-        request_id, F.coalesce("total_estimated_cost", F.lit(0.0)).alias("repair_cost")
+        request_id, "num_repairs", F.coalesce("total_estimated_cost", F.lit(0.0)).alias("repair_cost")
+    )
+    # Keys are unique, so plain joins do.
+    joined = (
+        known.select(request_id, "missing", "ready", defects.alias("defects"))
+        .join(market, request_id, "left").join(repair, request_id, "left")
+        .withColumn("unpriced", F.col("ready") & F.col("defects") & (F.coalesce("num_repairs", F.lit(0)) == 0))
     )
-    joined = keyed_join(known.select(request_id, "missing", "ready"), materialize(market), [request_id], "left")
-    joined = keyed_join(joined, materialize(repair), [request_id], "left")
     cost = F.when(F.col("ready"), F.coalesce("repair_cost", F.lit(0.0)))
     price = F.col("base_value") - F.col("repair_cost")
+    at_least_0 = lambda value: F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
     half = F.coalesce("price_std_dev", F.lit(0.0)) / 2
     strategy = (
         F.when(~F.col("ready"), "ask")
         .when(F.col("base_value").isNull(), "no_market")
+        .when(F.col("unpriced"), "no_repair_price")
         .when(F.col("repair_cost") == 0, "list")
         .when(F.col("repair_cost") < fix_first_below, "fix_first")
         .otherwise("as_is")
@@ -64,7 +69,7 @@ def advise(
         "num_cars_sold",
         "repair_cost",
         price.alias("list_price"),
-        F.greatest(price - half, F.lit(0.0)).alias("price_low"),
-        F.greatest(price + half, F.lit(0.0)).alias("price_high"),
+        at_least_0(price - half).alias("price_low"),
+        at_least_0(price + half).alias("price_high"),
         strategy.alias("strategy"),
     )

@@ -108,15 +108,7 @@ def merge_extracted(
     Columns keep their order and type; text that is no number fills nothing.
     ``legacy_string`` turns every fillable column into a string instead.
     """
-    fillable = df.schema[extracted].dataType.names
-    merged = []
-    for field in df.schema:
-        name = field.name
-        if name == extracted or name in drop:
-            continue
-        own = F.col(f"`{name}`")
-        if name in fillable:
-            goal = T.StringType() if legacy_string else field.dataType
-            own = F.coalesce(own.cast(goal), F.col(extracted)[name].try_cast(goal))
-        merged.append(own.alias(name))
-    return df.select(*merged)
+    read = df.schema[extracted].dataType
+    types = {f.name: T.StringType() if legacy_string else f.dataType for f in df.schema if f.name in read.names}
+    filled = {c: F.coalesce(F.col(f"`{c}`").cast(t), F.col(f"`{extracted}`")[c].try_cast(t)) for c, t in types.items()}
+    return df.withColumns(filled).drop(extracted, *drop)

@@ -7,10 +7,10 @@ from forecourt import schemas as S
 from forecourt.functions.text import all_of, contains_ci
 from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join, fits_broadcast, keyed_join, materialize
 
-ACCURACY = 10_000
 MILE_BAND = 10_000
 PRICE_STEPS = 64  # per doubling of the price
 _ABSENT = "\u0000"
+_NOT_POSITIVE = -1_000_000  # the step of all prices that are not positive
 _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want_odometer"]
 _FIGURES = ["average_price", "median_price", "price_std_dev", "num_cars_sold"]
 
@@ -45,34 +45,41 @@ def comparables(
     return _typed(df).filter(all_of(tests))
 
 
-def _price_statistics(price: Column, accuracy: int) -> list[Column]:
-    return [
-        F.avg(price).alias("average_price"),
-        F.percentile_approx(price, 0.5, accuracy).cast("double").alias("median_price"),
-        F.stddev_samp(price).alias("price_std_dev"),
-        F.count(price).alias("num_cars_sold"),
-    ]
-
-
 def _with_signal(df: DataFrame) -> DataFrame:
     hint = F.lit("no comparable sale: drop the condition, widen the years or shorten the model name")
     return df.withColumn("found", F.col("num_cars_sold") > 0).withColumn("hint", F.when(~F.col("found"), hint))
 
 
-def market_stats(df: DataFrame, by: tuple[str, ...] = (), accuracy: int = ACCURACY) -> DataFrame:
-    """Average, approximate median, sample deviation and count of price, and whether anything was found.
+def market_stats(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Average, median, sample deviation and count of price, and whether anything was found.
 
-    The median's rank is off by at most rows / ``accuracy``.
+    The median is exact, the lower one of an even count: sales are counted by price step, and the
+    prices of the one step that holds a group's median are counted one by one. Both passes
+    combine per task, so no group is gathered; pass a stored table.
     """
-    priced = _typed(df).filter(F.col("price").isNotNull())
-    return _with_signal(priced.groupBy(*by).agg(*_price_statistics(F.col("price"), accuracy)))
+    key = F.struct(*by) if by else F.lit(0)
+    priced = _stepped(_typed(df).filter(F.col("price").isNotNull())).select(key.alias("_lookup"), "price", "_step", "_over")
+    figures = materialize(_figures(priced))
+    at = figures.select(F.col("_lookup").alias("_of"), "_median_step", "_median_rank")
+    at = F.broadcast(at) if fits_broadcast(at) else at
+    in_step = priced.join(at, F.col("_lookup").eqNullSafe(F.col("_of")) & (F.col("_step") == F.col("_median_step")))
+    medians = _medians(in_step)
+    if by:
+        medians = medians.withColumnRenamed("_lookup", "_of")
+        found = figures.join(medians, F.col("_lookup").eqNullSafe(F.col("_of")), "left")
+    else:  # one row, also without sales
+        both = figures.unionByName(medians, allowMissingColumns=True)
+        found = both.agg(*[F.max(c).alias(c) for c in _FIGURES])
+    groups = [F.col("_lookup")[c].alias(c) for c in by]
+    counted = found.select(*groups, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) if c == "num_cars_sold" else c for c in _FIGURES])
+    return _with_signal(counted)
 
 
 def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
     """Request fields with "" and 0 for "not given", texts in lower case; a missing column is not given."""
     given = lambda c: F.col(c) if c in requests.columns else F.lit(None)
     text = lambda c: F.lower(F.coalesce(given(c).cast("string"), F.lit("")))
-    number = lambda c: F.coalesce(given(c).cast("int"), F.lit(0))
+    number = lambda c: F.coalesce(given(c).cast("string").try_cast("double").try_cast("int"), F.lit(0))
     return requests.select(
         request_id,
         text("manufacturer").alias("_want_maker"),
@@ -206,6 +213,14 @@ def _price_step(price: Column) -> Column:
     return F.when(price < 1e300, F.floor(F.log2(price) * PRICE_STEPS).cast("int")).otherwise(1_000_000)
 
 
+def _stepped(sales: DataFrame) -> DataFrame:
+    """Sales with their price step and what their price lies above the step's."""
+    price = F.col("price").cast("double")
+    step = F.when(price > 0, _price_step(price)).otherwise(_NOT_POSITIVE)
+    start = F.when(F.col("_step") == _NOT_POSITIVE, 0.0).otherwise(_step_price(F.col("_step")))
+    return sales.withColumn("_step", step).withColumn("_over", price - start)
+
+
 def _step_price(step: Column) -> Column:
     return F.pow(F.lit(2.0), step / F.lit(PRICE_STEPS))
 
@@ -221,7 +236,7 @@ def _figures(met: DataFrame) -> DataFrame:
     up_to = lookup.orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, total, mean = F.col("_n"), F.col("_total"), F.col("_mean")
     steps = (
-        steps.withColumn("_mean", _step_price(F.col("_step")) + F.col("_sum") / n)
+        steps.withColumn("_mean", F.when(F.col("_step") == _NOT_POSITIVE, 0.0).otherwise(_step_price(F.col("_step"))) + F.col("_sum") / n)
         .withColumn("_within", F.greatest(F.col("_squares") - F.col("_sum") * F.col("_sum") / n, F.lit(0.0)))
         .withColumn("_total", F.sum("_n").over(lookup))
         .withColumn("_whole", F.sum(n * mean).over(lookup) / total)

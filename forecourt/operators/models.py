@@ -27,20 +27,18 @@ def dictionary_frame(spark: SparkSession, names: dict[str, list[str]]) -> DataFr
     return spark.createDataFrame(rows, S.DICTIONARY)
 
 
-def propose_dictionary(df: DataFrame, min_count: int = 2, min_share: float = 1e-5) -> DataFrame:
+def propose_dictionary(df: DataFrame, min_count: int = 2) -> DataFrame:
     """Canonical names read off the data: the leading words of model names.
 
-    A word is kept if it leads at least ``min_count`` listings of the manufacturer and
-    ``min_share`` of all listings, so the dictionary has at most ``1 / min_share`` rows
-    however large the data is. Longer names come first, so that a name is not rewritten
+    A word is kept if it leads at least ``min_count`` listings of the manufacturer, however
+    many listings there are. Longer names come first, so that a name is not rewritten
     by a shorter one it contains before it was used.
     """
     listed = df.select("manufacturer", "model").dropna()
-    total = listed.agg(F.count("*").alias("total")).scalar()
     word = F.split(F.lower("model"), " ")[0]
     names = (
         listed.groupBy("manufacturer", word.alias("canonical")).agg(F.count("*").alias("n"))
-        .filter((F.col("n") >= min_count) & (F.col("n") >= F.lit(min_share) * total) & (F.col("canonical") != ""))
+        .filter((F.col("n") >= min_count) & (F.col("canonical") != ""))
     )
     order = Window.partitionBy("manufacturer").orderBy(F.desc(F.length("canonical")), F.desc("n"), "canonical")
     return names.select("manufacturer", (F.row_number().over(order) - 1).alias("pos"), "canonical", "n")

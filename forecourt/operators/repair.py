@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forecourt import schemas as S
 from forecourt.functions.text import any_of, coerce_components, contains_ci, repair_terms
 from forecourt.plans.joins import contains_join, keyed_join, materialize
 
@@ -79,21 +78,31 @@ def _lookup(requests: DataFrame, catalog: DataFrame, request_id: str, min_word:
     return needs, answers, keyed_join(rows, signed, ["_text"]).drop("_text")
 
 
+def _set_name() -> Column:
+    """A term set as text, its terms in order; "" for requests without input, two quotes for a blank term."""
+    return F.array_join(F.transform("_terms", lambda t: F.when(t == _MARK, '""').otherwise(t)), "; ").alias("term_set")
+
+
+def request_term_sets(requests: DataFrame, request_id: str = "request_id") -> DataFrame:
+    """(request_id, term_set) of every request; ``match_repairs`` has the rows of each set."""
+    return _needs(requests, request_id).select(request_id, _set_name())
+
+
 def match_repairs(
     requests: DataFrame,
     catalog: DataFrame,
     request_id: str = "request_id",
     min_word: int | None = None,
 ) -> DataFrame:
-    """Every price list row that answers each request:
-    (request_id, relax_tier, component, diagnostic, reparation_cost, copies).
+    """Every price list row that answers each set of terms that is asked for:
+    (term_set, relax_tier, component, diagnostic, reparation_cost, copies).
 
-    Equal rows of the price list come once, with their number. ``min_word`` adds the
-    second rung for requests without a match (see ``repair_estimate``).
+    Requests meet the sets by ``request_term_sets``, so the rows of a set come once however many
+    requests ask for it. Equal rows of the price list come once, with their number. ``min_word`` adds the
+    second rung for sets without a match (see ``repair_estimate``).
     """
-    needs, answers, rows = _lookup(requests, catalog, request_id, min_word)
-    of_sets = keyed_join(rows, materialize(answers), ["_signature"])
-    return keyed_join(of_sets, needs, ["_terms"]).select(request_id, "relax_tier", *_ROW, "copies")
+    _, answers, rows = _lookup(requests, catalog, request_id, min_word)
+    return keyed_join(rows, materialize(answers), ["_signature"]).select(_set_name(), "relax_tier", *_ROW, "copies")
 
 
 def repair_estimate(
@@ -101,54 +110,49 @@ def repair_estimate(
     catalog: DataFrame,
     request_id: str = "request_id",
     min_word: int | None = 4,
-    list_rows: int = S.REPAIR_ROW_CAP,
-    cap_total: bool = False,
+    list_rows: int | None = None,
 ) -> DataFrame:
-    """Total cost, number of rows and the listed repairs for every request.
+    """Total cost and number of rows for every request, with its term set.
 
     Requests whose terms match nothing try the words of ``min_word`` letters and more of
-    their terms (``relax_tier`` 1; ``None`` switches that off). Totals and counts cover
-    all matching rows; ``identified_repairs`` lists the first ``list_rows`` of them in
-    (component, diagnostic, cost) order, as the lookup lists at most that many
-    (``match_repairs`` gives all). With ``cap_total`` total and count cover the listed
-    rows only. No match gives null total and list.
+    their terms (``relax_tier`` 1; ``None`` switches that off). No match gives a null total.
+    The rows themselves are those of ``match_repairs`` for the term set. With ``list_rows`` the first so many
+    of them, in (component, diagnostic, cost) order, are listed in the cell ``identified_repairs`` as
+    well, and ``truncated`` tells whether there are more.
     """
     needs, answers, rows = _lookup(requests, catalog, request_id, min_word)
     answers = materialize(answers)
     cost = F.coalesce("reparation_cost", F.lit(0)).cast("double") * F.col("copies")
     per_signature = rows.groupBy("_signature").agg(F.sum(cost).alias("cost"), F.sum("copies").alias("n"))
-    totals = (
+    found = (
         keyed_join(answers, materialize(per_signature), ["_signature"]).groupBy("_terms", "relax_tier")
         .agg(F.sum("cost").alias("total_estimated_cost"), F.sum("n").alias("num_repairs"))
     )
+    listed = []
+    if list_rows is not None:
+        found = found.join(_first_rows(answers, rows, list_rows), "_terms")
+        listed = ["identified_repairs", (F.col("num_repairs") > F.size("identified_repairs")).alias("truncated")]
+    return keyed_join(needs, materialize(found), ["_terms"], "left").select(
+        request_id,
+        _set_name(),
+        "relax_tier",
+        "total_estimated_cost",
+        F.coalesce("num_repairs", F.lit(0).cast("long")).alias("num_repairs"),
+        *listed,
+    )
+
+
+def _first_rows(answers: DataFrame, rows: DataFrame, list_rows: int) -> DataFrame:
+    """(_terms, identified_repairs): the first rows of every term set, copies one by one."""
     first_of = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*_ROW))
-    # Copies are counted one by one; the running limit is cut before rows reach a window.
     times = F.least("copies", F.lit(list_rows).cast("long"))
     first = (
         rows.withColumn("_nth", first_of("_signature")).filter(F.col("_nth") <= list_rows)
         .select("_signature", *_ROW, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_copy"))
         .drop("_copy")
     )
-    listed = (
+    return (
         keyed_join(answers, materialize(first), ["_signature"])
         .withColumn("_nth", first_of("_terms")).filter(F.col("_nth") <= list_rows)
-        .groupBy("_terms")
-        .agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("identified_repairs"))
-    )
-    found = totals.join(listed, "_terms")
-    if cap_total:
-        listed_cost = F.aggregate(
-            "identified_repairs",
-            F.lit(0.0),
-            lambda total, row: total + F.coalesce(row["reparation_cost"], F.lit(0)).cast("double"),
-        )
-        found = found.withColumn("total_estimated_cost", listed_cost).withColumn(
-            "num_repairs", F.size("identified_repairs").cast("long")
-        )
-    return keyed_join(needs, materialize(found), ["_terms"], "left").select(
-        request_id,
-        "relax_tier",
-        "total_estimated_cost",
-        F.coalesce("num_repairs", F.lit(0).cast("long")).alias("num_repairs"),
-        "identified_repairs",
+        .groupBy("_terms").agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("identified_repairs"))
     )

@@ -5,44 +5,60 @@ compares every needle with every text.
 """
 
 import tempfile
+import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forecourt.functions.text import any_of
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
 ROWS_PER_TASK = 4_000_000
-PARTS_PER_KEY = 4_096
 GRAM = 3
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a local session without one gets its own, a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="forecourt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and cut its lineage.
+    """Write an intermediate result as Parquet to the shared folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without one gets a temporary folder; a cluster without one gets
-    ``df`` back, which is recomputed instead of stored.
+    Later reads prune columns and push filters down.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="forecourt-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/forecourt-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: the lengths of its texts, and 8 for every other field; nested values as JSON."""
+    parts = []
+    for field in df.schema:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+            parts.append(F.coalesce(F.octet_length(value), F.lit(0)))
+        elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(value), F.lit(0)) + 8)
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count rows and JSON bytes of ``df`` (one distributed aggregate)."""
-    size = df.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-    ).first()
+    """Count rows and bytes of ``df``, of no more than one row above the bound."""
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
@@ -60,9 +76,8 @@ def keyed_join(
 
     A ``dim`` counted to be small is broadcast, so ``fact`` is not shuffled. A larger one
     is joined by shuffle, and every key that would give more than ``rows_per_task``
-    result rows is cut into parts of that size (at most ``PARTS_PER_KEY``, larger ones
-    beyond): the rows of one side take one salt each and meet the rows of the other
-    repeated per salt, on both sides where both are large. Pass ``dim`` materialized if it
+    result rows is cut into parts of that size: the rows of one side take one salt each and
+    meet the rows of the other repeated per salt, on both sides where both are large. Pass ``dim`` materialized if it
     is costly to compute. ``how`` is ``inner`` or ``left``; ``small`` says that the caller
     has already shown that ``dim`` fits.
     """
@@ -72,7 +87,7 @@ def keyed_join(
         dim.groupBy(*keys).agg(F.count("*").alias("_dims")), keys, how
     )
     facts, dims = F.col("_facts").cast("double"), F.coalesce("_dims", F.lit(1)).cast("double")
-    parts = F.least(F.ceil(facts * dims / rows_per_task), F.lit(PARTS_PER_KEY).cast("long"))
+    parts = F.ceil(facts * dims / rows_per_task)
     # The share of cuts on each side that repeats the fewest rows; a left join cannot cut dim.
     cut = F.round(F.sqrt(F.col("_parts") * facts / dims)).cast("long") if how == "inner" else F.col("_parts")
     hot = materialize(
@@ -128,20 +143,21 @@ def contains_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
 
     A text that contains the needle contains all its grams, so each needle is looked
     up under one gram only, the one found in the fewest texts, and ``contains``
-    decides. Matching is literal; callers lower-case both sides. A null never matches.
+    decides. Texts are posted by number, and only under grams that some needle has: bytes grow
+    with a text's length, not its square. A common gram, as those of short needles are, is
+    salted. Matching is literal; callers lower-case both sides. A null never matches.
     """
-    posted = texts.withColumn("_gram", F.explode(_text_grams(F.col(text))))
-    spread = posted.groupBy(*on, "_gram").agg(F.count("*").alias("_texts"))
-    anchors = (
-        needles.select(*on, needle).distinct()
-        .withColumn("_gram", F.explode(_needle_grams(F.col(needle))))
-        .join(spread, [*on, "_gram"])
-        .groupBy(*on, needle)
-        .agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
+    numbered = materialize(texts.withColumn("_text_id", F.monotonically_increasing_id()))
+    grams = materialize(needles.select(*on, needle).distinct().withColumn("_gram", F.explode(_needle_grams(F.col(needle)))))
+    asked = grams.select(*on, "_gram").distinct()
+    asked = F.broadcast(asked) if fits_broadcast(asked) else asked
+    posted = materialize(
+        numbered.select(*on, "_text_id", F.explode(_text_grams(F.col(text))).alias("_gram")).join(asked, [*on, "_gram"], "left_semi")
     )
-    return (
-        needles.join(anchors, [*on, needle])
-        .join(posted, [*on, "_gram"])
-        .filter(F.contains(F.col(text), F.col(needle)))
-        .drop("_gram")
+    spread = posted.groupBy(*on, "_gram").agg(F.count("*").alias("_texts"))
+    anchors = materialize(
+        grams.join(spread, [*on, "_gram"]).groupBy(*on, needle).agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
     )
+    looked_up = keyed_join(posted, anchors, [*on, "_gram"]).select("_text_id", needle)
+    found = keyed_join(looked_up, numbered, ["_text_id"]).filter(F.contains(F.col(text), F.col(needle))).drop("_text_id")
+    return keyed_join(needles, materialize(found), [*on, needle])

@@ -20,11 +20,11 @@ CLEANED, NAMED, ENRICHED = "vehicles_cleaned", "vehicles_models_cleaned", "vehic
 def silver(
     raw: DataFrame,
     manufacturers: list[str] | None = None,
-    fraction: float = S.SAMPLE_FRACTION,
+    fraction: float = 1.0,
     seed: int | None = None,
     key: list[str] | None = None,
 ) -> DataFrame:
-    """Chosen manufacturers, sampled, without unused columns and invalid rows."""
+    """Chosen manufacturers, without unused columns and invalid rows; a ``fraction`` below 1 samples."""
     chosen = filter_manufacturers(raw, manufacturers)
     return filter_valid(drop_columns(sample_rows(chosen, fraction, seed, key)))
 

@@ -33,10 +33,9 @@ def describe_schema(df: DataFrame) -> DataFrame:
 
 
 def schema_text(spark: SparkSession, name: str) -> str:
-    """Column list of a table as text, or the reason why it cannot be read."""
+    """A table's columns and types in one line, or why it cannot be read."""
     try:
-        columns = describe_schema(spark.table(name)).orderBy("position")
-        lines = [f"- {r['name']} ({r['type']})" for r in columns.collect()]
+        columns = describe_schema(spark.table(name)).orderBy("position").collect()
     except Exception as error:
-        return f"Error fetching schema for {name}: {error}"
-    return "\n".join([f"Table: {name}", "Columns:", *lines]) + "\n"
+        return f"{name} cannot be read ({error})"
+    return f"{name}({', '.join(r['name'] + ' ' + r['type'] for r in columns)})"

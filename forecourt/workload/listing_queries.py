@@ -1,24 +1,29 @@
 """Queries over the derived listings: sources, preparation, model names, enrichment."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from forecourt import schemas as S
 from forecourt.operators import enrich, models, prepare, quality
 from forecourt.plans import refine
-from forecourt.plans.joins import materialize
+from forecourt.plans.joins import materialize, shared_folder
 from forecourt.sources import files, tables
 from forecourt.workload.registry import query
-from forecourt.workload.views import LISTINGS_SQL, listings, table
+from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, listings, price_list, table
 
 _VALID = "price <> 0 AND price IS NOT NULL AND year IS NOT NULL AND model IS NOT NULL AND odometer IS NOT NULL"
 _MAKERS = "manufacturer IN ('ford', 'toyota', 'chevrolet', 'honda')"
 
 
-def _scratch(spark, name: str) -> str:
-    """A folder of this application below the checkpoint folder, which all executors share."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        materialize(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+def _scratch(spark) -> str:
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _schema_name() -> str:
+    """A schema of this run alone."""
+    return f"market_{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -26,7 +31,7 @@ def _scratch(spark, name: str) -> str:
 @query(f"""WITH {LISTINGS_SQL}
 SELECT id, price, year, manufacturer, model, odometer, description FROM listings""")
 def csv_round_trip(spark, sf_dir):
-    path = _scratch(spark, "csv_round_trip")
+    path = _scratch(spark)
     raw = listings(spark, sf_dir)
     absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.LISTING if f.name not in raw.columns]
     files.write_csv(raw.select("*", *absent).select(*S.LISTING.names), path)
@@ -38,18 +43,14 @@ def csv_round_trip(spark, sf_dir):
 @query(f"""WITH {LISTINGS_SQL}
 SELECT id, manufacturer, model, price FROM listings WHERE {_VALID}""")
 def table_round_trip(spark, sf_dir):
-    tables.ensure_schema(spark, "market")
-    name = "market.vehicles_cleaned"
+    schema = _schema_name()
+    tables.ensure_schema(spark, schema)
+    name = f"{schema}.vehicles_cleaned"
     cleaned = prepare.filter_valid(listings(spark, sf_dir))
-    tables.write_table(cleaned, name, path=_scratch(spark, "table_round_trip"))
+    tables.write_table(cleaned, name, path=_scratch(spark))
     return tables.read_table(spark, name).select("id", "manufacturer", "model", "price")
 
 
-@query()
-def file_inventory(spark, sf_dir):
-    return files.file_inventory(spark, sf_dir, "*.parquet")
-
-
 # --- preparation -------------------------------------------------------------
 
 _KEPT = ["id", "price", "year", "manufacturer", "model", "condition", "cylinders", "fuel", "odometer", "transmission",
@@ -68,9 +69,18 @@ def hash_sample(spark, sf_dir):
     return prepare.sample_rows(events, 0.01, key=["event_id"])
 
 
-@query()
+@query("SELECT true AS all_drawn_from_the_table, true AS none_twice, true AS share_within_bounds")
 def random_sample(spark, sf_dir):
-    return prepare.sample_rows(prepare.filter_manufacturers(listings(spark, sf_dir)), seed=7).select("id", "manufacturer")
+    """What holds of any random sample of distinct rows: five standard deviations bound its share."""
+    rows = materialize(listings(spark, sf_dir).select("id", "manufacturer").withColumn("row", F.monotonically_increasing_id()))
+    drawn = prepare.sample_rows(rows, 0.1, seed=7)
+    counted = rows.join(drawn.groupBy("row").agg(F.count("*").alias("times")), "row", "left")
+    n, some = F.count("*"), F.count("times")
+    return counted.agg(
+        (some <= n).alias("all_drawn_from_the_table"),
+        (F.coalesce(F.max("times"), F.lit(1)) == 1).alias("none_twice"),
+        (F.abs(some - 0.1 * n) <= 5 * F.sqrt(0.09 * n)).alias("share_within_bounds"),
+    )
 
 
 @query(f"""WITH {LISTINGS_SQL}
@@ -109,7 +119,7 @@ proposed AS (
     SELECT manufacturer, split_part(lower(model), ' ', 1) AS canonical, count(*) AS n FROM listings
     WHERE manufacturer IS NOT NULL AND model IS NOT NULL GROUP BY ALL
   )
-  WHERE n >= 2 AND n >= 0.00001 * (SELECT count(*) FROM listings WHERE manufacturer IS NOT NULL AND model IS NOT NULL)
+  WHERE n >= 2 AND canonical <> ''
 )"""
 
 
@@ -279,3 +289,52 @@ def recovery_report_all_columns(spark, sf_dir):
     before = listings(spark, sf_dir)
     after = enrich.merge_extracted(enrich.extract_fields_rules(before))
     return quality.recovery_report(before, after, same_columns=False)
+
+
+# --- the whole chain ---------------------------------------------------------
+
+def _refreshed(spark, sf_dir):
+    """Bronze to gold from the two CSV sources, in a schema of this run: (schema, report)."""
+    folder, schema = _scratch(spark), _schema_name()
+    raw = listings(spark, sf_dir)
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.LISTING if f.name not in raw.columns]
+    files.write_csv(raw.select("*", *absent).select(*S.LISTING.names), f"{folder}/listings")
+    prices = price_list(spark, sf_dir).select("component", "diagnostic", F.col("reparation_cost").cast("int").alias("reparation_cost"))
+    files.write_csv(prices, f"{folder}/prices")
+    names = models.dictionary_frame(spark, _NAMES)
+    extract = lambda df: enrich.extract_fields_udf(df, _regex_extractor(enrich.RULES, enrich.NUMBERS), partitions=8)
+    report = refine.refresh_tables(spark, schema, f"{folder}/listings", f"{folder}/prices", names, extract, key=["id"])
+    return schema, report
+
+
+_CHAIN_GOLD_SQL = f"""named AS (
+  SELECT * REPLACE (CASE manufacturer {' '.join(_nested_case(m) for m in _NAMES)} ELSE model END AS model)
+  FROM listings WHERE {_MAKERS} AND {_VALID}
+), gold AS (
+  SELECT manufacturer, model, year, price, odometer, cylinders,
+  {', '.join(_filled(c, 'VARCHAR') for c in ('condition', 'fuel', 'transmission', 'drive', 'type', 'paint_color'))} FROM named
+)"""
+
+
+@query(f"WITH {LISTINGS_SQL}, {_CHAIN_GOLD_SQL} SELECT * FROM gold")
+def refreshed_gold(spark, sf_dir):
+    schema, _ = _refreshed(spark, sf_dir)
+    gold = tables.read_table(spark, f"{schema}.{refine.ENRICHED}")
+    return gold.select("manufacturer", "model", "year", "price", "odometer", "cylinders", "condition", "fuel", "transmission", "drive", "type", "paint_color")
+
+
+@query(f"WITH {PRICE_LIST_SQL} SELECT component, diagnostic, reparation_cost FROM price_list")
+def refreshed_price_list(spark, sf_dir):
+    schema, _ = _refreshed(spark, sf_dir)
+    return tables.read_table(spark, f"{schema}.{refine.REPAIRS}")
+
+
+_CHAIN_COLUMNS = ["condition", "fuel", "transmission", "drive", "type", "paint_color", "manufacturer", "model", "year", "price", "odometer", "cylinders"]
+
+
+@query(f"""WITH {LISTINGS_SQL}, {_CHAIN_GOLD_SQL},
+sums AS (SELECT (SELECT sum(n_nulls) FROM ({_null_sql('named', _CHAIN_COLUMNS)})) AS a,
+  (SELECT sum(n_nulls) FROM ({_null_sql('gold', _CHAIN_COLUMNS)})) AS b)
+SELECT a AS initial_nulls, b AS final_nulls, a - b AS recovered, coalesce(round((a - b) / nullif(a, 0) * 100, 2), 0) AS percentage FROM sums""")
+def refreshed_report(spark, sf_dir):
+    return _refreshed(spark, sf_dir)[1]

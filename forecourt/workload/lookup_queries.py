@@ -132,23 +132,32 @@ def repairs_for(spark, sf_dir):
     return repair.repairs_for(price_list(spark, sf_dir), "PROMO noise", [" Ring "])
 
 
-@query(f"""WITH {PRICE_LIST_SQL} SELECT component, diagnostic, reparation_cost FROM price_list
-ORDER BY component NULLS FIRST, diagnostic NULLS FIRST, reparation_cost NULLS FIRST LIMIT 50""")
-def repairs_for_nothing_capped(spark, sf_dir):
-    return repair.repairs_for(price_list(spark, sf_dir), cap=50)
+@query(f"""WITH {PRICE_LIST_SQL} SELECT component, diagnostic, reparation_cost FROM price_list""")
+def repairs_for_nothing(spark, sf_dir):
+    return repair.repairs_for(price_list(spark, sf_dir))
 
 
-@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}
-SELECT request_id, 0 AS relax_tier, component, diagnostic, reparation_cost, count(*) AS copies
-FROM hits JOIN numbered USING (rid) WHERE tier = 0 GROUP BY ALL""")
+_SETS_SQL = """
+named_sets AS (SELECT request_id, array_to_string(list_sort(list_distinct(terms)), '; ') AS term_set FROM asked),
+sets AS (SELECT term_set, min(request_id) AS request_id FROM named_sets GROUP BY term_set)"""
+
+
+@query(f"WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_SETS_SQL} SELECT request_id, term_set FROM named_sets")
+def request_term_sets(spark, sf_dir):
+    return repair.request_term_sets(requests(spark, sf_dir))
+
+
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_SETS_SQL}
+SELECT term_set, 0 AS relax_tier, component, diagnostic, reparation_cost, count(*) AS copies
+FROM sets JOIN hits USING (request_id) JOIN numbered USING (rid) WHERE tier = 0 GROUP BY ALL""")
 def match_repairs(spark, sf_dir):
     return repair.match_repairs(requests(spark, sf_dir), price_list(spark, sf_dir))
 
 
-@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}
-SELECT request_id, 0 AS relax_tier, component, diagnostic, reparation_cost, count(*) AS copies
-FROM requests JOIN price_list ON model IS NULL OR contains(lower(component), lower(trim(model)))
-  OR contains(lower(diagnostic), lower(trim(model))) GROUP BY ALL""")
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL},
+sets AS (SELECT DISTINCT coalesce(lower(trim(model)), '') AS term_set FROM requests)
+SELECT term_set, 0 AS relax_tier, component, diagnostic, reparation_cost, count(*) AS copies
+FROM sets JOIN price_list ON term_set = '' OR contains(lower(component), term_set) OR contains(lower(diagnostic), term_set) GROUP BY ALL""")
 def match_repairs_of_one_component(spark, sf_dir):
     asked = requests(spark, sf_dir).select(
         "request_id", F.lit("").alias("diagnosis"), F.concat(F.lit(" "), F.upper("model")).alias("components")
@@ -156,43 +165,16 @@ def match_repairs_of_one_component(spark, sf_dir):
     return repair.match_repairs(asked, price_list(spark, sf_dir))
 
 
-_RANKED_SQL = """
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_SETS_SQL},
 best AS (SELECT request_id, min(tier) AS tier FROM hits GROUP BY request_id),
-ranked AS (
-  SELECT request_id, tier, component, diagnostic, reparation_cost,
-    row_number() OVER (PARTITION BY request_id
-      ORDER BY component NULLS FIRST, diagnostic NULLS FIRST, reparation_cost NULLS FIRST) AS nth
-  FROM hits JOIN best USING (request_id, tier) JOIN numbered USING (rid)
-)"""
-
-
-@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_RANKED_SQL},
-figures AS (
-  SELECT request_id, tier, CAST(sum(coalesce(reparation_cost, 0)) AS DOUBLE) AS total, count(*) AS n,
-    string_agg(component || ' | ' || diagnostic || ' | ' || coalesce(CAST(reparation_cost AS VARCHAR), ''), '; ' ORDER BY nth)
-      FILTER (WHERE nth <= 50) AS repairs
-  FROM ranked GROUP BY ALL
-)
-SELECT request_id, tier AS relax_tier, total AS total_estimated_cost, coalesce(n, 0) AS num_repairs, repairs AS identified_repairs
-FROM requests LEFT JOIN figures USING (request_id)""")
-def repair_estimate(spark, sf_dir):
-    found = repair.repair_estimate(requests(spark, sf_dir), price_list(spark, sf_dir))
-    line = lambda r: F.concat(
-        r["component"], F.lit(" | "), r["diagnostic"], F.lit(" | "), F.coalesce(r["reparation_cost"].cast("string"), F.lit(""))
-    )
-    return found.withColumn("identified_repairs", F.array_join(F.transform("identified_repairs", line), "; "))
-
-
-@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_NUMBERED_SQL}, {_TERMS_SQL}, {_RANKED_SQL},
 figures AS (
   SELECT request_id, tier, CAST(sum(coalesce(reparation_cost, 0)) AS DOUBLE) AS total, count(*) AS n
-  FROM ranked WHERE nth <= 50 GROUP BY ALL
+  FROM hits JOIN best USING (request_id, tier) JOIN numbered USING (rid) GROUP BY ALL
 )
-SELECT request_id, tier AS relax_tier, total AS total_estimated_cost, coalesce(n, 0) AS num_repairs
-FROM requests LEFT JOIN figures USING (request_id)""")
-def repair_estimate_capped(spark, sf_dir):
-    found = repair.repair_estimate(requests(spark, sf_dir), price_list(spark, sf_dir), cap_total=True)
-    return found.drop("identified_repairs")
+SELECT request_id, term_set, tier AS relax_tier, total AS total_estimated_cost, coalesce(n, 0) AS num_repairs
+FROM requests JOIN named_sets USING (request_id) LEFT JOIN figures USING (request_id)""")
+def repair_estimate(spark, sf_dir):
+    return repair.repair_estimate(requests(spark, sf_dir), price_list(spark, sf_dir))
 
 
 # --- advice ------------------------------------------------------------------
@@ -220,21 +202,20 @@ costs AS (
 ),
 priced AS (
   SELECT k.*, CASE WHEN ready THEN mean END AS base_value, CASE WHEN ready THEN coalesce(n, 0) END AS num_cars_sold,
-    CASE WHEN ready THEN coalesce(cost, 0) END AS repair_cost, coalesce(deviation, 0) / 2 AS half
-  FROM known k LEFT JOIN figures USING (request_id) LEFT JOIN costs USING (request_id)
+    CASE WHEN ready THEN coalesce(cost, 0) END AS repair_cost, coalesce(deviation, 0) / 2 AS half,
+    len(terms) > 0 AND cost IS NULL AS unpriced
+  FROM known k LEFT JOIN figures USING (request_id) LEFT JOIN costs USING (request_id) LEFT JOIN asked USING (request_id)
 )
 SELECT request_id, ready, missing, {_round_sql('base_value', 'base_value')}, num_cars_sold, repair_cost,
   {_round_sql('base_value - repair_cost', 'list_price')},
   {_round_sql('CASE WHEN base_value IS NOT NULL THEN greatest(base_value - repair_cost - half, 0) END', 'price_low')},
   {_round_sql('CASE WHEN base_value IS NOT NULL THEN greatest(base_value - repair_cost + half, 0) END', 'price_high')},
-  CASE WHEN NOT ready THEN 'ask' WHEN base_value IS NULL THEN 'no_market' WHEN repair_cost = 0 THEN 'list'
+  CASE WHEN NOT ready THEN 'ask' WHEN base_value IS NULL THEN 'no_market' WHEN unpriced THEN 'no_repair_price' WHEN repair_cost = 0 THEN 'list'
     WHEN repair_cost < 300 THEN 'fix_first' ELSE 'as_is' END AS strategy
 FROM priced""")
 def advise(spark, sf_dir):
     told = advice.advise(requests(spark, sf_dir), _sold(spark, sf_dir), price_list(spark, sf_dir))
     told = told.withColumn("missing", F.concat_ws(" ", "missing"))
-    for c in ("price_low", "price_high"):
-        told = told.withColumn(c, F.when(F.col("base_value").isNotNull(), F.col(c)))
     return _rounded(told, "base_value", "list_price", "price_low", "price_high")
 
 
@@ -243,25 +224,52 @@ def advise(spark, sf_dir):
 _ADHOC = """
 SELECT manufacturer, count(*) AS num_cars_sold, max(price) AS top_price FROM adhoc_listings
 WHERE price > {least} GROUP BY manufacturer ORDER BY manufacturer"""
+_BY_NAME = """
+SELECT manufacturer, model, count(*) AS n FROM adhoc_listings WHERE manufacturer IS NOT NULL AND model IS NOT NULL
+GROUP BY manufacturer, model ORDER BY n DESC, manufacturer, model LIMIT 120"""
+_WITH_ADHOC = f"WITH {LISTINGS_SQL}, adhoc_listings AS (SELECT * FROM listings)"
 
 
-def _run_adhoc(spark, sf_dir) -> DataFrame:
+def _run_adhoc(spark, sf_dir, least: int = 50000) -> DataFrame:
     listings(spark, sf_dir).createOrReplaceTempView("adhoc_listings")
-    return adhoc.run_readonly_sql(spark, _ADHOC.format(least=":least") + ";", args={"least": 50000})
+    return adhoc.run_readonly_sql(spark, _ADHOC.format(least=":least") + ";", args={"least": least})
 
 
-@query(f"WITH {LISTINGS_SQL}, adhoc_listings AS (SELECT * FROM listings) {_ADHOC.format(least=50000)} LIMIT 100")
+@query(f"{_WITH_ADHOC} {_ADHOC.format(least=50000)}")
 def run_readonly_sql(spark, sf_dir):
     return _run_adhoc(spark, sf_dir)
 
 
-@query(f"""WITH {LISTINGS_SQL}, adhoc_listings AS (SELECT * FROM listings), rows AS ({_ADHOC.format(least=50000)})
-SELECT true AS found, count(*) AS row_count, sum(num_cars_sold) AS n FROM rows""")
-def result_envelope(spark, sf_dir):
-    envelope = adhoc.result_envelope(_run_adhoc(spark, sf_dir))
-    told = F.from_json("result", "found boolean, row_count long, data array<struct<num_cars_sold:long>>")
-    return envelope.select(told.alias("t")).select(
-        "t.found",
-        "t.row_count",
+@query(f"{_WITH_ADHOC} {_BY_NAME}")
+def run_readonly_sql_with_limit(spark, sf_dir):
+    """The limit is the text's own."""
+    listings(spark, sf_dir).createOrReplaceTempView("adhoc_listings")
+    return adhoc.run_readonly_sql(spark, _BY_NAME)
+
+
+def _envelope(rows: DataFrame, cap: int) -> DataFrame:
+    told = F.from_json("result", "found boolean, row_count long, total_rows long, truncated boolean, data array<struct<num_cars_sold:long>>")
+    return adhoc.result_envelope(rows, cap).select(told.alias("t")).select(
+        "t.found", "t.row_count", "t.total_rows", "t.truncated",
         F.aggregate("t.data.num_cars_sold", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"),
     )
+
+
+@query(f"""{_WITH_ADHOC}, rows AS ({_ADHOC.format(least=50000)})
+SELECT true AS found, count(*) AS row_count, count(*) AS total_rows, false AS truncated, sum(num_cars_sold) AS n FROM rows""")
+def result_envelope(spark, sf_dir):
+    return _envelope(_run_adhoc(spark, sf_dir), 100)
+
+
+@query(f"""{_WITH_ADHOC}, rows AS ({_ADHOC.format(least=50000)}), first AS (SELECT * FROM rows ORDER BY manufacturer NULLS FIRST LIMIT 5)
+SELECT true AS found, (SELECT count(*) FROM first) AS row_count, (SELECT count(*) FROM rows) AS total_rows, true AS truncated,
+  (SELECT sum(num_cars_sold) FROM first) AS n""")
+def result_envelope_truncated(spark, sf_dir):
+    """The cap is the envelope's feature; it tells how many rows there are."""
+    return _envelope(_run_adhoc(spark, sf_dir), 5)
+
+
+@query(f"""{_WITH_ADHOC}, rows AS ({_ADHOC.format(least=10**12)})
+SELECT count(*) > 0 AS found, CAST(NULL AS BIGINT) AS row_count, CAST(NULL AS BIGINT) AS total_rows, CAST(NULL AS BOOLEAN) AS truncated, 0 AS n FROM rows""")
+def result_envelope_not_found(spark, sf_dir):
+    return _envelope(_run_adhoc(spark, sf_dir, 10**12), 100)

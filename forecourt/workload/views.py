@@ -21,12 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _over_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer partitions than cores, as a small file has; larger tables pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -37,7 +31,7 @@ def _unless(test: Column, value: Column) -> Column:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    sold = _over_all_cores(table(spark, sf_dir, "lineitem"))
+    sold = table(spark, sf_dir, "lineitem")
     joined = sold.join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
     line, order = c("l_linenumber"), c("l_orderkey")
     maker = _pick(MAKERS, F.substring("p_brand", 7, 2).cast("int"))

@@ -98,7 +98,7 @@ def test_proposed_dictionary(spark):
     data = [("toyota", "Corolla 4dr")] * 3 + [("toyota", "corolla"), ("toyota", "yaris 2wd"), ("toyota", "yaris"), ("toyota", "odd one")]
     df = spark.createDataFrame(data, PAIR)
     assert rows(models.propose_dictionary(df)) == [("toyota", 0, "corolla", 4), ("toyota", 1, "yaris", 2)]
-    assert rows(models.propose_dictionary(df, min_share=0.5)) == [("toyota", 0, "corolla", 4)]
+    assert rows(models.propose_dictionary(df, min_count=3)) == [("toyota", 0, "corolla", 4)]
 
 
 def test_fixed_values():

@@ -25,7 +25,7 @@ def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "null"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return repr(float(value))
+        return f"{float(value):.10g}"
     return str(value)
 
 

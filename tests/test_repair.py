@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from forecourt.functions.text import coerce_components
-from forecourt.operators.repair import match_repairs, repair_estimate, repairs_for
+from forecourt.operators.repair import match_repairs, repair_estimate, repairs_for, request_term_sets
 from forecourt.sources.repair_prices import default_repair_catalog
 
 REQUEST = "request_id int, diagnosis string, components array<string>"
@@ -67,15 +67,14 @@ def test_fallback_to_words(spark, prices):
         (3, "xyzzy", None),
         (4, None, None),
     ], REQUEST)
-    found = {r["request_id"]: r for r in repair_estimate(asked, prices).collect()}
+    found = {r["request_id"]: r for r in repair_estimate(asked, prices, list_rows=50).collect()}
     assert (found[1]["relax_tier"], found[1]["total_estimated_cost"], found[1]["num_repairs"]) == (0, 150.0, 1)
     assert (found[2]["relax_tier"], found[2]["total_estimated_cost"]) == (1, 300.0)
     assert (found[3]["relax_tier"], found[3]["total_estimated_cost"], found[3]["identified_repairs"]) == (None, None, None)
     assert (found[4]["total_estimated_cost"], found[4]["num_repairs"], len(found[4]["identified_repairs"])) == (54630.0, 99, 50)
     plain = {r["request_id"]: r for r in repair_estimate(asked, prices, min_word=None).collect()}
     assert plain[2]["total_estimated_cost"] is None
-    capped = {r["request_id"]: r for r in repair_estimate(asked, prices, list_rows=2, cap_total=True).collect()}
-    assert (capped[4]["total_estimated_cost"], capped[4]["num_repairs"]) == (1750.0, 2)
+    assert (found[4]["truncated"], found[1]["truncated"], "identified_repairs" in plain[1]) == (True, False, False)
 
 
 def brute_force(diagnosis, components, catalog, min_word):
@@ -110,12 +109,15 @@ def test_batch_equals_brute_force(spark):
         total = float(sum(r[2] or 0 for r in found)) if found else None
         expected.append((key, rung, total, len(found), sorted(found, key=order)[:50] if found else None))
     got = [
-        (r[0], r[1], r[2], r[3], None if r[4] is None else [tuple(x) for x in r[4]])
-        for r in repair_estimate(requests, prices).collect()
+        (r["request_id"], r["relax_tier"], r["total_estimated_cost"], r["num_repairs"],
+         None if r["identified_repairs"] is None else [tuple(x) for x in r["identified_repairs"]])
+        for r in repair_estimate(requests, prices, list_rows=50).collect()
     ]
     assert sorted(got) == sorted(expected)
 
-    pairs = match_repairs(requests, prices).withColumn("n", F.explode(F.expr("sequence(1L, copies)"))).select(
+    sets = request_term_sets(requests)
+    assert match_repairs(requests, prices).select("term_set").distinct().count() <= sets.select("term_set").distinct().count()
+    pairs = match_repairs(requests, prices).join(sets, "term_set").withColumn("n", F.explode(F.expr("sequence(1L, copies)"))).select(
         "request_id", "component", "diagnostic", "reparation_cost"
     )
     wanted = [(k, *row) for k, d, c in asked for rung, found in [brute_force(d, c, catalog, 99)] if rung == 0 for row in found]

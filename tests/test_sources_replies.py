@@ -50,8 +50,8 @@ def test_tables_are_replaced(spark):
     tables.write_table(spark.range(3), "market_test.t")
     assert tables.write_table(spark.range(2), "market_test.t").count() == 2
     assert tables.read_table(spark, "market_test.t").count() == 2
-    assert tables.schema_text(spark, "market_test.t") == "Table: market_test.t\nColumns:\n- id (bigint)\n"
-    assert tables.schema_text(spark, "market_test.none").startswith("Error fetching schema for market_test.none")
+    assert tables.schema_text(spark, "market_test.t") == "market_test.t(id bigint)"
+    assert tables.schema_text(spark, "market_test.none").startswith("market_test.none cannot be read (")
     assert rows(tables.describe_schema(spark.table("market_test.t"))) == [(0, "id", "bigint")]
 
 
@@ -97,10 +97,10 @@ def test_conversations(spark):
     turns = spark.createDataFrame([
         (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "z"), (2, 0, "user", "only"), (2, 1, "assistant", None),
     ], TURNS)
-    new = spark.createDataFrame([(1, "next"), (3, "first")], "conv_id int, text string")
+    new = spark.createDataFrame([(1, "next"), (1, "after"), (3, "first")], "conv_id int, text string")
     history = conversations.conversation_history(turns, new)
     assert [tuple(r) for r in history.collect()] == [
-        (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "z"), (1, 3, "user", "next"),
+        (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "z"), (1, 3, "user", "after"), (1, 4, "user", "next"),
         (2, 0, "user", "only"), (2, 1, "assistant", None), (3, 0, "user", "first"),
     ]
     assert rows(conversations.last_reply(turns)) == [(1, "a"), (2, "only")]
@@ -119,7 +119,8 @@ WRITES = [
     "ALTER TABLE v ADD COLUMN x INT", "TRUNCATE TABLE v", "SET a = b", "EXECUTE IMMEDIATE 'DROP TABLE v'",
     "BEGIN DROP TABLE v; END", "SELECT TRANSFORM(id) USING 'cat' FROM v", "SELECT (SELECT TRANSFORM(id) USING 'cat' FROM v)",
     "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1", "FROM v INSERT INTO t SELECT 1 INSERT INTO u SELECT 2",
-    "CACHE TABLE v", "CREATE VIEW w AS SELECT 1", "DECLARE x INT", "WITH a AS (SELECT TRANSFORM(id) USING 'cat' FROM v) SELECT * FROM a",
+    "SELECT reflect('java.lang.System', 'setProperty', 'x.y', 'z')", "SELECT id FROM v WHERE java_method('java.util.UUID', 'randomUUID') > ''",
+    "SELECT (SELECT max(try_reflect('java.lang.Math', 'abs', id)) FROM v)", "CACHE TABLE v", "CREATE VIEW w AS SELECT 1", "DECLARE x INT", "WITH a AS (SELECT TRANSFORM(id) USING 'cat' FROM v) SELECT * FROM a",
 ]
 
 
@@ -140,13 +141,16 @@ def test_writes_are_refused(spark, view, text):
 
 
 def test_cap_and_parameters(spark):
-    assert adhoc.run_readonly_sql(spark, "SELECT * FROM range(500) LIMIT 300").count() == 100
+    assert adhoc.run_readonly_sql(spark, "SELECT * FROM range(500) LIMIT 300").count() == 300
+    assert adhoc.run_readonly_sql(spark, "SELECT * FROM range(500)", cap=100).count() == 100
     assert rows(adhoc.run_readonly_sql(spark, "SELECT :t AS t", args={"t": "won't start"})) == [("won't start",)]
 
 
 def test_envelope(spark):
     told = json.loads(adhoc.answer_sql(spark, "SELECT id FROM range(3)"))
-    assert told == {"found": True, "data": [{"id": 0}, {"id": 1}, {"id": 2}], "row_count": 3}
+    assert told == {"found": True, "data": [{"id": 0}, {"id": 1}, {"id": 2}], "row_count": 3, "total_rows": 3, "truncated": False}
+    many = json.loads(adhoc.answer_sql(spark, "SELECT 999 - id AS x FROM range(1000)"))
+    assert (many["row_count"], many["total_rows"], many["truncated"], many["data"][0]) == (100, 1000, True, {"x": 0})
     none = json.loads(adhoc.answer_sql(spark, "SELECT id FROM range(0)"))
     assert (none["found"], none["data"]) == (False, []) and none["message"]
     zero = json.loads(adhoc.answer_sql(spark, "SELECT count(*) AS num_cars_sold FROM range(0)"))
@@ -166,6 +170,7 @@ def test_readiness_and_advice(spark):
         (3, "toyota", "camry", 2020, "good", 50000, "check engine light", None),
         (4, "toyota", " ", None, "good", 50000, None, "horn"),
         (5, "trabant", "601", 1980, "good", 50000, None, "horn"),
+        (6, "toyota", "camry", 2020, "good", 50000, None, "teleporter"),
     ], REQUEST)
     cars = spark.createDataFrame(
         [("toyota", "camry", 2020, "good", 50000, p) for p in (9000.0, 10000.0, 14000.0)],
@@ -174,10 +179,11 @@ def test_readiness_and_advice(spark):
     ready = {r["request_id"]: (r["ready"], r["missing"]) for r in request_readiness(asked).collect()}
     assert ready[1] == (True, []) and ready[4] == (False, ["model", "year"])
     told = {r["request_id"]: r for r in advise(asked, cars, default_repair_catalog(spark)).collect()}
-    assert {k: r["strategy"] for k, r in told.items()} == {1: "list", 2: "fix_first", 3: "as_is", 4: "ask", 5: "no_market"}
+    assert {k: r["strategy"] for k, r in told.items()} == {1: "list", 2: "fix_first", 3: "as_is", 4: "ask", 5: "no_market", 6: "no_repair_price"}
     assert (told[1]["base_value"], told[1]["list_price"], told[2]["list_price"]) == (11000.0, 11000.0, 10850.0)
     assert told[3]["repair_cost"] == 600 + 600 + 1500 + 250 + 150
     assert told[1]["price_low"] < 11000 < told[1]["price_high"]
+    assert all(told[k][c] is None for k in (4, 5) for c in ("price_low", "price_high"))
     assert (told[4]["list_price"], told[4]["repair_cost"], told[5]["list_price"]) == (None, None, None)
     median = {r["request_id"]: r for r in advise(asked, cars, default_repair_catalog(spark), base="median").collect()}
     assert median[1]["list_price"] == 10000.0
