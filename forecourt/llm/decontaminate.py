@@ -110,21 +110,9 @@ class Passages:
         length = np.add.reduceat(idf[self.words >> np.uint64(64 - BITS)] ** 2, self.start) if len(self.start) else np.zeros(0)
         self.length = np.sqrt(np.bincount(pair, length, len(pair)))
 
-    def _runs_of(self, basis: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sum over the words of each run of their rows of ``basis``."""
-        out = np.zeros((len(self.text), basis.shape[1]), dtype=np.float32)
-        for i in range(0, len(out), 2048):
-            bounds = self.bounds[i : i + 2049]
-            lo, hi = bounds[0], bounds[-1]
-            full = np.flatnonzero(np.diff(bounds))
-            if len(full):
-                part = basis[self.term[lo:hi]] * weight[lo:hi, None]
-                out[i + full] = np.add.reduceat(part, bounds[full] - lo, axis=0)
-        return out
-
     def latent(self, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, runs): passages in the directions of ``basis``, of length one, and the run each begins with."""
-        each = self._runs_of(basis, self.weight)
+        each = _weighed_sums(basis, self.term, self.weight, self.bounds)
         if len(each):
             ends = np.append(self.text[1:] != self.text[:-1], True)
             each[~ends] += each[1:][~ends[:-1]]
@@ -135,16 +123,35 @@ class Passages:
     def gram_times(self, basis: np.ndarray) -> np.ndarray:
         """Transpose of the rows, of length one, times the rows times ``basis``."""
         weight = (self.weight / np.maximum(self.length[self.pair], 1e-9)).astype(np.float32)
-        each = self._runs_of(basis, weight)
+        each = _weighed_sums(basis, self.term, weight, self.bounds)
         odd = np.flatnonzero((np.arange(len(self.text)) - np.searchsorted(self.text, self.text)) % 2)
         each[odd - 1] += each[odd]
-        out = np.zeros(basis.shape)
         order = np.argsort(self.term, kind="stable")
-        for i in range(0, len(order), 1 << 17):
-            some = order[i : i + (1 << 17)]
-            first = np.flatnonzero(np.diff(self.term[some], prepend=-1))
-            out[self.term[some[first]]] += np.add.reduceat(each[self.pair[some]] * weight[some, None], first, axis=0)
-        return out
+        bounds = np.searchsorted(self.term[order], np.arange(len(basis) + 1))
+        return _weighed_sums(each, self.pair[order], weight[order], bounds)
+
+
+def _weighed_sums(rows: np.ndarray, index: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each span of ``bounds``, the sum of weight * rows[index] over it.
+
+    Spans are cut into pieces of STRIDE, filled up with weight 0, whose sums are matrix products.
+    """
+    lengths = np.diff(bounds)
+    pieces = -(-lengths // STRIDE)
+    first = np.cumsum(pieces) - pieces
+    n = int(pieces.sum())
+    at = np.repeat(first * STRIDE - bounds[:-1], lengths) + np.arange(len(index))
+    padded, factor = np.zeros(n * STRIDE, dtype=np.int64), np.zeros(n * STRIDE, dtype=np.float32)
+    padded[at], factor[at] = index, weight
+    padded, factor = padded.reshape(n, STRIDE), factor.reshape(n, 1, STRIDE)
+    sums = np.empty((n, rows.shape[1]), dtype=np.float32)
+    for i in range(0, n, 1024):
+        sums[i : i + 1024] = np.matmul(factor[i : i + 1024], rows[padded[i : i + 1024]])[:, 0]
+    out = np.zeros((len(lengths), rows.shape[1]), dtype=np.float32)
+    full = np.flatnonzero(pieces)
+    if len(full):
+        out[full] = sums if n == len(full) else np.add.reduceat(sums, first[full], axis=0)
+    return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
