@@ -9,6 +9,7 @@ from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join
 
 MILE_BAND = 10_000
 PRICE_STEPS = 64  # per doubling of the price
+BASE_MODEL = 5  # added to the rung of a lookup by base model
 _ABSENT = "\u0000"
 _NOT_POSITIVE = -1_000_000  # the step of all prices that are not positive
 _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want_odometer"]
@@ -29,14 +30,20 @@ def comparables(
     condition: str | None = None,
     odometer: int | None = None,
     like_wildcards: bool = False,
+    **others: str | int | None,
 ) -> DataFrame:
     """Listings comparable with one vehicle. Fields that are None, "" or 0 are not tested.
 
-    Texts are contained ignoring case, year is within one and odometer within 20000 of
+    ``others`` are the further fields of a request: cylinders, fuel, transmission, drive, car_type,
+    paint_color. Texts are contained ignoring case, year is within one and odometer within 20000 of
     the given value, price is positive. A null listing cell fails its test.
     """
     tests = [F.col("price") > 0]
-    for column, wanted in (("manufacturer", manufacturer), ("model", model), ("condition", condition)):
+    unknown = set(others) - set(S.SECONDARY_FIELDS)
+    if unknown:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    more = [(S.SECONDARY_FIELDS[name], str(wanted or "")) for name, wanted in others.items()]
+    for column, wanted in (("manufacturer", manufacturer), ("model", model), ("condition", condition), *more):
         if wanted:
             tests.append(contains_ci(F.col(column), wanted, like_wildcards))
     for column, wanted, window in (("year", year, S.YEAR_WINDOW), ("odometer", odometer, S.ODOMETER_WINDOW)):
@@ -274,6 +281,30 @@ def market_estimate(
 ) -> DataFrame:
     """Price statistics of comparable sales for every request, relaxing filters where nothing matches.
 
+    Requests that no rung of ``ladder_estimate`` answers and whose model has several words go up the same
+    ladder with the first word alone, the base model; their ``relax_tier`` is higher by ``BASE_MODEL``.
+    """
+    first = materialize(ladder_estimate(requests, listings, request_id, max_rows).drop("found", "hint"))
+    if "model" not in requests.columns:
+        return _with_signal(first)
+    words = F.split(F.btrim("model"), r"\s+")
+    left = first.filter("num_cars_sold = 0").select(request_id)
+    again = materialize(requests.join(left, request_id, "left_semi").filter(F.size(words) > 1).withColumn("model", words[0]))
+    if again.isEmpty():
+        return _with_signal(first)
+    second = ladder_estimate(again, listings, request_id, max_rows).drop("found", "hint")
+    second = materialize(second.withColumn("relax_tier", F.col("relax_tier") + BASE_MODEL))
+    return _with_signal(first.join(second.select(request_id), request_id, "left_anti").unionByName(second))
+
+
+def ladder_estimate(
+    requests: DataFrame,
+    listings: DataFrame,
+    request_id: str = "request_id",
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Price statistics of comparable sales for every request, on the first rung where any sale matches.
+
     ``requests`` has a unique ``request_id`` and the vehicle fields; equal requests are
     looked up once. A sale meets a lookup by equality: on the distinct names of maker and
     model, and on cells of year and miles, so that sales far off in either are not

@@ -13,9 +13,16 @@ YEAR_WINDOW = 1
 WIDE_YEAR_WINDOW = 3
 ODOMETER_WINDOW = 20000
 MARKET_ROW_CAP = 100
-REPAIR_ROW_CAP = 50
 FIX_FIRST_BELOW = 300
+SECONDARY_FIELDS = {
+    "cylinders": "cylinders", "fuel": "fuel", "transmission": "transmission", "drive": "drive", "car_type": "type",
+    "paint_color": "paint_color",
+}
 CRITICAL_FIELDS = ["manufacturer", "model", "year", "odometer", "condition"]
+EXTRACTED_FIELDS = [
+    "manufacturer", "model", "year", "price", "odometer", "transmission",
+    "fuel", "drive", "type", "paint_color", "condition",
+]
 # --- end of fixed values ---------------------------------------------------
 
 LISTING = T.StructType([
@@ -53,31 +60,8 @@ REPAIR_CATALOG = T.StructType([
     T.StructField("reparation_cost", T.IntegerType()),
 ])
 
-EXTRACTED_FIELDS = [
-    "manufacturer", "model", "year", "price", "odometer", "transmission",
-    "fuel", "drive", "type", "paint_color", "condition",
-]
 EXTRACTED = T.StructType([T.StructField(f, T.StringType()) for f in EXTRACTED_FIELDS])
 
-VEHICLE_REQUEST = T.StructType([
-    T.StructField("year", T.IntegerType()),
-    T.StructField("manufacturer", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("condition", T.StringType()),
-    T.StructField("cylinders", T.IntegerType()),
-    T.StructField("fuel", T.StringType()),
-    T.StructField("odometer", T.IntegerType()),
-    T.StructField("transmission", T.StringType()),
-    T.StructField("drive", T.StringType()),
-    T.StructField("car_type", T.StringType()),
-    T.StructField("paint_color", T.StringType()),
-])
-
-REPAIR_REQUEST = T.StructType([
-    T.StructField("diagnosis", T.StringType()),
-    T.StructField("components", T.ArrayType(T.StringType())),
-])
-
 DICTIONARY = T.StructType([
     T.StructField("manufacturer", T.StringType()),
     T.StructField("pos", T.IntegerType()),

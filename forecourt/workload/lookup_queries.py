@@ -49,6 +49,14 @@ def comparables_wildcards(spark, sf_dir):
     return found.select("id", "manufacturer", "model", "price")
 
 
+@query(f"""WITH {LISTINGS_SQL}
+SELECT id, manufacturer, model, price FROM listings WHERE price > 0 AND lower(manufacturer) LIKE '%ford%' AND lower(fuel) LIKE '%gas%'
+  AND lower(drive) LIKE '%fwd%' AND lower(paint_color) LIKE '%red%' AND lower(cylinders) LIKE '%4%'""")
+def comparables_all_fields(spark, sf_dir):
+    found = market.comparables(listings(spark, sf_dir), "Ford", fuel="GAS", drive="fwd", paint_color="red", cylinders=4, car_type=None)
+    return found.select("id", "manufacturer", "model", "price")
+
+
 @query(f"""WITH {LISTINGS_SQL}
 SELECT {_STATS_SQL}, count(*) > 0 AS found FROM listings
 WHERE price > 0 AND lower(manufacturer) LIKE '%toyota%' AND lower(model) LIKE '%widget%' AND year BETWEEN 1996 AND 1998""")
@@ -72,14 +80,18 @@ def market_stats_not_found(spark, sf_dir):
 
 
 _PAIRS_SQL = """
+wanted AS (
+  SELECT *, 0 AS up FROM requests
+  UNION ALL SELECT * REPLACE (split_part(trim(model), ' ', 1) AS model), 5 FROM requests WHERE contains(trim(model), ' ')
+),
 pairs AS (
-  SELECT r.request_id, l.price, CASE
+  SELECT r.request_id, l.price, up + CASE
     WHEN coalesce(r.odometer, 0) <> 0 AND NOT coalesce(abs(l.odometer - r.odometer) <= 20000, false) THEN 4
     WHEN coalesce(r.year, 0) <> 0 AND NOT coalesce(abs(l.year - r.year) <= 3, false) THEN 3
     WHEN coalesce(r.year, 0) <> 0 AND NOT coalesce(abs(l.year - r.year) <= 1, false) THEN 2
     WHEN coalesce(r.condition, '') <> '' AND NOT coalesce(contains(lower(l.condition), lower(r.condition)), false) THEN 1
     ELSE 0 END AS tier
-  FROM requests r JOIN listings l ON l.price > 0
+  FROM wanted r JOIN listings l ON l.price > 0
     AND (coalesce(r.manufacturer, '') = '' OR contains(lower(l.manufacturer), lower(r.manufacturer)))
     AND (coalesce(r.model, '') = '' OR contains(lower(l.model), lower(r.model)))
 ),

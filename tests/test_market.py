@@ -67,8 +67,8 @@ def test_nothing_found_is_signalled(cars):
     assert found["hint"]
 
 
-def brute_force(request, cars):
-    _, maker, model, year, condition, odometer = request
+def brute_force(request, cars, up=0):
+    key, maker, model, year, condition, odometer = request
 
     def text(cell, wanted):
         return not wanted or (cell is not None and wanted.lower() in cell.lower())
@@ -86,7 +86,9 @@ def brute_force(request, cars):
         if prices:
             deviation = statistics.stdev(prices) if len(prices) > 1 else None
             median = prices[(len(prices) + 1) // 2 - 1]
-            return rung, statistics.fmean(prices), median, deviation, len(prices), True
+            return up + rung, statistics.fmean(prices), median, deviation, len(prices), True
+    if model and len(model.split()) > 1:
+        return brute_force((key, maker, model.split()[0], year, condition, odometer), cars, 5)
     return None, None, None, None, 0, False
 
 
@@ -101,7 +103,7 @@ def test_ladder_equals_rung_by_rung_search(spark, max_rows):
         for i in range(300)
     ]
     wanted = [
-        (i, maybe(rng.choice(["ford", "rover", "", "RO", "kia"])), maybe(rng.choice(["ring", "f-150", "", "a", "G"])),
+        (i, maybe(rng.choice(["ford", "rover", "", "RO", "kia"])), maybe(rng.choice(["ring", "f-150", "", "a", "G", "ring gt premium", "F-150 raptor", "no such"])),
          maybe(rng.choice([0, 1985, 2000, 2005, 2030])), maybe(rng.choice(["", "new", "good", "mint"])),
          maybe(rng.choice([0, 20000, 70000, 400000])))
         for i in range(200)
@@ -162,3 +164,27 @@ def test_missing_fields_and_no_requests(spark, cars):
     assert market_estimate(only_maker, cars).first()["num_cars_sold"] == 2
     assert market_estimate(only_maker.limit(0), cars).collect() == []
     assert market_estimate(only_maker, cars.limit(0)).first()["found"] is False
+
+
+def test_base_model_after_the_ladder(spark):
+    cars = spark.createDataFrame(
+        [("ford", "fiesta", 2010, "good", 40000, 5000.0), ("ford", "fiesta st", 2015, "good", 90000, 9000.0), ("ford", "focus", 2010, "good", 40000, 7000.0)],
+        "manufacturer string, model string, year int, condition string, odometer int, price double",
+    )
+    asked = spark.createDataFrame(
+        [(1, "ford", " Fiesta Zetec S ", "about 2010"), (2, "ford", "fiesta st", "2010"), (3, "ford", "galaxy x", "2010")],
+        "request_id int, manufacturer string, model string, year string",
+    )
+    got = {r["request_id"]: (r["relax_tier"], r["num_cars_sold"], r["median_price"], r["hint"] is None) for r in market_estimate(asked, cars).collect()}
+    assert got == {1: (5, 2, 5000.0, True), 2: (3, 1, 9000.0, True), 3: (None, 0, None, False)}
+
+
+def test_further_fields_and_exact_median(spark):
+    cars = spark.createDataFrame([(float(p), "gas" if p % 2 else None) for p in range(1, 20_002)] + [(-1.0, "gas")], "price double, fuel string")
+    assert market_stats(comparables(cars)).first()["median_price"] == 10001.0
+    assert market_stats(comparables(cars, fuel="GAS", drive="")).first()["num_cars_sold"] == 10001
+    assert [tuple(r) for r in market_stats(cars, by=("fuel",)).select("fuel", "median_price", "num_cars_sold").orderBy("fuel").collect()] == [
+        (None, 10000.0, 10000), ("gas", 9999.0, 10002)
+    ]
+    with pytest.raises(ValueError):
+        comparables(cars, wheels=4)
