@@ -24,7 +24,7 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: five standard deviations of the estimate at 0.75.
 SLACK = 0.2
 #: Members of a bucket that are compared with as many others in one step.
-BLOCK = 256
+BLOCK = 512
 OUTPUT = ("doc_id", "n_shingles", "component_id", "kept", "stays")
 
 _RANDOM = np.random.default_rng(7)
@@ -130,25 +130,50 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(keep)
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components of one block or two that may be links by their sketches."""
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components of one block or two: whole sets of the pairs that may be links by their
+    sketches, the likeliest first, until every two components are linked or all their pairs are compared.
+
+    A pair that shares several bands is compared in the bucket of the first one only.
+    """
     out = []
     left, right = rows[rows["own"] == rows["low"]], rows[rows["own"] == rows["high"]]
     if rows["label"].nunique() > 1 and len(left) and len(right):
         a, b = (np.frombuffer(b"".join(side["sketch"]), dtype=np.uint16).reshape(-1, REGISTERS) for side in (left, right))
         (na, la, ia), (nb, lb, ib) = ([side[c].to_numpy() for c in ("n", "label", "node")] for side in (left, right))
+        sa, sb = left["shingles"].to_numpy(), right["shingles"].to_numpy()
+        band, joined, pairs = int(rows["band"].iat[0]), {}, []
         for i in range(0, len(left), 32):
             some = slice(i, i + 32)
             fits = 100 * np.minimum.outer(na[some], nb) >= PERCENT * np.maximum.outer(na[some], nb)
-            fits &= (la[some, None] != lb) & ((a[some, None, :] == b).sum(axis=2) >= (PERCENT / 100 - 1.25 * SLACK) * REGISTERS)
-            x, y = np.nonzero(fits)
+            x, y = np.nonzero(fits & (la[some, None] != lb))
+            x += i
+            same = a[x] == b[y]
+            near = same.sum(axis=1) >= (PERCENT / 100 - 1.25 * SLACK) * REGISTERS
+            near &= same.reshape(-1, REGISTERS // BAND, BAND).all(axis=2).argmax(axis=1) == band
+            x, y = x[near], y[near]
             if len(x):
-                x += i
-                likely = joint_similarity(a[x], b[y], na[x].astype(float), nb[y].astype(float)) >= PERCENT / 100 - SLACK
-                x, y = x[likely], y[likely]
-                out.append(pd.DataFrame({"a": np.minimum(ia[x], ib[y]), "b": np.maximum(ia[x], ib[y]),
-                                         "n_a": np.where(ia[x] < ib[y], na[x], nb[y]), "n_b": np.where(ia[x] < ib[y], nb[y], na[x])}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n_a": [], "n_b": []}, dtype="int64")
+                likely = joint_similarity(a[x], b[y], na[x].astype(float), nb[y].astype(float))
+                kept = likely >= PERCENT / 100 - SLACK
+                pairs.append(np.stack([x[kept], y[kept], -likely[kept]]))
+        if pairs:
+            x, y, unlikely = np.concatenate(pairs, axis=1)
+
+            def root(label: int) -> int:
+                while joined.get(label, label) != label:
+                    label = joined[label]
+                return label
+
+            for i in np.argsort(unlikely, kind="stable"):
+                p, q = int(x[i]), int(y[i])
+                one, other = root(la[p]), root(lb[q])
+                if one == other:
+                    continue
+                common = len(np.intersect1d(sa[p], sb[q], assume_unique=True))
+                if 100 * common >= PERCENT * (na[p] + nb[q] - common):
+                    joined[max(one, other)] = min(one, other)
+                    out.append((int(ia[p]), int(ib[q])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 _PAIR = "a long, b long, n_a long, n_b long"
@@ -171,21 +196,21 @@ class _Links:
             pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
         return pairs.mapInArrow(_likely, _PAIR)
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """The whole sets of the nodes in ``wanted``, stored: (node, shingles)."""
+        texts = self.work.store(self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "digest"))
+        found = self.docs.select("digest", "text").join(small(texts), "digest").groupBy("node").agg(F.first("text").alias("text"))
+        return self.work.store(found.mapInArrow(_whole_sets, "node long, shingles array<long>"))
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         pairs = self.work.store(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = self.work.store(self.nodes.join(wanted, "node", "left_semi").select("node", "digest"))
-        found = (
-            self.docs.select("digest", "text")
-            .join(small(texts), "digest").groupBy("node").agg(F.first("text").alias("text"))
-        )
-        sets = self.work.store(found.mapInArrow(_whole_sets, "node long, shingles array<long>"))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         for side in ("b", "a"):
             pairs = pairs.join(sets.withColumnsRenamed({"node": side, "shingles": f"set_{side}"}), side)
         common = F.size(F.array_intersect("set_a", "set_b"))
         test = 100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)
         links = self.work.store(pairs.filter(test).select("a", "b"))
-        self.work.drop(sets, texts)
+        self.work.drop(sets)
         return links
 
 
@@ -245,7 +270,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def _links(work: Work, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     width = 2 * BAND
     band = lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width)))
-    posted = nodes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), band)).alias("bucket"))
+    posted = nodes.select("node", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), band)).alias("band", "bucket"))
     drawn = lambda turn: F.min_by(F.struct("node", "n"), F.struct(F.xxhash64(F.lit(turn), "node"), "node"))
     buckets = work.store(
         posted.groupBy("bucket").agg(F.count("*").alias("members"), drawn(0).alias("hub")).filter("members > 1")
@@ -253,20 +278,21 @@ def _links(work: Work, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = work.store(posted.join(buckets, "bucket"))
     judge = _Links(work, docs, nodes)
     links = judge.confirmed(judge.likely(_stars(shared, ["hub"])))
-    more = _split(work, shared.filter("members > 2").select("bucket", "node", "n"), components(work, links))
+    more = _split(work, shared.filter("members > 2").select("bucket", "band", "node", "n"), components(work, links))
     links = work.store(links.unionByName(judge.confirmed(judge.likely(_stars(more.filter("members > 2"), ["hub_1", "hub_2", "hub_3"])))))
-    rest = _split(work, more.select("bucket", "node", "n"), components(work, links))
+    rest = _split(work, more.select("bucket", "band", "node", "n"), components(work, links))
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     rest = (
-        rest.select("bucket", "node", "n", "label", "members").join(nodes.select("node", "sketch"), "node")
+        rest.select("bucket", "band", "node", "n", "label", "members")
+        .join(nodes.select("node", "sketch"), "node").join(judge.sets(rest), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     )
     met = (
         rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-        .groupBy("bucket", "low", "high").applyInPandas(_block_pairs, _PAIR)
+        .groupBy("bucket", "low", "high").applyInPandas(_block_links, "a long, b long")
     )
-    return work.store(links.unionByName(judge.confirmed(met.distinct())))
+    return work.store(links.unionByName(met))
 
 
 def _stars(shared: DataFrame, hubs: list[str]) -> DataFrame:
