@@ -113,11 +113,10 @@ def _models_wanted(pairs: DataFrame, sales: DataFrame) -> DataFrame:
         F.struct(F.lit("maker").alias("_side"), F.col("_maker").alias("_text")),
     )
     texts = on_sale.select("_maker", "_model", F.inline(sides))
-    return (
-        contains_join(wanted, texts, "_needle", "_text", on=("_side",))
-        .filter(F.contains("_maker", "_want_maker"))
-        .select("_pair", "_maker", "_model")
-    )
+    # A maker's name is searched once, not once for each of its models.
+    found = materialize(contains_join(wanted, texts.select("_side", "_text").distinct(), "_needle", "_text", on=("_side",)))
+    named = keyed_join(texts, found, ["_side", "_text"]).filter(F.contains("_maker", "_want_maker"))
+    return named.select("_pair", "_maker", "_model")
 
 
 def _rung() -> Column:

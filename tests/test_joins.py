@@ -74,6 +74,29 @@ def test_contains_join_compares_no_full_product(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_postings_grow_with_the_needles_grams_only(spark, monkeypatch):
+    """A text is posted by number under grams that some needle has, so a longer text costs no more."""
+    from forecourt.plans import joins
+
+    stored = []
+    keep = joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    needles = spark.createDataFrame([("ring",)], "needle string")
+    sizes = []
+    for words in (10, 1000):
+        stored.clear()
+        texts = spark.createDataFrame([("red ring " + " ".join(f"w{i}" for i in range(words)),)], "text string")
+        assert contains_join(needles, texts, "needle", "text").count() == 1
+        sizes += [t.count() for t in stored if t.columns == ["_gram", "_text_id"] or set(t.columns) == {"_gram", "_text_id"}]
+    assert sizes == [2, 2]
+
+
+def test_short_and_empty_needles_are_split(spark):
+    texts = spark.range(400).selectExpr("concat('a', id) AS text")
+    needles = spark.createDataFrame([("",), ("a",)], "needle string")
+    assert contains_join(needles, texts, "needle", "text").count() == 800
+
+
 def test_materialize_cuts_lineage(spark):
     stored = materialize(spark.range(10).selectExpr("id * 2 AS x"))
     assert spark.conf.get("spark.checkpoint.dir")
