@@ -75,11 +75,11 @@ def test_stages_of_the_pipeline(spark):
         seen[name] = (docs.select("doc_id", "text").collect(), after.select("doc_id", "text").collect())
         docs = after
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "shard"]
-    from test_near_dups import brute
+    from llm.test_near_dups import brute
 
     before, after = seen["near_dedup"]
     assert sorted(r["doc_id"] for r in after) == sorted(i for i, _, _, kept in brute([tuple(r) for r in before]) if kept)
-    from test_texts import _plain
+    from llm.test_texts import _plain
 
     items = [_plain(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     before, after = seen["decontaminate"]
