@@ -121,6 +121,7 @@ def mix_sources(
     most: int = 2,
     seed: str = "mix",
     carry: tuple[str, ...] = (),
+    work: Work | None = None,
 ) -> DataFrame:
     """How often the mix takes every document: certain whole copies, then a Pareto order sample.
 
@@ -138,7 +139,7 @@ def mix_sources(
     table gives no rows. Returns the ``OUTPUT`` columns and those in ``carry`` that are
     not named like one of them.
     """
-    work = Work(docs.sparkSession)
+    work = work or Work(docs.sparkSession)
     size = word_count(F.col("text"))
     rows = work.store(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -203,18 +203,18 @@ class _Links:
         return self.work.store(found.mapInArrow(_whole_sets, "node long, shingles array<long>"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.work.store(pairs)
+        pairs = stored = self.work.store(pairs)
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         for side in ("b", "a"):
             pairs = pairs.join(sets.withColumnsRenamed({"node": side, "shingles": f"set_{side}"}), side)
         common = F.size(F.array_intersect("set_a", "set_b"))
         test = 100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)
         links = self.work.store(pairs.filter(test).select("a", "b"))
-        self.work.drop(sets)
+        self.work.drop(sets, stored)
         return links
 
 
-def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), work: Work | None = None) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of 0.75 or more.
 
     Equal sets are one node. Bands of a node's sketch put it into buckets. Every member of a bucket is
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Rows with the same id are documents of their own. An empty table gives no rows. With columns to
     ``carry``, those not named like an output column are handed through; the texts are then stored once.
     """
-    work = Work(docs.sparkSession)
+    work = work or Work(docs.sparkSession)
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.md5("text").alias("digest"), "text",
         carried(docs, carry, OUTPUT).alias("carried"),
@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         .drop("print")
     )
+    work.keep(placed, docs)
     chosen = placed.filter("kept AND n_shingles > 0").groupBy("label").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("chosen"))
     judged = placed.join(chosen, "row", "left").withColumn("stays", F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0))
     if carry:

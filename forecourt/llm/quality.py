@@ -130,7 +130,7 @@ def _strength(groups: DataFrame, within: float) -> float:
     return min(max(within / between, 1.0), 1e6)
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE, carry: tuple[str, ...] = (), work: Work | None = None) -> DataFrame:
     """Posterior quality of every document, from its own text and from where it comes.
 
     A classifier on the shape of the whole text gives each document's evidence. The mean evidence of a source is
@@ -147,7 +147,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample
     Returns the ``OUTPUT`` columns and those in ``carry`` that are not named like one of them.
     """
     spark = docs.sparkSession
-    work = Work(spark)
+    work = work or Work(spark)
     evidence = _evidence(spark.sparkContext.broadcast(fit(docs, labels, sample)))
     judged = work.store(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", carried(docs, carry, OUTPUT).alias("carried"), evidence("text").alias("judged"),

@@ -8,7 +8,7 @@ from forecourt.llm.support import Work, carried, shuffle_partitions, unpacked, u
 OUTPUT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def byte_shards(docs: DataFrame, shards: int = 8, drift: float = 0.01, carry: tuple[str, ...] = ()) -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 8, drift: float = 0.01, carry: tuple[str, ...] = (), work: Work | None = None) -> DataFrame:
     """Put every document into one of ``shards`` shards that are contiguous in (digest of the text, doc_id).
 
     Rows are dealt to range partitions once and stored. The partitions' byte totals, summed
@@ -25,7 +25,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, drift: float = 0.01, carry: tu
     like an output column are replaced by it.
     """
     spark = docs.sparkSession
-    work = Work(spark)
+    work = work or Work(spark)
     order = [F.col("digest").asc_nulls_first(), F.col("doc_id").asc_nulls_first()]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -34,6 +34,7 @@ class Work:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
         self._next = 0
+        self._stored: list[DataFrame] = []
 
     def store(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._next:03d}"
@@ -41,13 +42,24 @@ class Work:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._stored_at = path
+        self._stored.append(table)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._stored_at)
+        self._stored = [t for t in self._stored if not any(t is gone for gone in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drop all tables but these, which the lazy result reads."""
+        self.drop(*[t for t in self._stored if not any(t is kept for kept in tables)])
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
