@@ -1,14 +1,18 @@
-"""Benchmark decontamination: latent semantic candidates, confirmed by common subsequences and answers."""
+"""Benchmark decontamination: latent semantic candidates and those with an item's rarest words, confirmed by common
+subsequences and answers."""
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.llm.words import NO_LETTER, portions, word_hashes
+from forecourt.llm.support import Work
+from forecourt.llm.words import NO_LETTER, mixed, portions, word_hashes
 
 #: Passages are windows of so many words, each beginning half a window after the one before.
 WINDOW = 64
@@ -17,48 +21,49 @@ STRIDE = WINDOW // 2
 BITS = 17
 #: Directions of the latent space.
 RANK = 64
-#: A passage is a candidate for the items of at least this latent cosine.
+#: A passage is a candidate for the items of at least this latent cosine, besides those whose rarest words it has.
 COSINE = 0.55
 #: A candidate is a leak if the common subsequence of words has this share of the item's words, or
 #: the lower share while the item's answer, its last sentence of at least so many words, follows word by word.
 SUBSEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
-#: Items that are searched for at once; more items are taken in further blocks.
-BLOCK_ITEMS = 20_000
+#: Passages of items that are searched for at once, about; more are taken in further blocks.
+BLOCK_PASSAGES = 20_000
+#: Meetings of a text's words with passages that are counted at once, about.
+MEETINGS = 4_000_000
 
 _HITS = "array<struct<item_id:bigint, share:double, cosine:double, answered:boolean>>"
 
 
 class Benchmark:
-    """The passages of a block of items: words, masks for subsequences, and their terms."""
+    """The passages of a block of items: words, terms, and what a window of a text must hold to be compared with each.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.answers = [], [], []
-        for item, text in items:
-            words, tail = self._hashed(text)
-            for at in range(0, max(len(words) - WINDOW // 4, 1), WINDOW):
-                last = at + WINDOW + WINDOW // 4 >= len(words)
-                passage = words[at:] if last else words[at : at + WINDOW]
-                if len(passage):
-                    self.ids.append(item)
-                    self.words.append(passage)
-                    self.answers.append(tuple(tail) if last and len(tail) >= ANSWER_WORDS else ())
-                if last:
-                    break
-        self.terms = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+    Of a passage of n words a leak misses a quarter at most, so of its rarest n / 4 + k words it has k. And of an
+    answer that follows word by word it has the first ``ANSWER_WORDS``. Whatever is a leak is found by one of these.
+    """
+
+    def __init__(self, ids: list[int | None], words: np.ndarray, firsts: np.ndarray, answers: list[tuple[int, ...]], idf: np.ndarray):
+        self.ids, self.words, self.firsts, self.answers = ids, words, firsts, answers
+        self.terms, self.term = np.unique(words, return_inverse=True)
         self.known = np.zeros(2**BITS, dtype=bool)
         self.known[self.terms >> np.uint64(64 - BITS)] = True
-        self.masks = []
-        for words in self.words:
-            mask = defaultdict(int)
-            for i, w in enumerate(words.tolist()):
-                mask[w] |= 1 << i
-            self.masks.append(dict(mask))
-
-    @staticmethod
-    def _hashed(text: str) -> tuple[np.ndarray, list[int]]:
-        hashed = lambda t: next((word_hashes(d, o, NO_LETTER)[0] for _, _, d, o in portions(pa.array([t]))), np.zeros(0, np.uint64))
-        sentences = [s for s in text.replace("?", ".").replace("!", ".").replace("\n", ".").split(".") if s.strip()]
-        return hashed(text), hashed(sentences[-1]).tolist() if len(sentences) > 1 else []
+        n = np.diff(firsts)
+        of = np.repeat(np.arange(len(n)), n)
+        self.weight = idf[words >> np.uint64(64 - BITS)]
+        self.weight = (self.weight / np.sqrt(np.bincount(of, self.weight.astype(float) ** 2, len(n)))[of]).astype(np.float32)
+        self.needed = np.maximum(n // 8, 1)
+        most = (n * (1 - SUBSEQUENCE) + 1e-9).astype(np.int64) + self.needed
+        rarest = np.lexsort((words, -self.weight, of))
+        rarest = rarest[np.arange(len(words)) - firsts[of] < most[of]]
+        posted = np.unique(self.term[rarest].astype(np.int64) * len(n) + of[rarest])
+        self.posted = posted % len(n)
+        self.post_firsts = np.searchsorted(posted, np.arange(len(self.terms) + 1) * len(n))
+        with_answer = [i for i, answer in enumerate(answers) if answer]
+        grams = _grams(np.array([w for i in with_answer for w in answers[i][:ANSWER_WORDS]], dtype=np.uint64))[::ANSWER_WORDS]
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.gram_passage = grams[order], np.array(with_answer, dtype=np.int64)[order]
+        self.gram_known = np.zeros(2**BITS, dtype=bool)
+        self.gram_known[grams >> np.uint64(64 - BITS)] = True
+        self.masks: dict[int, dict[int, int]] = {}
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word's term, -1 for words that no item has."""
@@ -72,12 +77,19 @@ class Benchmark:
 
     def common(self, passage: int, words: list[int]) -> float:
         """Share of the passage's words in its longest common subsequence with ``words``."""
-        mask, n = self.masks[passage], len(self.words[passage])
+        own = self.words[self.firsts[passage] : self.firsts[passage + 1]].tolist()
+        mask = self.masks.get(passage)
+        if mask is None:
+            mask = self.masks[passage] = defaultdict(int)
+            for i, w in enumerate(own):
+                mask[w] |= 1 << i
+        n = len(own)
         full = (1 << n) - 1
         free = full
         for w in words:
-            hit = free & mask.get(w, 0)
-            free = ((free + hit) | (free - hit)) & full
+            if w in mask:
+                hit = free & mask[w]
+                free = ((free + hit) | (free - hit)) & full
         return 1 - free.bit_count() / n
 
     def answered(self, passage: int, words: list[int]) -> bool:
@@ -85,6 +97,37 @@ class Benchmark:
         return bool(answer) and any(tuple(words[i : i + len(answer)]) == answer for i, w in enumerate(words) if w == answer[0])
 
 
+def _grams(words: np.ndarray) -> np.ndarray:
+    """A hash of the ``ANSWER_WORDS`` words from each word on."""
+    out = np.zeros(max(len(words) - ANSWER_WORDS + 1, 0), dtype=np.uint64)
+    for i in range(ANSWER_WORDS):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(out)]
+    return mixed(out)
+
+
+def _item_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of the items of each row, with the item's answer beside its last passage."""
+    hashed = lambda t: next((word_hashes(d, o, NO_LETTER)[0] for _, _, d, o in portions(pa.array([t]))), np.zeros(0, np.uint64))
+    for batch in batches:
+        ids, numbers, passages, answers = [], [], [], []
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = hashed(text)
+            sentences = [s for s in re.split(r"[?!\n]|\.(?!\d)", text) if s.strip()]
+            tail = hashed(sentences[-1]) if len(sentences) > 1 else words[:0]
+            for at in range(0, max(len(words) - WINDOW // 4, 1), WINDOW):
+                last = at + WINDOW + WINDOW // 4 >= len(words)
+                passage = words[at:] if last else words[at : at + WINDOW]
+                if len(passage):
+                    ids.append(item)
+                    numbers.append(at)
+                    passages.append(passage.view(np.int64))
+                    answers.append((tail if last and len(tail) >= ANSWER_WORDS else tail[:0]).view(np.int64))
+                if last:
+                    break
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(passages, lists), pa.array(answers, lists)], names=["item_id", "at", "words", "answer"])
+
+
 class Passages:
     """The words of some texts that items have, in runs of STRIDE words; two neighbouring runs are a passage.
 
@@ -111,14 +154,51 @@ class Passages:
         self.length = np.sqrt(np.bincount(pair, length, len(pair)))
 
     def latent(self, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, runs): passages in the directions of ``basis``, of length one, and the run each begins with."""
+        """(rows, runs): the passage that begins with each run in the directions of ``basis``, of length one or 0,
+        and the runs with which a passage begins that is not 0 there."""
         each = _weighed_sums(basis, self.term, self.weight, self.bounds)
         if len(each):
             ends = np.append(self.text[1:] != self.text[:-1], True)
             each[~ends] += each[1:][~ends[:-1]]
         length = np.linalg.norm(each, axis=1)
-        runs = np.flatnonzero(~self.lone & (length > 0))
-        return each[runs] / length[runs, None], runs
+        return each / np.maximum(length, 1e-30)[:, None], np.flatnonzero(~self.lone & (length > 0))
+
+    def _around(self, run: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs whose windows hold each run, which begin a run before and end two after, with the run's values."""
+        near = (run[:, None] + np.arange(-2, 2)).ravel()
+        inside = np.clip(near, 0, len(self.text) - 1)
+        fits = (near == inside) & (self.text[inside] == np.repeat(self.text[run], 4)) & ~self.lone[inside]
+        return near[fits], *[np.repeat(v, 4)[fits] for v in values]
+
+    def meetings(self, bench: Benchmark) -> np.ndarray:
+        """run * passages + passage wherever a window can hold a passage: every leak is among these."""
+        n, found = len(bench.ids), []
+        sizes = np.diff(bench.post_firsts)[self.term]
+        before = np.concatenate([[0], np.cumsum(sizes)])[self.bounds]
+        first = 0
+        while first < len(self.text):
+            end = max(first + 1, int(np.searchsorted(before, before[first] + MEETINGS, side="right")) - 1)
+            lo, hi = max(first - 1, 0), min(end + 2, len(self.text))
+            at = slice(self.bounds[lo], self.bounds[hi])
+            size = sizes[at]
+            run = np.repeat(np.repeat(np.arange(lo, hi), np.diff(self.bounds[lo : hi + 1])), size)
+            place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+            keys, counts = np.unique(run * n + bench.posted[np.repeat(bench.post_firsts[self.term[at]], size) + place], return_counts=True)
+            run, passage, counts = self._around(keys // n, keys % n, counts)
+            own = (run >= first) & (run < end)
+            keys, back = np.unique(run[own] * n + passage[own], return_inverse=True)
+            found.append(keys[np.bincount(back, counts[own], len(keys)) >= bench.needed[keys % n]])
+            first = end
+        if len(bench.grams):
+            grams = _grams(self.words)
+            at = np.flatnonzero(bench.gram_known[grams >> np.uint64(64 - BITS)])
+            low, high = (np.searchsorted(bench.grams, grams[at], side=side) for side in ("left", "right"))
+            size = high - low
+            run = np.repeat(np.searchsorted(self.start, at, side="right") - 1, size)
+            place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+            run, passage = self._around(run, bench.gram_passage[np.repeat(low, size) + place])
+            found.append(run * n + passage)
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def gram_times(self, basis: np.ndarray) -> np.ndarray:
         """Transpose of the rows, of length one, times the rows times ``basis``."""
@@ -214,20 +294,18 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np
     values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
     sketch = np.zeros(random.shape)
     sketch[term[term >= 0]] = values[term >= 0]
-    rows = np.zeros((len(bench.words), len(bench.terms)))
-    for i, words in enumerate(bench.words):
-        terms, count = np.unique(bench.index(words), return_counts=True)
-        rows[i, terms] = count * idf[bench.terms[terms] >> np.uint64(64 - BITS)]
+    rows = np.zeros((len(bench.ids), len(bench.terms)))
+    np.add.at(rows, (np.repeat(np.arange(len(rows)), np.diff(bench.firsts)), bench.term), bench.weight)
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     energy = values[term == -1][:, 0].sum()
     sketch += rows.T @ (rows @ random) * (max(energy, 1.0) / len(rows))
     middle = random.T @ sketch
     value, vector = np.linalg.eigh((middle + middle.T) / 2)
     good = value > value.max() * 1e-10
-    basis = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0]
-    items = rows @ basis
+    basis = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0].astype(np.float32)
+    items = (rows @ basis).astype(np.float32)
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-    return basis.astype(np.float32), items.astype(np.float32)
+    return basis, items
 
 
 def _hits(shared):
@@ -240,18 +318,19 @@ def _hits(shared):
             best: list[dict] = [{} for _ in range(end - first)]
             p = Passages(data, offsets, idf, bench)
             latent, runs = p.latent(basis)
-            for i in range(0, len(latent), 4096):
-                cosine = latent[i : i + 4096] @ items.T
-                for a, b in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    run = runs[i + a]
-                    text = int(p.text[run])
-                    start, end = p.start[run] - STRIDE, p.start[run] + WINDOW + STRIDE
-                    words = p.words[max(start, p.firsts[text]) : min(end, p.firsts[text + 1])].tolist()
-                    share = bench.common(b, words)
-                    answered = share >= WITH_ANSWER and bench.answered(b, words)
-                    if share >= SUBSEQUENCE or answered:
-                        found = (share, float(cosine[a, b]), bool(answered))
-                        best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], found), found)
+            near = [p.meetings(bench)]
+            for i in range(0, len(runs), 4096):
+                a, b = np.nonzero(latent[runs[i : i + 4096]] @ items.T >= COSINE)
+                near.append(runs[i + a] * len(items) + b)
+            for run, b in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(near)), len(items))), strict=True):
+                text = int(p.text[run])
+                start, end = p.start[run] - STRIDE, p.start[run] + WINDOW + STRIDE
+                words = p.words[max(start, p.firsts[text]) : min(end, p.firsts[text + 1])].tolist()
+                share = bench.common(b, words)
+                answered = share >= WITH_ANSWER and bench.answered(b, words)
+                if share >= SUBSEQUENCE or answered:
+                    found = (share, float(latent[run] @ items[b]), bool(answered))
+                    best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], found), found)
             out += [[{"item_id": k, "share": s, "cosine": c, "answered": x} for k, (s, c, x) in sorted(hits.items())] for hits in best]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answered", pa.bool_())]))
         return pa.array(out, kind)
@@ -262,25 +341,27 @@ def _hits(shared):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
     """A column of the benchmark passages that a document's text holds, as (item_id, share, cosine, answered).
 
-    All documents give the terms' weights and the latent space. The benchmark is taken in blocks of
-    ``BLOCK_ITEMS`` items, distinct by text, so that a task holds one block at a time however large it is.
-    None for a benchmark without words.
+    All documents give the terms' weights and the latent space. The benchmark's passages are cut in tasks and
+    searched for in blocks of about ``BLOCK_PASSAGES``. A task that
+    looks for leaks holds the tables of all blocks. None for a benchmark without words.
     """
-    spark = docs.sparkSession
+    work = Work(docs.sparkSession)
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.lower("text").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    blocks = -(-items.count() // BLOCK_ITEMS)
-    if not blocks:
-        return None
-    idf = term_weights(docs)
+    passages = work.store(items.mapInArrow(_item_passages, "item_id long, at long, words array<long>, answer array<long>"))
+    blocks = -(-passages.count() // BLOCK_PASSAGES)
+    idf = term_weights(docs) if blocks else None
     found = []
     for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        numbered = Benchmark([(r["item_id"], r["text"]) for r in part])
-        if not numbered.words:
+        part = passages.filter(F.pmod(F.xxhash64("item_id", "at", "words"), F.lit(blocks)) == block).orderBy("item_id", "at", "words").toArrow()
+        if not len(part):
             continue
-        basis, directions = latent_basis(docs, idf, numbered)
-        hits = _hits(spark.sparkContext.broadcast((idf, numbered, basis, directions)))(F.lower("text"))
-        found.append(hits)
+        words, answers = (part.column(c).combine_chunks() for c in ("words", "answer"))
+        firsts = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+        unsigned = [tuple(w % 2**64 for w in answer) for answer in answers.to_pylist()]
+        bench = Benchmark(part.column("item_id").to_pylist(), words.flatten().to_numpy().view(np.uint64), firsts, unsigned, idf)
+        basis, directions = latent_basis(docs, idf, bench)
+        found.append(_hits(docs.sparkSession.sparkContext.broadcast((idf, bench, basis, directions)))(F.lower("text")))
+    work.clear()
     return F.concat(*found) if found else None
 
 

@@ -101,6 +101,62 @@ def test_leaks_of_odd_rows(spark, odd_documents, no_documents):
     assert decontaminate.clean_documents(odd_documents, bench.limit(0)).count() == odd_documents.count()
 
 
+def _planted(documents, n, seed=4):
+    """Short runs of the documents' words, and documents that hold some of them between other words."""
+    import random
+
+    draw = random.Random(seed)
+    words = [r["text"].split() for r in documents.filter("text IS NOT NULL").orderBy("doc_id").collect()]
+    words = [w for w in words if len(w) > 200]
+    items, texts = [], []
+    for i in range(n):
+        own, other = draw.sample(words, 2)
+        at, size = draw.randrange(len(own) - 30), draw.randint(15, 25)
+        items.append((i, " ".join(own[at : at + size])))
+        place = draw.randrange(100)
+        texts.append((i, " ".join(other[place : place + 60] + own[at : at + size] + other[place + 60 : place + 120])))
+    return items, texts
+
+
+def test_short_items_of_a_large_benchmark(spark):
+    items, texts = _planted(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000), 1500)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert [i for i, _ in items if (i, i) not in found] == []
+
+
+def test_meetings_hold_every_leak():
+    """Against the comparison of every window with every passage."""
+    import numpy as np
+    import pyarrow as pa
+
+    random = np.random.default_rng(8)
+    word = lambda: "abcdefghijklmnopqrstuvwxyz"[min(int(random.exponential(4)), 25)] * int(random.integers(1, 4))
+    items = [" ".join(word() for _ in range(random.integers(1, 30))) + ". " + " ".join(word() for _ in range(4)) for _ in range(60)]
+    texts = []
+    for i in range(60):
+        kept = [w for w in items[i].split() if random.random() < 0.8]
+        texts.append(" ".join([word() for _ in range(random.integers(0, 90))] + kept + [word() for _ in range(random.integers(0, 90))]))
+    batch = next(decontaminate._item_passages(iter([pa.RecordBatch.from_pydict({"item_id": list(range(60)), "text": items})])))
+    words, answers = ([[w % 2**64 for w in x] for x in batch.column(c).to_pylist()] for c in ("words", "answer"))
+    idf = np.abs(random.normal(3, 1, 2**decontaminate.BITS)).astype(np.float32)
+    firsts = np.cumsum([0, *map(len, words)])
+    bench = decontaminate.Benchmark(batch.column("item_id").to_pylist(), np.array(sum(words, []), np.uint64), firsts, [tuple(a) for a in answers], idf)
+    (_, _, data, offsets), = decontaminate.portions(pa.array(texts))
+    p = decontaminate.Passages(data, offsets, idf, bench)
+    met, leaks = set(p.meetings(bench).tolist()), 0
+    for run in np.flatnonzero(~p.lone).tolist():
+        text, start = p.text[run], p.start[run]
+        window = p.words[max(start - decontaminate.STRIDE, p.firsts[text]) : min(start + decontaminate.WINDOW + decontaminate.STRIDE, p.firsts[text + 1])].tolist()
+        for b in range(60):
+            share = bench.common(b, window)
+            if share >= decontaminate.SUBSEQUENCE or share >= decontaminate.WITH_ANSWER and bench.answered(b, window):
+                leaks += 1
+                assert run * 60 + b in met
+    assert leaks > 50
+
+
+
 def _masked(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r["doc_id"]: r["surrogate_text"] for r in surrogates.replace_entities(df).collect()}
