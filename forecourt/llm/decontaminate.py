@@ -26,8 +26,8 @@ COSINE = 0.55
 #: A candidate is a leak if the common subsequence of words has this share of the item's words, or
 #: the lower share while the item's answer, its last sentence of at least so many words, follows word by word.
 SUBSEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
-#: Passages of items that are searched for at once, about; more are taken in further blocks.
-BLOCK_PASSAGES = 20_000
+#: Words of items that are searched for at once, about; more are taken in further blocks.
+BLOCK_WORDS = 200_000
 #: Meetings of a text's words with passages that are counted at once, about.
 MEETINGS = 4_000_000
 
@@ -75,6 +75,16 @@ class Benchmark:
         out[maybe[same]] = at[same]
         return out
 
+    def weighed(self, rows: np.ndarray) -> np.ndarray:
+        """The passages' TF-IDF rows, of length one, times ``rows``."""
+        return _weighed_sums(rows, self.term, self.weight, self.firsts)
+
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        """Transpose of the passages' TF-IDF rows times ``rows``."""
+        order = np.argsort(self.term, kind="stable")
+        of = np.repeat(np.arange(len(self.ids)), np.diff(self.firsts))
+        return _weighed_sums(rows, of[order], self.weight[order], np.searchsorted(self.term[order], np.arange(len(self.terms) + 1)))
+
     def common(self, passage: int, words: list[int]) -> float:
         """Share of the passage's words in its longest common subsequence with ``words``."""
         own = self.words[self.firsts[passage] : self.firsts[passage + 1]].tolist()
@@ -294,16 +304,13 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np
     values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
     sketch = np.zeros(random.shape)
     sketch[term[term >= 0]] = values[term >= 0]
-    rows = np.zeros((len(bench.ids), len(bench.terms)))
-    np.add.at(rows, (np.repeat(np.arange(len(rows)), np.diff(bench.firsts)), bench.term), bench.weight)
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     energy = values[term == -1][:, 0].sum()
-    sketch += rows.T @ (rows @ random) * (max(energy, 1.0) / len(rows))
+    sketch += bench.spread(bench.weighed(random)) * (max(energy, 1.0) / len(bench.ids))
     middle = random.T @ sketch
     value, vector = np.linalg.eigh((middle + middle.T) / 2)
     good = value > value.max() * 1e-10
     basis = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0].astype(np.float32)
-    items = (rows @ basis).astype(np.float32)
+    items = bench.weighed(basis)
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
     return basis, items
 
@@ -342,13 +349,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
     """A column of the benchmark passages that a document's text holds, as (item_id, share, cosine, answered).
 
     All documents give the terms' weights and the latent space. The benchmark's passages are cut in tasks and
-    searched for in blocks of about ``BLOCK_PASSAGES``. A task that
+    searched for in blocks of about ``BLOCK_WORDS`` words, which bound what the driver holds at a time. A task that
     looks for leaks holds the tables of all blocks. None for a benchmark without words.
     """
     work = Work(docs.sparkSession)
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.lower("text").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     passages = work.store(items.mapInArrow(_item_passages, "item_id long, at long, words array<long>, answer array<long>"))
-    blocks = -(-passages.count() // BLOCK_PASSAGES)
+    total = passages.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = -(-total // BLOCK_WORDS)
     idf = term_weights(docs) if blocks else None
     found = []
     for block in range(blocks):

@@ -156,6 +156,30 @@ def test_meetings_hold_every_leak():
     assert leaks > 50
 
 
+def test_benchmarks_of_many_terms_stay_sparse(spark, documents):
+    import tracemalloc
+
+    items = [(i, " ".join(f"{'abcdefghij'[j % 10]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + j)}" for j in range(20))) for i in range(2500)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before this " + items[i][1] + " and after") for i in (0, 7, 2499)], "doc_id long, text string")
+    tracemalloc.start()
+    found = decontaminate.find_leaks(docs, bench)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (7, 7), (2499, 2499)}
+
+
+def test_blocks_are_bounded_by_words(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    once = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    sizes, made = [], decontaminate.Benchmark.__init__
+    monkeypatch.setattr(decontaminate.Benchmark, "__init__", lambda self, ids, words, *rest: (sizes.append(len(words)), made(self, ids, words, *rest))[1])
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == once
+    assert len(sizes) > 1 and max(sizes) < 1000
+
 
 def _masked(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
