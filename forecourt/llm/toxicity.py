@@ -1,6 +1,7 @@
 """Toxicity of whole texts by a factorization machine over hashed terms."""
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,11 @@ from forecourt.llm.words import NO_LETTER, portions, word_hashes
 #: Terms are a text's runs of letters, lower-cased, and their heads of so many bytes, hashed to so many bits.
 HEADS, BITS = (4, 5, 6), 18
 #: A term is used if it is in so many labelled texts, and in so many standard deviations more or
-#: fewer toxic ones than by chance. All labelled texts count for this.
+#: fewer toxic ones than by chance. All labelled texts count for this. Terms that are in so many of the
+#: sample's texts together, and are toxic together more or less than each alone tells, are used too.
 LEAST, DEVIATIONS = 5, 3.0
+#: Terms whose pairs one row of work counts, and the tasks for these rows.
+PAIR_ROWS, PAIR_TASKS = 64, 48
 #: Labelled rows that the machine is fitted on at most, those first by hash.
 SAMPLE = 10_000
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 100, 256, 1.0, 1e-6
@@ -127,6 +131,73 @@ def _features(used):
     return make
 
 
+def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each text."""
+    for batch in batches:
+        for first, end, data, offsets in portions(batch.column("text")):
+            terms = Terms(data, offsets)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic").slice(first, end - first), pa.ListArray.from_arrays(pa.array(terms.starts.astype(np.int32)), pa.array(terms.ids))], names=["toxic", "ids"]
+            )
+
+
+class Pairs:
+    """Which terms are toxic together more or less than each of them alone tells, among some texts' terms.
+
+    By what each term alone tells, a pair's odds are the product of theirs over the odds of all texts. A pair
+    departs if a binomial count bounds the chance of it, by Chernoff, below one in all ordered pairs.
+    Texts of equal terms count once.
+    """
+
+    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray):
+        once = {(md5(t).digest(), y): i for i, (t, y) in enumerate(zip(texts, toxic.tolist(), strict=True)) if len(t)}
+        texts, self.toxic = [texts[i] for i in once.values()], toxic[list(once.values())].astype(np.int64)
+        ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        kept = np.bincount(ids, minlength=2**BITS) >= LEAST
+        self.terms = np.flatnonzero(kept)
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])[kept[ids]]
+        self.ids = (np.cumsum(kept, dtype=np.int32) - np.int32(1))[ids[kept[ids]]]
+        del ids
+        self.starts = np.searchsorted(of, np.arange(len(texts) + 1, dtype=np.int32))
+        self.holders = of[np.argsort(self.ids, kind="stable")]
+        n = np.bincount(self.ids, minlength=len(self.terms))
+        self.firsts = np.concatenate([[0], np.cumsum(n)])
+        share = np.clip(self.toxic.mean() if len(texts) else 0.5, 1e-9, 1 - 1e-9)
+        bad = np.bincount(self.ids[self.toxic[of] == 1], minlength=len(self.terms)) + share
+        self.odds = np.log(bad / (n + 1 - bad))
+        self.base = np.log(share / (1 - share))
+        self.bound = 2 * np.log(max(len(self.terms), 2))
+
+    def departing(self, term: int) -> np.ndarray:
+        """The terms with which this one departs."""
+        texts = self.holders[self.firsts[term] : self.firsts[term + 1]]
+        texts = texts[np.argsort(-self.toxic[texts], kind="stable")]  # the toxic ones first
+        ids = np.concatenate([self.ids[self.starts[i] : self.starts[i + 1]] for i in texts])
+        n = np.bincount(ids, minlength=len(self.terms))
+        some = np.flatnonzero(n >= LEAST)
+        some = some[some != term]
+        toxic = texts[: self.toxic[texts].sum()]
+        bad = np.bincount(ids[: int((self.starts[toxic + 1] - self.starts[toxic]).sum())], minlength=len(self.terms))[some]
+        n = n[some]
+        clean = n - bad
+        odds = self.odds[term] + self.odds[some] - self.base
+        log = lambda count, expected: count * (np.log(np.maximum(count, 1) / n) + np.logaddexp(0, expected))
+        return some[log(bad, -odds) + log(clean, odds) >= self.bound]
+
+
+def _departing(shared):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
+        for batch in batches:
+            chosen = np.zeros(len(pairs.terms), dtype=bool)
+            for block in batch.column("id").to_pylist():
+                for term in range(block * PAIR_ROWS, min((block + 1) * PAIR_ROWS, len(pairs.terms))):
+                    chosen[pairs.departing(term)] = True
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.terms[chosen], pa.int64())], names=["term"])
+
+    return find
+
+
 def _scored(machine):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +214,8 @@ def _fold(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine over the terms that all labelled documents outside the held-out fold single out,
-    fitted on at most ``sample`` of these documents."""
+    """A machine over the terms that all labelled documents outside the held-out fold single out and those
+    that depart in pairs, fitted on at most ``sample`` of these documents, which give the pairs too."""
     spark = docs.sparkSession
     work = Work(spark)
     known = work.store(
@@ -166,7 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = seen.filter(F.abs(F.col("toxic") - expected) >= DEVIATIONS * spread).select("term").collect()  # at most 2 ** BITS
     used[[r["term"] for r in chosen]] = True
     first = work.store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    table = labelled(F.broadcast(first)).mapInArrow(_features(spark.sparkContext.broadcast(used)), "toxic int, ids array<int>, values array<float>").limit(2 * sample).toArrow()
+    sampled = labelled(F.broadcast(first))
+    table = sampled.mapInArrow(_sample_terms, "toxic int, ids array<int>").limit(2 * sample).toArrow()
+    lists = [c for c in table.column("ids").chunks if len(c)]
+    pairs = Pairs([t for c in lists for t in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])], table.column("toxic").to_numpy())
+    del table, lists
+    together = spark.range(0, -(-len(pairs.terms) // PAIR_ROWS), 1, PAIR_TASKS).mapInArrow(_departing(spark.sparkContext.broadcast(pairs)), "term long")
+    used[[r["term"] for r in together.distinct().collect()]] = True  # at most 2 ** BITS
+    table = sampled.mapInArrow(_features(spark.sparkContext.broadcast(used)), "toxic int, ids array<int>, values array<float>").limit(2 * sample).toArrow()
     toxic = table.column("toxic").to_numpy().astype(float)
     ids, values = ([c for c in table.column(name).chunks if len(c)] for name in ("ids", "values"))
     lengths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in ids])

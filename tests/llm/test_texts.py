@@ -60,6 +60,25 @@ def test_interactions_are_learned():
     assert logit[0] < 0 and logit[1] < 0 < logit[2]
 
 
+def test_terms_that_are_neutral_alone(spark):
+    """A word in 20 % toxic texts, like all others, is told by its company: an insult beside a group."""
+    import random
+
+    draw = random.Random(9)
+    common = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    kinds = [("wretchy", "zanders")] + [("wretchy",)] * 4 + [("zanders",)] * 4 + [("scumbagq",)] * 4 + [()] * 12
+    rows = []
+    for i in range(4000):
+        words = [draw.choice(common) for _ in range(8)] + list(kinds[i % 25])
+        draw.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 25 in (0, 9, 10, 11, 12))))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"]]
+    both = [r["predicted"] for r in held if r["doc_id"] % 25 == 0]
+    one = [r["predicted"] for r in held if 1 <= r["doc_id"] % 25 <= 8]
+    assert len(both) > 20 and sum(both) >= 0.9 * len(both) and sum(one) <= 0.05 * len(one)
+
+
 def test_toxicity_of_odd_rows(odd_documents, no_documents, labels):
     rows = toxicity.score_toxicity(odd_documents, labels).collect()
     assert len(rows) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in rows)
