@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.support import Work
-from forecourt.llm.words import NO_LETTER, mixed, portions, word_hashes
+from forecourt.llm.words import NO_WORD, mixed, portions, word_hashes
 
 #: Passages are windows of so many words, each beginning half a window after the one before.
 WINDOW = 64
@@ -34,6 +34,23 @@ MEETINGS = 4_000_000
 _HITS = "array<struct<item_id:bigint, share:double, cosine:double, answered:boolean>>"
 
 
+#: Characters of scripts that are written without blanks.
+_NO_BLANKS = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+
+
+def spaced(text: Column) -> Column:
+    """Lower-cased text whose words, by Unicode class, are runs of ASCII letters and digits and bytes from 128 on.
+
+    Other characters than letters, marks and digits become blanks, and full stops of other scripts ASCII ones. Runs of
+    scripts without blanks become their pairs of neighbours.
+    """
+    low = F.lower(text)
+    blanked = F.regexp_replace(F.translate(low, "。．｡！？", "....." ), r"[^\x00-\x7F\p{L}\p{M}\p{N}]+", " ")
+    c = f"[{_NO_BLANKS}]"
+    paired = F.regexp_replace(blanked, f"({c})(?=({c}))|(?<={c}){c}|({c})", " $1$2$3 ")
+    return F.when(F.octet_length(low) == F.char_length(low), low).when(blanked.rlike(c), paired).otherwise(blanked)
+
+
 class Benchmark:
     """The passages of a block of items: words, terms, and what a window of a text must hold to be compared with each.
 
@@ -117,7 +134,7 @@ def _grams(words: np.ndarray) -> np.ndarray:
 
 def _item_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages of the items of each row, with the item's answer beside its last passage."""
-    hashed = lambda t: next((word_hashes(d, o, NO_LETTER)[0] for _, _, d, o in portions(pa.array([t]))), np.zeros(0, np.uint64))
+    hashed = lambda t: next((word_hashes(d, o, NO_WORD)[0] for _, _, d, o in portions(pa.array([t]))), np.zeros(0, np.uint64))
     for batch in batches:
         ids, numbers, passages, answers = [], [], [], []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -145,7 +162,7 @@ class Passages:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, bench: Benchmark):
-        self.words, self.firsts = word_hashes(data, offsets, NO_LETTER)
+        self.words, self.firsts = word_hashes(data, offsets, NO_WORD)
         term = bench.index(self.words)
         counts = np.diff(self.firsts)
         runs = -(-counts // STRIDE)
@@ -249,7 +266,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, passages = np.zeros(2**BITS, dtype=np.int64), 0
     for batch in batches:
         for _, _, data, offsets in portions(batch.column("text")):
-            words, firsts = word_hashes(data, offsets, NO_LETTER)
+            words, firsts = word_hashes(data, offsets, NO_WORD)
             counts += np.bincount((words >> np.uint64(64 - BITS)).astype(np.int64), minlength=2**BITS)
             passages += int((-(-np.diff(firsts) // WINDOW)).sum())
     some = np.flatnonzero(counts)
@@ -260,7 +277,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_weights(docs: DataFrame) -> np.ndarray:
     """The idf of each hashed term over the passages of all documents, an occurrence counting as a passage."""
-    table = docs.select(F.lower("text").alias("text")).mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select(spaced(F.col("text")).alias("text")).mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = table.column("term").to_numpy(), table.column("n").to_numpy()  # at most 2 ** BITS + 1
     total = int(n[term == -1].sum())
     counts = np.zeros(2**BITS)
@@ -298,7 +315,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np
     random = np.random.default_rng(11).normal(size=(len(bench.terms), RANK)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, bench, random))
     columns = [f"c{i}" for i in range(RANK)]
-    summed = docs.select(F.lower("text").alias("text")).mapInArrow(_sketch(shared), "term long, " + ", ".join(f"{c} double" for c in columns))
+    summed = docs.select(spaced(F.col("text")).alias("text")).mapInArrow(_sketch(shared), "term long, " + ", ".join(f"{c} double" for c in columns))
     table = summed.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row per term of the items
     term = table.column("term").to_numpy()
     values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
@@ -353,7 +370,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
     looks for leaks holds the tables of all blocks. None for a benchmark without words.
     """
     work = Work(docs.sparkSession)
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.lower("text").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy(spaced(F.col("text")).alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     passages = work.store(items.mapInArrow(_item_passages, "item_id long, at long, words array<long>, answer array<long>"))
     total = passages.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
@@ -368,7 +385,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
         unsigned = [tuple(w % 2**64 for w in answer) for answer in answers.to_pylist()]
         bench = Benchmark(part.column("item_id").to_pylist(), words.flatten().to_numpy().view(np.uint64), firsts, unsigned, idf)
         basis, directions = latent_basis(docs, idf, bench)
-        found.append(_hits(docs.sparkSession.sparkContext.broadcast((idf, bench, basis, directions)))(F.lower("text")))
+        found.append(_hits(docs.sparkSession.sparkContext.broadcast((idf, bench, basis, directions)))(spaced(F.col("text"))))
     work.clear()
     return F.concat(*found) if found else None
 
@@ -376,8 +393,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, cosine, answered of every benchmark item that a document holds.
 
-    Words are runs of letters of the whole text, lower-cased. A null or empty text, or one without letters,
-    holds nothing; so does an item like that. Items of equal text but for case are one, under their smallest id; items
+    Words are runs of letters and digits of the whole text, lower-cased, and pairs of neighbours in scripts written
+    without blanks. A null or empty text, or one without words, holds nothing; so does an item like that. Items of equal text but for case and marks outside ASCII are one, under their smallest id; items
     of more than a window of words leak by any of their passages. Null and repeated doc_ids are
     reported row by row; an empty table, or an empty benchmark, gives no rows.
     """

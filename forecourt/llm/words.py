@@ -9,6 +9,8 @@ _RANDOM = np.random.default_rng(20)
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Separates runs of ASCII letters and bytes of other letters.
 NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+#: The same with digits as characters of words.
+NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
 #: A random number for each of a word's first so many places and each byte there; later places
 #: take them again, times a power of an odd number.

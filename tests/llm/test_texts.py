@@ -200,6 +200,20 @@ def test_blocks_are_bounded_by_words(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) < 1000
 
 
+def test_items_of_numbers_and_of_scripts_without_blanks(spark):
+    items = [
+        (1, "12 + 35 = 47, 47 + 81 = 128, 128 + 206 = 334"), (2, "哪个商人在午夜带着银灯笼穿过冰冻的山谷？"), (3, "the “silver” lantern… crossed the valley"),
+        (4, "Room 101 costs 250 a night and room 202 costs 375 a night"),
+    ]
+    texts = [
+        (1, "solve: 12 + 35 = 47, 47 + 81 = 128, 128 + 206 = 334 and so on"), (2, "有人问：昨天哪个商人在午夜带着银灯笼穿过冰冻的山谷，我不知道。"),
+        (3, 'he said the "silver" lantern crossed the valley today'), (4, "here room 7 costs 18 a night and room 9 costs 44 a night"), (5, "solve: 13 + 36 = 49, 48 + 82 = 130"),
+        (6, "昨天我们去商店买了一些水果和蔬菜"),
+    ]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def _masked(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r["doc_id"]: r["surrogate_text"] for r in surrogates.replace_entities(df).collect()}
