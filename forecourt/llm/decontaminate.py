@@ -355,7 +355,7 @@ def _hits(shared):
                 if share >= SUBSEQUENCE or answered:
                     found = (share, float(latent[run] @ items[b]), bool(answered))
                     best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], found), found)
-            out += [[{"item_id": k, "share": s, "cosine": c, "answered": x} for k, (s, c, x) in sorted(hits.items())] for hits in best]
+            out += [[{"item_id": k, "share": s, "cosine": c, "answered": x} for k, (s, c, x) in sorted(hits.items(), key=lambda hit: (hit[0] is None, hit[0] or 0))] for hits in best]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answered", pa.bool_())]))
         return pa.array(out, kind)
 
@@ -370,7 +370,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
     looks for leaks holds the tables of all blocks. None for a benchmark without words.
     """
     work = Work(docs.sparkSession)
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy(spaced(F.col("text")).alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+    items = benchmark.filter("text IS NOT NULL").groupBy(spaced(F.col("text")).alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     passages = work.store(items.mapInArrow(_item_passages, "item_id long, at long, words array<long>, answer array<long>"))
     total = passages.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
@@ -395,7 +395,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters and digits of the whole text, lower-cased, and pairs of neighbours in scripts written
     without blanks. A null or empty text, or one without words, holds nothing; so does an item like that. Items of equal text but for case and marks outside ASCII are one, under their smallest id; items
-    of more than a window of words leak by any of their passages. Null and repeated doc_ids are
+    of more than a window of words leak by any of their passages. Items with a null id
+    are searched for like others, and reported once a document, under a null item_id. Null and repeated doc_ids are
     reported row by row; an empty table, or an empty benchmark, gives no rows.
     """
     hits = leaks(docs, benchmark)

@@ -214,6 +214,14 @@ def test_items_of_numbers_and_of_scripts_without_blanks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_items_without_an_id(spark):
+    passages = ["Seven merchants carried silver lanterns across the frozen valley.", "Nobody in Granada remembers the old bridge over the river."]
+    bench = spark.createDataFrame([(None, passages[0]), (3, passages[1]), (None, passages[1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + passages[0] + " " + passages[1]), (2, "other words alone"), (3, passages[0])], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, None), (1, 3), (3, None)}
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
+
+
 def _masked(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r["doc_id"]: r["surrogate_text"] for r in surrogates.replace_entities(df).collect()}
