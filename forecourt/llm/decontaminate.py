@@ -387,7 +387,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
         basis, directions = latent_basis(docs, idf, bench)
         found.append(_hits(docs.sparkSession.sparkContext.broadcast((idf, bench, basis, directions)))(spaced(F.col("text"))))
     work.clear()
-    return F.concat(*found) if found else None
+    if len(found) < 2:
+        return found[0] if found else None
+    # An item's passages may lie in several blocks: its best hit counts. The hits are a lambda's value, so that no block is searched twice.
+    best = lambda hits: F.transform(
+        F.array_distinct(F.transform(hits, lambda x: x["item_id"])), lambda item: F.array_max(F.filter(hits, lambda x: x["item_id"].eqNullSafe(item)))
+    )
+    return F.element_at(F.transform(F.array(F.concat(*found)), best), 1)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -222,6 +222,14 @@ def test_items_without_an_id(spark):
     assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
 
 
+def test_items_in_several_blocks_are_reported_once(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 70)
+    long = " ".join(f"word{i * i % 997}x" for i in range(400))
+    bench = spark.createDataFrame([(5, long), (None, "Seven merchants carried silver lanterns across the frozen valley.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + long), (2, "other words alone")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 5)]
+
+
 def _masked(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r["doc_id"]: r["surrogate_text"] for r in surrogates.replace_entities(df).collect()}
