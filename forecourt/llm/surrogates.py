@@ -35,11 +35,19 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<!\d)\d{3}[-.]\d{3}[-.]\d{4}(?!\d)"
 _CARD = r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
-_SECRET = r"""(?<=["'])[0-9A-Za-z+/_-]{20,200}(?=["'])"""
+_JWT = r"(?<![0-9A-Za-z_.-])eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+_QUOTED = r"""(?<=["'])(?:[0-9A-Za-z+/_-]{20,}={0,2}|[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})(?=["'])"""
+#: Without quotes, a run with a digit that is assigned to a word for a secret.
+_ASSIGNED = r"(?<=[=: ])(?=[0-9A-Za-z+/_.-]{12})(?<=(?i:key|token|secret|password|passwd) ?[=:] ?)(?=[A-Za-z+/_.-]*\d)[0-9A-Za-z+/_.-]{11,}[0-9A-Za-z+/_-]={0,2}"
+_SECRET = f"{_QUOTED}|{_JWT}|{_ASSIGNED}"
 _GIVEN = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_ONE_NAME})(?!\p{{L}})"
 _SURNAME = rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{Ll}})(?<=(?:{_ONE_NAME}|(?:{'|'.join(TITLES)})\.?) )\p{{Lu}}\p{{Ll}}{{1,40}}(?!\p{{L}})"
+_WORD = r"\p{Lu}\p{Ll}{1,40}"
+_CUE = rf"(?:(?:{'|'.join(TITLES)})\.?|[Nn]amed|[Nn]ame is|[Nn]ame:|Dear|I am|I'm|[Cc]ontact|[Ss]igned|[Ss]incerely,|[Rr]egards,|[Aa]uthor:?|[Pp]atient:?|[Cc]ustomer:?|[Ee]mployee:?)"
+#: Two capitalised words after a cue.
+_PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{Ll}})(?:(?<=(?<!\p{{L}}){_CUE} ){_WORD}(?= {_WORD}(?!\p{{L}}))|(?<=(?<!\p{{L}}){_CUE} {_WORD} ){_WORD}(?!\p{{L}}))"
 #: Every entity is one match of this; its kind is told from the match alone.
-PATTERN = "|".join([_SECRET, _EMAIL, _IP, _CARD, _PHONE, _GIVEN, _SURNAME])
+PATTERN = "|".join([_SECRET, _EMAIL, _IP, _CARD, _PHONE, _GIVEN, _SURNAME, _PERSON])
 WIDEN = 8  # attempts after which a surrogate takes a further character or syllable
 
 OUTPUT = ("doc_id", "surrogate_text", "entities")
@@ -207,8 +215,9 @@ def _attempts(work: Work, entities: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = "surrogate", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document's text with a surrogate for each detected entity, and the number of entities.
 
-    Detected are e-mail and IP addresses, phone and card numbers, quoted secrets, given names of the lists, and
-    the surname after one or after a title. A surrogate depends on the key, the kind and the normal form
+    Detected are e-mail and IP addresses, phone and card numbers, quoted secrets of any length, web tokens, secrets assigned
+    without quotes, given names of the lists, the surname after one or after a title, and two capitalised words after
+    a title or another cue. A surrogate depends on the key, the kind and the normal form
     only, so mentions of one entity agree throughout the corpus, whatever their layout. A first pass
     gathers the distinct entities and settles collisions: no two entities of a kind share a surrogate and no
     surrogate is an entity that occurs. Only entities that needed another attempt are joined to the texts

@@ -255,6 +255,19 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert (out[5], out[6], out[7]) == (None, "", "nothing here")
 
 
+def test_secrets_of_any_length_and_names_after_cues(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    secrets = ["k7" * 150, "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ=", jwt, "sk-93ab55c2e41f9d08"]
+    out = _masked(spark, [f'a = "{secrets[0]}"', f"b = '{secrets[1]}'", f"sent {jwt}, then", f"api_key={secrets[3]} and more", "a man named Robert Miller, and Dr. Quentin Farrow.", "the key: understanding others"])
+    for i, secret in enumerate(secrets):
+        assert secret not in out[i] and secret[4:12] not in out[i]
+    assert re.fullmatch(r'a = "[0-9a-z]{300}"', out[0]) and re.fullmatch(r"b = '[0-9A-Za-z]{31}='", out[1])
+    assert re.fullmatch(r"sent [\w-]+\.[\w-]+\.[\w-]+, then", out[2]) and len(out[2]) == len(f"sent {jwt}, then")
+    assert re.fullmatch(r"api_key=[a-z]{2}-[0-9a-z]{16} and more", out[3])
+    assert re.fullmatch(r"a man named (?!Robert)\w+ (?!Miller)\w+, and Dr\. (?!Quentin)\w+ (?!Farrow)\w+\.", out[4])
+    assert out[5] == "the key: understanding others"
+
+
 def test_surrogates_stay_distinct(spark):
     numbers = [f"{i}.0.0.{j}" for i in range(1, 60) for j in range(1, 60)]
     titled = ["Mr " + a + b for a in ("Stone", "Wood", "Brook") for b in "abcdefghij"]
