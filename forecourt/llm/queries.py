@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import decontaminate, fixity, mixing, near_dups, quality, sharding, surrogates, toxicity, url_filter, vector_search
+from forecourt.llm import decontaminate, fill_middle, fixity, mixing, near_dups, quality, sharding, surrogates, toxicity, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op9_byte_shards(spark, sf_dir):
 @_query()
 def op10_find_leaks(spark, sf_dir):
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query(fill_middle.ORACLE_SQL)
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
