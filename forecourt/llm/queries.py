@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, one for each, and the SQL that checks them."""
 
-from forecourt.llm import decontaminate, dialogue_repair, fill_middle, fixity, mixing, near_dups, quality, sharding, surrogates, toxicity, url_filter, vector_search
+from forecourt.llm import decontaminate, dialogue_repair, fill_middle, fixity, languages, mixing, near_dups, quality, sharding, surrogates, toxicity, url_filter, vector_search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,11 @@ def op11_fill_in_middle(spark, sf_dir):
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op12_identify_languages(spark, sf_dir):
+    return languages.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op13_repair_conversations(spark, sf_dir):
     return dialogue_repair.repaired_digests(_table(spark, sf_dir, "conversations"))
