@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from forecourt.operators import adhoc, advise as advice, market, repair
 from forecourt.plans.joins import materialize
 from forecourt.workload.registry import query
-from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, requests
+from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, requests, table
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -285,3 +285,44 @@ def result_envelope_truncated(spark, sf_dir):
 SELECT count(*) > 0 AS found, CAST(NULL AS BIGINT) AS row_count, CAST(NULL AS BIGINT) AS total_rows, CAST(NULL AS BOOLEAN) AS truncated, 0 AS n FROM rows""")
 def result_envelope_not_found(spark, sf_dir):
     return _envelope(_run_adhoc(spark, sf_dir, 10**12), 100)
+
+
+_DEAREST = """SELECT id, manufacturer, price FROM adhoc_listings WHERE year >= 1995 ORDER BY price DESC NULLS LAST, id"""
+
+
+@query(f"""{_WITH_ADHOC}, rows AS ({_DEAREST})
+SELECT true AS found, CAST(100 AS BIGINT) AS row_count, (SELECT count(*) FROM rows) AS total_rows, true AS truncated,
+  CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, id) - 1 AS INT) AS pos, id, price
+FROM (SELECT * FROM rows ORDER BY price DESC NULLS LAST, id LIMIT 100)""")
+def result_envelope_own_order(spark, sf_dir):
+    """The text's order decides which rows are shown."""
+    listings(spark, sf_dir).createOrReplaceTempView("adhoc_listings")
+    told = F.from_json("result", "found boolean, row_count long, total_rows long, truncated boolean, data array<struct<id:long, price:double>>")
+    rows = adhoc.result_envelope(adhoc.run_readonly_sql(spark, _DEAREST, relations=["adhoc_listings"]), 100).select(told.alias("t"))
+    shown = rows.select("t.*").select("found", "row_count", "total_rows", "truncated", F.posexplode("data").alias("pos", "row"))
+    return shown.select("found", "row_count", "total_rows", "truncated", "pos", "row.id", "row.price")
+
+
+_ASKED = {
+    "answered": "SELECT count(*) AS num_cars_sold FROM adhoc_listings WHERE price > 0",
+    "no_such_column": "SELECT count(engine) AS num_cars_sold FROM adhoc_listings",
+    "not_allowed": "SELECT count(*) AS num_cars_sold FROM adhoc_others",
+    "not_found": "SELECT count(*) AS num_cars_sold FROM adhoc_listings WHERE price < 0 AND price > 0",
+    "write": "INSERT INTO adhoc_listings SELECT * FROM adhoc_listings",
+}
+
+
+@query(f"""{_WITH_ADHOC}
+SELECT 'answered' AS asked, false AS error, true AS found, (SELECT count(*) FROM listings WHERE price > 0) AS sold, false AS told
+UNION ALL SELECT 'not_found', false, false, 0, true
+UNION ALL SELECT asked, true, NULL, NULL, true FROM (VALUES ('no_such_column'), ('not_allowed'), ('write')) AS t(asked)""")
+def answer_sql(spark, sf_dir):
+    """Answers, misses and errors in one form."""
+    listings(spark, sf_dir).createOrReplaceTempView("adhoc_listings")
+    table(spark, sf_dir, "part").createOrReplaceTempView("adhoc_others")
+    told = [(name, adhoc.answer_sql(spark, text, relations=["adhoc_listings"])) for name, text in _ASKED.items()]
+    read = F.from_json("answer", "error boolean, found boolean, message string, data array<struct<num_cars_sold:long>>")
+    return spark.createDataFrame(told, "asked string, answer string").withColumn("a", read).select(
+        "asked", F.coalesce("a.error", F.lit(False)).alias("error"), "a.found",
+        F.try_element_at("a.data.num_cars_sold", F.lit(1)).alias("sold"), F.col("a.message").isNotNull().alias("told"),
+    )

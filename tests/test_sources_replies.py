@@ -112,6 +112,8 @@ READS = [
     "SELECT count(*) FROM v GROUP BY id HAVING count(*) > 0 ORDER BY 1 LIMIT 3 OFFSET 0", "SELECT (SELECT max(id) FROM v)",
     "SELECT id, sum(id) OVER w FROM v WINDOW w AS (ORDER BY id)", "SELECT * FROM v LATERAL VIEW explode(array(1, 2)) t AS e",
     "SELECT * FROM range(3)", "SELECT a.id FROM v a JOIN v b ON a.id = b.id", "FROM v |> WHERE id = 1",
+    "SELECT upper(model), transform(array(id), x -> x + 1), uuid() FROM v", "SELECT * FROM explode(array(1))",
+    "WITH a AS (SELECT 1 AS x), b AS (SELECT x FROM a) SELECT * FROM b WHERE x IN (SELECT x FROM a)",
 ]
 WRITES = [
     "DROP TABLE v", "INSERT INTO v SELECT 1", "WITH a AS (SELECT 1) INSERT INTO v SELECT * FROM a", "DELETE FROM v",
@@ -123,9 +125,23 @@ WRITES = [
     "SELECT (SELECT max(try_reflect('java.lang.Math', 'abs', id)) FROM v)", "CACHE TABLE v", "CREATE VIEW w AS SELECT 1", "DECLARE x INT", "WITH a AS (SELECT TRANSFORM(id) USING 'cat' FROM v) SELECT * FROM a",
 ]
 
+# What no list of bad names finds: names made at run time, files as tables, functions and views of others.
+REACHES = [
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'setProperty', 'x.y', 'z')", "SELECT IDENTIFIER('up' || 'per')(model) FROM v",
+    "SELECT * FROM IDENTIFIER('v')", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/x`", "SELECT * FROM binaryFile.`/etc`",
+    "WITH a AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM a", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)",
+    "SELECT id FROM v WHERE note IN (SELECT value FROM csv.`/etc/hostname`)", "SELECT v.id FROM v JOIN json.`/etc/hostname` ON true",
+    "SELECT java_method('java.util.UUID', 'randomUUID')", "WITH a AS (SELECT `reflect`('java.lang.Math', 'abs', 1)) SELECT * FROM a",
+    "VALUES (reflect('java.lang.Math', 'abs', 1))", "SELECT input_file_name() FROM v", "SELECT from_protobuf(unbase64(note), 'x', '/etc/hostname') FROM v",
+    "SELECT own_function(id) FROM v", "SELECT no_such_function(id) FROM v", "SELECT spark_catalog.default.upper(note) FROM v",
+    "SELECT * FROM python_worker_logs()", "SELECT * FROM v LATERAL VIEW own_function(id) t AS e", "SELECT count(*) FROM no_such.table_of_it",
+    "FROM v |> WHERE id = IDENTIFIER('reflect')('java.lang.Math', 'abs', 1)",
+]
+
 
 @pytest.fixture
 def view(spark):
+    spark.udf.register("own_function", lambda x: x, "long")
     spark.createDataFrame([(1, "x", "civic")], "id long, note string, model string").createOrReplaceTempView("v")
 
 
@@ -140,6 +156,63 @@ def test_writes_are_refused(spark, view, text):
         adhoc.run_readonly_sql(spark, text)
 
 
+@pytest.mark.parametrize("text", REACHES)
+def test_what_reaches_out_is_refused(spark, view, text):
+    with pytest.raises(adhoc.NotReadOnly):
+        adhoc.check_readonly(spark, text)
+    assert spark._jvm.java.lang.System.getProperty("x.y") is None
+
+
+def test_own_functions_under_known_names_are_refused(spark):
+    other = spark.newSession()
+    adhoc.check_readonly(other, "SELECT soundex('a')")
+    other.udf.register("soundex", lambda x: x)
+    with pytest.raises(adhoc.NotReadOnly):
+        adhoc.check_readonly(other, "SELECT soundex('a')")
+
+
+def test_only_the_given_tables_are_read(spark, view):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS shop")
+    spark.createDataFrame([(1,)], "id long").write.mode("overwrite").saveAsTable("shop.sales")
+    spark.sql("CREATE OR REPLACE VIEW shop.seen AS SELECT id FROM shop.sales")
+    spark.createDataFrame([(1,)], "id long").createOrReplaceTempView("w")
+    allowed = {
+        "SELECT id FROM shop.sales": (["shop"], ["shop.sales"], ["spark_catalog"], ["spark_catalog.shop"], ["SHOP.Sales", "v"]),
+        "SELECT id FROM shop.seen": (["shop.seen"], ["shop"]),
+        "SELECT v.id FROM v JOIN spark_catalog.shop.sales s ON v.id = s.id": (["v", "shop"],),
+        "WITH w AS (SELECT id FROM v) SELECT * FROM w": (["v"],),
+        "SELECT * FROM range(2)": ([],),
+    }
+    refused = {
+        "SELECT id FROM shop.sales": ([], ["v"], ["sales"], ["shop.seen"], ["spark"]),
+        "SELECT id FROM shop.seen": (["shop.sales"],),
+        "SELECT v.id FROM v WHERE id IN (SELECT id FROM shop.sales)": (["v"], ["shop"]),
+        "WITH a AS (SELECT id FROM w) SELECT 1 FROM v": (["v"],),
+        "SELECT id FROM w UNION ALL SELECT id FROM v": (["v"],),
+    }
+    for text, lists in allowed.items():
+        for relations in lists:
+            adhoc.run_readonly_sql(spark, text, relations=relations).collect()
+    for text, lists in refused.items():
+        for relations in lists:
+            with pytest.raises(adhoc.NotReadOnly):
+                adhoc.check_readonly(spark, text, relations=relations)
+    spark.sql("DROP VIEW shop.seen")
+    spark.sql("DROP TABLE shop.sales")
+
+
+def test_envelopes_keep_the_order_of_the_text(spark):
+    ids = lambda text, cap: [r["id"] for r in json.loads(adhoc.answer_sql(spark, text, cap))["data"]]
+    assert ids("SELECT id % 10 AS a, id FROM range(1000) ORDER BY id DESC", 3) == [999, 998, 997]
+    assert ids("SELECT id % 10 AS a, id FROM range(1000)", 3) == [0, 10, 20]
+    assert ids("SELECT id FROM range(1000) ORDER BY id % 7 DESC, id LIMIT 2", 5) == [6, 13]
+    assert ids("WITH t AS (SELECT id FROM range(50)) SELECT id FROM t ORDER BY -id OFFSET 1", 2) == [48, 47]
+    assert ids("SELECT id FROM (SELECT id FROM range(9) ORDER BY id DESC) AS t", 2) == [8, 7]
+    told = json.loads(adhoc.answer_sql(spark, "SELECT id FROM range(1000) ORDER BY id DESC", 4))
+    assert (told["row_count"], told["total_rows"], told["truncated"]) == (4, 1000, True)
+    assert ids("SELECT id, map(1, 2) AS m FROM range(5) WHERE id > 3", 3) == [4]
+
+
 def test_cap_and_parameters(spark):
     assert adhoc.run_readonly_sql(spark, "SELECT * FROM range(500) LIMIT 300").count() == 300
     assert adhoc.run_readonly_sql(spark, "SELECT * FROM range(500)", cap=100).count() == 100
