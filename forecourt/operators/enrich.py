@@ -4,11 +4,12 @@ from collections.abc import Callable
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import schemas as S
+from forecourt.operators.quality import counted_report, missing_cells
 
 # field -> (pattern on the lower-cased text, group); our own reading of listing texts
 RULES: dict[str, tuple[str, int]] = {
@@ -34,14 +35,17 @@ NUMBERS = ("price", "odometer")
 
 
 def rule_struct(text: Column, rules: dict[str, tuple[str, int]] = RULES, numbers: tuple[str, ...] = NUMBERS) -> Column:
-    """Struct of the first match of every rule on a lower-cased text; no match gives null, numbers lose their commas."""
+    """Struct of the first match of every rule on a lower-cased text; no match gives null, numbers lose their commas.
+
+    A match is filtered by a function on arrays: that names it once, so that each rule runs once and only where it is asked
+    for, and keeps the rules out of the generated code of the stage, which grows too large to be compiled with all of them.
+    """
     fields = []
     for name, (pattern, group) in rules.items():
         found = F.regexp_extract(text, pattern, group)
         if name in numbers:
             found = F.replace(found, F.lit(","), F.lit(""))
-        # "" to null with one reference: nullif would run every rule, also where the cell is filled.
-        fields.append(F.get(F.array_remove(F.array(found), F.lit("")), F.lit(0)).alias(name))
+        fields.append(F.get(F.filter(F.array(found), lambda value: value != ""), F.lit(0)).alias(name))
     return F.struct(*fields)
 
 
@@ -97,18 +101,52 @@ def extract_fields_udf(
     return rows.withColumn(into, F.pandas_udf(run, schema)(F.col(text)))
 
 
+def _filled(df: DataFrame, extracted: str, legacy_string: bool) -> dict[str, Column]:
+    """Each column as the merge leaves it."""
+    read = df.schema[extracted].dataType
+    types = {f.name: T.StringType() if legacy_string else f.dataType for f in df.schema if f.name in read.names}
+    return {c: F.coalesce(F.col(f"`{c}`").cast(t), F.col(f"`{extracted}`")[c].try_cast(t)) for c, t in types.items()}
+
+
 def merge_extracted(
     df: DataFrame,
     extracted: str = "extracted_data",
     drop: tuple[str, ...] = ("description", "id"),
     legacy_string: bool = False,
+    counted: Observation | None = None,
 ) -> DataFrame:
     """Fill nulls of the listing columns from the extraction struct; present values always win.
 
     Columns keep their order and type; text that is no number fills nothing.
-    ``legacy_string`` turns every fillable column into a string instead.
+    ``legacy_string`` turns every fillable column into a string instead. ``counted`` gets the null cells before and
+    after, of the columns that remain, when the result is written (``observed_report``).
     """
-    read = df.schema[extracted].dataType
-    types = {f.name: T.StringType() if legacy_string else f.dataType for f in df.schema if f.name in read.names}
-    filled = {c: F.coalesce(F.col(f"`{c}`").cast(t), F.col(f"`{extracted}`")[c].try_cast(t)) for c, t in types.items()}
-    return df.withColumns(filled).drop(extracted, *drop)
+    if counted is None:
+        return df.withColumns(_filled(df, extracted, legacy_string)).drop(extracted, *drop)
+    counts = _with_counts(df, extracted, drop, legacy_string, True)
+    sums = [F.coalesce(F.sum(f"_{c}"), F.lit(0).cast("long")).alias(f"{c}_nulls") for c in ("initial", "final")]
+    kept = [c for c in df.columns if c != extracted and c not in drop]
+    return counts.observe(counted, *sums).select(*[F.col(f"_after.`{c}`").alias(c) for c in kept])
+
+
+def merge_report(
+    df: DataFrame,
+    extracted: str = "extracted_data",
+    drop: tuple[str, ...] = ("description", "id"),
+    legacy_string: bool = False,
+    same_columns: bool = True,
+) -> DataFrame:
+    """What ``merge_extracted`` would recover, as ``recovery_report`` tells it, from one scan of the unmerged rows."""
+    counts = _with_counts(df, extracted, drop, legacy_string, same_columns)
+    return counted_report(counts.select(F.col("_initial").alias("initial"), F.col("_final").alias("final")))
+
+
+def _with_counts(df: DataFrame, extracted: str, drop: tuple[str, ...], legacy_string: bool, same_columns: bool) -> DataFrame:
+    """Rows after the merge, as a struct, with their missing cells before and after it."""
+    filled = _filled(df, extracted, legacy_string)
+    fields = [f for f in df.schema if f.name != extracted and f.name not in drop]
+    after = df.select("*", F.struct(*[filled.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in fields]).alias("_after"))
+    listed = fields if same_columns else [f for f in df.schema if f.name != extracted]
+    before = missing_cells([(F.col(f"`{f.name}`"), f.dataType) for f in listed])
+    left = missing_cells([(F.col(f"_after.`{f.name}`"), f.dataType) for f in after.schema["_after"].dataType])
+    return after.select("_after", before.alias("_initial"), left.alias("_final"))

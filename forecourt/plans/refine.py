@@ -2,13 +2,13 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from forecourt import schemas as S
 from forecourt.operators.enrich import extract_fields_rules, merge_extracted
 from forecourt.operators.models import normalize_models, propose_dictionary
 from forecourt.operators.prepare import drop_columns, filter_manufacturers, filter_valid, sample_rows
-from forecourt.operators.quality import recovery_report
+from forecourt.operators.quality import observed_report
 from forecourt.sources.files import read_listings, read_repair_catalog
 from forecourt.sources.tables import ensure_schema, write_table
 
@@ -54,7 +54,7 @@ def refresh_tables(
 ) -> DataFrame:
     """Rebuild all tables of ``schema`` from the two CSV sources and report the recovered cells.
 
-    Every table is replaced. Without ``dictionary`` the canonical names are proposed from
+    Every table is replaced, and the report is counted while the last one is written. Without ``dictionary`` the canonical names are proposed from
     the cleaned listings. ``sampling`` goes to ``silver``.
     """
     ensure_schema(spark, schema)
@@ -63,4 +63,6 @@ def refresh_tables(
     cleaned = store(silver(store(read_listings(spark, listings_csv), VEHICLES), **sampling), CLEANED)
     names = propose_dictionary(cleaned) if dictionary is None else dictionary
     named = store(normalize_models(cleaned, names), NAMED)
-    return recovery_report(named, store(merge_extracted(extract(named)), ENRICHED))
+    counted = Observation()
+    store(merge_extracted(extract(named), counted=counted), ENRICHED)
+    return observed_report(spark, counted)

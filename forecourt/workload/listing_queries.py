@@ -280,15 +280,18 @@ FROM sums"""
 
 @query(_report_sql(_AFTER))
 def recovery_report(spark, sf_dir):
-    before = listings(spark, sf_dir)
+    return enrich.merge_report(enrich.extract_fields_rules(listings(spark, sf_dir)))
+
+
+@query(_report_sql(_AFTER))
+def recovery_report_of_two_tables(spark, sf_dir):
+    before = materialize(listings(spark, sf_dir))
     return quality.recovery_report(before, enrich.merge_extracted(enrich.extract_fields_rules(before)))
 
 
 @query(_report_sql(_ALL))
 def recovery_report_all_columns(spark, sf_dir):
-    before = listings(spark, sf_dir)
-    after = enrich.merge_extracted(enrich.extract_fields_rules(before))
-    return quality.recovery_report(before, after, same_columns=False)
+    return enrich.merge_report(enrich.extract_fields_rules(listings(spark, sf_dir)), same_columns=False)
 
 
 # --- the whole chain ---------------------------------------------------------

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 
 from conftest import rows
 from forecourt import schemas as S
@@ -84,6 +85,24 @@ def test_recovery_report(spark):
     assert tuple(quality.recovery_report(full, full).first()) == (0, 0, 0, 0.0)
 
 
+@pytest.mark.parametrize("same_columns", [True, False])
+@pytest.mark.parametrize("legacy_string", [True, False])
+def test_reports_from_one_scan(spark, same_columns, legacy_string):
+    cars = [(1, None, float("nan"), None, TEXT), (None, "ford", 2.0, "x", None), (3, None, None, None, "none"), (None, "", 1.0, "y", TEXT)]
+    df = enrich.extract_fields_rules(spark.createDataFrame(cars, "id int, manufacturer string, price double, other string, description string"))
+    merged = enrich.merge_extracted(df, legacy_string=legacy_string)
+    want = rows(quality.recovery_report(df.drop("extracted_data"), merged, same_columns))
+    assert rows(enrich.merge_report(df, legacy_string=legacy_string, same_columns=same_columns)) == want
+    if same_columns:
+        counted = Observation()
+        again = enrich.merge_extracted(df, legacy_string=legacy_string, counted=counted)
+        assert again.schema == merged.schema and repr(rows(again)) == repr(rows(merged))
+        assert rows(quality.observed_report(spark, counted)) == want
+    assert rows(enrich.merge_report(df.limit(0))) == [(0, 0, 0, 0.0)]
+    plan = enrich.merge_report(df)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
+
+
 def test_raw_to_gold(spark):
     raw = spark.createDataFrame([
         (1, "u", 100.0, 2000, "ford", "FOCUS se", 5.0, None, TEXT),
