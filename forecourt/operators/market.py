@@ -1,11 +1,13 @@
 """Price statistics of comparable sales, for one vehicle or a whole table of requests."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt import schemas as S
 from forecourt.functions.text import all_of, contains_ci
-from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join, fits_broadcast, keyed_join, materialize
+from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join, fits_broadcast, is_stored, keyed_join, materialize, scratch
 
 MILE_BAND = 10_000
 PRICE_STEPS = 64  # per doubling of the price
@@ -97,7 +99,7 @@ def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
     )
 
 
-def _models_wanted(pairs: DataFrame, sales: DataFrame) -> DataFrame:
+def _models_wanted(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """(_pair, _maker, _model): the names on sale that contain a pair of wanted texts.
 
     Works on distinct names only. The model, where given, is the text searched for and
@@ -107,7 +109,7 @@ def _models_wanted(pairs: DataFrame, sales: DataFrame) -> DataFrame:
     wanted = pairs.withColumn("_side", F.when(by_model, "model").otherwise("maker")).withColumn(
         "_needle", F.when(by_model, F.col("_want_model")).otherwise(F.col("_want_maker"))
     )
-    on_sale = sales.select("_maker", "_model").distinct()
+    on_sale = cells.select("_maker", "_model").distinct()
     sides = F.array(
         F.struct(F.lit("model").alias("_side"), F.col("_model").alias("_text")),
         F.struct(F.lit("maker").alias("_side"), F.col("_maker").alias("_text")),
@@ -119,27 +121,10 @@ def _models_wanted(pairs: DataFrame, sales: DataFrame) -> DataFrame:
     return named.select("_pair", "_maker", "_model")
 
 
-def _rung() -> Column:
-    """First rung of the ladder on which a sale counts for a lookup; each rung includes those before it.
-
-    0 all given fields, 1 without condition, 2 years within three, 3 without year,
-    4 without odometer. A missing cell fails a test that was asked for.
-    """
-    fails = lambda given, test: given & ~F.coalesce(test, F.lit(False))
-    years_off = F.abs(F.col("year") - F.col("_want_year"))
-    year, odometer = F.col("_want_year") != 0, F.col("_want_odometer") != 0
-    miles_off = F.abs(F.col("odometer") - F.col("_want_odometer"))
-    return (
-        F.when(fails(odometer, miles_off <= S.ODOMETER_WINDOW), 4)
-        .when(fails(year, years_off <= S.WIDE_YEAR_WINDOW), 3)
-        .when(fails(year, years_off <= S.YEAR_WINDOW), 2)
-        .when(fails(F.col("_want_condition") != "", F.contains("_condition", "_want_condition")), 1)
-        .otherwise(0)
-    )
-
-
+# What one rung of the ladder asks for; requests that ask for the same share the answer.
+_ASK = ["_pair", "_want_year", "_window", "_want_condition", "_want_odometer"]
 _KIND = ["_pair", "_by_year", "_by_miles"]
-# A pair of names has at most 4 kinds of tests; a lookup lies in at most 7 years and 5 bands.
+# A pair of names has at most 4 kinds of tests; an ask lies in at most 7 years and 5 bands.
 _KINDS = 4
 _CELLS = (2 * S.WIDE_YEAR_WINDOW + 1) * (2 * S.ODOMETER_WINDOW // MILE_BAND + 1)
 
@@ -149,14 +134,27 @@ def _fits(df: DataFrame, times: int, max_rows: int) -> bool:
     return fits_broadcast(df, max_rows // times, BROADCAST_BYTES // (2 * times))
 
 
-def _asked(lookups: DataFrame, window: Column, by_miles: Column) -> DataFrame:
-    """Lookups with the tests of one pass: years within ``window`` (null: any) where a year
-    is given, miles where an odometer reading is given and ``by_miles`` holds."""
-    return (
-        lookups.withColumn("_window", window.cast("int"))
-        .withColumn("_by_year", (F.col("_want_year") != 0) & F.col("_window").isNotNull())
-        .withColumn("_by_miles", (F.col("_want_odometer") != 0) & by_miles)
-    )
+def _rungs(climbs: DataFrame, up: int) -> DataFrame:
+    """(_climb, relax_tier, ask): what each rung of the ladder asks for.
+
+    0 all given fields, 1 without condition, 2 years within three, 3 without year, 4 without odometer, each higher by ``up``.
+    Rungs that ask for the same as the one before are left out, so an answer on a rung has sales of that rung only.
+    """
+    year, condition, odometer = (F.col(f"_want_{c}") for c in ("year", "condition", "odometer"))
+    by_year, none, zero = year != 0, F.lit(""), F.lit(0)
+    narrow, wide = F.when(by_year, S.YEAR_WINDOW).otherwise(0), F.lit(S.WIDE_YEAR_WINDOW)
+    ladder = [
+        (F.lit(True), year, narrow, condition, odometer),
+        (condition != "", year, narrow, none, odometer),
+        (by_year, year, wide, none, odometer),
+        (by_year, zero, zero, none, odometer),
+        (odometer != 0, zero, zero, none, zero),
+    ]
+    steps = [
+        F.when(asks, F.struct(F.lit(up + rung).alias("relax_tier"), *[value.alias(name) for name, value in zip(_ASK[1:], ask, strict=True)]))
+        for rung, (asks, *ask) in enumerate(ladder)
+    ]
+    return climbs.select("_climb", "_pair", F.inline(F.array_compact(F.array(*steps)))).select("_climb", "relax_tier", *_ASK)
 
 
 def _spans(asked: DataFrame) -> DataFrame:
@@ -175,7 +173,7 @@ def _band(miles: Column) -> Column:
 
 
 def _cells(asked: DataFrame) -> DataFrame:
-    """Lookups repeated for the years and bands of miles their sales lie in (0: any)."""
+    """Asks repeated for the years and bands of miles their sales lie in (0: any)."""
     any_ = F.array(F.lit(0).cast("long"))
     year, miles, window = (F.col(c).cast("long") for c in ("_want_year", "_want_odometer", "_window"))
     years = F.when(F.col("_by_year"), F.sequence(year - window, year + window)).otherwise(any_)
@@ -186,30 +184,54 @@ def _cells(asked: DataFrame) -> DataFrame:
     )
 
 
-def _meet(sales: DataFrame, names: DataFrame, asked: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
-    """Sales with the lookups they may count for, and the rung on which they do.
+def _meet(sales: DataFrame, names: DataFrame, asks: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
+    """Sales, or cells of sales, with the asks they answer.
 
-    A sale first meets the pairs of names found in it whose lookups cover its year and
-    miles, then by equality the lookups of these pairs in its cell. ``small`` tells what
-    is known to fit a broadcast: the names with their spans, and the cells.
+    A sale first meets the pairs of names found in it whose asks cover its year and
+    miles, then by equality the asks of these pairs in its cell. ``small`` tells what
+    is known to fit a broadcast: the names with their spans, and the cells of the asks.
     """
+    asked = asks.withColumn("_by_year", F.col("_want_year") != 0).withColumn("_by_miles", F.col("_want_odometer") != 0)
     within = (~F.col("_by_year") | F.col("year").between(F.col("_first_year"), F.col("_last_year"))) & (
-        ~F.col("_by_miles") | F.col("odometer").between(F.col("_least_miles"), F.col("_most_miles"))
+        ~F.col("_by_miles") | ((F.col("_most") >= F.col("_least_miles")) & (F.col("_least") <= F.col("_most_miles")))
     )
     any_ = F.lit(0).cast("long")
     near = (
         keyed_join(sales, names.join(_spans(asked), "_pair"), ["_maker", "_model"], max_rows=max_rows, small=small[0])
         .filter(within)
-        .select(
-            *_KIND,
-            F.when(F.col("_by_year"), F.floor("year").cast("long")).otherwise(any_).alias("_year"),
-            F.when(F.col("_by_miles"), _band(F.col("odometer"))).otherwise(any_).alias("_band"),
-            "_condition", "year", "odometer", "price", "_step", "_over",
-        )
+        .withColumn("_year", F.when(F.col("_by_year"), F.floor("year").cast("long")).otherwise(any_))
+        .withColumn("_band", F.when(F.col("_by_miles"), _band(F.col("_least"))).otherwise(any_))
+        .drop("_maker", "_model", "_first_year", "_last_year", "_least_miles", "_most_miles")
     )
-    cells = _cells(asked.drop("_want_maker", "_want_model"))
-    met = keyed_join(near, cells, [*_KIND, "_year", "_band"], max_rows=max_rows, small=small[1])
-    return met.withColumn("_rung", _rung())
+    met = keyed_join(near, _cells(asked), [*_KIND, "_year", "_band"], max_rows=max_rows, small=small[1])
+    miles = F.col("_want_odometer")
+    # A missing cell fails a test that was asked for. Miles asked for span more than a band, so that of a cell of sales
+    # one end lies within them if any of its sales does.
+    return met.filter(all_of([
+        ~F.col("_by_year") | (F.abs(F.col("year") - F.col("_want_year")) <= F.col("_window")),
+        ~F.col("_by_miles") | ((F.col("_most") >= miles - S.ODOMETER_WINDOW) & (F.col("_least") <= miles + S.ODOMETER_WINDOW)),
+        (F.col("_want_condition") == "") | F.contains("_condition", "_want_condition"),
+    ]))
+
+
+def _on_sale(sales: DataFrame) -> DataFrame:
+    """Cells of sales: names, condition, year and band of miles, with the least and most miles of each."""
+    banded = sales.withColumn("_band", _band(F.col("odometer")))
+    return banded.groupBy("_maker", "_model", "_condition", "year", "_band").agg(F.min("odometer").alias("_least"), F.max("odometer").alias("_most"))
+
+
+def _answered(cells: DataFrame, names: DataFrame, asks: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
+    """(_lookup): the asks that any sale answers, each told from the coarsest cells that decide it; its names are on sale."""
+    by_condition, by_year, by_miles = F.col("_want_condition") != "", F.col("_want_year") != 0, F.col("_want_odometer") != 0
+    coarser = lambda *names: cells.groupBy(*names, "_band").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    any_year, none = F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("_condition")
+    sides = [
+        (by_condition, cells.drop("_band")),
+        (~by_condition & by_year, coarser("_maker", "_model", "year").drop("_band").select("*", none)),
+        (~by_condition & ~by_year & by_miles, coarser("_maker", "_model").drop("_band").select("*", none, any_year)),
+    ]
+    met = [_meet(side, names, asks.filter(test), max_rows, small).select("_lookup").distinct() for test, side in sides]
+    return reduce(DataFrame.unionByName, met, asks.filter(~by_condition & ~by_year & ~by_miles).select("_lookup"))
 
 
 def _price_step(price: Column) -> Column:
@@ -277,49 +299,67 @@ def market_estimate(
     listings: DataFrame,
     request_id: str = "request_id",
     max_rows: int = BROADCAST_ROWS,
+    base_model: bool = True,
 ) -> DataFrame:
     """Price statistics of comparable sales for every request, relaxing filters where nothing matches.
 
-    Requests that no rung of ``ladder_estimate`` answers and whose model has several words go up the same
-    ladder with the first word alone, the base model; their ``relax_tier`` is higher by ``BASE_MODEL``.
-    """
-    first = materialize(ladder_estimate(requests, listings, request_id, max_rows).drop("found", "hint"))
-    if "model" not in requests.columns:
-        return _with_signal(first)
-    words = F.split(F.btrim("model"), r"\s+")
-    left = first.filter("num_cars_sold = 0").select(request_id)
-    again = materialize(requests.join(left, request_id, "left_semi").filter(F.size(words) > 1).withColumn("model", words[0]))
-    if again.isEmpty():
-        return _with_signal(first)
-    second = ladder_estimate(again, listings, request_id, max_rows).drop("found", "hint")
-    second = materialize(second.withColumn("relax_tier", F.col("relax_tier") + BASE_MODEL))
-    return _with_signal(first.join(second.select(request_id), request_id, "left_anti").unionByName(second))
-
-
-def ladder_estimate(
-    requests: DataFrame,
-    listings: DataFrame,
-    request_id: str = "request_id",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Price statistics of comparable sales for every request, on the first rung where any sale matches.
-
-    ``requests`` has a unique ``request_id`` and the vehicle fields; equal requests are
-    looked up once. A sale meets a lookup by equality: on the distinct names of maker and
-    model, and on cells of year and miles, so that sales far off in either are not
-    compared. One pass finds the lookups answered on the first two rungs, another the rung
-    of the others; then sales are counted by price step on each lookup's rung, and the
-    prices of the one step that holds the median give the exact median. All passes combine
-    their results before the shuffle, so no request gathers its sales in one task.
-    Requests without any sale come back with nulls and count 0.
-
-    ``listings`` is read up to five times, six columns of it: pass a stored table, or
-    ``materialize`` what a costly plan gives.
+    ``requests`` has a unique ``request_id`` and the vehicle fields. ``relax_tier`` is the first rung of the ladder with
+    any sale: 0 all given fields, 1 without condition, 2 years within three, 3 without year, 4 without
+    odometer; requests whose model has several words go on, with ``base_model``, to the same rungs with its first word
+    alone, higher by ``BASE_MODEL``. Requests without any sale come back with nulls and count 0.
+
+    What a rung asks for is asked once, however many requests do. ``listings`` is scanned three times, six columns of it (unless
+    it is stored, these are written once and read from there). The first scan gives the distinct cells on sale: names, condition,
+    year and band of miles, with the least and most miles of each, which tell exactly what asks have any sale, and so each
+    request's rung. The second counts the sales of the asks that were taken by price step, and the third reads the prices of the one step that holds the
+    median. A sale meets the asks by equality, on names and on cells of year and miles, so that sales far off in
+    either are not compared; all scans combine their results before the shuffle, so no ask gathers its sales in one task.
     """
+    spark = requests.sparkSession
+    with scratch(spark) as keep:
+        best = keep(_best_figures(requests, listings, request_id, max_rows, base_model))
     wanted = _wanted(requests, request_id)
-    # The smallest request names a lookup: a short key that is the same in every run.
-    lookups = wanted.groupBy(*_WANTED).agg(F.min(request_id).alias("_lookup"))
-    pairs = materialize(lookups.groupBy("_want_maker", "_want_model").agg(F.min("_lookup").alias("_pair")))
+    answered = keyed_join(wanted, best, _WANTED, "left", max_rows=max_rows).select(request_id, "relax_tier", *_FIGURES)
+    return _with_signal(answered.withColumn("num_cars_sold", F.coalesce("num_cars_sold", F.lit(0).cast("long"))))
+
+
+def ladder_estimate(requests: DataFrame, listings: DataFrame, request_id: str = "request_id", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``market_estimate`` with the rungs of the whole model name alone."""
+    return market_estimate(requests, listings, request_id, max_rows, base_model=False)
+
+
+def _best_figures(requests: DataFrame, listings: DataFrame, request_id: str, max_rows: int, base_model: bool) -> DataFrame:
+    """The stored figures of each distinct set of wanted fields that any sale answers."""
+    # The smallest request names a climb: a short key that is the same in every run.
+    climbs = materialize(_wanted(requests, request_id).groupBy(*_WANTED).agg(F.min(request_id).alias("_climb")))
+    words = F.split(F.btrim("_want_model", F.lit(" \t\n\r\x0b\x0c")), r"\s+")
+    ladders = [(climbs, 0)]
+    if base_model:
+        ladders.append((climbs.filter(F.size(words) > 1).withColumn("_want_model", words[0]), BASE_MODEL))
+    asked_names = reduce(DataFrame.unionByName, [c.select("_want_maker", "_want_model") for c, _ in ladders])
+    pairs = materialize(asked_names.distinct().withColumn("_pair", F.monotonically_increasing_id()))
+    sales = _sales(listings)
+    cells = materialize(_on_sale(sales))
+    names = materialize(_models_wanted(pairs, cells))
+    known = pairs.join(names.select("_pair").distinct(), "_pair", "left_semi")
+    steps = materialize(reduce(DataFrame.unionByName, [_rungs(c.join(known, ["_want_maker", "_want_model"]), up) for c, up in ladders]))
+    asks = materialize(steps.select(*_ASK).distinct().withColumn("_lookup", F.monotonically_increasing_id()))
+    small = (_fits(names, _KINDS, max_rows), _fits(asks, _CELLS, max_rows))
+    answered = steps.join(asks, _ASK).join(_answered(cells, names, asks, max_rows, small), "_lookup")
+    first = F.min(F.struct("relax_tier", "_lookup")).alias("_taken")
+    taken = materialize(answered.groupBy("_climb").agg(first).select("_climb", "_taken.*"))
+    chosen = materialize(asks.join(taken.select("_lookup").distinct(), "_lookup"))
+
+    sales = sales.withColumns({"_least": F.col("odometer"), "_most": F.col("odometer")}).drop("odometer")
+    figures = materialize(_figures(_meet(sales, names, chosen, max_rows, small)))
+    ranked = materialize(chosen.join(figures.select("_lookup", "_median_step", "_median_rank"), "_lookup"))
+    in_step = _meet(sales, names, ranked, max_rows, small).filter(F.col("_step") == F.col("_median_step"))
+    medians = _medians(in_step)
+    return materialize(climbs.join(taken, "_climb").join(figures, "_lookup").join(medians, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
+
+
+def _sales(listings: DataFrame) -> DataFrame:
+    """Sales with lower-cased names, typed figures and their price step; stored unless ``listings`` is."""
     name = lambda c: F.lower(F.coalesce(F.col(c), F.lit(_ABSENT)))
     sales = _typed(listings).filter(F.col("price") > 0).select(
         name("manufacturer").alias("_maker"),
@@ -328,37 +368,6 @@ def ladder_estimate(
         "year",
         "odometer",
         "price",
-        _price_step(F.col("price")).alias("_step"),
     )
-    sales = sales.withColumn("_over", F.col("price").cast("double") - _step_price(F.col("_step")))
-    names = materialize(_models_wanted(pairs, sales))
-    known = pairs.join(names.select("_pair").distinct(), "_pair", "left_semi")
-    lookups = materialize(lookups.join(known, ["_want_maker", "_want_model"]))
-
-    small = (_fits(names, _KINDS, max_rows), _fits(lookups, _CELLS, max_rows))
-
-    def meet(asked: DataFrame) -> DataFrame:
-        return _meet(sales, names, asked, max_rows, small)
-
-    def first_rung(asked: DataFrame, last: int) -> DataFrame:
-        met = meet(asked).filter(F.col("_rung") <= last)
-        return materialize(met.groupBy("_lookup").agg(F.min("_rung").alias("relax_tier")))
-
-    rungs = first_rung(_asked(lookups, F.lit(S.YEAR_WINDOW), F.lit(True)), 1)
-    waiting = materialize(lookups.join(rungs, "_lookup", "left_anti"))
-    if not waiting.isEmpty():
-        relaxed = first_rung(_asked(waiting, F.lit(None), F.lit(True)), 3)
-        # The names are on sale, but not within the miles: the last rung tests names only.
-        tier = F.coalesce("relax_tier", F.lit(4)).alias("relax_tier")
-        rungs = rungs.unionByName(waiting.join(relaxed, "_lookup", "left").select("_lookup", tier))
-    tier = F.col("relax_tier")
-    window = F.when(tier <= 1, S.YEAR_WINDOW).when(tier == 2, S.WIDE_YEAR_WINDOW)
-    rungs = materialize(_asked(lookups.join(rungs, "_lookup"), window, tier <= 3))
-    figures = materialize(_figures(meet(rungs).filter(F.col("_rung") == tier)))
-    ranked = rungs.join(figures, "_lookup")
-    in_step = meet(ranked).filter(
-        (F.col("_step") == F.col("_median_step")) & (F.col("_rung") == tier)
-    )
-    best = materialize(ranked.join(_medians(in_step), "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
-    answered = keyed_join(wanted, best, _WANTED, "left", max_rows=max_rows).select(request_id, "relax_tier", *_FIGURES)
-    return _with_signal(answered.withColumn("num_cars_sold", F.coalesce("num_cars_sold", F.lit(0).cast("long"))))
+    sales = (sales if is_stored(listings) else materialize(sales)).withColumn("_step", _price_step(F.col("price")))
+    return sales.withColumn("_over", F.col("price").cast("double") - _step_price(F.col("_step")))

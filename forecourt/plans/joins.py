@@ -6,6 +6,9 @@ compares every needle with every text.
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +41,51 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/forecourt-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    if (opened := _scratch.get()) is not None:
+        opened.append(path)
+    return stored
+
+
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete what is materialized within, also by helpers, when it ends, but for the tables that are given to the yielded function.
+
+    These must be all that a lazy result still reads. Within another ``scratch`` they belong to that one.
+    """
+    outer, kept = _scratch.get(), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._stored_at)
+        return df
+
+    opened: list[str] = []
+    before = _scratch.set(opened)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(before)
+        for path in opened:
+            if path not in kept:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if outer is not None:
+            outer.extend(kept)
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is read from files or rows at hand, with columns and rows picked only, so that reading it again costs no more."""
+    waiting = [df._jdf.queryExecution().optimizedPlan()]
+    while waiting:
+        plan = waiting.pop()
+        if plan.getClass().getSimpleName() not in {"Project", "Filter", "LogicalRelation", "HiveTableRelation", "DataSourceV2ScanRelation", "LocalRelation"}:
+            return False
+        waiting.extend(plan.children().apply(i) for i in range(plan.children().size()))
+    return True
 
 
 def _width(df: DataFrame) -> Column:

@@ -23,6 +23,8 @@ def _round_sql(expression: str, name: str) -> str:
 _STATS_SQL = f"""{_round_sql('avg(price)', 'average_price')}, quantile_disc(price, 0.5) AS median_price,
   {_round_sql('stddev_samp(price)', 'price_std_dev')}, count(*) AS num_cars_sold"""
 
+_HINT_SQL = "CASE WHEN {n} = 0 THEN 'no comparable sale: drop the condition, widen the years or shorten the model name' END AS hint"
+
 
 def _sold(spark, sf_dir) -> DataFrame:
     """The columns of the listings that the lookup reads several times, joined once."""
@@ -58,25 +60,25 @@ def comparables_all_fields(spark, sf_dir):
 
 
 @query(f"""WITH {LISTINGS_SQL}
-SELECT {_STATS_SQL}, count(*) > 0 AS found FROM listings
+SELECT {_STATS_SQL}, count(*) > 0 AS found, {_HINT_SQL.format(n='count(*)')} FROM listings
 WHERE price > 0 AND lower(manufacturer) LIKE '%toyota%' AND lower(model) LIKE '%widget%' AND year BETWEEN 1996 AND 1998""")
 def market_stats(spark, sf_dir):
     found = market.market_stats(market.comparables(listings(spark, sf_dir), "Toyota", "widget", 1997))
-    return _rounded(found, "average_price", "price_std_dev").drop("hint")
+    return _rounded(found, "average_price", "price_std_dev")
 
 
 @query(f"""WITH {LISTINGS_SQL}
-SELECT manufacturer, {_STATS_SQL}, count(*) > 0 AS found FROM listings WHERE price > 0 GROUP BY manufacturer""")
+SELECT manufacturer, {_STATS_SQL}, count(*) > 0 AS found, {_HINT_SQL.format(n='count(*)')} FROM listings WHERE price > 0 GROUP BY manufacturer""")
 def market_stats_by_manufacturer(spark, sf_dir):
     found = market.market_stats(market.comparables(listings(spark, sf_dir)), by=("manufacturer",))
-    return _rounded(found, "average_price", "price_std_dev").drop("hint")
+    return _rounded(found, "average_price", "price_std_dev")
 
 
 @query(f"""WITH {LISTINGS_SQL}
-SELECT {_STATS_SQL}, count(*) > 0 AS found FROM listings WHERE price > 0 AND lower(manufacturer) LIKE '%no such maker%'""")
+SELECT {_STATS_SQL}, count(*) > 0 AS found, {_HINT_SQL.format(n='count(*)')} FROM listings WHERE price > 0 AND lower(manufacturer) LIKE '%no such maker%'""")
 def market_stats_not_found(spark, sf_dir):
     found = market.market_stats(market.comparables(listings(spark, sf_dir), "no such maker"))
-    return _rounded(found, "average_price", "price_std_dev").drop("hint")
+    return _rounded(found, "average_price", "price_std_dev")
 
 
 _PAIRS_SQL = """
@@ -105,11 +107,12 @@ figures AS (
 
 @query(f"""WITH {LISTINGS_SQL}, {REQUESTS_SQL}, {_PAIRS_SQL}
 SELECT request_id, tier AS relax_tier, {_round_sql('mean', 'average_price')}, median AS median_price,
-  {_round_sql('deviation', 'price_std_dev')}, coalesce(n, 0) AS num_cars_sold, coalesce(n, 0) > 0 AS found
+  {_round_sql('deviation', 'price_std_dev')}, coalesce(n, 0) AS num_cars_sold, coalesce(n, 0) > 0 AS found,
+  {_HINT_SQL.format(n='coalesce(n, 0)')}
 FROM requests LEFT JOIN figures USING (request_id)""")
 def market_estimate(spark, sf_dir):
     found = market.market_estimate(requests(spark, sf_dir), _sold(spark, sf_dir))
-    return _rounded(found, "average_price", "price_std_dev").drop("hint")
+    return _rounded(found, "average_price", "price_std_dev")
 
 
 # --- repair ------------------------------------------------------------------

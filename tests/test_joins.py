@@ -110,3 +110,19 @@ def test_key_that_is_hot_on_both_sides(spark):
     joined = keyed_join(fact, dim, ["k"], max_rows=0, rows_per_task=500)
     assert joined.count() == 300 * 150
     assert joined.distinct().count() == 300 * 150
+
+
+def test_scratch_deletes_what_nothing_reads(spark):
+    import os
+
+    from forecourt.plans.joins import is_stored, scratch
+
+    at = lambda df: df._stored_at.removeprefix("file:")
+    with scratch(spark) as keep:
+        gone = materialize(spark.range(3))
+        with scratch(spark) as keep_inner:
+            inner, lost = keep_inner(materialize(spark.range(4))), materialize(spark.range(5))
+        assert os.path.isdir(at(inner)) and not os.path.isdir(at(lost))
+        kept = keep(materialize(spark.range(2)))
+    assert not os.path.isdir(at(gone)) and not os.path.isdir(at(inner)) and kept.count() == 2
+    assert is_stored(kept.filter("id > 0").select("id")) and not is_stored(kept.distinct())
