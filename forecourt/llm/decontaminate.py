@@ -1,8 +1,9 @@
 """Benchmark decontamination: latent semantic candidates and those with an item's rarest words, confirmed by common
 subsequences and answers."""
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,53 +13,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.support import Work
-from forecourt.llm.words import NO_WORD, mixed, portions, word_hashes
+from forecourt.llm.words import NO_WORD, mixed, split_portions, word_hashes
 
 #: Passages are windows of so many words, each beginning half a window after the one before.
 WINDOW = 64
 STRIDE = WINDOW // 2
 #: Terms are hashed to so many bits to count them; a benchmark's own terms are told apart exactly.
 BITS = 17
-#: Directions of the latent space.
-RANK = 64
-#: A passage is a candidate for the items of at least this latent cosine, besides those whose rarest words it has.
+#: Directions of the latent space: an eighth of a block's passages within these bounds, and so many columns more in the sketch.
+LEAST_RANK, MOST_RANK, OVERSAMPLE = 64, 256, 16
+#: A passage is a latent candidate for the items of at least this cosine.
 COSINE = 0.55
 #: A candidate is a leak if the common subsequence of words has this share of the item's words, or
 #: the lower share while the item's answer, its last sentence of at least so many words, follows word by word.
 SUBSEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
+#: The subsequence lies within so many times the item's words.
+SPAN = 1.5
+#: A latent candidate is a leak, in any order of words, with this share of the item's squared weights, or the
+#: lower share with the rarer words of its answer.
+ANY_ORDER, ANY_ORDER_WITH_ANSWER = 0.85, 0.6
+#: Gaps and other orders are looked for in passages of so many words or more.
+LEAST_LOOSE = 8
+#: A test is made only if less than exp(-3) places in all documents should pass it by chance.
+CHANCE = 3.0
 #: Words of items that are searched for at once, about; more are taken in further blocks.
 BLOCK_WORDS = 200_000
 #: Meetings of a text's words with passages that are counted at once, about.
 MEETINGS = 4_000_000
 
-_HITS = "array<struct<item_id:bigint, share:double, cosine:double, answered:boolean>>"
-
-
-#: Characters of scripts that are written without blanks.
-_NO_BLANKS = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
-
-
-def spaced(text: Column) -> Column:
-    """Lower-cased text whose words, by Unicode class, are runs of ASCII letters and digits and bytes from 128 on.
-
-    Other characters than letters, marks and digits become blanks, and full stops of other scripts ASCII ones. Runs of
-    scripts without blanks become their pairs of neighbours.
-    """
-    low = F.lower(text)
-    blanked = F.regexp_replace(F.translate(low, "。．｡！？", "....." ), r"[^\x00-\x7F\p{L}\p{M}\p{N}]+", " ")
-    c = f"[{_NO_BLANKS}]"
-    paired = F.regexp_replace(blanked, f"({c})(?=({c}))|(?<={c}){c}|({c})", " $1$2$3 ")
-    return F.when(F.octet_length(low) == F.char_length(low), low).when(blanked.rlike(c), paired).otherwise(blanked)
+_HITS = "array<struct<item_id:bigint, share:double, cosine:double, answered:boolean, found:string>>"
 
 
 class Benchmark:
     """The passages of a block of items: words, terms, and what a window of a text must hold to be compared with each.
 
-    Of a passage of n words a leak misses a quarter at most, so of its rarest n / 4 + k words it has k. And of an
-    answer that follows word by word it has the first ``ANSWER_WORDS``. Whatever is a leak is found by one of these.
+    Of a passage of n words a subsequence misses a quarter at most, so of its rarest n / 4 + k words it has k. And of an
+    answer that follows word by word it has the first ``ANSWER_WORDS``. What keeps the order of words is found by one of
+    these; what does not, by its latent cosine.
+
+    ``rarity`` is minus the log of each hashed term's share of ``total`` words. If words came independently, exp of minus its sum over
+    some words would be the chance of these at one place, so a test is made of a passage only if
+    its words are rare enough that hardly any place in all documents passes by chance. ``loose`` tells where the subsequence
+    may have gaps, ``strict`` where all words must follow one another; a passage with neither cannot be tested.
     """
 
-    def __init__(self, ids: list[int | None], words: np.ndarray, firsts: np.ndarray, answers: list[tuple[int, ...]], idf: np.ndarray):
+    def __init__(
+        self, ids: list[int | None], words: np.ndarray, firsts: np.ndarray, answers: list[tuple[int, ...]], idf: np.ndarray,
+        rarity: np.ndarray | None = None, total: int = 1,
+    ):
         self.ids, self.words, self.firsts, self.answers = ids, words, firsts, answers
         self.terms, self.term = np.unique(words, return_inverse=True)
         self.known = np.zeros(2**BITS, dtype=bool)
@@ -81,6 +83,14 @@ class Benchmark:
         self.gram_known = np.zeros(2**BITS, dtype=bool)
         self.gram_known[grams >> np.uint64(64 - BITS)] = True
         self.masks: dict[int, dict[int, int]] = {}
+        self.places = math.log(max(total, 1)) + CHANCE
+        rarity = np.full(2**BITS, np.inf) if rarity is None else rarity
+        self.rare = rarity[words >> np.uint64(64 - BITS)]
+        self.loose, self.strict = _testable(self.rare, firsts, self.places)
+        # The words of an answer that tell it from others: those rarer than a third of what a place needs.
+        rare = lambda answer: [float(rarity[w >> (64 - BITS)]) for w in answer]
+        self.telling = [Counter(w for w, r in zip(a, rare(a), strict=True) if r >= self.places / 3) for a in answers]
+        self.answer_tells = [sum(rare(a)) >= 1.5 * self.places for a in answers]
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word's term, -1 for words that no item has."""
@@ -119,9 +129,83 @@ class Benchmark:
                 free = ((free + hit) | (free - hit)) & full
         return 1 - free.bit_count() / n
 
+    def common_within(self, passage: int, words: list[int]) -> float:
+        """``common`` of the best run of ``words`` that is at most ``SPAN`` times as long as the passage."""
+        span = math.ceil(SPAN * (self.firsts[passage + 1] - self.firsts[passage]))
+        best = self.common(passage, words)
+        if len(words) <= span or best < WITH_ANSWER:
+            return best if len(words) <= span else 0.0
+        mask, most = self.masks[passage], 0.0
+        for start, word in enumerate(words):
+            if word in mask:
+                most = max(most, self.common(passage, words[start : start + span]))
+                if most >= best:
+                    break
+        return most
+
     def answered(self, passage: int, words: list[int]) -> bool:
-        answer = self.answers[passage]
-        return bool(answer) and any(tuple(words[i : i + len(answer)]) == answer for i, w in enumerate(words) if w == answer[0])
+        return _follows(self.answers[passage], words)
+
+    def any_order(self, passage: int, words: list[int]) -> tuple[float, bool]:
+        """(share of the passage's squared weights among ``words`` in any order or 0 if that may be chance, whether
+        the words that tell its answer are all among them)."""
+        at = slice(self.firsts[passage], self.firsts[passage + 1])
+        held = Counter(words)
+        share = surprise = 0.0
+        for word, weight, rare in zip(self.words[at].tolist(), self.weight[at].tolist(), self.rare[at].tolist(), strict=True):
+            if held[word] > 0:
+                held[word] -= 1
+                share += weight * weight
+                surprise += max(rare - math.log(len(words)), 0.0)
+        telling, held = self.telling[passage], Counter(words)
+        return (share if surprise >= self.places else 0.0), bool(telling) and telling <= held
+
+    def judged(self, passage: int, words: list[int], cosine: float) -> tuple[float, bool, str] | None:
+        """(share, answered, how it was found) if these words, of a window and half a window to each side, hold the passage."""
+        share, answered = 0.0, self.answered(passage, words)
+        if self.loose[passage]:
+            share = self.common_within(passage, words)
+            if share >= SUBSEQUENCE:
+                return share, answered, "subsequence"
+        elif self.strict[passage] and _follows(tuple(self.words[self.firsts[passage] : self.firsts[passage + 1]].tolist()), words):
+            return 1.0, answered, "word by word"
+        if answered and self.answer_tells[passage]:
+            share = share or self.common_within(passage, words)
+            if share >= WITH_ANSWER:
+                return share, True, "answer"
+        if cosine >= COSINE and self.loose[passage]:
+            # Near by: within twice the passage's words, each such run that begins with one of them.
+            span = 2 * int(self.firsts[passage + 1] - self.firsts[passage])
+            own = self.masks[passage]
+            if self.enough(*self.any_order(passage, words)) and any(
+                self.enough(*self.any_order(passage, words[i : i + span])) for i, w in enumerate(words) if w in own
+            ):
+                return share, answered, "latent"
+        return None
+
+    @staticmethod
+    def enough(among: float, told: bool) -> bool:
+        return among >= ANY_ORDER or (told and among >= ANY_ORDER_WITH_ANSWER)
+
+
+def _follows(part: tuple[int, ...], words: list[int]) -> bool:
+    """Whether the words of ``part`` follow one another among ``words``."""
+    return bool(part) and any(tuple(words[i : i + len(part)]) == part for i, w in enumerate(words) if w == part[0])
+
+
+def _testable(rare: np.ndarray, firsts: np.ndarray, places: float) -> tuple[np.ndarray, np.ndarray]:
+    """(loose, strict) of each passage.
+
+    With gaps, the most common three quarters of n words may be the ones found, in one of C(n, 3n/4) choices and
+    C(1.5n, 3n/4) places of the span; their logs are under 0.57 n and 1.04 n. Words of a language do not come
+    independently, so words that follow one another must be rarer by half than that takes.
+    """
+    loose, strict = np.zeros(len(firsts) - 1, dtype=bool), np.zeros(len(firsts) - 1, dtype=bool)
+    for i in range(len(firsts) - 1):
+        own = np.sort(rare[firsts[i] : firsts[i + 1]])
+        strict[i] = own.sum() >= 1.5 * places
+        loose[i] = strict[i] and len(own) >= LEAST_LOOSE and own[: math.ceil(SUBSEQUENCE * len(own))].sum() >= places + 1.61 * len(own)
+    return loose, strict
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -132,27 +216,33 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
+def _hashed(text: str) -> np.ndarray:
+    return next((word_hashes(d, o, NO_WORD)[0] for _, _, d, o in split_portions(pa.array([text]))), np.zeros(0, np.uint64))
+
+
 def _item_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of the items of each row, with the item's answer beside its last passage."""
-    hashed = lambda t: next((word_hashes(d, o, NO_WORD)[0] for _, _, d, o in portions(pa.array([t]))), np.zeros(0, np.uint64))
+    """Passages of the items of each row, with the item's answer beside its last passage, and a hash of all its words."""
     for batch in batches:
-        ids, numbers, passages, answers = [], [], [], []
+        ids, wholes, numbers, passages, answers = [], [], [], [], []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = hashed(text)
-            sentences = [s for s in re.split(r"[?!\n]|\.(?!\d)", text) if s.strip()]
-            tail = hashed(sentences[-1]) if len(sentences) > 1 else words[:0]
+            words = _hashed(text)
+            whole = int(mixed((words * (2 * np.arange(len(words), dtype=np.uint64) + np.uint64(1))).sum(keepdims=True)).view(np.int64)[0])
+            sentences = [s for s in re.split(r"[?!\n。．｡！？]|\.(?!\d)", text) if s.strip()]
+            tail = _hashed(sentences[-1]) if len(sentences) > 1 else words[:0]
             for at in range(0, max(len(words) - WINDOW // 4, 1), WINDOW):
                 last = at + WINDOW + WINDOW // 4 >= len(words)
                 passage = words[at:] if last else words[at : at + WINDOW]
                 if len(passage):
                     ids.append(item)
+                    wholes.append(whole)
                     numbers.append(at)
                     passages.append(passage.view(np.int64))
                     answers.append((tail if last and len(tail) >= ANSWER_WORDS else tail[:0]).view(np.int64))
                 if last:
                     break
         lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(passages, lists), pa.array(answers, lists)], names=["item_id", "at", "words", "answer"])
+        columns = [pa.array(ids, pa.int64()), pa.array(wholes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(passages, lists), pa.array(answers, lists)]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "whole", "at", "words", "answer"])
 
 
 class Passages:
@@ -161,8 +251,8 @@ class Passages:
     A passage is a TF-IDF row: each of these words adds its idf to its term.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, bench: Benchmark):
-        self.words, self.firsts = word_hashes(data, offsets, NO_WORD)
+    def __init__(self, words: np.ndarray, firsts: np.ndarray, idf: np.ndarray, bench: Benchmark):
+        self.words, self.firsts = words, firsts
         term = bench.index(self.words)
         counts = np.diff(self.firsts)
         runs = -(-counts // STRIDE)
@@ -265,7 +355,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each hashed term, and of passages under -1; one row each per task."""
     counts, passages = np.zeros(2**BITS, dtype=np.int64), 0
     for batch in batches:
-        for _, _, data, offsets in portions(batch.column("text")):
+        for _, _, data, offsets in split_portions(batch.column("text")):
             words, firsts = word_hashes(data, offsets, NO_WORD)
             counts += np.bincount((words >> np.uint64(64 - BITS)).astype(np.int64), minlength=2**BITS)
             passages += int((-(-np.diff(firsts) // WINDOW)).sum())
@@ -275,141 +365,193 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def term_weights(docs: DataFrame) -> np.ndarray:
-    """The idf of each hashed term over the passages of all documents, an occurrence counting as a passage."""
-    table = docs.select(spaced(F.col("text")).alias("text")).mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def term_weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(idf, rarity, words): of each hashed term the idf over the passages of all documents, an occurrence counting as a passage,
+    and minus the log of its share of all words; and how many words there are."""
+    table = docs.select("text").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = table.column("term").to_numpy(), table.column("n").to_numpy()  # at most 2 ** BITS + 1
     total = int(n[term == -1].sum())
     counts = np.zeros(2**BITS)
     counts[term[term >= 0]] = n[term >= 0]
-    return (np.log((total + 1) / (np.minimum(counts, total) + 1)) + 0.1).astype(np.float32)
+    words = int(counts.sum())
+    idf = (np.log((total + 1) / (np.minimum(counts, total) + 1)) + 0.1).astype(np.float32)
+    return idf, np.log((words + 1) / (counts + 1)).astype(np.float32), words
+
+
+#: Columns of a sketch are added up so many at a time.
+_COLUMNS = 16
 
 
 def _sketch(shared):
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, bench, random = shared.value
-        sums, energy = np.zeros(random.shape), 0.0
+        idf, benches, randoms = shared.value
+        sums, energy = [np.zeros(r.shape) for r in randoms], [0.0] * len(benches)
         for batch in batches:
-            for _, _, data, offsets in portions(batch.column("text")):
-                passages = Passages(data, offsets, idf, bench)
-                sums += passages.gram_times(random)
-                energy += int((passages.length > 0).sum())
-        some = np.flatnonzero(sums.any(axis=1))
-        rows = np.concatenate([sums[some], np.full((1, RANK), energy)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([some, [-1]])), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(RANK)]],
-            names=["term", *[f"c{i}" for i in range(RANK)]],
-        )
+            for _, _, data, offsets in split_portions(batch.column("text")):
+                hashed = word_hashes(data, offsets, NO_WORD)
+                for i, (bench, random) in enumerate(zip(benches, randoms, strict=True)):
+                    passages = Passages(*hashed, idf, bench)
+                    sums[i] += passages.gram_times(random)
+                    energy[i] += int((passages.length > 0).sum())
+        for i, each in enumerate(sums):
+            some = np.flatnonzero(each.any(axis=1))
+            rows = np.concatenate([each[some], np.full((1, each.shape[1]), energy[i])])
+            for part in range(0, each.shape[1], _COLUMNS):
+                columns = [pa.array(np.ascontiguousarray(rows[:, part + c])) for c in range(_COLUMNS)]
+                same = lambda value: pa.array(np.full(len(rows), value, np.int64))
+                yield pa.RecordBatch.from_arrays([same(i), same(part), pa.array(np.concatenate([some, [-1]])), *columns], names=["block", "part", "term", *[f"c{c}" for c in range(_COLUMNS)]])
 
     return partial
 
 
-def latent_basis(docs: DataFrame, idf: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-    """(basis, items): right singular directions of all passages' TF-IDF rows, and the items in them.
+def _rank(bench: Benchmark) -> int:
+    """Directions of a block's latent space, which grow with what must be told apart there; a multiple of ``_COLUMNS``."""
+    return min(max(-(-len(bench.ids) // 8 // _COLUMNS) * _COLUMNS, LEAST_RANK), MOST_RANK)
+
+
+def latent_bases(docs: DataFrame, idf: np.ndarray, benches: list[Benchmark]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block (basis, items): right singular directions of all passages' TF-IDF rows, and the items in them.
 
     Randomised: a Gaussian matrix goes through the passages once, in every task, whose sums
     are added up; the eigenvectors of that sketch of the Gram matrix are the basis. The items'
-    own rows count as much as all passages together.
+    own rows count as much as all passages together. One pass over the documents serves all blocks.
     """
-    spark = docs.sparkSession
-    random = np.random.default_rng(11).normal(size=(len(bench.terms), RANK)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((idf, bench, random))
-    columns = [f"c{i}" for i in range(RANK)]
-    summed = docs.select(spaced(F.col("text")).alias("text")).mapInArrow(_sketch(shared), "term long, " + ", ".join(f"{c} double" for c in columns))
-    table = summed.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row per term of the items
-    term = table.column("term").to_numpy()
+    generator = np.random.default_rng(11)
+    randoms = [generator.normal(size=(len(b.terms), _rank(b) + OVERSAMPLE)).astype(np.float32) for b in benches]
+    shared = docs.sparkSession.sparkContext.broadcast((idf, benches, randoms))
+    columns = [f"c{c}" for c in range(_COLUMNS)]
+    summed = docs.select("text").mapInArrow(_sketch(shared), "block long, part long, term long, " + ", ".join(f"{c} double" for c in columns))
+    table = summed.groupBy("block", "part", "term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row per term of the items and part
+    block, part, term = (table.column(c).to_numpy() for c in ("block", "part", "term"))
     values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+    return [_basis(b, r, *[x[block == i] for x in (part, term, values)]) for i, (b, r) in enumerate(zip(benches, randoms, strict=True))]
+
+
+def _basis(bench: Benchmark, random: np.ndarray, part: np.ndarray, term: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sketch = np.zeros(random.shape)
-    sketch[term[term >= 0]] = values[term >= 0]
-    energy = values[term == -1][:, 0].sum()
+    for start in range(0, random.shape[1], _COLUMNS):
+        rows = (part == start) & (term >= 0)
+        sketch[term[rows], start : start + _COLUMNS] = values[rows]
+    energy = values[(term == -1) & (part == 0)][:, 0].sum()
     sketch += bench.spread(bench.weighed(random)) * (max(energy, 1.0) / len(bench.ids))
     middle = random.T @ sketch
     value, vector = np.linalg.eigh((middle + middle.T) / 2)
-    good = value > value.max() * 1e-10
-    basis = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0].astype(np.float32)
+    good = np.flatnonzero(value > value.max() * 1e-10)
+    left = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0]
+    basis = np.ascontiguousarray(left[:, : _rank(bench)]).astype(np.float32)
     items = bench.weighed(basis)
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
     return basis, items
 
 
+def _search(p: "Passages", bench: Benchmark, basis: np.ndarray, items: np.ndarray, best: list[dict]) -> None:
+    """Put the leaks of a block's items into ``best``, one dictionary for each text."""
+    latent, runs = p.latent(basis)
+    near = [p.meetings(bench)]
+    for i in range(0, len(runs), 4096):
+        a, b = np.nonzero(latent[runs[i : i + 4096]] @ items.T >= COSINE)
+        near.append(runs[i + a] * len(items) + b)
+    for run, b in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(near)), len(items))), strict=True):
+        text = int(p.text[run])
+        start, end = p.start[run] - STRIDE, p.start[run] + WINDOW + STRIDE
+        words = p.words[max(start, p.firsts[text]) : min(end, p.firsts[text + 1])].tolist()
+        cosine = float(latent[run] @ items[b])
+        leak = bench.judged(b, words, cosine)
+        if leak:
+            share, answered, found = leak
+            hit = share, cosine, answered, found
+            best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], hit), hit)
+
+
 def _hits(shared):
-    """Leaks of each text: the items whose passages it holds."""
+    """Leaks of each text: the items whose passages it holds. Each text is split once for all blocks."""
 
     def find(texts: pa.Array) -> pa.Array:
-        idf, bench, basis, items = shared.value
+        idf, blocks = shared.value
         out = []
-        for first, end, data, offsets in portions(texts):
+        for first, end, data, offsets in split_portions(texts):
             best: list[dict] = [{} for _ in range(end - first)]
-            p = Passages(data, offsets, idf, bench)
-            latent, runs = p.latent(basis)
-            near = [p.meetings(bench)]
-            for i in range(0, len(runs), 4096):
-                a, b = np.nonzero(latent[runs[i : i + 4096]] @ items.T >= COSINE)
-                near.append(runs[i + a] * len(items) + b)
-            for run, b in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(near)), len(items))), strict=True):
-                text = int(p.text[run])
-                start, end = p.start[run] - STRIDE, p.start[run] + WINDOW + STRIDE
-                words = p.words[max(start, p.firsts[text]) : min(end, p.firsts[text + 1])].tolist()
-                share = bench.common(b, words)
-                answered = share >= WITH_ANSWER and bench.answered(b, words)
-                if share >= SUBSEQUENCE or answered:
-                    found = (share, float(latent[run] @ items[b]), bool(answered))
-                    best[text][bench.ids[b]] = max(best[text].get(bench.ids[b], found), found)
-            out += [[{"item_id": k, "share": s, "cosine": c, "answered": x} for k, (s, c, x) in sorted(hits.items(), key=lambda hit: (hit[0] is None, hit[0] or 0))] for hits in best]
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answered", pa.bool_())]))
+            hashed = word_hashes(data, offsets, NO_WORD)
+            for bench, basis, items in blocks:
+                _search(Passages(*hashed, idf, bench), bench, basis, items, best)
+            in_order = lambda hits: sorted(hits.items(), key=lambda hit: (hit[0] is None, hit[0] or 0))
+            out += [[{"item_id": k, "share": s, "cosine": c, "answered": a, "found": f} for k, (s, c, a, f) in in_order(hits)] for hits in best]
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answered", pa.bool_()), ("found", pa.string())]))
         return pa.array(out, kind)
 
     return F.arrow_udf(find, _HITS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
-    """A column of the benchmark passages that a document's text holds, as (item_id, share, cosine, answered).
-
-    All documents give the terms' weights and the latent space. The benchmark's passages are cut in tasks and
-    searched for in blocks of about ``BLOCK_WORDS`` words, which bound what the driver holds at a time. A task that
-    looks for leaks holds the tables of all blocks. None for a benchmark without words.
-    """
+def _blocks(docs: DataFrame, benchmark: DataFrame) -> tuple[list[Benchmark], np.ndarray | None]:
+    """The benchmark's passages in blocks of about ``BLOCK_WORDS`` words, which bound what the driver holds of it at a time."""
     work = Work(docs.sparkSession)
-    items = benchmark.filter("text IS NOT NULL").groupBy(spaced(F.col("text")).alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    passages = work.store(items.mapInArrow(_item_passages, "item_id long, at long, words array<long>, answer array<long>"))
+    items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    passages = items.mapInArrow(_item_passages, "item_id long, whole long, at long, words array<long>, answer array<long>")
+    passages = work.store(passages.groupBy("whole", "at", "words", "answer").agg(F.min("item_id").alias("item_id")))
     total = passages.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = -(-total // BLOCK_WORDS)
-    idf = term_weights(docs) if blocks else None
-    found = []
-    for block in range(blocks):
-        part = passages.filter(F.pmod(F.xxhash64("item_id", "at", "words"), F.lit(blocks)) == block).orderBy("item_id", "at", "words").toArrow()
+    count = -(-total // BLOCK_WORDS)
+    idf, rarity, words = term_weights(docs) if count else (None, None, 0)
+    benches = []
+    for block in range(count):
+        part = passages.filter(F.pmod(F.xxhash64("item_id", "at", "words"), F.lit(count)) == block).orderBy("item_id", "at", "words").toArrow()
         if not len(part):
             continue
-        words, answers = (part.column(c).combine_chunks() for c in ("words", "answer"))
-        firsts = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+        listed, answers = (part.column(c).combine_chunks() for c in ("words", "answer"))
+        firsts = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))])
         unsigned = [tuple(w % 2**64 for w in answer) for answer in answers.to_pylist()]
-        bench = Benchmark(part.column("item_id").to_pylist(), words.flatten().to_numpy().view(np.uint64), firsts, unsigned, idf)
-        basis, directions = latent_basis(docs, idf, bench)
-        found.append(_hits(docs.sparkSession.sparkContext.broadcast((idf, bench, basis, directions)))(spaced(F.col("text"))))
+        benches.append(Benchmark(part.column("item_id").to_pylist(), listed.flatten().to_numpy().view(np.uint64), firsts, unsigned, idf, rarity, words))
     work.clear()
-    if len(found) < 2:
-        return found[0] if found else None
-    # An item's passages may lie in several blocks: its best hit counts. The hits are a lambda's value, so that no block is searched twice.
-    best = lambda hits: F.transform(
-        F.array_distinct(F.transform(hits, lambda x: x["item_id"])), lambda item: F.array_max(F.filter(hits, lambda x: x["item_id"].eqNullSafe(item)))
-    )
-    return F.element_at(F.transform(F.array(F.concat(*found)), best), 1)
+    return benches, idf
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> Column | None:
+    """A column of the benchmark passages that a document's text holds, as (item_id, share, cosine, answered, found).
+
+    All documents give the terms' weights and the latent space, in one pass each, and a third one searches them. A task that
+    looks for leaks holds the tables of all blocks. None for a benchmark without words.
+    """
+    benches, idf = _blocks(docs, benchmark)
+    if not benches:
+        return None
+    bases = latent_bases(docs, idf, benches)
+    shared = docs.sparkSession.sparkContext.broadcast((idf, [(bench, *basis) for bench, basis in zip(benches, bases, strict=True)]))
+    return _hits(shared)(F.col("text"))
+
+
+def item_tests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """How each benchmark item can be told from chance in these documents: (item_id, words, test) of each of its passages.
+
+    ``subsequence`` with gaps, in any order if the latent cosine is high; ``word by word`` for those too short or of too common
+    words for that; ``none`` for those that any prose may hold, which are never reported as leaks. Items without words have no row.
+    """
+    benches, _ = _blocks(docs, benchmark)
+    rows = [
+        (item, int(n), "subsequence" if loose else "word by word" if strict else "none")
+        for bench in benches
+        for item, n, loose, strict in zip(bench.ids, np.diff(bench.firsts), bench.loose, bench.strict, strict=True)
+    ]
+    return docs.sparkSession.createDataFrame(rows, "item_id long, words long, test string")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, share, cosine, answered of every benchmark item that a document holds.
+    """doc_id, item_id, share, cosine, answered, found of every benchmark item that a document holds.
+
+    ``found`` tells how: by a common ``subsequence`` of three quarters of the item's words within one and a half times its
+    length; ``word by word``, the only way for items of few or common words; by half of them around its ``answer``; or
+    ``latent``, as a paraphrase whose latent cosine is high and which has most of its weight, or its answer's telling words, in
+    any order. Items that any prose may hold by chance are not reported (``item_tests`` lists them).
 
     Words are runs of letters and digits of the whole text, lower-cased, and pairs of neighbours in scripts written
-    without blanks. A null or empty text, or one without words, holds nothing; so does an item like that. Items of equal text but for case and marks outside ASCII are one, under their smallest id; items
-    of more than a window of words leak by any of their passages. Items with a null id
+    without blanks. A null or empty text, or one without words, holds nothing; so does an item like that. Items of the same
+    words are one, under their smallest id; items of more than a window of words leak by any of their passages. Items with a null id
     are searched for like others, and reported once a document, under a null item_id. Null and repeated doc_ids are
     reported row by row; an empty table, or an empty benchmark, gives no rows.
     """
     hits = leaks(docs, benchmark)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if hits is None:
-        return found.limit(0).selectExpr("doc_id", "0L AS item_id", "0D AS share", "0D AS cosine", "false AS answered")
-    return found.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.item_id", "hit.share", "hit.cosine", "hit.answered")
+        return found.limit(0).selectExpr("doc_id", "0L AS item_id", "0D AS share", "0D AS cosine", "false AS answered", "'' AS found")
+    return found.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

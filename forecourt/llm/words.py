@@ -1,9 +1,12 @@
 """Words of whole texts as 64-bit hashes, for a batch of texts at a time."""
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 _RANDOM = np.random.default_rng(20)
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -90,3 +93,62 @@ def word_hashes(
         terms *= _powers(longest // _PLACES + 1)[place // _PLACES]
     summed = lambda t, n: mixed(np.add.reduceat(t, at) + n.astype(np.uint64))
     return (summed(terms, lengths), firsts, *[summed(np.where(place < h, terms, 0), np.minimum(lengths, h).astype(np.int64) + (h << 32)) for h in heads])
+
+
+#: Scripts that are written without blanks.
+_NO_BLANKS = "".join(rf"\p{{{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+_SEPARATES, _IN_WORD, _NO_BLANK = range(3)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Of every code point whether it separates words, is a character of words or one of a script without blanks."""
+    everything = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    classes = np.full(0x110000, _SEPARATES, dtype=np.uint8)
+    for kind, pattern in ((_IN_WORD, r"[\p{L}\p{M}\p{N}]"), (_NO_BLANK, f"[{_NO_BLANKS}]")):
+        classes[np.frombuffer("".join(regex.findall(pattern, everything)).encode("utf-32-le"), dtype="<u4")] = kind
+    return classes
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, lengths, classes) of the characters outside ASCII."""
+    lead = np.flatnonzero(data >= 0xC0)
+    padded = np.append(data, np.zeros(4, np.uint8))
+    first = padded[lead].astype(np.int64)
+    length = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & (0x7F >> length)
+    for k in range(1, 4):
+        point = np.where(length > k, point << 6 | padded[lead + k].astype(np.int64) & 0x3F, point)
+    return lead, length, _classes()[np.minimum(point, 0x10FFFF)]
+
+
+_RUNS_WITHOUT_BLANKS = regex.compile(f"[{_NO_BLANKS}]+")
+
+
+def _in_pairs(text: str) -> str:
+    """The text with runs of scripts without blanks as pairs of neighbours, a lone character as itself."""
+    pairs = lambda run: " " + " ".join(run[i : i + 2] for i in range(max(len(run) - 1, 1))) + " "
+    return _RUNS_WITHOUT_BLANKS.sub(lambda match: pairs(match[0]), text)
+
+
+def split_portions(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``portions`` of the lower-cased texts whose words, by Unicode class, are runs of ASCII letters and digits and bytes from 128 on.
+
+    Characters outside ASCII that are no letters, marks or digits become blanks, and runs of scripts without blanks
+    their pairs of neighbours.
+    """
+    for first, end, data, offsets in portions(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))):
+        place, length, kind = _wide(data)
+        if (kind == _NO_BLANK).any():
+            some = set((np.searchsorted(offsets, place[kind == _NO_BLANK], side="right") - 1).tolist())
+            parts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(end - first)]
+            parts = [_in_pairs(p.decode()).encode() if i in some else p for i, p in enumerate(parts)]
+            data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            place, length, kind = _wide(data)
+        blank, size = place[kind == _SEPARATES], length[kind == _SEPARATES]
+        if len(blank):
+            data = data.copy()
+            for k in range(4):
+                data[blank[size > k] + k] = 0x20
+        yield first, end, data, offsets

@@ -161,8 +161,8 @@ def test_meetings_hold_every_leak():
     idf = np.abs(random.normal(3, 1, 2**decontaminate.BITS)).astype(np.float32)
     firsts = np.cumsum([0, *map(len, words)])
     bench = decontaminate.Benchmark(batch.column("item_id").to_pylist(), np.array(sum(words, []), np.uint64), firsts, [tuple(a) for a in answers], idf)
-    (_, _, data, offsets), = decontaminate.portions(pa.array(texts))
-    p = decontaminate.Passages(data, offsets, idf, bench)
+    (_, _, data, offsets), = decontaminate.split_portions(pa.array(texts))
+    p = decontaminate.Passages(*decontaminate.word_hashes(data, offsets, decontaminate.NO_WORD), idf, bench)
     met, leaks = set(p.meetings(bench).tolist()), 0
     for run in np.flatnonzero(~p.lone).tolist():
         text, start = p.text[run], p.start[run]
@@ -175,6 +175,63 @@ def test_meetings_hold_every_leak():
     assert leaks > 50
 
 
+def test_short_items_delete_no_prose(spark, documents):
+    prose = [
+        (1, "He kept the boat in the shed, and who it was that came there in the night is not known to the people of the town. What the old man said is that the "
+            "answer may be found in the book. Yes, nothing of this kind appears in it."),
+        (2, "Was it the one who came in first? The boat was there, in the bay; is it what you want? The answer is no."),
+    ]
+    bench = spark.createDataFrame([
+        (1, "kind"), (2, "Yes"), (3, "What is the answer?"), (4, "Who was the boat in?"), (5, "Is it in the one there?"), (6, "the answer is"),
+    ], "item_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(-i, t) for i, t in prose], "doc_id long, text string"))
+    assert decontaminate.find_leaks(docs, bench).count() == 0
+    assert decontaminate.clean_documents(docs, bench).count() == docs.count()
+    told = {r["item_id"]: r["test"] for r in decontaminate.item_tests(docs, bench).collect()}
+    assert told[1] == told[2] == "none" and "subsequence" not in told.values()
+
+
+def test_words_must_lie_close_together(spark, documents):
+    item = "Seven wandering merchants carried silver lanterns across the frozen northern valley during winter"
+    far = " ".join(w + " and then some other words came" for w in item.split())
+    near = item.replace("wandering ", "old ").replace("northern ", "")
+    whole = spark.createDataFrame([(-1, far), (-2, f"so {near} again"), (-3, " ".join(item.split()[:5]))], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(whole)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["found"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [(-2, "subsequence")]
+
+
+def test_paraphrases_that_only_the_latent_way_finds(spark):
+    """Copies in another order of words: no common subsequence, so the latent cosine decides; its recall is measured here."""
+    import random
+
+    items, texts = _planted(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000), 400)
+    draw, shuffled = random.Random(7), []
+    for (i, item), (_, text) in zip(items, texts, strict=True):
+        words = item.split()
+        draw.shuffle(words)
+        shuffled.append((i, text.replace(item, " ".join(words))))
+    docs, bench = spark.createDataFrame(shuffled, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["found"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    own = [found.get((i, i)) for i, _ in items]
+    assert sum(f is not None for f in own) >= 0.9 * len(own) and own.count("latent") >= 0.85 * len(own)
+    words = lambda text: set(re.findall(r"\w+", text.lower()))
+    text_words, item_words = {i: words(t) for i, t in shuffled}, {i: words(t) for i, t in items}
+    assert all(len(item_words[i] & text_words[d]) >= 0.75 * len(item_words[i]) for d, i in found)  # sources share passages
+
+
+def test_split_words_by_unicode_class():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["Plain ASCII, no more", "«Ça» – l’été… naïve\u00a0façade", "昨天, ok 我 x", None, "ไทย abc ٣٤ \U0001f697x", "Ünï\u0301cödé"]
+    want = ["plain ascii, no more", " ça    l été  naïve façade", " 昨天 , ok  我  x", "", " ไท ทย  abc ٣٤  x", "ünï\u0301cödé"]
+    (first, end, data, offsets), = decontaminate.split_portions(pa.array(texts))
+    got = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(end)]
+    assert [g.split() for g in got] == [w.split() for w in want]
+    assert isinstance(data, np.ndarray) and first == 0
+
+
 def test_benchmarks_of_many_terms_stay_sparse(spark, documents):
     import tracemalloc
 
