@@ -29,7 +29,7 @@ COSINE = 0.55
 SUBSEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
 #: The subsequence lies within so many times the item's words.
 SPAN = 1.5
-#: A latent candidate is a leak, in any order of words, with this share of the item's squared weights, or the
+#: A latent candidate is a leak, in any order of words, with this share of the item's rarity, or the
 #: lower share with the rarer words of its answer.
 ANY_ORDER, ANY_ORDER_WITH_ANSWER = 0.85, 0.6
 #: Gaps and other orders are looked for in passages of so many words or more.
@@ -84,7 +84,7 @@ class Benchmark:
         self.gram_known[grams >> np.uint64(64 - BITS)] = True
         self.masks: dict[int, dict[int, int]] = {}
         self.places = math.log(max(total, 1)) + CHANCE
-        rarity = np.full(2**BITS, np.inf) if rarity is None else rarity
+        rarity = np.full(2**BITS, 50.0) if rarity is None else rarity
         self.rare = rarity[words >> np.uint64(64 - BITS)]
         self.loose, self.strict = _testable(self.rare, firsts, self.places)
         # The words of an answer that tell it from others: those rarer than a third of what a place needs.
@@ -147,18 +147,19 @@ class Benchmark:
         return _follows(self.answers[passage], words)
 
     def any_order(self, passage: int, words: list[int]) -> tuple[float, bool]:
-        """(share of the passage's squared weights among ``words`` in any order or 0 if that may be chance, whether
+        """(share of the passage's rarity among ``words`` in any order, or 0 if that may be chance; whether
         the words that tell its answer are all among them)."""
         at = slice(self.firsts[passage], self.firsts[passage + 1])
         held = Counter(words)
-        share = surprise = 0.0
-        for word, weight, rare in zip(self.words[at].tolist(), self.weight[at].tolist(), self.rare[at].tolist(), strict=True):
+        found = surprise = 0.0
+        for word, rare in zip(self.words[at].tolist(), self.rare[at].tolist(), strict=True):
             if held[word] > 0:
                 held[word] -= 1
-                share += weight * weight
+                found += rare
                 surprise += max(rare - math.log(len(words)), 0.0)
-        telling, held = self.telling[passage], Counter(words)
-        return (share if surprise >= self.places else 0.0), bool(telling) and telling <= held
+        telling = self.telling[passage]
+        share = found / max(float(self.rare[at].sum()), 1e-9)
+        return (share if surprise >= self.places else 0.0), bool(telling) and telling <= Counter(words)
 
     def judged(self, passage: int, words: list[int], cosine: float) -> tuple[float, bool, str] | None:
         """(share, answered, how it was found) if these words, of a window and half a window to each side, hold the passage."""
@@ -538,7 +539,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``found`` tells how: by a common ``subsequence`` of three quarters of the item's words within one and a half times its
     length; ``word by word``, the only way for items of few or common words; by half of them around its ``answer``; or
-    ``latent``, as a paraphrase whose latent cosine is high and which has most of its weight, or its answer's telling words, in
+    ``latent``, as a paraphrase whose latent cosine is high and which has most of its rarity, or its answer's telling words, in
     any order. Items that any prose may hold by chance are not reported (``item_tests`` lists them).
 
     Words are runs of letters and digits of the whole text, lower-cased, and pairs of neighbours in scripts written

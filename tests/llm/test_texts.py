@@ -217,7 +217,7 @@ def test_paraphrases_that_only_the_latent_way_finds(spark):
     assert sum(f is not None for f in own) >= 0.9 * len(own) and own.count("latent") >= 0.85 * len(own)
     words = lambda text: set(re.findall(r"\w+", text.lower()))
     text_words, item_words = {i: words(t) for i, t in shuffled}, {i: words(t) for i, t in items}
-    assert all(len(item_words[i] & text_words[d]) >= 0.75 * len(item_words[i]) for d, i in found)  # sources share passages
+    assert all(len(item_words[i] & text_words[d]) >= 0.65 * len(item_words[i]) for d, i in found)  # sources share passages
 
 
 def test_split_words_by_unicode_class():
