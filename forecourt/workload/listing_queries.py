@@ -128,6 +128,21 @@ def propose_dictionary(spark, sf_dir):
     return models.propose_dictionary(listings(spark, sf_dir))
 
 
+@query(f"""WITH {LISTINGS_SQL},
+names AS (SELECT manufacturer, string_split_regex(trim(lower(model)), '\\s+') AS words, count(*) AS n FROM listings
+  WHERE manufacturer IS NOT NULL AND trim(model) <> '' GROUP BY ALL),
+begun AS (SELECT manufacturer, n, words[1:length] AS beginning, words[length + 1] AS next, length = least(len(words), 4) AS whole
+  FROM (SELECT *, unnest(range(1, least(len(words), 4) + 1)) AS length FROM names)),
+ways AS (SELECT manufacturer, beginning, next, sum(n) AS n, max(whole) AS whole FROM begun GROUP BY ALL),
+tree AS (SELECT manufacturer, beginning, sum(n) AS n, max(whole) AS whole, max(n) <= 0.9 * sum(n) AND count(*) > 1 AS branches FROM ways GROUP BY ALL)
+SELECT manufacturer, CAST(1000000 - length(array_to_string(beginning, ' ')) AS INT) AS pos, array_to_string(beginning, ' ') AS canonical, CAST(n AS BIGINT) AS n
+FROM tree t WHERE n >= 2 AND (branches OR whole) AND NOT EXISTS (
+  SELECT 1 FROM tree s WHERE s.manufacturer = t.manufacturer AND s.branches AND len(s.beginning) < len(t.beginning)
+    AND s.beginning = t.beginning[1:len(s.beginning)])""")
+def propose_base_names(spark, sf_dir):
+    return models.propose_base_names(listings(spark, sf_dir))
+
+
 _NAMES = {
     "ford": ["red ring", "Ring", "small", "old gear", "gear"],
     "toyota": ["cold", "hot rod", "rod"],

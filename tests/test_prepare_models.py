@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,49 @@ def test_special_characters_are_literal_unless_regex(spark):
         renamed(spark, data, names, mode="glob")
 
 
+def fold(model, names):
+    """Names applied one after the other, the plain way."""
+    for name in names:
+        model = name if model is not None and name.lower() in model.lower() else model
+    return model
+
+
+@pytest.mark.parametrize("max_rows", [100_000, 0])
+def test_chains_of_names_equal_the_fold(spark, max_rows):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abAB ") for _ in range(rng.randint(0, 5)))
+    names = {m: [word() for _ in range(rng.randint(1, 25))] for m in ("x", "y", "z")}
+    data = [(rng.choice(["x", "y", "z", "w", None]), rng.choice([None, word() + word() + word()])) for _ in range(300)]
+    assert renamed(spark, data, names, max_rows=max_rows) == sorted(((m, fold(v, names.get(m, []))) for m, v in data), key=repr)
+
+
+def test_a_maker_with_many_names(spark):
+    names = spark.range(100_000).selectExpr("'ford' AS manufacturer", "CAST(id AS int) AS pos", "concat('m', id, IF(id % 2 = 0, ' gt', '')) AS canonical")
+    df = spark.range(0, 100_000, 997).selectExpr("'ford' AS manufacturer", "concat('M', id, ' GT line') AS model", "id")
+    out = {r["id"]: r["model"] for r in models.normalize_models(df, names).collect()}
+    for i, model in out.items():
+        # Prefixes of the number are names too: the first one in order is the shortest, of one digit if it is odd.
+        first = next(f"m{p}" + ("" if int(p) % 2 else " gt") for n in range(1, len(str(i)) + 1) for p in [str(i)[:n]] if int(p) % 2 or p == str(i))
+        assert model == first
+
+
+def test_base_names_of_several_words(spark):
+    variants = {
+        "jeep": ["Grand Cherokee Laredo"] * 3 + ["grand  cherokee limited 4x4", "grand cherokee", "wrangler sport", "wrangler", "compass", "compass"],
+        "chevrolet": ["silverado 1500", "Silverado 1500 lt", "silverado 2500hd", "malibu lt", "malibu ls", "corvette z06 coupe", "odd one"],
+        "ford": ["f-150 xlt", "F-150 lariat", "f-150", "", "  "],
+    }
+    df = spark.createDataFrame([(m, v) for m, listed in variants.items() for v in listed] + [(None, "x y"), ("ford", None)], PAIR)
+    found = models.propose_base_names(df)
+    assert rows(found.select("manufacturer", "canonical", "n")) == [
+        ("chevrolet", "malibu", 2), ("chevrolet", "silverado", 3), ("ford", "f-150", 3),
+        ("jeep", "compass", 2), ("jeep", "grand cherokee", 5), ("jeep", "wrangler", 2),
+    ]
+    out = models.normalize_models(df, found)
+    assert {r["model"] for r in out.filter("manufacturer = 'jeep'").collect()} == {"grand cherokee", "grand  cherokee limited 4x4", "wrangler", "compass"}
+    assert models.propose_base_names(df.limit(0)).collect() == []
+
+
 def test_normalizing_twice_changes_nothing(spark):
     names = models.dictionary_frame(spark, {"toyota": ["camry", "corolla"]})
     df = spark.createDataFrame([("toyota", "camry le"), ("toyota", "corolla 4dr"), ("toyota", "yaris")], PAIR)
