@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from forecourt import schemas as S
 from forecourt.operators.quality import counted_report, missing_cells
+from forecourt.plans.joins import BROADCAST_ROWS, keyed_join, materialize
 
 # field -> (pattern on the lower-cased text, group); our own reading of listing texts
 RULES: dict[str, tuple[str, int]] = {
@@ -82,9 +83,15 @@ def extract_fields_udf(
     ``partitions`` sets the number of tasks, and with it the parallel calls, at the price
     of a shuffle of whole rows; ``None`` keeps the partitioning of the input.
     """
-    names = schema.names
     kept = [c for c in df.columns if c != into]
     rows = df.select(*kept) if partitions is None else df.select(*kept).repartition(partitions)
+    told = rows.withColumn("_told", _caller(make_extractor, schema)(F.col(text)))
+    return told.withColumn(into, F.struct(*[F.col(f"_told.`{n}`").alias(n) for n in schema.names])).drop("_told")
+
+
+def _caller(make_extractor: Callable[[], Callable[[str], dict]], schema: T.StructType):
+    """The caller's function on batches: the fields as strings, and whether the call gave any."""
+    names = schema.names
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         extract = make_extractor()
@@ -92,13 +99,61 @@ def extract_fields_udf(
             records = []
             for one in texts:
                 try:
-                    found = dict(extract(one))
+                    found, worked = dict(extract(one)), True
                 except Exception:
-                    found = {}
-                records.append({n: None if found.get(n) is None else str(found[n]) for n in names})
-            yield pd.DataFrame(records, columns=names, dtype=object)
+                    found, worked = {}, False
+                records.append({n: None if found.get(n) is None else str(found[n]) for n in names} | {"_worked": worked})
+            yield pd.DataFrame(records, columns=[*names, "_worked"], dtype=object)
 
-    return rows.withColumn(into, F.pandas_udf(run, schema)(F.col(text)))
+    return F.pandas_udf(run, T.StructType([*schema.fields, T.StructField("_worked", T.BooleanType())]))
+
+
+def extract_fields_stored(
+    df: DataFrame,
+    make_extractor: Callable[[], Callable[[str], dict]],
+    store: str,
+    text: str = "description",
+    into: str = "extracted_data",
+    schema: T.StructType = S.EXTRACTED,
+    partitions: int | None = None,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add the extraction struct by the caller's function, called once for each text ever seen.
+
+    ``store`` is a folder of results by digest of the text, made if it is not there. Distinct texts without a result there
+    are extracted when this is called and their results added; a call that raises, or returns no dict, gives null fields
+    and stores nothing, so that it is tried again the next time. Rows then take their result by digest: a text that
+    a third of them share is spread over tasks. A null text is not asked about and has null fields. ``partitions`` sets
+    the number of parallel calls. Two runs at a time may both ask about a text; one of their results counts. The
+    store belongs to one function: results of another one need another folder.
+    """
+    spark = df.sparkSession
+    stored = T.StructType([T.StructField("_digest", T.StringType()), *schema.fields])
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    results = spark.read.schema(stored).parquet(store)
+    rows = df.withColumn("_digest", F.sha2(text, 256))
+    asked = rows.filter(F.col("_digest").isNotNull()).select("_digest", F.col(f"`{text}`").alias("_text"))
+    # Texts are taken after the ones with results are gone, so that only new ones are grouped with their bytes.
+    new = keyed_join(asked.select("_digest").distinct(), results.select("_digest", F.lit(True).alias("_known")).distinct(), ["_digest"], "left", max_rows=max_rows)
+    new = materialize(new.filter(F.col("_known").isNull()).select("_digest"))
+    if not new.isEmpty():
+        texts = keyed_join(asked, new, ["_digest"], max_rows=max_rows).groupBy("_digest").agg(F.min("_text").alias("_text"))
+        told = extract_texts(texts, make_extractor, schema, partitions)
+        told.filter("_told._worked").select("_digest", *[F.col(f"_told.`{n}`").alias(n) for n in schema.names]).write.mode("append").parquet(store)
+        results = spark.read.schema(stored).parquet(store)
+    fields = F.struct(*[F.col(f"`{n}`") for n in schema.names]).alias("_found")
+    known = results.select("_digest", fields).groupBy("_digest").agg(F.min("_found").alias("_found"))
+    joined = keyed_join(rows, known, ["_digest"], "left", max_rows=max_rows)
+    found = F.struct(*[F.col(f"_found.`{n}`").alias(n) for n in schema.names])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != into], found.alias(into))
+
+
+def extract_texts(texts: DataFrame, make_extractor: Callable[[], Callable[[str], dict]], schema: T.StructType, partitions: int | None) -> DataFrame:
+    """Texts by digest with what the caller's function tells of each."""
+    rows = texts if partitions is None else texts.repartition(partitions)
+    # Not deterministic, so that no plan calls it a second time to filter by what it tells.
+    return rows.withColumn("_told", _caller(make_extractor, schema).asNondeterministic()("_text"))
 
 
 def _filled(df: DataFrame, extracted: str, legacy_string: bool) -> dict[str, Column]:

@@ -28,6 +28,36 @@ def read_listings(
     return read_csv(spark, path, schema, multi_line)
 
 
+def read_with_quarantine(
+    spark: SparkSession, path: str, schema: T.StructType = S.LISTING, multi_line: bool = True, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine): the records that fit the schema, and the others as (file, record, reason).
+
+    ``reason`` names the fields whose values are none of their type, or says that the number of fields is wrong; a
+    record that fits in no other way than its nulls is a row. Both read the files, each in one pass; null or empty values are no fault, and empty files give no rows.
+    """
+    bad = "_bad_record"
+    marked = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    reader = spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
+    read = reader.option("columnNameOfCorruptRecord", bad).schema(marked).csv(path)
+    # Always true: Spark refuses to read the marks alone, as counting rows or broken records would.
+    with_fields = F.concat_ws("", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields]) >= ""
+    rows = read.filter(F.col(bad).isNull() & with_fields).drop(bad)
+    # The record again, as texts: the fields that have one but no value are the reason.
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    again = F.from_csv(F.col(bad), texts.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"', "mode": "PERMISSIVE"})
+    wrong = [
+        F.when(F.col(f"_again.`{f.name}`").isNotNull() & F.col(f"`{f.name}`").isNull(), F.lit(f.name))
+        for f in schema.fields if not isinstance(f.dataType, T.StringType)
+    ]
+    named = F.array_join(F.array_compact(F.array(*wrong)), ", ")
+    quarantine = (
+        read.withColumn("_file", F.input_file_name()).filter(F.col(bad).isNotNull() & with_fields).withColumn("_again", again)
+        .select(F.col("_file").alias("file"), F.col(bad).alias("record"), F.when(named != "", named).otherwise("number of fields").alias("reason"))
+    )
+    return rows, quarantine
+
+
 def read_repair_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Repair price list from CSV."""
     return read_csv(spark, path, S.REPAIR_CATALOG)

@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forecourt import schemas as S
 from forecourt.operators import enrich, models, prepare, quality
@@ -236,6 +237,39 @@ def extract_fields_udf(spark, sf_dir):
     return enrich.extract_fields_udf(listings(spark, sf_dir), make).select("id", "extracted_data.*")
 
 
+def _never():
+    def extract(text):
+        raise AssertionError("asked again")
+
+    return extract
+
+
+@query(f"WITH {LISTINGS_SQL} SELECT id, {_EXTRACTED_SQL} FROM listings")
+def extract_fields_stored(spark, sf_dir):
+    """The second run finds all results stored: a call would give nulls."""
+    cars, store = listings(spark, sf_dir).select("id", "description"), _scratch(spark)
+    enrich.extract_fields_stored(cars, _regex_extractor(enrich.RULES, enrich.NUMBERS), store)
+    return enrich.extract_fields_stored(cars, _never, store).select("id", "extracted_data.*")
+
+
+@query("""WITH told AS (
+  SELECT event_id AS id, user_id % 100000 AS miles, CASE WHEN event_id % 50 = 0 THEN 'none' ELSE CAST(event_id % 30 + 1990 AS VARCHAR) END AS year,
+    event_id % 70 = 1 AS short FROM events)
+SELECT 'row' AS kind, count(*) AS n FROM told WHERE year <> 'none' AND NOT short
+UNION ALL SELECT CASE WHEN year = 'none' THEN 'year' ELSE 'number of fields' END, count(*) FROM told WHERE year = 'none' OR short GROUP BY ALL""")
+def quarantined_records(spark, sf_dir):
+    """Records of events written as lines, some of them broken."""
+    c, path = F.col, _scratch(spark)
+    year = F.when(c("event_id") % 50 == 0, "none").otherwise((c("event_id") % 30 + 1990).cast("string"))
+    line = F.concat_ws(",", c("event_id"), F.when(c("event_id") % 70 != 1, c("user_id") % 100000), year)
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    rows, bad = files.read_with_quarantine(spark, path, _EVENT_LINE, multi_line=False, header=False)
+    return rows.select(F.lit("row").alias("kind")).unionByName(bad.select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_EVENT_LINE = T.StructType([T.StructField("id", T.LongType()), T.StructField("miles", T.LongType()), T.StructField("year", T.IntegerType())])
+
+
 def _filled(name: str, sql_type: str) -> str:
     return f"coalesce({name}, TRY_CAST({_rule_sql(name)} AS {sql_type})) AS {name}"
 

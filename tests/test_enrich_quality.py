@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import Observation
 
@@ -49,6 +51,37 @@ def test_udf_gives_nulls_for_failures_and_partial_answers(spark):
     assert (found[3]["year"], found[3]["model"], found[3]["price"]) == ("2019", "civic", None)
 
 
+@pytest.mark.parametrize("max_rows", [1000, 0])
+def test_texts_are_asked_about_once(spark, tmp_path, max_rows):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+
+    def counting(fails):
+        def make():
+            def extract(text):
+                (calls / f"{len(list(calls.iterdir()))}-{abs(hash(text))}-{time.time_ns()}").write_text(text)
+                if text in fails:
+                    raise OSError
+                return {"fuel": text.upper(), "other": 1}
+            return extract
+        return make
+
+    def asked():
+        found = sorted(f.read_text() for f in calls.iterdir())
+        for f in calls.iterdir():
+            f.unlink()
+        return found
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", None, "", "c", "a"])], "id int, description string")
+    run = lambda frame, fails=(): rows(enrich.extract_fields_stored(frame, counting(fails), store, max_rows=max_rows).select("id", "extracted_data.fuel"))
+    assert run(df, ("b",)) == [(0, "A"), (1, None), (2, "A"), (3, None), (4, ""), (5, "C"), (6, "A")]
+    assert asked() == ["", "a", "b", "c"]
+    assert run(df)[1] == (1, "B") and asked() == ["b"]
+    assert run(df)[1] == (1, "B") and asked() == []
+    assert run(df.unionByName(spark.createDataFrame([(9, "d")], df.schema)))[-1] == (9, "D") and asked() == ["d"]
+    assert run(df.limit(0)) == [] and asked() == []
+
+
 def merged(spark, **options):
     df = spark.createDataFrame([
         (1, "d", None, None, "", 1.0, "cyl", ("ford", "2001", "red", "9.5")),

@@ -3,6 +3,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -93,6 +94,21 @@ def test_normalize_reply(spark):
 TURNS = "conv_id int, turn long, role string, text string"
 
 
+def test_broken_records_are_quarantined(spark, tmp_path):
+    good = ['1,ok,10,2000', '2,"two\nlines, and ""quotes""",11.5,2001', '3,,,']
+    broken = ['x,ok,10,2000', '5,ok,dear,soon', '6,ok', '7,ok,1,2000,more']
+    for name, lines in (("a", good[:2] + broken[:2]), ("b", good[2:] + broken[2:]), ("c", [])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(["id,note,price,year", *lines]) + "\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("note", T.StringType()), T.StructField("price", T.DoubleType()), T.StructField("year", T.IntegerType())])
+    cars, bad = files.read_with_quarantine(spark, str(tmp_path), schema)
+    assert rows(cars) == [(1, "ok", 10.0, 2000), (2, 'two\nlines, and "quotes"', 11.5, 2001), (3, None, None, None)]
+    assert (cars.count(), bad.count()) == (3, 4)
+    told = {r["record"]: (r["file"][-5:], r["reason"]) for r in bad.collect()}
+    assert told == {
+        broken[0]: ("a.csv", "id"), broken[1]: ("a.csv", "price, year"), broken[2]: ("b.csv", "number of fields"), broken[3]: ("b.csv", "number of fields"),
+    }
+
+
 def test_conversations(spark):
     turns = spark.createDataFrame([
         (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "z"), (2, 0, "user", "only"), (2, 1, "assistant", None),
