@@ -23,6 +23,7 @@ class Tree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        vectors = _in_range(vectors)
         self.ids, self.vectors = ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.units = vectors / self.norms[:, None]
@@ -51,6 +52,7 @@ class Tree:
         A half is skipped if ``factor`` times the least distance that the triangle inequality leaves it
         exceeds the query's k-th best distance: 1 is exact, more skips more.
         """
+        queries = _in_range(queries)
         self.own, self.queries, self.k, self.factor = own, queries, k, factor
         self.lengths = np.sqrt((queries * queries).sum(axis=1))
         self.directions = queries / self.lengths[:, None]
@@ -96,6 +98,13 @@ class Tree:
             self.scores[q], self.found[q] = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
 
 
+def _in_range(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose squares would overflow or vanish, times a power of two, which changes no cosine; others as they are."""
+    exponent = np.frexp(np.abs(vectors).max(axis=1))[1]
+    far = np.abs(exponent) > 400
+    return np.where(far[:, None], np.ldexp(vectors, -exponent[:, None]), vectors) if far.any() else vectors
+
+
 def _chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
@@ -144,11 +153,12 @@ def nearest_vectors(
         .withColumn("dims", F.size("vector"))
         .withColumn("row", F.monotonically_increasing_id())
     )
-    counts = {r["dims"]: r["n"] for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    asking = F.count_if(F.col("vec_id") % every == 0).alias("asking")
+    counts = rows.groupBy("dims").agg(F.count("*").alias("n"), asking).collect()  # a row for each length of vectors
     shards, blocks = F.lit(1), F.lit(1)
-    for dims, n in counts.items():  # a row for each length of vectors
+    for dims, n, queries in counts:
         shards = F.when(F.col("dims") == dims, -(-n // shard_rows)).otherwise(shards)
-        blocks = F.when(F.col("dims") == dims, -(-n // (every * block_queries))).otherwise(blocks)
+        blocks = F.when(F.col("dims") == dims, max(-(-queries // block_queries), 1)).otherwise(blocks)
     rows = rows.withColumn("shards", shards).withColumn("blocks", blocks)
     spread = F.xxhash64("vec_id", "row")
     index = work.store(

@@ -95,3 +95,18 @@ def test_a_relaxed_tree_searches_less_with_high_recall():
     truth = np.argsort(-near, axis=1)[:, :5]
     recall = lambda found: np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found, truth, strict=True)])
     assert recall(exact) == 1 and recall(relaxed) >= 0.9
+
+
+def test_very_large_and_very_small_values(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 2e-200]), (3, [5.0, 1.0]), (4, [0.0, -1e308]), (50, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in nearest_vectors(df).collect()}
+    unit = {i: (v[0] / max(map(abs, v)), v[1] / max(map(abs, v))) for i, v in rows}
+    cosine = lambda a, b: (a[0] * b[0] + a[1] * b[1]) / (a[0] ** 2 + a[1] ** 2) ** 0.5 / (b[0] ** 2 + b[1] ** 2) ** 0.5
+    assert len(found) == 10 and all(abs(s - cosine(unit[q], unit[i])) < 1e-12 for (q, i), s in found.items())
+
+
+def test_blocks_hold_so_many_queries_whatever_the_ids(spark):
+    df = spark.range(300).selectExpr("id * 50 AS vec_id", "array(cos(id), sin(id), 1D) AS embedding")
+    one, many = nearest_vectors(df).collect(), nearest_vectors(df, block_queries=20, shard_rows=70).collect()
+    assert sorted(one) == sorted(many) and len(one) == 1500
