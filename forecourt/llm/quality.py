@@ -95,14 +95,19 @@ def _evidence(model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """The classifier, or None without labels of both kinds. For several labels of an id the lower counts."""
+    """The classifier, or None without labels of both kinds.
+
+    Fitted on at most ``sample`` labelled ids, chosen by a hash, with one text each. For several labels of an id the lower counts.
+    """
     known = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    table = texts.select("good", "text").mapInArrow(_examples, "good int, x array<double>").limit(2 * sample).toArrow()
+    # One text for each id, however often it is repeated: that of the least hash.
+    texts = texts.groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    table = texts.select("good", "least.text").mapInArrow(_examples, "good int, x array<double>").toArrow()
     good = table.column("good").to_numpy().astype(float)
     if not len(good) or good.min() == good.max():
         return None
