@@ -237,14 +237,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = seen.filter(F.abs(F.col("toxic") - expected) >= DEVIATIONS * spread).select("term").collect()  # at most 2 ** BITS
     used[[r["term"] for r in chosen]] = True
     first = work.store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    sampled = labelled(F.broadcast(first))
-    table = sampled.mapInArrow(_sample_terms, "toxic int, ids array<int>").limit(2 * sample).toArrow()
+    # One text for each id, however often it is repeated: that of the least hash.
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    sampled = texts.join(F.broadcast(first), "doc_id").groupBy("doc_id", "toxic").agg(least).select("toxic", "least.text")
+    table = sampled.mapInArrow(_sample_terms, "toxic int, ids array<int>").toArrow()
     lists = [c for c in table.column("ids").chunks if len(c)]
     pairs = Pairs([t for c in lists for t in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])], table.column("toxic").to_numpy())
     del table, lists
     together = spark.range(0, -(-len(pairs.terms) // PAIR_ROWS), 1, PAIR_TASKS).mapInArrow(_departing(spark.sparkContext.broadcast(pairs)), "term long")
     used[[r["term"] for r in together.distinct().collect()]] = True  # at most 2 ** BITS
-    table = sampled.mapInArrow(_features(spark.sparkContext.broadcast(used)), "toxic int, ids array<int>, values array<float>").limit(2 * sample).toArrow()
+    table = sampled.mapInArrow(_features(spark.sparkContext.broadcast(used)), "toxic int, ids array<int>, values array<float>").toArrow()
     toxic = table.column("toxic").to_numpy().astype(float)
     ids, values = ([c for c in table.column(name).chunks if len(c)] for name in ("ids", "values"))
     lengths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in ids])
@@ -258,7 +260,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     The machine's terms are words and heads of words of the whole text; id, source, language and labels are no
     inputs. It learns from labelled documents whose crc32 of the id is not divisible by ``FOLDS``; for an id
-    with several labels the larger counts. Repeated rows of an id are examples each, up to twice the sample.
+    with several labels the larger counts. Repeated rows of an id are one example, with the text of the least hash.
 
     A null or empty text, or one without letters, gets the bias alone. A null doc_id has no checksum: not
     held out, never learned from. Repeated rows get equal scores. With labels of one kind only, scores are
