@@ -23,15 +23,16 @@ def index_records(work: Work, pages: DataFrame, copy: Column | None = None) -> D
     """The archive's index: page_id, offset, length, digest of every record, in the order of page_id.
 
     Range partitions are stored with their ids; the records before a partition are summed from the partitions'
-    totals, those before a record within its partition. Equal ids follow by digest, a null id comes first.
+    totals, those before a record within its partition. Equal ids follow by digest, a null id comes first; equal records
+    are spread over partitions like others.
     ``copy`` is a record as a replica holds it at the same offset, null if it is lost; it gives the
     columns copy_length and copy_digest.
     """
     own = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    order = [F.col("page_id").asc_nulls_first(), F.col("digest").asc()]
+    order = [F.col("page_id").asc_nulls_first(), F.col("digest").asc(), F.col("row")]  # the last key parts equal records
     sides = {"": own, "copy_": own if copy is None else copy}
     figures = [f(F.col(f"{side}record")).alias(f"{side}{name}") for side in sides for name, f in (("length", lambda x: F.octet_length(x).cast("long")), ("digest", lambda x: F.sha2(x, 256)))]
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *[x.alias(f"{side}record") for side, x in sides.items()]).select("page_id", *figures)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *[x.alias(f"{side}record") for side, x in sides.items()], F.monotonically_increasing_id().alias("row")).select("page_id", "row", *figures)
     dealt = work.store(rows.repartitionByRange(shuffle_partitions(pages.sparkSession), *order).withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("part").agg(F.sum("length").alias("bytes")).select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))

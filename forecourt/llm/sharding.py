@@ -17,7 +17,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, drift: float = 0.01, carry: tu
     texts of at most ``drift`` of a target, and else to the nearer end of the row it falls in,
     so shards differ by at most ``drift`` of a target or one document, and a group larger than
     that is split like any other rows. Nothing but one row per partition and one per cut
-    reaches the driver, and each partition is a task however often a text is repeated.
+    reaches the driver, and each partition is a task however often a text or a row is repeated.
 
     Size is the text's UTF-8 bytes plus 1. A null text has size 1, no checksum, and comes
     first, as does a null doc_id within its text; an empty table gives no rows; repeated rows
@@ -26,12 +26,14 @@ def byte_shards(docs: DataFrame, shards: int = 8, drift: float = 0.01, carry: tu
     """
     spark = docs.sparkSession
     work = work or Work(spark)
-    order = [F.col("digest").asc_nulls_first(), F.col("doc_id").asc_nulls_first()]
+    # The last key parts equal rows, which otherwise all lie in one range.
+    order = [F.col("digest").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("row")]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.md5("text").alias("digest"),
         (utf8_size(F.col("text")) + 1).alias("size"),
         F.crc32("text").alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"),
         carried(docs, carry, OUTPUT).alias("carried"),
     )
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order)

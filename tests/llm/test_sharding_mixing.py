@@ -85,3 +85,21 @@ def test_odd_rows_in_the_mix(odd_documents, no_documents):
     carried = mix_sources(odd_documents, carry=tuple(odd_documents.columns))
     assert carried.count() == odd_documents.count() and len(set(carried.columns)) == len(carried.columns)
     assert mix_sources(no_documents).count() == 0
+
+
+def test_one_row_many_times_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    from forecourt.llm.support import Work
+    from forecourt.llm.fixity import index_records
+
+    same = spark.range(0, 100_000, 1, 8).selectExpr("7L AS doc_id", "'the same text' AS text", "'en' AS lang", "'a' AS source", "13L AS n_chars")
+    out = byte_shards(same)
+    sizes = [r["n"] for r in out.groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 100_000
+    assert out.groupBy("shard", "slot").count().filter("count > 1").isEmpty()
+    work = Work(spark)
+    records = index_records(work, spark.range(0, 20_000, 1, 8).selectExpr("7L AS page_id", "'u' AS url", "'x' AS html"))
+    assert records.select("offset").distinct().count() == 20_000
+    parts = spark.read.parquet(f"{work.root}/000").groupBy("part").count()
+    assert parts.count() > 1
