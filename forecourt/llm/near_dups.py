@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.components import components
-from forecourt.llm.support import Work, carried, small, unpacked
+from forecourt.llm.support import BROADCAST_ROWS, Work, carried, unpacked
 from forecourt.llm.words import mixed, portions, word_hashes
+from forecourt.plans.joins import keyed_join
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -23,8 +24,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: A pair is confirmed on whole sets if its estimate lies at most so far below the bound:
 #: five standard deviations of the estimate at 0.75.
 SLACK = 0.2
-#: Members of a bucket that are compared with as many others in one step.
-BLOCK = 512
+#: Members of a bucket that are compared with as many others in one step, and about how many shingles these may have.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 OUTPUT = ("doc_id", "n_shingles", "component_id", "kept", "stays")
 
 _RANDOM = np.random.default_rng(7)
@@ -199,7 +200,8 @@ class _Links:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """The whole sets of the nodes in ``wanted``, stored: (node, shingles)."""
         texts = self.work.store(self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "digest"))
-        found = self.docs.select("digest", "text").join(small(texts), "digest").groupBy("node").agg(F.first("text").alias("text"))
+        # A text that many documents share is dealt to many tasks.
+        found = keyed_join(self.docs.select("digest", "text"), texts, ["digest"], max_rows=BROADCAST_ROWS).groupBy("node").agg(F.first("text").alias("text"))
         return self.work.store(found.mapInArrow(_whole_sets, "node long, shingles array<long>"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -282,9 +284,9 @@ def _links(work: Work, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     more = _split(work, shared.filter("members > 2").select("bucket", "band", "node", "n"), components(work, links))
     links = work.store(links.unionByName(judge.confirmed(judge.likely(_stars(more.filter("members > 2"), ["hub_1", "hub_2", "hub_3"])))))
     rest = _split(work, more.select("bucket", "band", "node", "n"), components(work, links))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("long")
     rest = (
-        rest.select("bucket", "band", "node", "n", "label", "members")
+        rest.select("bucket", "band", "node", "n", "label", "members", "held")
         .join(nodes.select("node", "sketch"), "node").join(judge.sets(rest), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -313,7 +315,7 @@ def _split(work: Work, shared: DataFrame, labels: DataFrame) -> DataFrame:
     hub = lambda turn: F.min_by(F.struct("node", "n", "label"), F.struct(F.xxhash64(F.lit(turn), "node"), "node"))
     split = (
         labelled.groupBy("bucket")
-        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members"), *[hub(i).alias(f"hub_{i}") for i in (1, 2, 3)])
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members"), F.sum("n").alias("held"), *[hub(i).alias(f"hub_{i}") for i in (1, 2, 3)])
         .filter("least <> most").drop("least", "most")
     )
     return work.store(labelled.join(split, "bucket"))

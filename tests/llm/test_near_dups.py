@@ -62,6 +62,8 @@ def copies(spark):
 
 def test_large_groups_of_copies(spark, copies, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 800)
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
     assert found(spark.createDataFrame(copies, "doc_id long, text string")) == brute(copies)
 
 
