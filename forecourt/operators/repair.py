@@ -41,13 +41,12 @@ def _needs(requests: DataFrame, request_id: str) -> DataFrame:
 
 
 def _asked_terms(sets: DataFrame, min_word: int | None) -> DataFrame:
-    """(_terms, relax_tier, _term): the terms of a set, and as rung 1 their words."""
-    own = sets.select("_terms", F.lit(0).alias("relax_tier"), F.explode("_terms").alias("_term"))
+    """(_terms, relax_tier, _of, _term): the terms of a set, and as rung 1 their words, each with the term it is of."""
+    own = sets.select("_terms", F.lit(0).alias("relax_tier"), F.explode("_terms").alias("_of")).withColumn("_term", F.col("_of"))
     if min_word is None:
         return own
-    words = F.flatten(F.transform("_terms", lambda t: F.split(t, r"\s+")))
-    words = F.array_distinct(F.filter(words, lambda w: F.length(w) >= min_word))
-    return own.unionByName(sets.select("_terms", F.lit(1).alias("relax_tier"), F.explode(words).alias("_term")))
+    words = F.array_distinct(F.filter(F.split("_of", r"\s+"), lambda w: F.length(w) >= min_word))
+    return own.unionByName(own.select("_terms", F.lit(1).alias("relax_tier"), "_of", F.explode(words).alias("_term")))
 
 
 def _text() -> Column:
@@ -56,7 +55,23 @@ def _text() -> Column:
     return F.concat_ws("", part("component"), part("diagnostic"))
 
 
-def _lookup(requests: DataFrame, catalog: DataFrame, request_id: str, min_word: int | None):
+def _heaviest(words: DataFrame, by_term: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_terms, relax_tier, _signature): the rows that hold the most weight of a term's words, for each term of a set.
+
+    A word's weight is the logarithm of rows by rows that hold it, in thousandths. A row's words are its signature's, so
+    words are counted and weighed on signatures; what does not fit any row is what weighs least in all.
+    """
+    total = rows.agg(F.sum("copies")).first()[0] or 0
+    held = rows.groupBy("_signature").agg(F.sum("copies").alias("n")).select("n", F.explode("_signature").alias("_term"))
+    weight = F.greatest(F.round(F.ln(F.lit(total + 1.0) / F.sum("n")) * 1000).cast("long"), F.lit(1).cast("long"))
+    weighed = keyed_join(words, materialize(held.groupBy("_term").agg(weight.alias("_weight"))), ["_term"])
+    term = ["_terms", "relax_tier", "_of"]
+    sums = materialize(keyed_join(weighed, by_term, ["_term"]).groupBy(*term, "_signature").agg(F.sum("_weight").alias("_weight")))
+    most = sums.groupBy(*term).agg(F.max("_weight").alias("_weight"))
+    return sums.join(most, [*term, "_weight"]).select("_terms", "relax_tier", "_signature")
+
+
+def _lookup(requests: DataFrame, catalog: DataFrame, request_id: str, min_word: int | None, rarest: bool):
     """Requests with their term set, term sets with the signatures that answer them, and signed rows.
 
     The signature of a price list row is the sorted list of asked terms found in it. Rows
@@ -74,8 +89,13 @@ def _lookup(requests: DataFrame, catalog: DataFrame, request_id: str, min_word:
     hit = asked.join(by_term.select("_term").distinct(), "_term", "left_semi")
     rung = hit.groupBy("_terms").agg(F.min("relax_tier").alias("relax_tier"))
     live = hit.join(rung, ["_terms", "relax_tier"])
-    answers = keyed_join(live, by_term, ["_term"]).select("_terms", "relax_tier", "_signature").distinct()
-    return needs, answers, keyed_join(rows, signed, ["_text"]).drop("_text")
+    rows = keyed_join(rows, signed, ["_text"]).drop("_text")
+    whole = live.filter("relax_tier = 0") if rarest else live
+    answers = keyed_join(whole, by_term, ["_term"]).select("_terms", "relax_tier", "_signature")
+    if rarest and min_word is not None:
+        rows = materialize(rows)
+        answers = answers.unionByName(_heaviest(live.filter("relax_tier = 1"), by_term, rows))
+    return needs, answers.distinct(), rows
 
 
 def _set_name() -> Column:
@@ -93,15 +113,16 @@ def match_repairs(
     catalog: DataFrame,
     request_id: str = "request_id",
     min_word: int | None = None,
+    rarest: bool = False,
 ) -> DataFrame:
     """Every price list row that answers each set of terms that is asked for:
     (term_set, relax_tier, component, diagnostic, reparation_cost, copies).
 
     Requests meet the sets by ``request_term_sets``, so the rows of a set come once however many
     requests ask for it. Equal rows of the price list come once, with their number. ``min_word`` adds the
-    second rung for sets without a match (see ``repair_estimate``).
+    second rung for sets without a match, ``rarest`` the way it is answered (see ``repair_estimate``).
     """
-    _, answers, rows = _lookup(requests, catalog, request_id, min_word)
+    _, answers, rows = _lookup(requests, catalog, request_id, min_word, rarest)
     return keyed_join(rows, materialize(answers), ["_signature"]).select(_set_name(), "relax_tier", *_ROW, "copies")
 
 
@@ -111,16 +132,19 @@ def repair_estimate(
     request_id: str = "request_id",
     min_word: int | None = 4,
     list_rows: int | None = None,
+    rarest: bool = False,
 ) -> DataFrame:
     """Total cost and number of rows for every request, with its term set.
 
     Requests whose terms match nothing try the words of ``min_word`` letters and more of
-    their terms (``relax_tier`` 1; ``None`` switches that off). No match gives a null total.
+    their terms (``relax_tier`` 1; ``None`` switches that off). A row with any of the words answers; with ``rarest``
+    only, for each term, the rows whose words of it weigh most together, where a word weighs more the fewer rows of the price list
+    hold it: the commonest words of a defect are given up first. No match gives a null total.
     The rows themselves are those of ``match_repairs`` for the term set. With ``list_rows`` the first so many
     of them, in (component, diagnostic, cost) order, are listed in the cell ``identified_repairs`` as
     well, and ``truncated`` tells whether there are more.
     """
-    needs, answers, rows = _lookup(requests, catalog, request_id, min_word)
+    needs, answers, rows = _lookup(requests, catalog, request_id, min_word, rarest)
     answers = materialize(answers)
     cost = F.coalesce("reparation_cost", F.lit(0)).cast("double") * F.col("copies")
     per_signature = rows.groupBy("_signature").agg(F.sum(cost).alias("cost"), F.sum("copies").alias("n"))

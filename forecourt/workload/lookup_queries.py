@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from forecourt.operators import adhoc, advise as advice, market, repair
 from forecourt.plans.joins import materialize
 from forecourt.workload.registry import query
-from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, requests, table
+from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, request_name, requests, table
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -192,6 +192,45 @@ def repair_estimate(spark, sf_dir):
     return repair.repair_estimate(requests(spark, sf_dir), price_list(spark, sf_dir))
 
 
+_DEFECTS_SQL = """
+defects AS (
+  SELECT request_id, lower(trim(said)) AS term FROM (
+    SELECT s_suppkey AS request_id, unnest([noun || ' squeaks ' || split_part(full_name, ' ', 1) || ' noise', full_name || ' promo gear']) AS said FROM named)
+),
+words AS (SELECT DISTINCT request_id, term, word FROM (SELECT *, unnest(string_split_regex(term, '\\s+')) AS word FROM defects) WHERE length(word) >= 4),
+vocabulary AS (SELECT DISTINCT word FROM words),
+texts AS (SELECT component, diagnostic, count(*) AS n FROM price_list GROUP BY ALL),
+held AS (SELECT word, component, diagnostic, n FROM vocabulary JOIN texts ON contains(lower(component), word) OR contains(lower(diagnostic), word)),
+weights AS (SELECT word, greatest(CAST(round(ln(((SELECT count(*) FROM price_list) + 1.0) / sum(n)) * 1000) AS BIGINT), 1) AS weight FROM held GROUP BY word),
+sums AS (SELECT request_id, term, component, diagnostic, sum(weight) AS weight
+  FROM words JOIN weights USING (word) JOIN held USING (word) GROUP BY ALL),
+best AS (SELECT request_id, term, max(weight) AS weight FROM sums GROUP BY ALL),
+chosen AS (SELECT DISTINCT request_id, component, diagnostic FROM sums JOIN best USING (request_id, term, weight)),
+defect_sets AS (SELECT request_id, array_to_string(list_sort(list(DISTINCT term)), '; ') AS term_set FROM defects GROUP BY request_id)"""
+
+
+def _defects(spark, sf_dir) -> DataFrame:
+    """Two defects a request, in words that no row of the price list has in this order."""
+    first, noun = request_name()
+    said = F.array(F.concat_ws(" ", noun, F.lit("squeaks"), first, F.lit("noise")), F.concat_ws(" ", first, noun, F.lit("promo gear")))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("request_id"), F.lit("").alias("diagnosis"), said.alias("components"))
+
+
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_DEFECTS_SQL}
+SELECT DISTINCT term_set, 1 AS relax_tier, component, diagnostic, reparation_cost, count(*) OVER (PARTITION BY request_id, component, diagnostic, reparation_cost) AS copies
+FROM defect_sets JOIN chosen USING (request_id) JOIN price_list USING (component, diagnostic)""")
+def match_repairs_by_rarest_words(spark, sf_dir):
+    return repair.match_repairs(_defects(spark, sf_dir), price_list(spark, sf_dir), min_word=4, rarest=True)
+
+
+@query(f"""WITH {REQUESTS_SQL}, {PRICE_LIST_SQL}, {_DEFECTS_SQL},
+figures AS (SELECT request_id, CAST(sum(coalesce(reparation_cost, 0)) AS DOUBLE) AS total, count(*) AS n
+  FROM chosen JOIN price_list USING (component, diagnostic) GROUP BY request_id)
+SELECT request_id, term_set, 1 AS relax_tier, total AS total_estimated_cost, n AS num_repairs FROM defect_sets JOIN figures USING (request_id)""")
+def repair_estimate_by_rarest_words(spark, sf_dir):
+    return repair.repair_estimate(_defects(spark, sf_dir), price_list(spark, sf_dir), rarest=True)
+
+
 # --- advice ------------------------------------------------------------------
 
 _MISSING = ("manufacturer", "model", "year", "odometer", "condition")

@@ -117,12 +117,17 @@ listings AS (
 )"""
 
 
+def request_name() -> tuple[Column, Column]:
+    """Both words of the model that a request is about."""
+    return _pick(FIRST, F.col("s_suppkey") % 8 + 1), _pick(LAST, F.col("s_nationkey") % 8 + 1)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     key = c("s_suppkey")
     maker = _pick(MAKERS, key % 25 + 1)
-    model = F.concat(_pick(FIRST, key % 8 + 1), F.lit(" "), _pick(LAST, c("s_nationkey") % 8 + 1))
-    noun = _pick(LAST, c("s_nationkey") % 8 + 1)
+    first, noun = request_name()
+    model = F.concat(first, F.lit(" "), noun)
     return table(spark, sf_dir, "supplier").select(
         key.alias("request_id"),
         F.when(key % 10 == 1, "").when(key % 10 != 0, F.when(key % 3 == 0, F.upper(maker)).otherwise(maker)).alias("manufacturer"),

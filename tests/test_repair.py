@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -124,6 +125,52 @@ def test_batch_equals_brute_force(spark):
     assert rows(pairs) == sorted(wanted, key=repr)
 
 
+def test_commonest_words_are_given_up_first(spark):
+    prices = spark.createDataFrame([
+        ("Brake Pads", "grinding", 150), ("Front Bumper", "cracked", 400), ("Front Axle", "noise", 700), ("Front Lamp", "dark", 90), ("Horn", "silent", 50),
+    ], CATALOG)
+    asked = spark.createDataFrame([(1, "front brake pads worn", None), (2, "front worn", None), (3, None, ["silent front horn", "worn lamp"]), (4, "xyzzy worn", None)], REQUEST)
+    found = rows(match_repairs(asked, prices, min_word=4, rarest=True).select("term_set", "relax_tier", "component"))
+    assert found == sorted([
+        ("front brake pads worn", 1, "Brake Pads"),
+        ("front worn", 1, "Front Bumper"), ("front worn", 1, "Front Axle"), ("front worn", 1, "Front Lamp"),
+        ("silent front horn; worn lamp", 1, "Horn"), ("silent front horn; worn lamp", 1, "Front Lamp"),
+    ], key=repr)
+    assert [r["num_repairs"] for r in repair_estimate(asked, prices).filter("request_id = 1").collect()] == [4]
+    assert repair_estimate(asked, prices.limit(0), rarest=True).agg(F.sum("num_repairs")).first()[0] == 0
+
+
+def test_rarest_words_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = ["brake", "pads", "front", "rear", "leak", "worn", "brakes", "100%"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    catalog = [(text(2) if rng.random() < 0.9 else None, text(1), rng.randint(10, 14)) for _ in range(60)]
+    catalog += catalog[:5] + [(None, None, 3)]
+    asked = [(i, "", [text(rng.randint(3, 6)) for _ in range(rng.randint(1, 2))]) for i in range(60)]
+    holds = lambda row, word: any(word in t for t in row[:2] if t)
+    total = len(catalog)
+
+    def chosen(terms):
+        exact = [row for row in catalog if any(holds(row, t) for t in terms)]
+        if exact:
+            return exact
+        best = set()
+        for term in terms:
+            weight = {}
+            for word in {w for w in term.split() if len(w) >= 4}:
+                if n := sum(holds(row, word) for row in catalog):
+                    weight[word] = max(1, round(math.log((total + 1) / n) * 1000))
+            scores = [sum(w for word, w in weight.items() if holds(row, word)) for row in catalog]
+            if max(scores) > 0:
+                best |= {i for i, score in enumerate(scores) if score == max(scores)}
+        return [catalog[i] for i in best]
+
+    got = repair_estimate(spark.createDataFrame(asked, REQUEST), spark.createDataFrame(catalog, CATALOG), rarest=True).collect()
+    expected = {key: [row[2] for row in chosen(terms)] for key, _, terms in asked}
+    assert {r["request_id"]: (r["num_repairs"], r["total_estimated_cost"]) for r in got} == {
+        key: (len(costs), float(sum(costs)) if costs else None) for key, costs in expected.items()}
+
+
 def test_no_nested_loop_in_the_plan(spark, prices):
     asked = spark.createDataFrame([(1, None, ["horn"])], REQUEST)
     plan = match_repairs(asked, prices)._jdf.queryExecution().toString()
