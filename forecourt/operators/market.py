@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from forecourt import schemas as S
 from forecourt.functions.text import all_of, contains_ci
 from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join, fits_broadcast, is_stored, keyed_join, materialize, scratch
+from forecourt.sources.tables import MAKER_KEY, may_hold_maker
 
 MILE_BAND = 10_000
+FOLDERS = 10_000
 PRICE_STEPS = 64  # per doubling of the price
 BASE_MODEL = 5  # added to the rung of a lookup by base model
 _ABSENT = "\u0000"
@@ -38,9 +40,12 @@ def comparables(
 
     ``others`` are the further fields of a request: cylinders, fuel, transmission, drive, car_type,
     paint_color. Texts are contained ignoring case, year is within one and odometer within 20000 of
-    the given value, price is positive. A null listing cell fails its test.
+    the given value, price is positive. A null listing cell fails its test. Of a table by ``write_by_maker``
+    only the folders that may hold the maker are read.
     """
     tests = [F.col("price") > 0]
+    if manufacturer and not like_wildcards and MAKER_KEY in df.columns:
+        tests.append(may_hold_maker(F.lit(manufacturer.lower())))
     unknown = set(others) - set(S.SECONDARY_FIELDS)
     if unknown:
         raise ValueError(f"no such fields: {sorted(unknown)}")
@@ -99,6 +104,24 @@ def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
     )
 
 
+def _folders_wanted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Listings of the folders that may hold a wanted maker; all of a table without folders.
+
+    Names of folders are read without any column of the files. A table has a bounded number of them (``write_by_maker``),
+    and beyond ``FOLDERS`` all are read.
+    """
+    if MAKER_KEY not in listings.columns:
+        return listings
+    folders = listings.select(MAKER_KEY).distinct()
+    makers = pairs.select("_want_maker").distinct()
+    if not fits_broadcast(folders, FOLDERS):
+        return listings
+    named = contains_join(makers, folders, "_want_maker", MAKER_KEY).select(MAKER_KEY)
+    shared = folders.filter(may_hold_maker(F.lit(None).cast("string")))
+    wanted = [r[0] for r in named.unionByName(shared).distinct().collect()]
+    return listings.filter(F.col(MAKER_KEY).isin(wanted))
+
+
 def _models_wanted(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """(_pair, _maker, _model): the names on sale that contain a pair of wanted texts.
 
@@ -313,7 +336,7 @@ def market_estimate(
     year and band of miles, with the least and most miles of each, which tell exactly what asks have any sale, and so each
     request's rung. The second counts the sales of the asks that were taken by price step, and the third reads the prices of the one step that holds the
     median. A sale meets the asks by equality, on names and on cells of year and miles, so that sales far off in
-    either are not compared; all scans combine their results before the shuffle, so no ask gathers its sales in one task.
+    either are not compared; a table by ``write_by_maker`` is read in the folders of wanted makers alone; all scans combine their results before the shuffle, so no ask gathers its sales in one task.
     """
     spark = requests.sparkSession
     with scratch(spark) as keep:
@@ -338,7 +361,7 @@ def _best_figures(requests: DataFrame, listings: DataFrame, request_id: str, max
         ladders.append((climbs.filter(F.size(words) > 1).withColumn("_want_model", words[0]), BASE_MODEL))
     asked_names = reduce(DataFrame.unionByName, [c.select("_want_maker", "_want_model") for c, _ in ladders])
     pairs = materialize(asked_names.distinct().withColumn("_pair", F.monotonically_increasing_id()))
-    sales = _sales(listings)
+    sales = _sales(_folders_wanted(listings, pairs))
     cells = materialize(_on_sale(sales))
     names = materialize(_models_wanted(pairs, cells))
     known = pairs.join(names.select("_pair").distinct(), "_pair", "left_semi")

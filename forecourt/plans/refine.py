@@ -10,7 +10,7 @@ from forecourt.operators.models import normalize_models, propose_dictionary
 from forecourt.operators.prepare import drop_columns, filter_manufacturers, filter_valid, sample_rows
 from forecourt.operators.quality import observed_report
 from forecourt.sources.files import read_listings, read_repair_catalog
-from forecourt.sources.tables import ensure_schema, write_table
+from forecourt.sources.tables import ensure_schema, write_by_maker, write_table
 
 # fixed values: table names
 VEHICLES, REPAIRS = "vehicles", "reparations"
@@ -50,12 +50,13 @@ def refresh_tables(
     dictionary: DataFrame | None = None,
     extract: Callable[[DataFrame], DataFrame] = extract_fields_rules,
     fmt: str = "parquet",
+    by_maker: bool = False,
     **sampling,
 ) -> DataFrame:
     """Rebuild all tables of ``schema`` from the two CSV sources and report the recovered cells.
 
     Every table is replaced, and the report is counted while the last one is written. Without ``dictionary`` the canonical names are proposed from
-    the cleaned listings. ``sampling`` goes to ``silver``.
+    the cleaned listings; ``by_maker`` stores the last one in a folder for each maker (``write_by_maker``). ``sampling`` goes to ``silver``.
     """
     ensure_schema(spark, schema)
     store = lambda df, name: write_table(df, f"{schema}.{name}", fmt)
@@ -64,5 +65,11 @@ def refresh_tables(
     names = propose_dictionary(cleaned) if dictionary is None else dictionary
     named = store(normalize_models(cleaned, names), NAMED)
     counted = Observation()
-    store(merge_extracted(extract(named), counted=counted), ENRICHED)
+    enriched = merge_extracted(extract(named), counted=counted)
+    if by_maker:
+        enriched = write_table(enriched, f"{schema}.{ENRICHED}_unordered", fmt)
+        write_by_maker(enriched, f"{schema}.{ENRICHED}", fmt)
+        spark.sql(f"DROP TABLE {schema}.{ENRICHED}_unordered")
+    else:
+        store(enriched, ENRICHED)
     return observed_report(spark, counted)

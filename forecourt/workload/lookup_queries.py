@@ -1,10 +1,13 @@
 """Queries over listings, requests and the price list: market, repair, advice, ad-hoc SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.operators import adhoc, advise as advice, market, repair
-from forecourt.plans.joins import materialize
+from forecourt.plans.joins import materialize, shared_folder
+from forecourt.sources.tables import write_by_maker
 from forecourt.workload.registry import query
 from forecourt.workload.views import LISTINGS_SQL, PRICE_LIST_SQL, REQUESTS_SQL, listings, price_list, request_name, requests, table
 
@@ -105,16 +108,44 @@ figures AS (
 )"""
 
 
-@query(f"""WITH {LISTINGS_SQL}, {REQUESTS_SQL}, {_PAIRS_SQL}
+_ESTIMATE_SQL = f"""WITH {LISTINGS_SQL}, {REQUESTS_SQL}, {_PAIRS_SQL}
 SELECT request_id, tier AS relax_tier, {_round_sql('mean', 'average_price')}, median AS median_price,
   {_round_sql('deviation', 'price_std_dev')}, coalesce(n, 0) AS num_cars_sold, coalesce(n, 0) > 0 AS found,
   {_HINT_SQL.format(n='coalesce(n, 0)')}
-FROM requests LEFT JOIN figures USING (request_id)""")
+FROM requests LEFT JOIN figures USING (request_id)"""
+
+
+@query(_ESTIMATE_SQL)
 def market_estimate(spark, sf_dir):
     found = market.market_estimate(requests(spark, sf_dir), _sold(spark, sf_dir))
     return _rounded(found, "average_price", "price_std_dev")
 
 
+def _by_maker(spark, sf_dir, *columns: str) -> DataFrame:
+    """Listings as a table with a folder for each maker."""
+    folder, name = f"{shared_folder(spark)}/{uuid.uuid4().hex}", f"by_maker_{uuid.uuid4().hex}"
+    write_by_maker(listings(spark, sf_dir).select(*columns), name, path=folder)
+    stored = spark.read.option("basePath", folder).schema(spark.table(name).schema).parquet(folder)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return stored
+
+
+@query(_ESTIMATE_SQL + " WHERE contains(lower(manufacturer), 'rd') OR contains(lower(manufacturer), 'me')")
+def market_estimate_by_maker(spark, sf_dir):
+    """Only folders of the makers that these requests are about are read."""
+    name = F.lower("manufacturer")
+    asked = requests(spark, sf_dir).filter(name.contains("rd") | name.contains("me"))
+    sold = _by_maker(spark, sf_dir, "manufacturer", "model", "condition", "year", "odometer", "price")
+    return _rounded(market.market_estimate(asked, sold), "average_price", "price_std_dev")
+
+
+@query(f"""WITH {LISTINGS_SQL}
+SELECT id, manufacturer, model, year, price FROM listings WHERE price > 0 AND contains(lower(manufacturer), 'rover') AND year BETWEEN 1996 AND 1998""")
+def comparables_by_maker(spark, sf_dir):
+    found = market.comparables(_by_maker(spark, sf_dir, "id", "manufacturer", "model", "year", "price"), "Rover", year=1997)
+    return found.select("id", "manufacturer", "model", "year", "price")
+
+
 # --- repair ------------------------------------------------------------------
 
 _TERMS_SQL = """

@@ -5,7 +5,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators.market import comparables, market_estimate, market_stats
+from conftest import rows
+from forecourt.operators.market import _folders_wanted, comparables, market_estimate, market_stats
+from forecourt.sources.tables import write_by_maker
 
 LISTING = "id int, manufacturer string, model string, year int, condition string, odometer int, price double"
 REQUEST = "request_id int, manufacturer string, model string, year int, condition string, odometer int"
@@ -188,3 +190,32 @@ def test_further_fields_and_exact_median(spark):
     ]
     with pytest.raises(ValueError):
         comparables(cars, wheels=4)
+
+
+def test_folders_of_makers(spark, tmp_path):
+    rng = random.Random(8)
+    makers = ["ford", "Ford", "land rover", "rover", "kia", "", None, "a/b=c", "z%1", "citro\u00ebn"]
+    cars = [(i, rng.choice(makers) if i % 3 else "ford", rng.choice(["one", "two x"]), rng.choice([None, *range(1990, 2000)]), float(rng.randint(-1, 40)), "new", 5000)
+            for i in range(600)]
+    cars += cars[:50]
+    listed = spark.createDataFrame(cars, "id int, manufacturer string, model string, year int, price double, condition string, odometer int")
+    for most in (1000, 2, 1):
+        name = f"folders_{most}"
+        stored = write_by_maker(listed, name, path=str(tmp_path / name), max_folders=most, files=6)
+        assert rows(stored.drop("maker_key")) == rows(listed)
+        assert stored.select("maker_key").distinct().count() <= most + 1
+        one = comparables(stored, "ROVER", year=1995)
+        assert rows(one.drop("maker_key")) == rows(comparables(listed, "ROVER", year=1995))
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "Contains(maker_key" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+        asked = spark.createDataFrame([(1, "Rover", "two", 1994, "new"), (2, "kia", "one", 1960, None)], "request_id int, manufacturer string, model string, year int, condition string")
+        pairs = spark.createDataFrame([("rover",), ("kia",)], "_want_maker string")
+        read = {r[0] for r in _folders_wanted(stored, pairs).select("maker_key").distinct().collect()}
+        assert "ford" not in read
+        assert read == {r[0] for r in stored.select("maker_key").distinct().collect()} - {"ford", "a/b=c", "z%1"}
+        if most == 2:
+            assert rows(market_estimate(asked, stored)) == rows(market_estimate(asked, listed))
+    hot = spark.read.parquet(str(tmp_path / "folders_1")).filter("maker_key = 'ford'").inputFiles()
+    assert len([f for f in hot if "maker_key=ford" in f]) >= 2
+    write_by_maker(listed.limit(0), "folders_none", path=str(tmp_path / "none"))
+    assert spark.table("folders_none").count() == 0
