@@ -1,11 +1,14 @@
 """Scores of the trained operators, computed again one by one from their formulas."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from forecourt.llm import quality, toxicity
+from forecourt.llm import quality, toxicity, url_filter
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_logits_are_sums_over_pairs():
@@ -79,3 +82,54 @@ def test_posteriors_with_null_and_sparse_groups(spark):
     rows = judged.collect()
     assert len(rows) == 200
     _check_posteriors(rows)
+
+
+def _symbols(text):
+    known = {ord(c): i for i, c in enumerate(url_filter.CHARACTERS)}
+    return [known.get(b, url_filter.SYMBOLS - 2) for b in text.lower().encode()]
+
+
+class _Model:
+    """Witten and Bell's interpolation, context by context."""
+
+    def __init__(self, texts):
+        self.after = defaultdict(Counter)
+        for text in texts:
+            line = [url_filter.SYMBOLS - 1] * url_filter.ORDER + _symbols(text)
+            for i in range(url_filter.ORDER, len(line)):
+                for order in range(url_filter.ORDER + 1):
+                    self.after[tuple(line[i - order : i])][line[i]] += 1
+
+    def chance(self, context, symbol):
+        shorter = self.chance(context[1:], symbol) if context else 1 / url_filter.SYMBOLS
+        seen = self.after.get(context)
+        return (seen[symbol] + len(seen) * shorter) / (seen.total() + len(seen)) if seen else shorter
+
+
+def test_url_scores_and_threshold(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://"), (-4, "http://B\u00fccher.example.org/\u00e9t\u00e9?Q=1"), (-5, "x://com/")], "page_id long, url string")
+    pages = pages.unionByName(odd.select(F.col("page_id").cast(dict(pages.dtypes)["page_id"]).alias("page_id"), "url"))
+    rows = url_filter.filter_urls(pages).join(pages.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS))), "page_id").collect()
+    rest = {r["page_id"]: r["url"].split("://", 1)[1] if "://" in (r["url"] or "") else "" for r in rows}
+    judged = [r for r in rows if r["rule"] is not None]
+    models = {kind: _Model([rest[r["page_id"]] for r in judged if r["fold"] > 0 and r["verdict"] == kind]) for kind in ("allow", "block")}
+    for r in rows:
+        line = [url_filter.SYMBOLS - 1] * url_filter.ORDER + _symbols(rest[r["page_id"]])
+        logs = [
+            math.log(models["allow"].chance(c, s)) - math.log(models["block"].chance(c, s))
+            for i in range(url_filter.ORDER, len(line)) for c, s in [(tuple(line[i - url_filter.ORDER : i]), line[i])]
+        ]
+        assert math.isclose(r["score"], sum(logs) / len(logs) if logs else 0.0, abs_tol=1e-4)
+    cut = rows[0]["threshold"]
+    held = [(r["score"], r["verdict"] == "allow") for r in judged if r["fold"] == 0]
+    good = sum(ok for _, ok in held)
+
+    def errors(at):
+        return sum(ok and s < at for s, ok in held) / good + sum(not ok and s >= at for s, ok in held) / (len(held) - good)
+
+    assert 0 < good < len(held)
+    assert errors(cut) <= min(errors(i / 100) for i in range(-800, 801)) + 1e-9
+    for r in rows:
+        if r["rule"] is None:
+            assert r["verdict"] == ("allow" if not rest[r["page_id"]] or r["score"] >= cut else "block")
