@@ -1,5 +1,7 @@
 """Quality, toxicity, leaks and surrogates."""
 
+import ipaddress
+import random
 import re
 import zlib
 
@@ -334,6 +336,71 @@ def test_surrogates_stay_distinct(spark):
     assert len({out[len(numbers) + i] for i in range(len(titled))}) == len(titled)
 
 
+def test_numbers_of_further_kinds(spark):
+    phones = ["743 555 3824", "07911 123456", "07911123456", "030 1234 5678", "12125550123"]
+    addresses = ["2001:db8::ff00:42:8329", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "fe80::1", "::1", "2001:db8:1::"]
+    accounts = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29NWBK60161331926819"]
+    others = ["123-45-6789", f'"{"7" * 24}"']
+    plain = ["at 12:30:45 on 2024-01-15", "std::vector and a::b", "pages 100 200 300", "1,234,567 of 250000000", "AB12 is a code", "mac aa:bb:cc:dd:ee:ff"]
+    items = phones + addresses + accounts + others
+    out = _masked(spark, [f"see {x} now" for x in items] + plain)
+    made = [re.fullmatch("see (.*) now", out[i]).group(1) for i in range(len(items))]
+    for old, new in zip(phones + accounts + others, made[:5] + made[10:]):
+        assert re.sub("[A-Z]", "A", re.sub(r"\d", "0", new)) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", old)) and new != old
+    assert made[1].replace(" ", "") == made[2]
+    expanded = [ipaddress.ip_address(x) for x in made[5:10]]
+    assert expanded[0] == expanded[1] and made[6].isupper() and len(made[6]) == 39
+    assert not set(expanded) & {ipaddress.ip_address(x) for x in addresses} and all("::" in x for x in made[7:10])
+    assert made[10].replace(" ", "") == made[11] != accounts[1]
+    for account in made[11:13]:
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert (made[11][:2], made[12][:2]) == ("DE", "GB")
+    assert [out[len(items) + i] for i in range(len(plain))] == plain
+
+
+def test_given_names_change_places_by_key(spark):
+    names = surrogates.GIVEN["latin female"]
+    seen = []
+    for key in ("a", "b"):
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+        out = {r["doc_id"]: r["surrogate_text"] for r in surrogates.replace_entities(df, key=key).collect()}
+        seen.append([names.index(out[i]) - i for i in range(len(names))])
+        assert sorted(out.values()) == sorted(names) and 0 not in seen[-1]
+    assert seen[0] != seen[1] and all(len({step % len(names) for step in steps}) > 3 for steps in seen)
+
+
+def test_corpus_by_an_independent_detector(spark):
+    """Entities planted among plain words: all go, all else stays, one surrogate for each, no two alike."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    makers = [
+        lambda: f"{word()}.{word()}@{word()}.org", lambda: f"+44 20 {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)}",
+        lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        lambda: ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), lambda: "4" + "".join(str(rng.randrange(10)) for _ in range(15)),
+    ]
+    pool = [make() for make in makers for _ in range(40)]
+    texts, planted = [], []
+    for _ in range(300):
+        words = [word() for _ in range(rng.randint(5, 40))]
+        places = sorted(rng.sample(range(len(words)), rng.randint(0, 4)))
+        for place in places:
+            words[place] = rng.choice(pool)
+        texts.append("|".join(words).replace("|", " , "))
+        planted.append([words[place] for place in places])
+    texts.append("marked \x01 " + pool[0] + " \x01")
+    planted.append([pool[0]])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {}
+    for row in surrogates.replace_entities(df).collect():
+        old, new = texts[row["doc_id"]], row["surrogate_text"]
+        assert row["entities"] == len(planted[row["doc_id"]])
+        pattern = "(.+)".join(re.escape(part) for part in re.split("|".join(map(re.escape, planted[row["doc_id"]])) or "$^", old))
+        found = re.fullmatch(pattern, new, re.S).groups()
+        for entity, surrogate in zip(planted[row["doc_id"]], found):
+            assert made.setdefault(entity, surrogate) == surrogate
+    assert len(set(made.values())) == len(made) and not set(made.values()) & set(pool)
+
+
 def test_surrogates_of_odd_rows(odd_documents, no_documents):
     out = surrogates.replace_entities(odd_documents, carry=tuple(odd_documents.columns))
     assert len(set(out.columns)) == len(out.columns)
