@@ -32,11 +32,11 @@ ALPHABETS = (
 
 _NAMES = [n for names in GIVEN.values() for n in names]
 _ONE_NAME = "|".join(sorted(_NAMES, key=len, reverse=True))
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}]{2,24}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}]{2,24}"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _GROUP = "[0-9A-Fa-f]{1,4}"
 #: Eight groups, or fewer around or before two colons; a group that is not zero tells it from an empty address.
-_IP6 = rf"(?<![\p{{L}}\d:._])(?=[0:]*[1-9A-Fa-f])(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:|:(?::{_GROUP}){{1,7}})(?![\p{{L}}\d:_])"
+_IP6 = rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![\p{{L}}\d:._])(?=[0:]*[1-9A-Fa-f])(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:|:(?::{_GROUP}){{1,7}})(?![\p{{L}}\d:_])"
 _IBAN = r"(?<![\p{L}\d])(?=[A-Z]{2}\d{2}(?:[ A-Z]*\d){8})[A-Z]{2}\d{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![\p{L}\d])"
 _NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = (
@@ -57,7 +57,11 @@ _CUE = rf"(?:(?:{'|'.join(TITLES)})\.?|[Nn]amed|[Nn]ame is|[Nn]ame:|Dear|I am|I'
 #: Two capitalised words after a cue.
 _PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{Ll}})(?:(?<=(?<!\p{{L}}){_CUE} ){_WORD}(?= {_WORD}(?!\p{{L}}))|(?<=(?<!\p{{L}}){_CUE} {_WORD} ){_WORD}(?!\p{{L}}))"
 #: Every entity is one match of this; its kind is told from the match alone.
-PATTERN = "|".join([_SECRET, _EMAIL, _IP, _IP6, _IBAN, _CARD, _NATIONAL, _PHONE, _GIVEN, _SURNAME, _PERSON])
+#: Most places of a text are within words, where only numbers may begin; the other parts are not tried there.
+PATTERN = (
+    rf"(?:(?=[\d(+])|(?<!\p{{L}}))(?:{_SECRET}|{_EMAIL}|{_IP6}"
+    rf"|(?=[\d(+])(?:{_IP}|{_CARD}|{_NATIONAL}|{_PHONE})|(?=\p{{Lu}})(?:{_IBAN}|{_GIVEN}|{_SURNAME}|{_PERSON}))"
+)
 _MARK = "\x01"  # set around entities to cut a text in one search; texts that hold it are searched twice
 WIDEN = 8  # attempts after which a surrogate takes a further character or syllable
 
