@@ -2,6 +2,8 @@
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,12 @@ MILE_BAND = 10_000
 FOLDERS = 10_000
 PRICE_STEPS = 64  # per doubling of the price
 BASE_MODEL = 5  # added to the rung of a lookup by base model
+STEPS_PER_GROUP = 8
+GROUP_SALES = 4_000_000  # sales of a group, each counted for every pair of names found in it
+GROUP_ASKS = 500_000
 _ABSENT = "\u0000"
 _NOT_POSITIVE = -1_000_000  # the step of all prices that are not positive
+_NOWHERE = -(1 << 60)  # the place of a missing year or odometer, outside of every window
 _WANTED = ["_want_maker", "_want_model", "_want_year", "_want_condition", "_want_odometer"]
 _FIGURES = ["average_price", "median_price", "price_std_dev", "num_cars_sold"]
 
@@ -207,12 +213,11 @@ def _cells(asked: DataFrame) -> DataFrame:
     )
 
 
-def _meet(sales: DataFrame, names: DataFrame, asks: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
-    """Sales, or cells of sales, with the asks they answer.
+def _meet(cells: DataFrame, asks: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
+    """Cells of sales, by pair of names, with the asks that they answer.
 
-    A sale first meets the pairs of names found in it whose asks cover its year and
-    miles, then by equality the asks of these pairs in its cell. ``small`` tells what
-    is known to fit a broadcast: the names with their spans, and the cells of the asks.
+    A cell first meets the kinds of asks of its pair that cover its year and miles, then by equality the asks of
+    these in it. ``small`` tells what is known to fit a broadcast: the names with their spans, and the cells of the asks.
     """
     asked = asks.withColumn("_by_year", F.col("_want_year") != 0).withColumn("_by_miles", F.col("_want_odometer") != 0)
     within = (~F.col("_by_year") | F.col("year").between(F.col("_first_year"), F.col("_last_year"))) & (
@@ -220,11 +225,11 @@ def _meet(sales: DataFrame, names: DataFrame, asks: DataFrame, max_rows: int, sm
     )
     any_ = F.lit(0).cast("long")
     near = (
-        keyed_join(sales, names.join(_spans(asked), "_pair"), ["_maker", "_model"], max_rows=max_rows, small=small[0])
+        keyed_join(cells, _spans(asked), ["_pair"], max_rows=max_rows, small=small[0])
         .filter(within)
         .withColumn("_year", F.when(F.col("_by_year"), F.floor("year").cast("long")).otherwise(any_))
         .withColumn("_band", F.when(F.col("_by_miles"), _band(F.col("_least"))).otherwise(any_))
-        .drop("_maker", "_model", "_first_year", "_last_year", "_least_miles", "_most_miles")
+        .drop("_first_year", "_last_year", "_least_miles", "_most_miles")
     )
     met = keyed_join(near, _cells(asked), [*_KIND, "_year", "_band"], max_rows=max_rows, small=small[1])
     miles = F.col("_want_odometer")
@@ -246,17 +251,171 @@ def _on_sale(sales: DataFrame) -> DataFrame:
 def _answered(cells: DataFrame, names: DataFrame, asks: DataFrame, max_rows: int, small: tuple[bool, bool]) -> DataFrame:
     """(_lookup): the asks that any sale answers, each told from the coarsest cells that decide it; its names are on sale."""
     by_condition, by_year, by_miles = F.col("_want_condition") != "", F.col("_want_year") != 0, F.col("_want_odometer") != 0
-    coarser = lambda *names: cells.groupBy(*names, "_band").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    least, most = F.min("_least").alias("_least"), F.max("_most").alias("_most")
+    # Cells of all names that a pair is found in are one, so that an ask meets no more of them than it has years, bands and conditions.
+    paired = keyed_join(cells, names, ["_maker", "_model"], max_rows=max_rows, small=small[0])
+    paired = materialize(paired.groupBy("_pair", "_condition", "year", "_band").agg(least, most))
+    coarser = lambda *by: paired.groupBy("_pair", *by, "_band").agg(least, most)
     any_year, none = F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("_condition")
     sides = [
-        (by_condition, cells.drop("_band")),
-        (~by_condition & by_year, coarser("_maker", "_model", "year").drop("_band").select("*", none)),
-        (~by_condition & ~by_year & by_miles, coarser("_maker", "_model").drop("_band").select("*", none, any_year)),
+        (by_condition, paired.drop("_band")),
+        (~by_condition & by_year, coarser("year").drop("_band").select("*", none)),
+        (~by_condition & ~by_year & by_miles, coarser().drop("_band").select("*", none, any_year)),
     ]
-    met = [_meet(side, names, asks.filter(test), max_rows, small).select("_lookup").distinct() for test, side in sides]
+    met = [_meet(side, asks.filter(test), max_rows, small).select("_lookup").distinct() for test, side in sides]
     return reduce(DataFrame.unionByName, met, asks.filter(~by_condition & ~by_year & ~by_miles).select("_lookup"))
 
 
+def _place(value: Column) -> Column:
+    """Twice a number between its floor and its ceiling: whole, and on the same side of every whole number as the number."""
+    value = value.cast("double")
+    return F.when(F.abs(value) < 1e15, F.floor(value) + F.ceil(value)).otherwise(F.lit(_NOWHERE).cast("long"))
+
+
+def _sold(sales: DataFrame, held: DataFrame, max_rows: int, small: bool) -> DataFrame:
+    """Sales with the number of their names, their places on the scales of years and miles, and how many pairs they answer."""
+    named = keyed_join(sales, held, ["_maker", "_model"], max_rows=max_rows, small=small).select(
+        "_name", "_pairs", "_condition", _place(F.col("year")).alias("_year"), _place(F.col("odometer")).alias("_miles"),
+        "_step", "_over", F.col("price").cast("double").alias("_price"),
+    )
+    return named if small else materialize(named)
+
+
+def _dealt(sold: DataFrame) -> DataFrame:
+    """(_step, _from, _parts): the group of sales that each price step is in, and into how many parts a step too large for one is cut."""
+    block = (F.floor(F.col("_step") / F.lit(STEPS_PER_GROUP)) * STEPS_PER_GROUP).cast("long")
+    steps = sold.groupBy("_step").agg(F.sum("_pairs").alias("_n")).withColumn("_from", block)
+    whole = F.sum("_n").over(Window.partitionBy("_from")) <= GROUP_SALES
+    return steps.withColumn("_whole", whole).select(
+        "_step",
+        F.when(F.col("_whole"), F.col("_from")).otherwise(F.col("_step").cast("long")).alias("_from"),
+        F.when(F.col("_whole"), F.lit(1)).otherwise(F.ceil(F.col("_n") / F.lit(GROUP_SALES))).cast("long").alias("_parts"),
+    )
+
+
+def _in_groups(sold: DataFrame, dealt: DataFrame, asks: DataFrame, named: DataFrame, by_step: bool) -> DataFrame:
+    """Counts of the sales that every ask meets, group by group of sales.
+
+    All asks go to each group, or with ``by_step`` each ask to the parts of its median's step alone; with them go the
+    pairs by name. Beyond ``GROUP_ASKS`` the asks are dealt to shares, and sales go to each of these.
+    """
+    shares = max(1, -(-asks.count() // GROUP_ASKS))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    key = ["_from", "_part", "_share"]
+    absent = [F.lit(None).cast("long").alias(c) for c in ("_median_step", "_median_rank") if c not in asks.columns]
+    asks = asks.select("*", *absent, F.lit(-1).cast("long").alias("_name"), F.pmod(F.xxhash64("_lookup"), F.lit(shares)).alias("_share"))
+    if by_step:
+        dealt = dealt.join(F.broadcast(asks.select(F.col("_median_step").alias("_step")).distinct()), "_step")
+    parts = materialize(dealt.select("_from", "_parts").distinct().withColumn("_part", upto(F.col("_parts"))))
+    if by_step:
+        asked = asks.join(F.broadcast(dealt.withColumnRenamed("_step", "_median_step")), "_median_step").withColumn("_part", upto(F.col("_parts")))
+    else:
+        asked = asks.crossJoin(F.broadcast(parts))
+    names = named.crossJoin(F.broadcast(parts)).withColumn("_share", upto(F.lit(shares).cast("long")))
+    spread = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in sold.columns])
+    sales = (
+        sold.withColumn("_spread", spread).join(F.broadcast(dealt), "_step").withColumn("_part", F.pmod("_spread", "_parts"))
+        .withColumn("_share", upto(F.lit(shares).cast("long"))).drop("_spread", "_parts", "_pairs")
+    )
+    right = asked.unionByName(names, allowMissingColumns=True)
+    sales, right = sales.toDF(*sales.columns), right.toDF(*right.columns)  # columns of their own, as both come from ``dealt``
+    schema = "_lookup long, _median_rank long, price double, _n long" if by_step else "_lookup long, _step int, _n long, _sum double, _squares double"
+    return sales.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_counter(by_step), schema)
+
+
+def _counter(by_step: bool):
+    """The function of one group: sales and asks -> counts per ask and price step, or the prices of the median's step.
+
+    Sales are sorted by pair, condition, year, step and miles, once for each pair that they answer, so that those of an ask
+    are a run for each of its conditions and years, found by bisection. Functions are nested to be sent by value.
+    """
+    window = 2 * S.ODOMETER_WINDOW
+
+    def runs(starts, lengths):
+        owner = np.repeat(np.arange(len(starts)), lengths)
+        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[owner]
+
+    def between(scale, wanted, width):
+        low, high = np.searchsorted(scale, 2 * wanted - width), np.searchsorted(scale, 2 * wanted + width, "right")
+        return np.where(wanted != 0, low, 0), np.where(wanted != 0, high, len(scale))
+
+    def lay(sales, asks, names):
+        """Sorted codes of sales with their rows, and for every run the ask, the code of its first step, and its ends in miles."""
+        pairs, pair = np.unique(asks["_pair"].to_numpy(), return_inverse=True)
+        names = names[names["_pair"].isin(pairs)].sort_values("_name")
+        known, own = names["_name"].to_numpy(), sales["_name"].to_numpy()
+        first = np.searchsorted(known, own)
+        row, at = runs(first, np.searchsorted(known, own, "right") - first)
+        state, states = pd.factorize(sales["_condition"])
+        (years, year), (miles, mile), (steps, step) = (np.unique(sales[c].to_numpy(), return_inverse=True) for c in ("_year", "_miles", "_step"))
+        n_states = len(states) + 1
+        code = np.searchsorted(pairs, names["_pair"].to_numpy()[at])
+        for values, n in ((state + 1, n_states), (year, len(years)), (step, len(steps)), (mile, len(miles))):
+            code = code * n + values[row]
+        order = np.argsort(code)
+        want, wants = pd.factorize(asks["_want_condition"])
+        fitting = [[i for i in range(n_states) if w == "" or (i and w in states[i - 1])] for w in wants]
+        lengths = np.array([len(f) for f in fitting])
+        ask, at = runs((np.cumsum(lengths) - lengths)[want], lengths[want])
+        fitting = np.array([i for f in fitting for i in f], dtype=np.int64)[at]
+        number = lambda c: asks[c].to_numpy().astype(np.int64)
+        low, high = between(years, number("_want_year"), 2 * number("_window"))
+        among, at = runs(low[ask], (high - low)[ask])
+        ask, start = ask[among], ((pair[ask] * n_states + fitting) * len(years))[among] + at
+        low, high = between(miles, number("_want_odometer"), window)
+        return code[order], row[order], ask, start * len(steps), low[ask], high[ask], steps, len(miles)
+
+    def figures(sales, asks, names):
+        code, row, ask, start, low, high, steps, width = lay(sales, asks, names)
+        # Sums up to a sale are of 80 bits, so that differences are right in all digits of a double.
+        over = sales["_over"].to_numpy()[row].astype(np.longdouble)
+        upto = lambda values: np.concatenate([[np.longdouble(0)], np.cumsum(values)])
+        sums, squares = upto(over), upto(over * over)
+        found = []
+        for i, step in enumerate(steps):
+            begin, end = np.searchsorted(code, (start + i) * width + low), np.searchsorted(code, (start + i) * width + high)
+            met = end > begin
+            begin, end, of = begin[met], end[met], ask[met]
+            per = lambda values: np.bincount(of, values.astype(float), len(asks))
+            n = per(end - begin)
+            told = n > 0
+            found.append(pd.DataFrame({
+                "_lookup": asks["_lookup"].to_numpy()[told], "_step": step, "_n": n[told].astype(np.int64),
+                "_sum": per(sums[end] - sums[begin])[told], "_squares": per(squares[end] - squares[begin])[told],
+            }))
+        return pd.concat(found)
+
+    def prices(sales, asks, names):
+        code, row, ask, start, low, high, steps, width = lay(sales, asks, names)
+        price, wanted = sales["_price"].to_numpy()[row], asks["_median_step"].to_numpy()
+        step = np.searchsorted(steps, wanted)
+        here = (step < len(steps)) & (steps[np.minimum(step, len(steps) - 1)] == wanted)
+        begin, end = (np.searchsorted(code, (start + step[ask]) * width + side) for side in (low, high))
+        met = (end > begin) & here[ask]
+        begin, end, ask = begin[met], end[met], ask[met]
+        ends = np.searchsorted(ask, np.arange(len(asks) + 1))
+        found = []
+        for i, (lookup, rank, parts) in enumerate(zip(asks["_lookup"], asks["_median_rank"].astype(int), asks["_parts"])):
+            if ends[i] == ends[i + 1]:
+                continue
+            own = np.concatenate([price[b:e] for b, e in zip(begin[ends[i]:ends[i + 1]], end[ends[i]:ends[i + 1]])])
+            # A step in one part has all that the ask meets: the one price; else parts are counted together.
+            if parts == 1:
+                found.append((lookup, rank, np.partition(own, rank - 1)[rank - 1], rank))
+            else:
+                found += [(lookup, rank, p, n) for p, n in zip(*np.unique(own, return_counts=True))]
+        return pd.DataFrame(found, columns=["_lookup", "_median_rank", "price", "_n"])
+
+    def run(sales, asked):
+        names, asks = asked[asked["_name"] >= 0], asked[asked["_name"] < 0]
+        if sales.empty or asks.empty:
+            return pd.DataFrame({c: [] for c in (["_lookup", "_median_rank", "price", "_n"] if by_step else ["_lookup", "_step", "_n", "_sum", "_squares"])})
+        with np.errstate(invalid="ignore"):
+            return (prices if by_step else figures)(sales, asks, names)
+
+    return run
+
+
 def _price_step(price: Column) -> Column:
     """Number of the price step, growing with the price; a step is about 1.1 percent wide.
     NaN and infinity share the last one."""
@@ -280,9 +439,13 @@ def _figures(met: DataFrame) -> DataFrame:
     """Statistics per lookup from counts per price step, and where its median lies:
     the step, and the median's rank among the sales in that step."""
     over = F.col("_over")
-    steps = met.groupBy("_lookup", "_step").agg(
+    return _of_steps(met.groupBy("_lookup", "_step").agg(
         F.count("*").alias("_n"), F.sum(over).alias("_sum"), F.sum(over * over).alias("_squares")
-    )
+    ))
+
+
+def _of_steps(steps: DataFrame) -> DataFrame:
+    """``_figures`` from the count, sum and squares of each price step."""
     lookup = Window.partitionBy("_lookup")
     up_to = lookup.orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, total, mean = F.col("_n"), F.col("_total"), F.col("_mean")
@@ -308,7 +471,11 @@ def _figures(met: DataFrame) -> DataFrame:
 
 def _medians(met: DataFrame) -> DataFrame:
     """The price of rank ``_median_rank`` per lookup; ``met`` holds the sales of one price step."""
-    prices = met.groupBy("_lookup", "_median_rank", "price").agg(F.count("*").alias("_n"))
+    return _reached(met.groupBy("_lookup", "_median_rank", "price").agg(F.count("*").alias("_n")))
+
+
+def _reached(prices: DataFrame) -> DataFrame:
+    """The first price per lookup at which the counts reach ``_median_rank``."""
     up_to = Window.partitionBy("_lookup").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.sum("_n").over(up_to) >= F.col("_median_rank")
     return (
@@ -335,8 +502,9 @@ def market_estimate(
     it is stored, these are written once and read from there). The first scan gives the distinct cells on sale: names, condition,
     year and band of miles, with the least and most miles of each, which tell exactly what asks have any sale, and so each
     request's rung. The second counts the sales of the asks that were taken by price step, and the third reads the prices of the one step that holds the
-    median. A sale meets the asks by equality, on names and on cells of year and miles, so that sales far off in
-    either are not compared; a table by ``write_by_maker`` is read in the folders of wanted makers alone; all scans combine their results before the shuffle, so no ask gathers its sales in one task.
+    median. Sales are not compared with asks one by one: they are dealt by price step into groups of bounded size, sorted there by
+    names, condition, year and miles, and the sales of an ask are found by bisection, so that work grows with the sales, and with asks times groups.
+    A table by ``write_by_maker`` is read in the folders of wanted makers alone; no ask gathers its sales in one task.
     """
     spark = requests.sparkSession
     with scratch(spark) as keep:
@@ -373,11 +541,16 @@ def _best_figures(requests: DataFrame, listings: DataFrame, request_id: str, max
     taken = materialize(answered.groupBy("_climb").agg(first).select("_climb", "_taken.*"))
     chosen = materialize(asks.join(taken.select("_lookup").distinct(), "_lookup"))
 
-    sales = sales.withColumns({"_least": F.col("odometer"), "_most": F.col("odometer")}).drop("odometer")
-    figures = materialize(_figures(_meet(sales, names, chosen, max_rows, small)))
+    names = names.join(chosen.select("_pair").distinct(), "_pair", "left_semi")
+    held = materialize(names.groupBy("_maker", "_model").agg(F.count("*").alias("_pairs")).withColumn("_name", F.monotonically_increasing_id()))
+    named = materialize(names.join(held, ["_maker", "_model"]).select("_pair", "_name"))
+    sold = _sold(sales, held, max_rows, small[0])
+    dealt = materialize(_dealt(sold))
+    counts = _in_groups(sold, dealt, chosen, named, False).groupBy("_lookup", "_step").agg(*[F.sum(c).alias(c) for c in ("_n", "_sum", "_squares")])
+    figures = materialize(_of_steps(counts))
     ranked = materialize(chosen.join(figures.select("_lookup", "_median_step", "_median_rank"), "_lookup"))
-    in_step = _meet(sales, names, ranked, max_rows, small).filter(F.col("_step") == F.col("_median_step"))
-    medians = _medians(in_step)
+    prices = _in_groups(sold, dealt, ranked, named, True).groupBy("_lookup", "_median_rank", "price").agg(F.sum("_n").alias("_n"))
+    medians = _reached(prices)
     return materialize(climbs.join(taken, "_climb").join(figures, "_lookup").join(medians, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from forecourt.operators import market
 from forecourt.operators.market import _folders_wanted, comparables, market_estimate, market_stats
 from forecourt.sources.tables import write_by_maker
 
@@ -119,6 +120,23 @@ def test_ladder_equals_rung_by_rung_search(spark, max_rows):
         assert answer[1:] == pytest.approx(brute_force(request, cars)), request
 
 
+def test_sales_in_many_groups_and_parts(spark, monkeypatch):
+    for name, value in (("GROUP_SALES", 40), ("GROUP_ASKS", 25), ("STEPS_PER_GROUP", 3)):
+        monkeypatch.setattr(market, name, value)
+    rng = random.Random(5)
+    cars = [
+        (i, rng.choice(["Ford", "landrover", None]), rng.choice(["ring", "red ring"]), rng.choice([None, 1999.5, 2000.0, 2001.0, 2003.0]),
+         rng.choice(["good", "like new", None]), rng.choice([None, 29999.5, 30000.0, 70000.0, 70000.5, float("nan")]), rng.choice([-1.0, 50.0, 50.0, 50.25, 50.5, 7e5]))
+        for i in range(400)
+    ]
+    listed = spark.createDataFrame(cars, "id int, manufacturer string, model string, year double, condition string, odometer double, price double")
+    wanted = [(i, rng.choice(["ford", "rover", ""]), rng.choice(["ring", "red ring xl", ""]), rng.choice([0, 2000, 2002]), rng.choice(["", "new"]), rng.choice([0, 50000, 49999]))
+              for i in range(80)]
+    found = market_estimate(spark.createDataFrame(wanted, REQUEST), listed).select("request_id", "relax_tier", "average_price", "median_price", "price_std_dev", "num_cars_sold", "found")
+    for answer, request in zip(sorted(tuple(r) for r in found.collect()), wanted):
+        assert answer[1:] == pytest.approx(brute_force(request, cars)), request
+
+
 def test_one_request_equals_the_single_lookup(spark, cars):
     wanted = spark.createDataFrame([(7, "TOYOTA", "camry", 2020, "good", 50000)], REQUEST)
     batch = market_estimate(wanted, cars).select("average_price", "median_price", "num_cars_sold").first()
