@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from forecourt import schemas as S
 from forecourt.operators.quality import counted_report, missing_cells
-from forecourt.plans.joins import BROADCAST_ROWS, keyed_join, materialize
+from forecourt.plans.joins import BROADCAST_ROWS, ROWS_PER_TASK, fits_broadcast, keyed_join, materialize
+
+KEY_BUCKETS = 1 << 20
 
 # field -> (pattern on the lower-cased text, group); our own reading of listing texts
 RULES: dict[str, tuple[str, int]] = {
@@ -117,13 +119,14 @@ def extract_fields_stored(
     schema: T.StructType = S.EXTRACTED,
     partitions: int | None = None,
     max_rows: int = BROADCAST_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add the extraction struct by the caller's function, called once for each text ever seen.
 
     ``store`` is a folder of results by digest of the text, made if it is not there. Distinct texts without a result there
     are extracted when this is called and their results added; a call that raises, or returns no dict, gives null fields
     and stores nothing, so that it is tried again the next time. Rows then take their result by digest: a text that
-    a third of them share is spread over tasks. A null text is not asked about and has null fields. ``partitions`` sets
+    more than ``rows_per_task`` of them share meets its result by broadcast. ``df`` is read several times: pass a stored table. A null text is not asked about and has null fields. ``partitions`` sets
     the number of parallel calls. Two runs at a time may both ask about a text; one of their results counts. The
     store belongs to one function: results of another one need another folder.
     """
@@ -132,23 +135,68 @@ def extract_fields_stored(
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     results = spark.read.schema(stored).parquet(store)
-    rows = df.withColumn("_digest", F.sha2(text, 256))
-    asked = rows.filter(F.col("_digest").isNotNull()).select("_digest", F.col(f"`{text}`").alias("_text"))
-    # Texts are taken after the ones with results are gone, so that only new ones are grouped with their bytes.
-    new = keyed_join(asked.select("_digest").distinct(), results.select("_digest", F.lit(True).alias("_known")).distinct(), ["_digest"], "left", max_rows=max_rows)
-    new = materialize(new.filter(F.col("_known").isNull()).select("_digest"))
-    if not new.isEmpty():
-        texts = keyed_join(asked, new, ["_digest"], max_rows=max_rows).groupBy("_digest").agg(F.min("_text").alias("_text"))
+    asked = df.select(F.col(f"`{text}`").alias("_text")).filter(F.col("_text").isNotNull())
+    digest = F.sha2("_text", 256)
+    known = results.select(_key(F.col("_digest")).alias("_key"))
+    if fits_broadcast(known, max_rows):
+        new = asked.distinct().withColumn("_key", _key(digest)).join(F.broadcast(known), "_key", "left_anti")
+        texts = new.select(digest.alias("_digest"), "_text")
+        if results.isEmpty():
+            unasked = not asked.isEmpty()
+        else:
+            texts = materialize(texts)
+            unasked = not texts.isEmpty()
+    else:
+        # Keys alone are compared first, so that texts with results are not shuffled. A key of many rows is one row a task.
+        new = materialize(asked.select(_key(digest).alias("_key")).distinct().join(known, "_key", "left_anti"))
+        unasked = not new.isEmpty()
+        if unasked:
+            found = asked.withColumn("_key", _key(digest))
+            found = keyed_join(found, new, ["_key"], max_rows=max_rows)
+            texts = found.select("_text").distinct().select(digest.alias("_digest"), "_text")
+    if unasked:
         told = extract_texts(texts, make_extractor, schema, partitions)
-        told.filter("_told._worked").select("_digest", *[F.col(f"_told.`{n}`").alias(n) for n in schema.names]).write.mode("append").parquet(store)
+        told.filter("_told._worked").select("_digest", *[F.col(f"_told.`{n}`").alias(n) for n in schema.names]).write.mode("append").option("compression", "zstd").parquet(store)
         results = spark.read.schema(stored).parquet(store)
     fields = F.struct(*[F.col(f"`{n}`") for n in schema.names]).alias("_found")
-    known = results.select("_digest", fields).groupBy("_digest").agg(F.min("_found").alias("_found"))
-    joined = keyed_join(rows, known, ["_digest"], "left", max_rows=max_rows)
+    known = results.select(_key(F.col("_digest")).alias("_key"), fields).groupBy("_key").agg(F.min("_found").alias("_found"))
+    rows = df.withColumn("_key", _key(F.sha2(F.col(f"`{text}`"), 256)))
+    if fits_broadcast(results, max_rows):
+        joined = rows.join(F.broadcast(known), "_key", "left")
+    else:
+        joined = _with_results(rows, known, rows_per_task)
     found = F.struct(*[F.col(f"_found.`{n}`").alias(n) for n in schema.names])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != into], found.alias(into))
 
 
+def _key(digest: Column) -> Column:
+    """The digest's bytes, which shuffle in half the size of its digits."""
+    return F.unhex(digest)
+
+
+def _with_results(rows: DataFrame, known: DataFrame, rows_per_task: int) -> DataFrame:
+    """Rows with the results of their keys; ``known`` has a key once.
+
+    Rows whose key is shared by more than ``rows_per_task`` rows meet its result by broadcast, the others by one shuffle of
+    each side. Candidates are told from counts by a hash of the key, which shuffle little, and counted exactly if there are any.
+    """
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(KEY_BUCKETS))
+    many = lambda counted, by: counted.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_task)
+    keyed = rows.select("_key").filter(F.col("_key").isNotNull()).withColumn("_bucket", bucket)
+    buckets = materialize(many(keyed, "_bucket").select("_bucket"))
+    plain = lambda some: some.join(known, "_key", "left")
+    if buckets.isEmpty():
+        return plain(rows)
+    hot = materialize(many(keyed.join(F.broadcast(buckets), "_bucket"), "_key").select("_key"))
+    if hot.isEmpty():
+        return plain(rows)
+    shared = materialize(known.join(F.broadcast(hot), "_key"))
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    marked = rows.join(marked, "_key", "left")
+    cold, often = marked.filter(F.col("_hot").isNull()).drop("_hot"), marked.filter("_hot").drop("_hot")
+    return plain(cold).unionByName(often.join(F.broadcast(shared), "_key", "left"))
+
+
 def extract_texts(texts: DataFrame, make_extractor: Callable[[], Callable[[str], dict]], schema: T.StructType, partitions: int | None) -> DataFrame:
     """Texts by digest with what the caller's function tells of each."""
     rows = texts if partitions is None else texts.repartition(partitions)

@@ -247,7 +247,7 @@ def _never():
 @query(f"WITH {LISTINGS_SQL} SELECT id, {_EXTRACTED_SQL} FROM listings")
 def extract_fields_stored(spark, sf_dir):
     """The second run finds all results stored: a call would give nulls."""
-    cars, store = listings(spark, sf_dir).select("id", "description"), _scratch(spark)
+    cars, store = materialize(listings(spark, sf_dir).select("id", "description")), _scratch(spark)
     enrich.extract_fields_stored(cars, _regex_extractor(enrich.RULES, enrich.NUMBERS), store)
     return enrich.extract_fields_stored(cars, _never, store).select("id", "extracted_data.*")
 

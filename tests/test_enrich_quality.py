@@ -82,6 +82,16 @@ def test_texts_are_asked_about_once(spark, tmp_path, max_rows):
     assert run(df.limit(0)) == [] and asked() == []
 
 
+def test_stored_results_of_keys_shared_by_many_rows(spark, tmp_path):
+    texts = ["hot"] * 300 + ["warm"] * 60 + [None] * 300 + [f"t{i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, description string")
+    make = lambda: lambda text: {"fuel": text.upper()}
+    found = enrich.extract_fields_stored(df, make, str(tmp_path / "store"), max_rows=0, rows_per_task=50)
+    assert rows(found.select("id", "extracted_data.fuel")) == rows(df.selectExpr("id", "upper(description) AS fuel"))
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    assert stored.count() == stored.select("_digest").distinct().count() == 202
+
+
 def merged(spark, **options):
     df = spark.createDataFrame([
         (1, "d", None, None, "", 1.0, "cyl", ("ford", "2001", "red", "9.5")),
