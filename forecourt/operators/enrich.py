@@ -98,14 +98,18 @@ def _caller(make_extractor: Callable[[], Callable[[str], dict]], schema: T.Struc
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         extract = make_extractor()
         for texts in batches:
-            records = []
+            columns, worked = {n: [] for n in names}, []
             for one in texts:
                 try:
-                    found, worked = dict(extract(one)), True
+                    found = dict(extract(one))
+                    worked.append(True)
                 except Exception:
-                    found, worked = {}, False
-                records.append({n: None if found.get(n) is None else str(found[n]) for n in names} | {"_worked": worked})
-            yield pd.DataFrame(records, columns=[*names, "_worked"], dtype=object)
+                    found = {}
+                    worked.append(False)
+                for n, values in columns.items():
+                    value = found.get(n)
+                    values.append(None if value is None else str(value))
+            yield pd.DataFrame({**columns, "_worked": worked}, columns=[*names, "_worked"], dtype=object)
 
     return F.pandas_udf(run, T.StructType([*schema.fields, T.StructField("_worked", T.BooleanType())]))
 

@@ -354,7 +354,7 @@ def _refreshed(spark, sf_dir):
     prices = price_list(spark, sf_dir).select("component", "diagnostic", F.col("reparation_cost").cast("int").alias("reparation_cost"))
     files.write_csv(prices, f"{folder}/prices")
     names = models.dictionary_frame(spark, _NAMES)
-    extract = lambda df: enrich.extract_fields_udf(df, _regex_extractor(enrich.RULES, enrich.NUMBERS), partitions=8)
+    extract = lambda df: enrich.extract_fields_udf(df, _regex_extractor(enrich.RULES, enrich.NUMBERS))
     report = refine.refresh_tables(spark, schema, f"{folder}/listings", f"{folder}/prices", names, extract, key=["id"])
     return schema, report
 

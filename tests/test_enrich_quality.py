@@ -7,6 +7,7 @@ from conftest import rows
 from forecourt import schemas as S
 from forecourt.operators import enrich, models, quality
 from forecourt.plans import refine
+from forecourt.workload import listing_queries
 
 TEXT = "2019 Ford Focus Sedan 2.0L 4dr 4WD, Automatic, gas, 45,000 miles, Like New, silver, asking $12,500.50"
 
@@ -92,6 +93,18 @@ def test_stored_results_of_keys_shared_by_many_rows(spark, tmp_path):
     assert stored.count() == stored.select("_digest").distinct().count() == 202
 
 
+def test_refreshed_chain_extracts_without_a_fixed_number_of_tasks(spark, monkeypatch):
+    cars = spark.createDataFrame([(i, "2001 ford") for i in range(30)], "id int, description string").repartition(13)
+    prices = spark.createDataFrame([("a", "b", 1)], "component string, diagnostic string, reparation_cost long")
+    monkeypatch.setattr(listing_queries, "listings", lambda *_: cars)
+    monkeypatch.setattr(listing_queries, "price_list", lambda *_: prices)
+    monkeypatch.setattr(listing_queries.files, "write_csv", lambda *_: None)
+    monkeypatch.setattr(listing_queries.refine, "refresh_tables", lambda *given, **_: given[5](cars))
+    _, told = listing_queries._refreshed(spark, "")
+    assert told.rdd.getNumPartitions() == 13
+    assert rows(told.select("id", "extracted_data.year", "extracted_data.fuel")) == sorted(((i, "2001", None) for i in range(30)), key=repr)
+
+
 def merged(spark, **options):
     df = spark.createDataFrame([
         (1, "d", None, None, "", 1.0, "cyl", ("ford", "2001", "red", "9.5")),
