@@ -104,8 +104,8 @@ def _width(df: DataFrame) -> Column:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count rows and bytes of ``df``, of no more than one row above the bound."""
-    size = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
+    """Count rows and bytes of ``df``, summed per task: a limit would send the rows of all tasks to one."""
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 

@@ -46,6 +46,14 @@ def test_broadcast_only_below_the_bound(spark):
     assert not fits_broadcast(dim, max_bytes=20)
 
 
+def test_sizes_are_counted_without_a_limit(spark, monkeypatch):
+    df = spark.range(50).repartition(5)
+    limit, asked = type(df).limit, []
+    monkeypatch.setattr(type(df), "limit", lambda self, n: asked.append(n) or limit(self, n))
+    assert fits_broadcast(df, max_rows=50) and not fits_broadcast(df, max_rows=49) and fits_broadcast(df.filter("id < 0"), max_rows=0)
+    assert max(asked, default=1) == 1  # the row of counts; a limit of the table would send its rows to one task
+
+
 def test_contains_join_equals_brute_force(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abc %_é'") for _ in range(n))
