@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forecourt import schemas as S
 from forecourt.functions.text import all_of, contains_ci
-from forecourt.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, contains_join, fits_broadcast, is_stored, keyed_join, materialize, scratch
+from forecourt.plans.joins import BROADCAST_ROWS, broadcast_bytes, contains_join, fits_broadcast, is_stored, keyed_join, materialize, scratch, sized
 from forecourt.sources.tables import MAKER_KEY, may_hold_maker
 
 MILE_BAND = 10_000
@@ -81,8 +81,7 @@ def market_stats(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     priced = _stepped(_typed(df).filter(F.col("price").isNotNull())).select(key.alias("_lookup"), "price", "_step", "_over")
     figures = materialize(_figures(priced))
     at = figures.select(F.col("_lookup").alias("_of"), "_median_step", "_median_rank")
-    at = F.broadcast(at) if fits_broadcast(at) else at
-    in_step = priced.join(at, F.col("_lookup").eqNullSafe(F.col("_of")) & (F.col("_step") == F.col("_median_step")))
+    in_step = priced.join(sized(at), F.col("_lookup").eqNullSafe(F.col("_of")) & (F.col("_step") == F.col("_median_step")))
     medians = _medians(in_step)
     if by:
         medians = medians.withColumnRenamed("_lookup", "_of")
@@ -160,7 +159,7 @@ _CELLS = (2 * S.WIDE_YEAR_WINDOW + 1) * (2 * S.ODOMETER_WINDOW // MILE_BAND + 1)
 
 def _fits(df: DataFrame, times: int, max_rows: int) -> bool:
     """Whether ``df`` fits a broadcast even when every row is repeated ``times`` and a pass doubles its width."""
-    return fits_broadcast(df, max_rows // times, BROADCAST_BYTES // (2 * times))
+    return fits_broadcast(df, max_rows // times, broadcast_bytes(df.sparkSession) // (2 * times))
 
 
 def _rungs(climbs: DataFrame, up: int) -> DataFrame:
@@ -536,10 +535,10 @@ def _best_figures(requests: DataFrame, listings: DataFrame, request_id: str, max
     steps = materialize(reduce(DataFrame.unionByName, [_rungs(c.join(known, ["_want_maker", "_want_model"]), up) for c, up in ladders]))
     asks = materialize(steps.select(*_ASK).distinct().withColumn("_lookup", F.monotonically_increasing_id()))
     small = (_fits(names, _KINDS, max_rows), _fits(asks, _CELLS, max_rows))
-    answered = steps.join(asks, _ASK).join(_answered(cells, names, asks, max_rows, small), "_lookup")
+    answered = steps.join(sized(asks), _ASK).join(_answered(cells, names, asks, max_rows, small), "_lookup")
     first = F.min(F.struct("relax_tier", "_lookup")).alias("_taken")
     taken = materialize(answered.groupBy("_climb").agg(first).select("_climb", "_taken.*"))
-    chosen = materialize(asks.join(taken.select("_lookup").distinct(), "_lookup"))
+    chosen = materialize(asks.join(sized(taken.select("_lookup").distinct()), "_lookup"))
 
     names = names.join(chosen.select("_pair").distinct(), "_pair", "left_semi")
     held = materialize(names.groupBy("_maker", "_model").agg(F.count("*").alias("_pairs")).withColumn("_name", F.monotonically_increasing_id()))
@@ -548,10 +547,10 @@ def _best_figures(requests: DataFrame, listings: DataFrame, request_id: str, max
     dealt = materialize(_dealt(sold))
     counts = _in_groups(sold, dealt, chosen, named, False).groupBy("_lookup", "_step").agg(*[F.sum(c).alias(c) for c in ("_n", "_sum", "_squares")])
     figures = materialize(_of_steps(counts))
-    ranked = materialize(chosen.join(figures.select("_lookup", "_median_step", "_median_rank"), "_lookup"))
+    ranked = materialize(chosen.join(sized(figures.select("_lookup", "_median_step", "_median_rank")), "_lookup"))
     prices = _in_groups(sold, dealt, ranked, named, True).groupBy("_lookup", "_median_rank", "price").agg(F.sum("_n").alias("_n"))
     medians = _reached(prices)
-    return materialize(climbs.join(taken, "_climb").join(figures, "_lookup").join(medians, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
+    return materialize(climbs.join(sized(taken), "_climb").join(sized(figures), "_lookup").join(medians, "_lookup").select(*_WANTED, "relax_tier", *_FIGURES))
 
 
 def _sales(listings: DataFrame) -> DataFrame:

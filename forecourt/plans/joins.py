@@ -19,6 +19,8 @@ from forecourt.functions.text import any_of
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
+HEAP_SHARE = 24  # a broadcast takes such a part of the driver's heap at most: it is held there several times over, next to others
+RELATION_BYTES = 64  # of a row in a hashed relation, besides its fields: its key, header and place
 ROWS_PER_TASK = 4_000_000
 GRAM = 3
 
@@ -88,9 +90,14 @@ def is_stored(df: DataFrame) -> bool:
     return True
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Bytes that a table may have to be broadcast, by the heap of the driver, which gathers it."""
+    return min(BROADCAST_BYTES, spark._jvm.java.lang.Runtime.getRuntime().maxMemory() // HEAP_SHARE)
+
+
 def _width(df: DataFrame) -> Column:
-    """Bytes of a row: the lengths of its texts, and 8 for every other field; nested values as JSON."""
-    parts = []
+    """Bytes of a row in a broadcast: the lengths of its texts, 8 for every other field, and ``RELATION_BYTES``; nested values as JSON."""
+    parts = [F.lit(RELATION_BYTES)]
     for field in df.schema:
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
@@ -100,22 +107,35 @@ def _width(df: DataFrame) -> Column:
             parts.append(F.coalesce(F.octet_length(value), F.lit(0)) + 8)
         else:
             parts.append(F.lit(8))
-    return reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
+    return reduce(lambda a, b: a + b, parts).cast("long")
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count rows and bytes of ``df``, summed per task: a limit would send the rows of all tasks to one."""
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int | None = None) -> bool:
+    """Count rows and bytes of ``df``, summed per task: a limit would send the rows of all tasks to one.
+
+    ``max_bytes`` is ``broadcast_bytes`` unless given.
+    """
+    max_bytes = broadcast_bytes(df.sparkSession) if max_bytes is None else max_bytes
     size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int | None = None) -> DataFrame:
+    """``df`` to be joined: broadcast if it is counted to fit, else by shuffle.
+
+    Without a hint Spark goes by the bytes of the files that ``df`` is read from, which are packed, and by those alone when rows
+    are repeated afterwards, and may gather a table in the driver that is a hundred times as large.
+    """
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df.hint("shuffle_merge")
+
+
 def keyed_join(
     fact: DataFrame,
     dim: DataFrame,
     keys: list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     small: bool = False,
 ) -> DataFrame:
@@ -131,7 +151,7 @@ def keyed_join(
     if small or fits_broadcast(dim, max_rows, max_bytes):
         return fact.join(F.broadcast(dim), keys, how)
     per_key = fact.groupBy(*keys).agg(F.count("*").alias("_facts")).join(
-        dim.groupBy(*keys).agg(F.count("*").alias("_dims")), keys, how
+        dim.groupBy(*keys).agg(F.count("*").alias("_dims")).hint("shuffle_merge"), keys, how
     )
     facts, dims = F.col("_facts").cast("double"), F.coalesce("_dims", F.lit(1)).cast("double")
     parts = F.ceil(facts * dims / rows_per_task)
@@ -143,8 +163,7 @@ def keyed_join(
         .withColumn("_dim_cut", F.ceil(F.col("_parts") / F.col("_cut")))
         .select(*keys, "_cut", "_dim_cut")
     )
-    if fits_broadcast(hot, max_rows, max_bytes):
-        hot = F.broadcast(hot)
+    hot = sized(hot, max_rows, max_bytes)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     salts = lambda n: F.explode(F.sequence(zero, F.coalesce(n, one) - 1))
     # The partition id is the same when a lost task runs again; a random salt would not be.
@@ -163,7 +182,7 @@ def keyed_join(
         .withColumn("_salt", salts(F.col("_cut")))
         .drop("_cut", "_dim_cut", "_spread")
     )
-    return cut_fact.join(cut_dim, [*keys, "_salt", "_dim_salt"], how).drop("_salt", "_dim_salt")
+    return cut_fact.join(cut_dim.hint("shuffle_merge"), [*keys, "_salt", "_dim_salt"], how).drop("_salt", "_dim_salt")
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -197,9 +216,8 @@ def contains_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     numbered = materialize(texts.withColumn("_text_id", F.monotonically_increasing_id()))
     grams = materialize(needles.select(*on, needle).distinct().withColumn("_gram", F.explode(_needle_grams(F.col(needle)))))
     asked = grams.select(*on, "_gram").distinct()
-    asked = F.broadcast(asked) if fits_broadcast(asked) else asked
     posted = materialize(
-        numbered.select(*on, "_text_id", F.explode(_text_grams(F.col(text))).alias("_gram")).join(asked, [*on, "_gram"], "left_semi")
+        numbered.select(*on, "_text_id", F.explode(_text_grams(F.col(text))).alias("_gram")).join(sized(asked), [*on, "_gram"], "left_semi")
     )
     spread = posted.groupBy(*on, "_gram").agg(F.count("*").alias("_texts"))
     anchors = materialize(

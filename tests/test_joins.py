@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,20 @@ def test_postings_grow_with_the_needles_grams_only(spark, monkeypatch):
     assert sizes == [2, 2]
 
 
+def test_broadcast_takes_a_small_part_of_the_drivers_heap(spark):
+    rows = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() // 1000  # of about 100 bytes each in a hashed relation
+    assert not fits_broadcast(spark.range(rows).selectExpr("id", "id AS a", "id AS b", "id AS c", "id AS d"), max_rows=rows)
+    assert fits_broadcast(spark.range(rows // 100).selectExpr("id", "id AS a", "id AS b", "id AS c", "id AS d"))
+
+
+def test_packed_and_repeated_rows_are_not_broadcast_unasked(spark):
+    packed = materialize(spark.range(200).selectExpr("id % 20 AS k", "id AS d")).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    joined = keyed_join(spark.range(100).selectExpr("id % 20 AS k", "id AS f"), packed, ["k"], max_rows=1000)
+    assert joined.count() == 100 * 10 * 50
+    joined.collect()
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*_salt", joined._jdf.queryExecution().executedPlan().toString())
+
+
 def test_short_and_empty_needles_are_split(spark):
     texts = spark.range(400).selectExpr("concat('a', id) AS text")
     needles = spark.createDataFrame([("",), ("a",)], "needle string")
