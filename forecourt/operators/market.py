@@ -3,7 +3,7 @@
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +18,10 @@ PRICE_STEPS = 64  # per doubling of the price
 BASE_MODEL = 5  # added to the rung of a lookup by base model
 STEPS_PER_GROUP = 8
 GROUP_SALES = 4_000_000  # sales of a group, each counted for every pair of names found in it
+GROUP_ROWS = 500_000  # sales of a group, each once
 GROUP_ASKS = 500_000
+PORTION = 250_000  # sales, and runs of sales, that a task works on at once
+_NAME, _ASKED, _SALE = range(3)  # what a row of a group is
 _ABSENT = "\u0000"
 _NOT_POSITIVE = -1_000_000  # the step of all prices that are not positive
 _NOWHERE = -(1 << 60)  # the place of a missing year or odometer, outside of every window
@@ -283,12 +286,14 @@ def _sold(sales: DataFrame, held: DataFrame, max_rows: int, small: bool) -> Data
 def _dealt(sold: DataFrame) -> DataFrame:
     """(_step, _from, _parts): the group of sales that each price step is in, and into how many parts a step too large for one is cut."""
     block = (F.floor(F.col("_step") / F.lit(STEPS_PER_GROUP)) * STEPS_PER_GROUP).cast("long")
-    steps = sold.groupBy("_step").agg(F.sum("_pairs").alias("_n")).withColumn("_from", block)
-    whole = F.sum("_n").over(Window.partitionBy("_from")) <= GROUP_SALES
+    steps = sold.groupBy("_step").agg(F.sum("_pairs").alias("_n"), F.count("*").alias("_rows")).withColumn("_from", block)
+    of_block = lambda c: F.sum(c).over(Window.partitionBy("_from"))
+    whole = (of_block("_n") <= GROUP_SALES) & (of_block("_rows") <= GROUP_ROWS)
+    parts = F.greatest(F.ceil(F.col("_n") / F.lit(GROUP_SALES)), F.ceil(F.col("_rows") / F.lit(GROUP_ROWS)))
     return steps.withColumn("_whole", whole).select(
         "_step",
         F.when(F.col("_whole"), F.col("_from")).otherwise(F.col("_step").cast("long")).alias("_from"),
-        F.when(F.col("_whole"), F.lit(1)).otherwise(F.ceil(F.col("_n") / F.lit(GROUP_SALES))).cast("long").alias("_parts"),
+        F.when(F.col("_whole"), F.lit(1)).otherwise(parts).cast("long").alias("_parts"),
     )
 
 
@@ -296,13 +301,13 @@ def _in_groups(sold: DataFrame, dealt: DataFrame, asks: DataFrame, named: DataFr
     """Counts of the sales that every ask meets, group by group of sales.
 
     All asks go to each group, or with ``by_step`` each ask to the parts of its median's step alone; with them go the
-    pairs by name. Beyond ``GROUP_ASKS`` the asks are dealt to shares, and sales go to each of these.
+    pairs by name. Beyond ``GROUP_ASKS`` the asks are dealt to shares, and sales go to each of these. Rows of all three kinds
+    come to their group as one sorted stream, and share columns: ``_id`` is the name of a sale and of a pair's name, and the lookup of an ask.
     """
     shares = max(1, -(-asks.count() // GROUP_ASKS))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    key = ["_from", "_part", "_share"]
-    absent = [F.lit(None).cast("long").alias(c) for c in ("_median_step", "_median_rank") if c not in asks.columns]
-    asks = asks.select("*", *absent, F.lit(-1).cast("long").alias("_name"), F.pmod(F.xxhash64("_lookup"), F.lit(shares)).alias("_share"))
+    group = ((F.col("_from") * F.lit(1 << 24) + F.col("_part")) * F.lit(shares) + F.col("_share")).alias("_group")
+    asks = asks.withColumn("_share", F.pmod(F.xxhash64("_lookup"), F.lit(shares)))
     if by_step:
         dealt = dealt.join(F.broadcast(asks.select(F.col("_median_step").alias("_step")).distinct()), "_step")
     parts = materialize(dealt.select("_from", "_parts").distinct().withColumn("_part", upto(F.col("_parts"))))
@@ -314,103 +319,176 @@ def _in_groups(sold: DataFrame, dealt: DataFrame, asks: DataFrame, named: DataFr
     spread = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in sold.columns])
     sales = (
         sold.withColumn("_spread", spread).join(F.broadcast(dealt), "_step").withColumn("_part", F.pmod("_spread", "_parts"))
-        .withColumn("_share", upto(F.lit(shares).cast("long"))).drop("_spread", "_parts", "_pairs")
+        .withColumn("_share", upto(F.lit(shares).cast("long")))
     )
-    right = asked.unionByName(names, allowMissingColumns=True)
-    sales, right = sales.toDF(*sales.columns), right.toDF(*right.columns)  # columns of their own, as both come from ``dealt``
+    types = {"_pair": "long", "_year": "long", "_miles": "long", "_step": "int", "_condition": "string", "_price": "double", "_window": "int"}
+    of_median = {"_step": "_median_step", "_median_rank": "_median_rank", "_parts": "_parts"} if by_step else {}
+    types |= {c: "long" for c in of_median if c not in types}
+    row = lambda kind, given: [group, F.lit(kind).alias("_kind"), F.col(given["_id"]).alias("_id")] + [
+        (F.col(given[c]) if c in given else F.lit(None)).cast(kind_of).alias(c) for c, kind_of in types.items()
+    ]
+    asked_for = {"_pair": "_pair", "_year": "_want_year", "_miles": "_want_odometer", "_condition": "_want_condition", "_window": "_window"}
+    of_sale = {c: c for c in ("_year", "_miles", "_step", "_condition")} | {"_price": "_price" if by_step else "_over"}
+    rows = [
+        names.select(*row(_NAME, {"_id": "_name", "_pair": "_pair"})),
+        asked.select(*row(_ASKED, {"_id": "_lookup"} | asked_for | of_median)),
+        sales.select(*row(_SALE, {"_id": "_name"} | of_sale)),
+    ]
+    stream = reduce(DataFrame.unionByName, rows).repartition("_group").sortWithinPartitions("_group", "_kind")
     schema = "_lookup long, _median_rank long, price double, _n long" if by_step else "_lookup long, _step int, _n long, _sum double, _squares double"
-    return sales.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_counter(by_step), schema)
+    return stream.mapInArrow(_counter(by_step), schema)
 
 
 def _counter(by_step: bool):
-    """The function of one group: sales and asks -> counts per ask and price step, or the prices of the median's step.
+    """The function of a stream of groups: sales and asks -> counts per ask and price step, or the prices of the median's step.
 
-    Sales are sorted by pair, condition, year, step and miles, once for each pair that they answer, so that those of an ask
-    are a run for each of its conditions and years, found by bisection. Functions are nested to be sent by value.
+    A group's rows are kept as numbers. Its pairs are taken in portions: their sales are sorted by pair, condition, year, step and
+    miles, once for each pair that they answer, so that those of an ask are a run for each of its conditions and years, found by
+    bisection; the asks of a portion are taken by so many runs. Memory so is that of a group's rows and of one portion, however
+    many pairs its sales answer and runs its asks have; what is found leaves portion by portion. Functions are nested to be sent by value.
     """
-    window = 2 * S.ODOMETER_WINDOW
+    window, portion, (name_kind, ask_kind, sale_kind) = 2 * S.ODOMETER_WINDOW, PORTION, (_NAME, _ASKED, _SALE)
+    fields = {
+        name_kind: ["_id", "_pair"],
+        ask_kind: ["_id", "_pair", "_year", "_miles", "_window", "_condition", *(["_step", "_median_rank", "_parts"] if by_step else [])],
+        sale_kind: ["_id", "_year", "_miles", "_step", "_condition", "_price"],
+    }
 
     def runs(starts, lengths):
         owner = np.repeat(np.arange(len(starts)), lengths)
         return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[owner]
 
+    def portions(sizes):
+        """Ends of neighbours that make up a portion together, or are one alone."""
+        which = (np.cumsum(sizes) - sizes) // portion
+        return np.unique(np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(sizes)]]))
+
     def between(scale, wanted, width):
         low, high = np.searchsorted(scale, 2 * wanted - width), np.searchsorted(scale, 2 * wanted + width, "right")
         return np.where(wanted != 0, low, 0), np.where(wanted != 0, high, len(scale))
 
-    def lay(sales, asks, names):
-        """Sorted codes of sales with their rows, and for every run the ask, the code of its first step, and its ends in miles."""
-        pairs, pair = np.unique(asks["_pair"].to_numpy(), return_inverse=True)
-        names = names[names["_pair"].isin(pairs)].sort_values("_name")
-        known, own = names["_name"].to_numpy(), sales["_name"].to_numpy()
-        first = np.searchsorted(known, own)
-        row, at = runs(first, np.searchsorted(known, own, "right") - first)
-        state, states = pd.factorize(sales["_condition"])
-        (years, year), (miles, mile), (steps, step) = (np.unique(sales[c].to_numpy(), return_inverse=True) for c in ("_year", "_miles", "_step"))
-        n_states = len(states) + 1
-        code = np.searchsorted(pairs, names["_pair"].to_numpy()[at])
-        for values, n in ((state + 1, n_states), (year, len(years)), (step, len(steps)), (mile, len(miles))):
-            code = code * n + values[row]
-        order = np.argsort(code)
-        want, wants = pd.factorize(asks["_want_condition"])
-        fitting = [[i for i in range(n_states) if w == "" or (i and w in states[i - 1])] for w in wants]
-        lengths = np.array([len(f) for f in fitting])
-        ask, at = runs((np.cumsum(lengths) - lengths)[want], lengths[want])
-        fitting = np.array([i for f in fitting for i in f], dtype=np.int64)[at]
-        number = lambda c: asks[c].to_numpy().astype(np.int64)
-        low, high = between(years, number("_want_year"), 2 * number("_window"))
-        among, at = runs(low[ask], (high - low)[ask])
-        ask, start = ask[among], ((pair[ask] * n_states + fitting) * len(years))[among] + at
-        low, high = between(miles, number("_want_odometer"), window)
-        return code[order], row[order], ask, start * len(steps), low[ask], high[ask], steps, len(miles)
-
-    def figures(sales, asks, names):
-        code, row, ask, start, low, high, steps, width = lay(sales, asks, names)
+    def figures(code, row, sales, asks, at, ask, start, low, high, steps, width):
         # Sums up to a sale are of 80 bits, so that differences are right in all digits of a double.
-        over = sales["_over"].to_numpy()[row].astype(np.longdouble)
+        over = sales["_price"][row].astype(np.longdouble)
         upto = lambda values: np.concatenate([[np.longdouble(0)], np.cumsum(values)])
         sums, squares = upto(over), upto(over * over)
-        found = []
         for i, step in enumerate(steps):
             begin, end = np.searchsorted(code, (start + i) * width + low), np.searchsorted(code, (start + i) * width + high)
             met = end > begin
             begin, end, of = begin[met], end[met], ask[met]
-            per = lambda values: np.bincount(of, values.astype(float), len(asks))
+            per = lambda values: np.bincount(of, values.astype(float), len(at))
             n = per(end - begin)
             told = n > 0
-            found.append(pd.DataFrame({
-                "_lookup": asks["_lookup"].to_numpy()[told], "_step": step, "_n": n[told].astype(np.int64),
-                "_sum": per(sums[end] - sums[begin])[told], "_squares": per(squares[end] - squares[begin])[told],
-            }))
-        return pd.concat(found)
-
-    def prices(sales, asks, names):
-        code, row, ask, start, low, high, steps, width = lay(sales, asks, names)
-        price, wanted = sales["_price"].to_numpy()[row], asks["_median_step"].to_numpy()
+            yield asks["_id"][at[told]], np.full(told.sum(), step), n[told], per(sums[end] - sums[begin])[told], per(squares[end] - squares[begin])[told]
+
+    def prices(code, row, sales, asks, at, ask, start, low, high, steps, width):
+        wanted = asks["_step"][at]
         step = np.searchsorted(steps, wanted)
         here = (step < len(steps)) & (steps[np.minimum(step, len(steps) - 1)] == wanted)
         begin, end = (np.searchsorted(code, (start + step[ask]) * width + side) for side in (low, high))
         met = (end > begin) & here[ask]
         begin, end, ask = begin[met], end[met], ask[met]
-        ends = np.searchsorted(ask, np.arange(len(asks) + 1))
-        found = []
-        for i, (lookup, rank, parts) in enumerate(zip(asks["_lookup"], asks["_median_rank"].astype(int), asks["_parts"])):
+        ends = np.searchsorted(ask, np.arange(len(at) + 1))
+        price, held, waiting = sales["_price"][row], [], 0
+        for i, (lookup, rank, parts) in enumerate(zip(asks["_id"][at], asks["_median_rank"][at], asks["_parts"][at])):
             if ends[i] == ends[i + 1]:
                 continue
             own = np.concatenate([price[b:e] for b, e in zip(begin[ends[i]:ends[i + 1]], end[ends[i]:ends[i + 1]])])
             # A step in one part has all that the ask meets: the one price; else parts are counted together.
-            if parts == 1:
-                found.append((lookup, rank, np.partition(own, rank - 1)[rank - 1], rank))
-            else:
-                found += [(lookup, rank, p, n) for p, n in zip(*np.unique(own, return_counts=True))]
-        return pd.DataFrame(found, columns=["_lookup", "_median_rank", "price", "_n"])
-
-    def run(sales, asked):
-        names, asks = asked[asked["_name"] >= 0], asked[asked["_name"] < 0]
-        if sales.empty or asks.empty:
-            return pd.DataFrame({c: [] for c in (["_lookup", "_median_rank", "price", "_n"] if by_step else ["_lookup", "_step", "_n", "_sum", "_squares"])})
-        with np.errstate(invalid="ignore"):
-            return (prices if by_step else figures)(sales, asks, names)
+            own, n = (np.partition(own, rank - 1)[rank - 1:rank], np.array([rank])) if parts == 1 else np.unique(own, return_counts=True)
+            held.append((np.full(len(own), lookup), np.full(len(own), rank), own, n))
+            waiting += len(own)
+            if waiting > portion:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held, waiting = [], 0
+        if held:
+            yield [np.concatenate(c) for c in zip(*held)]
+
+    def solve(names, asks, sales, wants, states):
+        """What the asks of a group find. Conditions are places in ``wants`` and ``states``, those asked for and those of sales; -1 is none."""
+        pairs, pair = np.unique(asks["_pair"], return_inverse=True)
+        asked = np.isin(names["_pair"], pairs)
+        names = {c: v[asked] for c, v in names.items()}
+        known = np.unique(names["_id"])
+        own = np.searchsorted(known, sales["_id"])
+        order = np.argsort(own, kind="stable")
+        order = order[known[np.minimum(own[order], len(known) - 1)] == sales["_id"][order]] if len(known) else order[:0]
+        if not len(order):
+            return
+        # Sales stand in the order of their names, and pairs take theirs by name.
+        sales, own = {c: v[order] for c, v in sales.items() if c != "_id"}, own[order]
+        of, name = np.searchsorted(pairs, names["_pair"]), np.searchsorted(known, names["_id"])
+        order = np.argsort(of, kind="stable")
+        of, name = of[order], name[order]
+        count = np.bincount(own, minlength=len(known))
+        first = np.cumsum(count) - count
+        ends = portions(np.bincount(of, count[name], len(pairs)).astype(np.int64))
+        (years, year), (miles, mile), (steps, step) = (np.unique(sales[c], return_inverse=True) for c in ("_year", "_miles", "_step"))
+        n_states, state = len(states) + 1, sales["_condition"] + 1
+        by_pair = np.argsort(pair, kind="stable")
+        # The states that fit what is asked for, one after the other.
+        fitting = [[i for i in range(n_states) if w == "" or (i and w in states[i - 1])] for w in wants]
+        fits, fitting = np.array([len(f) for f in fitting]), np.array([i for f in fitting for i in f], dtype=np.int64)
+        from_state = np.cumsum(fits) - fits
+        low_year, high_year = between(years, asks["_year"], 2 * asks["_window"])
+        low_mile, high_mile = between(miles, asks["_miles"], window)
+        for begin, end in zip(ends[:-1], ends[1:]):
+            these = slice(*np.searchsorted(of, [begin, end]))
+            at, row = runs(first[name[these]], count[name[these]])
+            code = of[these][at] - begin
+            for values, n in ((state, n_states), (year, len(years)), (step, len(steps)), (mile, len(miles))):
+                code *= n
+                code += values[row]
+            order = np.argsort(code)
+            code, row = code[order], row[order]
+            mine = by_pair[slice(*np.searchsorted(pair[by_pair], [begin, end]))]
+            want, length = asks["_condition"][mine], (high_year - low_year)[mine]
+            cuts = portions(fits[want] * length)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                at, wanted, n = mine[a:b], want[a:b], length[a:b]
+                ask, fit = runs(from_state[wanted], fits[wanted])
+                among, from_year = runs(low_year[at][ask], n[ask])
+                start = (((pair[at][ask] - begin) * n_states + fitting[fit]) * len(years))[among] + from_year
+                ask = ask[among]
+                yield from (prices if by_step else figures)(
+                    code, row, sales, asks, at, ask, start * len(steps), low_mile[at][ask], high_mile[at][ask], steps, len(miles)
+                )
+
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64()] if by_step else [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+    columns = ["_lookup", "_median_rank", "price", "_n"] if by_step else ["_lookup", "_step", "_n", "_sum", "_squares"]
+
+    def numbers(column, states):
+        """A column's values as numbers of their own memory; of texts their places in ``states``, which grows."""
+        if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+            return np.array(column.to_numpy(zero_copy_only=False))
+        if column.null_count == len(column):
+            return np.full(len(column), -1, dtype=np.int32)
+        coded = column.dictionary_encode()
+        places = np.array([states.setdefault(text, len(states)) for text in coded.dictionary.to_pylist()], dtype=np.int32)
+        return np.append(places, np.int32(-1))[coded.indices.fill_null(len(places)).to_numpy()]
+
+    def run(batches):
+        group, held, states = None, {}, {kind: {} for kind in fields}
+
+        def found():
+            got = {kind: {c: np.concatenate([part.pop(0) for part in parts]) for c in fields[kind]} for kind, parts in held.items()}
+            held.clear()
+            if len(got) == len(fields):
+                with np.errstate(invalid="ignore"):
+                    for values in solve(got[name_kind], got[ask_kind], got[sale_kind], list(states[ask_kind]), list(states[sale_kind])):
+                        yield pa.RecordBatch.from_arrays([pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip(values, types)], names=columns)
+
+        for batch in batches:
+            groups, kinds = batch.column("_group").to_numpy(), batch.column("_kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(groups) | np.diff(kinds)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(groups)]):
+                if b > a:
+                    if groups[a] != group:
+                        yield from found()
+                        group, states = groups[a], {kind: {} for kind in fields}
+                    part, kind = batch.slice(a, b - a), int(kinds[a])
+                    held.setdefault(kind, []).append([numbers(part.column(c), states[kind]) for c in fields[kind]])
+        yield from found()
 
     return run
 

@@ -1,7 +1,10 @@
 import math
 import random
 import statistics
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +140,50 @@ def test_sales_in_many_groups_and_parts(spark, monkeypatch):
         assert answer[1:] == pytest.approx(brute_force(request, cars)), request
 
 
+def test_groups_by_rows_worked_on_in_portions(spark, monkeypatch):
+    for name, value in (("GROUP_ROWS", 30), ("PORTION", 7), ("GROUP_ASKS", 30)):
+        monkeypatch.setattr(market, name, value)
+    rng = random.Random(6)
+    cars = [
+        (i, rng.choice(["ford", "Rover", ""]), rng.choice(["ring", "red ring", None]), rng.choice([None, *range(1999, 2004)]),
+         rng.choice(["good", "like new", "", None]), rng.choice([None, 30000, 70001, 90000]), rng.choice([-1.0, 50.0, 50.25, 50.5, 90.0]))
+        for i in range(300)
+    ]
+    wanted = [(i, rng.choice(["ford", "o", ""]), rng.choice(["ring", "red ring xl", ""]), rng.choice([0, 2001, 2006]), rng.choice(["", "new", "good", "mint"]), rng.choice([0, 50000, 50001]))
+              for i in range(60)]
+    found = market_estimate(spark.createDataFrame(wanted, REQUEST), spark.createDataFrame(cars, LISTING))
+    found = found.select("request_id", "relax_tier", "average_price", "median_price", "price_std_dev", "num_cars_sold", "found")
+    for answer, request in zip(sorted(tuple(r) for r in found.collect()), wanted):
+        assert answer[1:] == pytest.approx(brute_force(request, cars)), request
+
+
+def test_memory_of_a_group_of_sales(spark):
+    """Three million pairs of a sale and what it answers: in a task no more of them are laid out at once than a portion."""
+    sales, pairs = 60_000, 50
+    miles = np.random.default_rng(3).integers(0, 100_000, sales)
+    price = np.arange(sales) / 7
+    schema = pa.schema([("_group", pa.int64()), ("_kind", pa.int32()), ("_id", pa.int64()), ("_pair", pa.int64()), ("_year", pa.int64()), ("_miles", pa.int64()),
+                        ("_step", pa.int32()), ("_condition", pa.string()), ("_price", pa.float64()), ("_window", pa.int32())])
+
+    def batches():
+        of = lambda kind, **columns: pa.RecordBatch.from_pylist([{"_group": 9, "_kind": kind} | dict(zip(columns, v)) for v in zip(*columns.values())], schema)
+        yield of(0, _id=[4] * pairs, _pair=range(pairs))
+        yield of(1, _id=range(100, 100 + pairs), _pair=range(pairs), _year=[2000, 0] * (pairs // 2), _miles=[50_000] * pairs, _condition=["new", ""] * (pairs // 2), _window=[1] * pairs)
+        for i in range(0, sales, 10_000):
+            part = slice(i, i + 10_000)
+            yield of(2, _id=[4] * 10_000, _year=[4000] * 10_000, _miles=(2 * miles[part]).tolist(), _step=[5] * 10_000, _condition=["like new"] * 10_000, _price=price[part].tolist())
+
+    given = list(batches())
+    tracemalloc.start()
+    found = [r for batch in market._counter(False)(iter(given)) for r in batch.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = price[abs(miles - 50_000) <= 20_000]
+    assert peak < 150e6
+    assert sorted(r["_lookup"] for r in found) == list(range(100, 100 + pairs)) and {(r["_step"], r["_n"]) for r in found} == {(5, len(near))}
+    assert [r["_sum"] for r in found] == pytest.approx([near.sum()] * pairs) and [r["_squares"] for r in found] == pytest.approx([(near * near).sum()] * pairs)
+
+
 def test_one_request_equals_the_single_lookup(spark, cars):
     wanted = spark.createDataFrame([(7, "TOYOTA", "camry", 2020, "good", 50000)], REQUEST)
     batch = market_estimate(wanted, cars).select("average_price", "median_price", "num_cars_sold").first()
