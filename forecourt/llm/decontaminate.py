@@ -438,8 +438,10 @@ def _basis(bench: Benchmark, random: np.ndarray, part: np.ndarray, term: np.ndar
     middle = random.T @ sketch
     value, vector = np.linalg.eigh((middle + middle.T) / 2)
     good = np.flatnonzero(value > value.max() * 1e-10)
-    left = np.linalg.svd(sketch @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0]
-    basis = np.ascontiguousarray(left[:, : _rank(bench)]).astype(np.float32)
+    white = sketch @ (vector[:, good] / np.sqrt(value[good]))
+    del sketch  # as large as what is decomposed next
+    left = np.linalg.svd(white, full_matrices=False)[0]
+    basis = np.ascontiguousarray(left[:, : _rank(bench)], dtype=np.float32)
     items = bench.weighed(basis)
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
     return basis, items
